@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .embeddings import op7_embedding_near_dedup
+from .pii import op4_pii
 from .simhash import op10_simhash_near_dedup
+from .toxicity import op6_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {"op10_simhash_near_dedup": op10_simhash_near_dedup}
+    found = (op4_pii, op6_toxicity, op7_embedding_near_dedup, op10_simhash_near_dedup)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
