@@ -146,24 +146,28 @@ def contexts(scanned: DataFrame, reach: int) -> DataFrame:
 
 def disclosures(docs: DataFrame, scanned: DataFrame, near: DataFrame, alpha: float, min_together: int, text_col: str = "text") -> DataFrame:
     """``(entity, term, pmi, ic)`` of the pairs that exceed the threshold, from counts over all documents."""
-    total = scanned.count()
-    pairs = near.select("doc_id", "key", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_et"))
-    pairs = materialize(pairs.where(F.col("n_et") >= min_together), "pii-pairs")
+    total = F.lit(float(max(scanned.count(), 1)))
+    met = near.select("doc_id", "key", "entity", "term").distinct()
     entities = (
         scanned.where("held is not null").select("doc_id", "key", F.explode(F.array_distinct(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], F.lower(s["value"]))))).alias("entity"))
         .groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= min_together)
     )
-    wanted = pairs.select("term").distinct()
+    # The threshold is n_t <= n_et * (N / n_e)^(1 - 1/alpha). A term's documents are at least those
+    # that hold it near any entity, which rules out common words before the corpus is counted.
+    seen = met.select("doc_id", "key", "term").distinct().groupBy("term").agg(F.count("*").alias("n_c"))
+    most = F.col("n_et") * F.pow(total / F.col("n_e"), F.lit(1 - 1 / alpha))
+    pairs = met.groupBy("entity", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= min_together)
+    pairs = materialize(pairs.join(entities, "entity").join(seen, "term").where(F.col("n_c") <= most + 0.5), "pii-pairs")
     terms = (
         docs.select(F.explode(F.array_distinct(F.split(F.lower(F.col(text_col)), r"[^\p{L}]+"))).alias("term"))
         .where(F.length("term") >= 4)
-        .join(wanted, "term", "left_semi")
+        .join(pairs.select("term").distinct(), "term", "left_semi")
         .groupBy("term").agg(F.count("*").alias("n_t"))
     )
     scored = (
-        pairs.join(entities, "entity").join(terms, "term")
-        .withColumn("ic", F.log2(F.lit(float(max(total, 1))) / F.col("n_e")))
-        .withColumn("pmi", F.log2(F.col("n_et") * F.lit(float(max(total, 1))) / (F.col("n_e") * F.col("n_t"))))
+        pairs.join(terms, "term")
+        .withColumn("ic", F.log2(total / F.col("n_e")))
+        .withColumn("pmi", F.log2(F.col("n_et") * total / (F.col("n_e") * F.col("n_t"))))
     )
     return scored.where((F.col("pmi") >= F.col("ic") / alpha) & (F.col("ic") > 0)).select("entity", "term", "pmi", "ic")
 
