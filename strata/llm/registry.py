@@ -12,6 +12,7 @@ from .html import op2_html_extraction
 from .langid import op3_language_id
 from .mixing import op8_source_mixing
 from .pii import op4_pii
+from .secrets import op9_secret_scan
 from .simhash import op10_simhash_near_dedup
 from .tokens import op1_token_output
 from .toxicity import op6_toxicity
@@ -20,7 +21,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_token_output, op2_html_extraction, op3_language_id, op4_pii, op5_benchmark_decontamination, op6_toxicity, op7_embedding_near_dedup, op8_source_mixing, op10_simhash_near_dedup)
+    found = (op1_token_output, op2_html_extraction, op3_language_id, op4_pii, op5_benchmark_decontamination, op6_toxicity, op7_embedding_near_dedup, op8_source_mixing, op9_secret_scan, op10_simhash_near_dedup)
     return {f.__name__: f for f in found}
 
 
