@@ -184,8 +184,13 @@ def train(texts: list[str], langs: list[str], steps: int = 360, batch: int = 192
 def training_sample(docs: DataFrame, per_lang: int = MAX_PER_LANG) -> DataFrame:
     """``(text, lang)``: at most ``per_lang`` documents of each language, in hash order."""
     rows = docs.where("lang is not null and text is not null and text <> ''").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = rows.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_lang).select("doc_id").distinct()
+    order = Window.partitionBy("lang").orderBy("h", "doc_id")
+    # Hashes are spread evenly, so the first per_lang of n lie within the first 3 per_lang / n of their
+    # range: a language with many rows is thinned to that before it meets in a window.
+    sizes = F.broadcast(rows.groupBy("lang").agg(F.count("*").alias("size")))  # a row for each language
+    reach = F.least(F.lit(3.0 * per_lang + 100) / F.col("size"), F.lit(1.0)) * 2.0**64 - 2.0**63
+    hashed = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).join(sizes, "lang").where(F.col("h").cast("double") <= reach)
+    ids = hashed.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_lang).select("doc_id").distinct()
     return rows.join(F.broadcast(ids), "doc_id").select("text", "lang", "doc_id")
 
 
