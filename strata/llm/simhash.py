@@ -69,23 +69,36 @@ def covering_masks(radius: int = 3, bits: int = BITS) -> list[int]:
     return [sum(1 << i for i, b in enumerate(vectors) if (v & b).bit_count() & 1) for v in range(1, top)]
 
 
-def hamming_links(fps: DataFrame, radius: int = 3) -> DataFrame:
+def hamming_links(fps: DataFrame, radius: int = 3, differ: int | None = None, tables_at_once: int = 63) -> DataFrame:
     """``edges(a, b)`` over distinct fingerprints ``fps(fp, rep)`` that join everything within the
-    radius: each bucket gives spanning edges of its own verified links, not all of its pairs."""
+    radius: each bucket gives spanning edges of its own verified links, not all of its pairs. With
+    ``differ``, a link must also have sketches (column ``sketch``) that differ in at most so many bits.
+    Large families of tables are worked off in slices, which bounds the rows shuffled at once."""
     signed = [m - (1 << BITS) if m >> (BITS - 1) else m for m in covering_masks(radius)]
-    keyed = fps.select(
-        "fp", "rep", F.explode(F.array(*[F.struct(F.lit(i).cast("byte").alias("t"), F.lit(m).alias("mask")) for i, m in enumerate(signed)])).alias("k")
-    ).select("fp", "rep", F.col("k.t").alias("t"), F.col("fp").bitwiseAND(F.col("k.mask")).alias("key"))
-    units = bounded_units(keyed, ["t", "key"], "rep")
+    held = ["fp", "rep", *(["sketch"] if differ is not None else [])]
 
     def link(unit: dict) -> dict | None:
         fp = unit["fp"].astype(np.int64).view(np.uint64)
-        left, right = forest_edges(np.bitwise_count(fp[:, None] ^ fp[None, :]) <= radius)
+        near = np.bitwise_count(fp[:, None] ^ fp[None, :]) <= radius
+        if differ is not None:
+            sketch = unit["sketch"].astype(np.int64).view(np.uint64)
+            near &= np.bitwise_count(sketch[:, None] ^ sketch[None, :]) <= differ
+        left, right = forest_edges(near)
         if not len(left):
             return None
         return {"a": unit["rep"][left].astype(np.int64), "b": unit["rep"][right].astype(np.int64)}
 
-    return per_unit(units, ["t", "key", "bi", "bj"], ["rep"], link, "a long, b long")
+    out = None
+    for first in range(0, len(signed), tables_at_once):
+        masks = list(enumerate(signed))[first : first + tables_at_once]
+        keyed = fps.select(*held, F.explode(F.array(*[F.struct(F.lit(i).cast("short").alias("t"), F.lit(m).alias("mask")) for i, m in masks])).alias("k")).select(
+            *held, F.col("k.t").alias("t"), F.col("fp").bitwiseAND(F.col("k.mask")).alias("key")
+        )
+        found = per_unit(bounded_units(keyed, ["t", "key"], "rep"), ["t", "key", "bi", "bj"], ["rep"], link, "a long, b long")
+        if len(signed) > tables_at_once:
+            found = materialize(found.distinct(), "simhash-slice")
+        out = found if out is None else out.unionAll(found)
+    return out
 
 
 def simhash_components(docs: DataFrame, words: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -99,15 +112,62 @@ def simhash_components(docs: DataFrame, words: int = 3, radius: int = 3, id_col:
     return marked.join(placed, "fp").select("doc_id", "fp", "component_id")
 
 
+PERMUTATIONS = np.random.default_rng(17).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
+
+
+def word_fingerprint(text: str | None, words: int = 5, seed: int = 42) -> tuple[int, int]:
+    """Fingerprint over the distinct words of a text, and a one-bit minwise sketch of its word
+    shingles: two texts of shingle similarity J agree in a sketch bit with probability (1 + J) / 2."""
+    got = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not got:
+        return 0, 0
+    digest = xxhash.xxh64_intdigest
+    own = np.array([digest(w, seed) for w in set(got)], np.uint64)
+    ones = np.zeros(BITS, np.int64)
+    for i in range(0, len(own), CHUNK):
+        ones += np.unpackbits(own[i : i + CHUNK].astype(">u8").view(np.uint8)).reshape(-1, BITS).sum(axis=0, dtype=np.int64)
+    shingles = [b" ".join(got)] if len(got) <= words else map(b" ".join, zip(*(got[i:] for i in range(words))))
+    hashes = np.fromiter((digest(s, seed) for s in shingles), np.uint64)
+    low = np.full(64, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(hashes), CHUNK // 16):
+        low = np.minimum(low, (hashes[i : i + CHUNK // 16, None] * PERMUTATIONS).min(axis=0))
+    bits = np.packbits((low & np.uint64(1)).astype(np.uint8))
+    return int.from_bytes(np.packbits(ones * 2 > len(own)).tobytes(), "big"), int.from_bytes(bits.tobytes(), "big")
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 7) -> DataFrame:
+    """Keeps one document of each group of copies, that with the smallest id. Columns are those of
+    ``docs``.
+
+    A fingerprint of word shingles changes in a dozen bits once a tenth of the shingles does, beyond
+    any radius that covering tables reach. So documents are fingerprinted by their distinct words,
+    where texts of shingle similarity 0.8 lie within ``radius`` bits, and a link must also hold in a
+    sketch of the ``words``-word shingles, whose expected share of differing bits is
+    (1 - similarity) / 2; the slack is two deviations. Rows alike in id and text are one document."""
+    share = (1 - similarity) / 2
+    differ = int(64 * share + 2 * (64 * share * (1 - share)) ** 0.5)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.array([word_fingerprint(t, words) for t in batch.column(1).to_pylist()], np.uint64).reshape(-1, 2).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(2), pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], names=["doc_id", "key", "fp", "sketch"]
+            )
+
+    key = F.xxhash64(F.col("text").cast("string"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), key.alias("key"))
+    marked = materialize(rows.mapInArrow(run, "doc_id long, key long, fp long, sketch long"), "near-marks")
+    fps = materialize(marked.groupBy("fp", "sketch").agg(F.min("doc_id").alias("rep")), "near-distinct")
+    parts = connected_components(hamming_links(fps.where("rep is not null"), radius, differ), "near-links")
+    placed = fps.join(parts, fps.rep == parts.node, "left").select("fp", "sketch", F.coalesce("component", "rep").alias("component_id"))
+    gone = (
+        marked.join(placed, ["fp", "sketch"]).where("component_id is not null and (doc_id is null or doc_id <> component_id)")
+        .select(F.col("doc_id").alias("_d"), F.col("key").alias("_k")).distinct()
+    )
+    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (key == F.col("_k")), "left_anti")
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents")).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
-
-
-def drop_near_duplicates(docs: DataFrame, words: int = 5, radius: int = 3) -> DataFrame:
-    """Keeps one document of each group, that with the smallest id; of rows that repeat an id, all
-    stay only if their id is the group's. Columns are those of ``docs``."""
-    parts = simhash_components(docs, words, radius)
-    gone = parts.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

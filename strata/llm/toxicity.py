@@ -217,6 +217,20 @@ def toxicity_scores(docs: DataFrame, grammar: Grammar) -> DataFrame:
     return scored.select("doc_id", (1 / (1 + F.exp(-F.greatest(F.least(linear, F.lit(30.0)), F.lit(-30.0))))).alias("score"))
 
 
+def reject_toxic(docs: DataFrame, grammar: Grammar, threshold: float = 0.3) -> DataFrame:
+    """``docs`` without the rows that score ``threshold`` or more. One pass, no shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(grammar)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            g = shared.value
+            keep = [float(g.score(g.features(t))) < threshold for t in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(mod: int, rest: int) -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % mod == rest, F.lit(False))
 
