@@ -42,6 +42,7 @@ from .common import shared_dir, table
 SHARD_TOKENS = 1 << 23
 END_ID = 0
 BLOCK = 512
+SEGMENT = 1 << 16
 CACHE_WORDS = 600_000  # of each of two generations
 ENCODE_BYTES = 1 << 24  # of text encoded at once
 SHARD_SCHEMA = "shard long, n_tokens long, payload binary"
@@ -59,13 +60,21 @@ class WaveletMatrix:
         zeros, planes = [], []
         a = ids
         for k in range(bits - 1, -1, -1):
-            one = (a >> a.dtype.type(k)) & a.dtype.type(1)
-            mask = one.view(np.bool_) if one.dtype.itemsize == 1 else one.astype(np.bool_)
+            mask = ((a >> a.dtype.type(k)) & a.dtype.type(1)).astype(np.bool_)
             planes.append(np.packbits(mask))
-            low = np.flatnonzero(~mask)  # takes by place: half the time of a boolean index on mixed bits
-            zeros.append(len(low))
+            zeros.append(len(a) - int(np.count_nonzero(mask)))
             if k:
-                a = np.concatenate([a.take(low), a.take(np.flatnonzero(mask))])
+                after = np.empty_like(a)
+                low, high = 0, zeros[-1]
+                for i in range(0, len(a), SEGMENT):  # pieces that stay in the processor's cache
+                    one = mask[i : i + SEGMENT]
+                    part = a[i : i + SEGMENT]
+                    z, o = np.flatnonzero(~one), np.flatnonzero(one)
+                    part.take(z, out=after[low : low + len(z)], mode="clip")
+                    part.take(o, out=after[high : high + len(o)], mode="clip")
+                    low += len(z)
+                    high += len(o)
+                a = after
         return cls(len(ids), bits, zeros, planes)
 
     def decode(self) -> np.ndarray:
@@ -74,9 +83,16 @@ class WaveletMatrix:
         for level in range(self.bits - 1, -1, -1):
             mask = np.unpackbits(self.planes[level], count=self.n).view(np.bool_)
             above = np.empty_like(out)
-            z = self.zeros[level]
-            above[np.flatnonzero(~mask)] = out[:z]
-            above[np.flatnonzero(mask)] = out[z:] | out.dtype.type(1 << (self.bits - 1 - level))
+            low, high = 0, self.zeros[level]
+            out[high:] |= out.dtype.type(1 << (self.bits - 1 - level))
+            for i in range(0, self.n, SEGMENT):
+                one = mask[i : i + SEGMENT]
+                part = above[i : i + SEGMENT]
+                z, o = np.flatnonzero(~one), np.flatnonzero(one)
+                part[z] = out[low : low + len(z)]
+                part[o] = out[high : high + len(o)]
+                low += len(z)
+                high += len(o)
             out = above
         return out
 
@@ -253,7 +269,8 @@ class WordCache:
         index = coded.indices.to_numpy().astype(np.int64)
         first = index[starts]
         # A cut before a space is not safe after white space. Such texts go to the tokenizer whole.
-        bad = np.fromiter((not w or w[-1].isspace() for w in words), bool, len(words))
+        trimmed = pc.utf8_rtrim_whitespace(coded.dictionary)
+        bad = pc.or_(pc.not_equal(trimmed, coded.dictionary), pc.equal(coded.dictionary, "")).to_numpy(zero_copy_only=False)
         bad_at = bad[index]
         bad_at[starts] = [bool(words[i]) and bad[i] for i in first]
         whole = np.unique(np.searchsorted(starts, np.flatnonzero(bad_at), side="right") - 1)
