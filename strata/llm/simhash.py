@@ -62,40 +62,59 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def covering_masks(radius: int = 3, bits: int = BITS) -> list[int]:
-    """The 2^(r+1) - 1 masks. b(i) runs through the nonzero vectors in turn, so that every table
-    keeps about half of the bits."""
+    """The 2^(r+1) - 1 masks. If there are at least as many positions as nonzero vectors, b(i) runs
+    through those in turn; else it draws different ones, and of some seeded draws that one stays whose
+    smallest mask is largest, so that every table keeps about half of the bits."""
     top = 1 << (radius + 1)
-    vectors = [1 + i % (top - 1) for i in range(bits)]
-    return [sum(1 << i for i, b in enumerate(vectors) if (v & b).bit_count() & 1) for v in range(1, top)]
 
+    def masks(vectors: list[int]) -> list[int]:
+        return [sum(1 << i for i, b in enumerate(vectors) if (v & b).bit_count() & 1) for v in range(1, top)]
 
-def hamming_links(fps: DataFrame, radius: int = 3, differ: int | None = None, tables_at_once: int = 63) -> DataFrame:
-    """``edges(a, b)`` over distinct fingerprints ``fps(fp, rep)`` that join everything within the
-    radius: each bucket gives spanning edges of its own verified links, not all of its pairs. With
-    ``differ``, a link must also have sketches (column ``sketch``) that differ in at most so many bits.
-    Large families of tables are worked off in slices, which bounds the rows shuffled at once."""
-    signed = [m - (1 << BITS) if m >> (BITS - 1) else m for m in covering_masks(radius)]
-    held = ["fp", "rep", *(["sketch"] if differ is not None else [])]
+    if bits >= top - 1:
+        return masks([1 + i % (top - 1) for i in range(bits)])
+    draws = [masks((np.random.default_rng(seed).permutation(top - 1)[:bits] + 1).tolist()) for seed in range(24)]
+    return max(draws, key=lambda d: min(m.bit_count() for m in d))
+
+
+def _tables(prints: int, radius: int) -> list[tuple[int, int, int]]:
+    """``(table, fingerprint, mask)`` of all tables; masks as signed longs."""
+    masks = [m - (1 << BITS) if m >> (BITS - 1) else m for m in covering_masks(radius)]
+    return [(p * len(masks) + i, p, m) for p in range(prints) for i, m in enumerate(masks)]
+
+
+def hamming_links(fps: DataFrame, radius: int = 3, differ: int | None = None, prints: int = 1, tables_at_once: int = 60) -> DataFrame:
+    """``edges(a, b)`` over distinct rows ``fps(rep, fps array)`` that join everything within the radius
+    in one of its ``prints`` fingerprints: each bucket gives spanning edges of its own verified links,
+    not all of its pairs. With ``differ``, a link must also have sketches (array column ``sketch``) that
+    differ in at most so many bits. Large families of tables are worked off in slices, which bounds the
+    rows shuffled at once."""
+    words = 2 if differ is not None else 0
 
     def link(unit: dict) -> dict | None:
         fp = unit["fp"].astype(np.int64).view(np.uint64)
         near = np.bitwise_count(fp[:, None] ^ fp[None, :]) <= radius
-        if differ is not None:
-            sketch = unit["sketch"].astype(np.int64).view(np.uint64)
-            near &= np.bitwise_count(sketch[:, None] ^ sketch[None, :]) <= differ
+        if words:
+            apart = np.zeros(near.shape, np.uint8)
+            for k in range(words):
+                part = unit[f"s{k}"].astype(np.int64).view(np.uint64)
+                apart += np.bitwise_count(part[:, None] ^ part[None, :])
+            near &= apart <= differ
         left, right = forest_edges(near)
         if not len(left):
             return None
         return {"a": unit["rep"][left].astype(np.int64), "b": unit["rep"][right].astype(np.int64)}
 
+    tables = _tables(prints, radius)
     out = None
-    for first in range(0, len(signed), tables_at_once):
-        masks = list(enumerate(signed))[first : first + tables_at_once]
-        keyed = fps.select(*held, F.explode(F.array(*[F.struct(F.lit(i).cast("short").alias("t"), F.lit(m).alias("mask")) for i, m in masks])).alias("k")).select(
-            *held, F.col("k.t").alias("t"), F.col("fp").bitwiseAND(F.col("k.mask")).alias("key")
+    for first in range(0, len(tables), tables_at_once):
+        part = F.array(*[
+            F.struct(F.lit(t).cast("short").alias("t"), F.col("fps")[p].alias("fp"), F.col("fps")[p].bitwiseAND(F.lit(m)).alias("key")) for t, p, m in tables[first : first + tables_at_once]
+        ])
+        keyed = fps.select("rep", *[F.col("sketch")[k].alias(f"s{k}") for k in range(words)], F.explode(part).alias("x")).select(
+            "rep", *[f"s{k}" for k in range(words)], "x.t", "x.fp", "x.key"
         )
         found = per_unit(bounded_units(keyed, ["t", "key"], "rep"), ["t", "key", "bi", "bj"], ["rep"], link, "a long, b long")
-        if len(signed) > tables_at_once:
+        if len(tables) > tables_at_once:
             found = materialize(found.distinct(), "simhash-slice")
         out = found if out is None else out.unionAll(found)
     return out
@@ -106,62 +125,78 @@ def simhash_components(docs: DataFrame, words: int = 3, radius: int = 3, id_col:
     before any bucket is built, so exact copies cost one row, however many there are."""
     marked = materialize(fingerprints(docs, id_col, text_col, words), "simhash")
     fps = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-distinct")
-    links = hamming_links(fps.where("rep is not null"), radius)
+    links = hamming_links(fps.where("rep is not null").select("rep", F.array("fp").alias("fps")), radius)
     parts = connected_components(links, "simhash-links")
     placed = fps.join(parts, fps.rep == parts.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return marked.join(placed, "fp").select("doc_id", "fp", "component_id")
 
 
-PERMUTATIONS = np.random.default_rng(17).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
+PRINTS = 8
+SKETCH_BITS = 128
+PERMUTATIONS = np.random.default_rng(17).integers(1, 1 << 63, SKETCH_BITS, dtype=np.uint64) | np.uint64(1)
+MIXERS = np.random.default_rng(18).integers(1, 1 << 63, PRINTS, dtype=np.uint64)
 
 
-def word_fingerprint(text: str | None, words: int = 5, seed: int = 42) -> tuple[int, int]:
-    """Fingerprint over the distinct words of a text, and a one-bit minwise sketch of its word
-    shingles: two texts of shingle similarity J agree in a sketch bit with probability (1 + J) / 2."""
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """``PRINTS`` independent hashes of each hash (finaliser of a 64-bit mixing generator)."""
+    x = h[:, None] + MIXERS
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def word_fingerprints(text: str | None, words: int = 5, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
+    """``PRINTS`` fingerprints over the distinct words of a text, and a one-bit minwise sketch of its
+    word shingles: two texts of shingle similarity J agree in a sketch bit with probability (1 + J) / 2.
+    Both as unsigned 64-bit words."""
     got = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not got:
-        return 0, 0
+        return np.zeros(PRINTS, np.uint64), np.zeros(SKETCH_BITS // 64, np.uint64)
     digest = xxhash.xxh64_intdigest
     own = np.array([digest(w, seed) for w in set(got)], np.uint64)
-    ones = np.zeros(BITS, np.int64)
-    for i in range(0, len(own), CHUNK):
-        ones += np.unpackbits(own[i : i + CHUNK].astype(">u8").view(np.uint8)).reshape(-1, BITS).sum(axis=0, dtype=np.int64)
+    ones = np.zeros((PRINTS, BITS), np.int64)
+    for i in range(0, len(own), CHUNK // 16):
+        bits = np.unpackbits(np.ascontiguousarray(_mixed(own[i : i + CHUNK // 16])).view(np.uint8)).reshape(-1, PRINTS, BITS)
+        ones += bits.sum(axis=0, dtype=np.int64)
+    prints = np.packbits(ones * 2 > len(own), axis=1).view(np.uint64).ravel()
     shingles = [b" ".join(got)] if len(got) <= words else map(b" ".join, zip(*(got[i:] for i in range(words))))
     hashes = np.fromiter((digest(s, seed) for s in shingles), np.uint64)
-    low = np.full(64, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(hashes), CHUNK // 16):
-        low = np.minimum(low, (hashes[i : i + CHUNK // 16, None] * PERMUTATIONS).min(axis=0))
-    bits = np.packbits((low & np.uint64(1)).astype(np.uint8))
-    return int.from_bytes(np.packbits(ones * 2 > len(own)).tobytes(), "big"), int.from_bytes(bits.tobytes(), "big")
+    low = np.full(SKETCH_BITS, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(hashes), CHUNK // 64):
+        low = np.minimum(low, (hashes[i : i + CHUNK // 64, None] * PERMUTATIONS).min(axis=0))
+    return prints, np.packbits((low & np.uint64(1)).astype(np.uint8)).view(np.uint64)
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 7) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 3) -> DataFrame:
     """Keeps one document of each group of copies, that with the smallest id. Columns are those of
     ``docs``.
 
     A fingerprint of word shingles changes in a dozen bits once a tenth of the shingles does, beyond
-    any radius that covering tables reach. So documents are fingerprinted by their distinct words,
-    where texts of shingle similarity 0.8 lie within ``radius`` bits, and a link must also hold in a
-    sketch of the ``words``-word shingles, whose expected share of differing bits is
-    (1 - similarity) / 2; the slack is two deviations. Rows alike in id and text are one document."""
+    any radius that covering tables reach. So documents get ``PRINTS`` independent fingerprints of their
+    distinct words, where texts of shingle similarity 0.8 lie a few bits apart and one of the prints
+    within the radius, and a link must also hold in a sketch of the ``words``-word shingles, whose
+    expected share of differing bits is (1 - similarity) / 2; the slack is two and a half deviations.
+    Rows alike in id and text are one document."""
     share = (1 - similarity) / 2
-    differ = int(64 * share + 2 * (64 * share * (1 - share)) ** 0.5)
+    differ = int(SKETCH_BITS * share + 2.5 * (SKETCH_BITS * share * (1 - share)) ** 0.5)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([word_fingerprint(t, words) for t in batch.column(1).to_pylist()], np.uint64).reshape(-1, 2).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], names=["doc_id", "key", "fp", "sketch"]
-            )
+            found = [word_fingerprints(t, words) for t in batch.column(1).to_pylist()]
+            columns = [
+                pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate([f[k] for f in found]).view(np.int64) if found else np.empty(0, np.int64)), n).cast(pa.list_(pa.int64()))
+                for k, n in ((0, PRINTS), (1, SKETCH_BITS // 64))
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], names=["doc_id", "key", "fps", "sketch"])
 
     key = F.xxhash64(F.col("text").cast("string"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), key.alias("key"))
-    marked = materialize(rows.mapInArrow(run, "doc_id long, key long, fp long, sketch long"), "near-marks")
-    fps = materialize(marked.groupBy("fp", "sketch").agg(F.min("doc_id").alias("rep")), "near-distinct")
-    parts = connected_components(hamming_links(fps.where("rep is not null"), radius, differ), "near-links")
-    placed = fps.join(parts, fps.rep == parts.node, "left").select("fp", "sketch", F.coalesce("component", "rep").alias("component_id"))
+    marked = materialize(rows.mapInArrow(run, "doc_id long, key long, fps array<long>, sketch array<long>"), "near-marks")
+    fps = materialize(marked.groupBy("fps", "sketch").agg(F.min("doc_id").alias("rep")), "near-distinct")
+    parts = connected_components(hamming_links(fps.where("rep is not null"), radius, differ, PRINTS), "near-links")
+    placed = fps.join(parts, fps.rep == parts.node, "left").select("fps", "sketch", F.coalesce("component", "rep").alias("component_id"))
     gone = (
-        marked.join(placed, ["fp", "sketch"]).where("component_id is not null and (doc_id is null or doc_id <> component_id)")
+        marked.join(placed, ["fps", "sketch"]).where("component_id is not null and (doc_id is null or doc_id <> component_id)")
         .select(F.col("doc_id").alias("_d"), F.col("key").alias("_k")).distinct()
     )
     return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (key == F.col("_k")), "left_anti")
