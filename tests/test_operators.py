@@ -143,7 +143,7 @@ def test_nonadjacent_cells(spark):
 
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
-    got = {r.node: r.component for r in graph.components(edges).collect()}
+    got = {r.node: r.component for r in graph.connected_components(edges).collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
 
 
