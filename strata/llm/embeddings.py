@@ -216,3 +216,13 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.98, window: int = W
 
 def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_links(table(spark, sf_dir, "embeddings")).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
+#: The same rows by comparing all pairs; for small tables.
+OP7_SQL = """WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+  l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+  r(node, reach) AS (SELECT a, a FROM l UNION SELECT r.node, l.b FROM r JOIN l ON r.reach = l.a),
+  c AS (SELECT node, min(reach) AS component FROM r GROUP BY node), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+  SELECT vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, coalesce(c.component, vec_id) AS component_id, coalesce(c.component, vec_id) = vec_id AS kept
+  FROM embeddings LEFT JOIN c ON vec_id = c.node LEFT JOIN n ON vec_id = n.a"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import op5_benchmark_decontamination
-from .embeddings import op7_embedding_near_dedup
+from .embeddings import OP7_SQL, op7_embedding_near_dedup
 from .html import op2_html_extraction
 from .langid import op3_language_id
 from .mixing import op8_source_mixing
@@ -26,4 +26,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_embedding_near_dedup": OP7_SQL}
