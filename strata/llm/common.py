@@ -3,8 +3,6 @@ components by star contraction, and bounded work units for buckets of any size."
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,44 +10,39 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import connected_components
+from ..operators.shared import drop_table, materialize, shared_dir
+
+__all__ = ["bounded_units", "connected_components", "drop_table", "forest_edges", "materialize", "per_unit", "release_caches", "shared_dir", "table", "text_batches", "worker_cache"]
+
 #: Rows that one block of a hot bucket holds; a work unit holds two blocks at most.
 BLOCK_ROWS = 1024
 
+#: Rows that Spark sends to Python at once on stages over whole texts.
+TEXT_ROWS = 1000
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+_caches: dict[tuple, object] = {}
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in ``spark.checkpoint.dir``; one of our own only
-    where that is unset (tests on one machine)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = getattr(spark, "_strata_shared_dir", None)
-        if path is None:
-            path = spark._strata_shared_dir = "file://" + tempfile.mkdtemp(prefix="strata-shared-")
-    return path.rstrip("/")
+def worker_cache(key: tuple, make: Callable[[], object]) -> object:
+    """An object that a Python worker keeps from one task of a stage to the next."""
+    if key not in _caches:
+        _caches[key] = make()
+    return _caches[key]
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Writes ``df`` as a Parquet table in the shared folder and reads it back: cuts the lineage at
-    a place that survives the loss of any executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._strata_path = path
-    return out
+def release_caches() -> None:
+    """Called where a worker turns to other work: what an earlier stage cached there goes."""
+    _caches.clear()
 
 
-def drop_table(df: DataFrame) -> None:
-    """Deletes what ``materialize`` wrote, once nothing reads it any more."""
-    path = getattr(df, "_strata_path", None)
-    if path is None:
-        return
-    jvm = df.sparkSession._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+def text_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
+    """From now on, this session's Arrow batches hold so many rows: bounds memory where rows are long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def forest_edges(adjacent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -74,41 +67,6 @@ def forest_edges(adjacent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(left), np.concatenate(right)
 
 
-def connected_components(edges: DataFrame, label: str = "components") -> DataFrame:
-    """Smallest reachable id of every node in ``edges(a, b)`` (longs), as ``(node, component)``.
-
-    Alternating large-star and small-star steps: each is a ``min`` aggregation, which combines
-    before the shuffle, and an equi-join that adaptive execution can split on a hot hub. The number
-    of rounds grows with the logarithm of the longest path. Every round is written to the shared
-    folder, and the one before is deleted."""
-    current = materialize(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), label
-    )
-
-    def mark(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
-
-    state = mark(current)
-    while state[0]:
-        both = current.unionAll(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        after = materialize(
-            moved.where("u > v").unionAll(least.select("u", F.col("m").alias("v"))).distinct(), label
-        )
-        now = mark(after)
-        drop_table(current)
-        current = after
-        if now == state:
-            break
-        state = now
-    return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(
-        current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    )
-
-
 def bounded_units(rows: DataFrame, keys: list[str], node: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Adds ``blk, bi, bj``: buckets (equal ``keys``) above ``block_rows`` rows are split by a hash of
     ``node`` into blocks, and every pair of blocks becomes a unit of its own, so that each pair of
@@ -151,6 +109,7 @@ def per_unit(
         return None if got is None else pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in got.items()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_caches()
         held: list[pa.Table] = []
         last = None
         for batch in batches:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import release_caches, table, text_batches
 
 SAMPLES = 4
 STARTS = 4
@@ -219,6 +219,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, max_edit: float = 0.2, r
 
 def _pass(rows: DataFrame, shared) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_caches()
         for batch in batches:
             ids, texts, keys = (c.to_pylist() for c in batch.columns)
             a = 0
@@ -238,6 +239,7 @@ def _pass(rows: DataFrame, shared) -> DataFrame:
                     )
                 a = b
 
+    text_batches(rows.sparkSession)
     return rows.mapInArrow(run, "doc_id long, key long, item_id long, edits long, word long")
 
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_units, connected_components, forest_edges, materialize, per_unit, table
+from .common import bounded_units, connected_components, forest_edges, materialize, per_unit, release_caches, table, text_batches
 
 BITS = 64
 #: Shingles whose bits are unpacked at once: bounds memory on very long texts.
@@ -52,10 +52,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``(doc_id, fp)`` for every row; fp is the fingerprint's bits as a signed long. No shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_caches()
         for batch in batches:
             found = np.array([fingerprint(t, words) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["doc_id", "fp"])
 
+    text_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
         run, "doc_id long, fp long"
     )
@@ -92,18 +94,18 @@ def hamming_links(fps: DataFrame, radius: int = 3, differ: int | None = None, pr
 
     def link(unit: dict) -> dict | None:
         fp = unit["fp"].astype(np.int64).view(np.uint64)
-        near = np.bitwise_count(fp[:, None] ^ fp[None, :]) <= radius
-        if words:
-            apart = np.zeros(near.shape, np.uint8)
-            for k in range(words):
-                part = unit[f"s{k}"].astype(np.int64).view(np.uint64)
-                apart += np.bitwise_count(part[:, None] ^ part[None, :])
-            near &= apart <= differ
+        parts = [unit[f"s{k}"].astype(np.int64).view(np.uint64) for k in range(words)]
+        near = np.empty((len(fp), len(fp)), bool)
+        for i in range(0, len(fp), 128):  # a strip of pairs at once
+            near[i : i + 128] = np.bitwise_count(fp[i : i + 128, None] ^ fp) <= radius
+            if words:
+                near[i : i + 128] &= sum(np.bitwise_count(p[i : i + 128, None] ^ p) for p in parts) <= differ
         left, right = forest_edges(near)
         if not len(left):
             return None
         return {"a": unit["rep"][left].astype(np.int64), "b": unit["rep"][right].astype(np.int64)}
 
+    text_batches(fps.sparkSession, 10_000)  # short rows
     tables = _tables(prints, radius)
     out = None
     for first in range(0, len(tables), tables_at_once):
@@ -181,6 +183,7 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.
     differ = int(SKETCH_BITS * share + 2.5 * (SKETCH_BITS * share * (1 - share)) ** 0.5)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_caches()
         for batch in batches:
             found = [word_fingerprints(t, words) for t in batch.column(1).to_pylist()]
             columns = [
@@ -191,6 +194,7 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.
 
     key = F.xxhash64(F.col("text").cast("string"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), key.alias("key"))
+    text_batches(docs.sparkSession)
     marked = materialize(rows.mapInArrow(run, "doc_id long, key long, fps array<long>, sketch array<long>"), "near-marks")
     fps = materialize(marked.groupBy("fps", "sketch").agg(F.min("doc_id").alias("rep")), "near-distinct")
     parts = connected_components(hamming_links(fps.where("rep is not null"), radius, differ, PRINTS), "near-links")

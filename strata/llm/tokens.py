@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import shared_dir, table
+from .common import shared_dir, table, text_batches, worker_cache
 
 SHARD_TOKENS = 1 << 23
 END_ID = 0
@@ -304,13 +304,9 @@ class WordCache:
         return ids, np.add.reduceat(n, starts)
 
 
-_caches: dict[tuple[str, str], WordCache] = {}  # one for each tokenizer file in a Python worker
-
-
 def encoder(path: str, kind: str) -> WordCache:
-    if (path, kind) not in _caches:
-        _caches[path, kind] = WordCache(path, kind)
-    return _caches[path, kind]
+    """One for each tokenizer file in a Python worker: words learned in a task serve the next."""
+    return worker_cache(("words", path, kind), lambda: WordCache(path, kind))
 
 
 def write_shards(docs: DataFrame, path: str, tokenizer: str, bits: int = 16, shard_tokens: int = SHARD_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -365,6 +361,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, bits: int = 16, sha
         if count:
             yield shard()
 
+    text_batches(docs.sparkSession, 10_000)  # words repeat: large batches are encoded faster
     ordered.mapInArrow(run, SHARD_SCHEMA).write.option("maxRecordsPerFile", 1).parquet(path)
 
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_table, materialize, table
+from .common import drop_table, materialize, release_caches, table, text_batches
 
 INSULTS = "idiot moron stupid scum trash worthless pathetic loser disgusting dummkopf abschaum connard imbécile idiota imbécil".split()
 THREATS = "kill hurt destroy punish töten verletzen tuer frapper matar golpear".split()
@@ -171,6 +171,7 @@ def featured(rows: DataFrame, grammar: Grammar, keep: list[str]) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(grammar)  # a few hundred words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_caches()
         for batch in batches:
             got = [shared.value.features(t) for t in batch.column(len(keep)).to_pylist()]
             flat = np.concatenate(got) if got else np.empty(0)
@@ -178,6 +179,7 @@ def featured(rows: DataFrame, grammar: Grammar, keep: list[str]) -> DataFrame:
                 [*batch.columns[: len(keep)], pa.FixedSizeListArray.from_arrays(pa.array(flat), len(PATHS)).cast(pa.list_(pa.float64()))], names=[*keep, "x"]
             )
 
+    text_batches(rows.sparkSession)
     types = dict(rows.dtypes)
     return rows.select(*keep, "text").mapInArrow(run, ", ".join(f"{k} {types[k]}" for k in keep) + ", x array<double>")
 
@@ -223,11 +225,13 @@ def reject_toxic(docs: DataFrame, grammar: Grammar, threshold: float = 0.3) -> D
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_caches()
         for batch in batches:
             g = shared.value
             keep = [float(g.score(g.features(t))) < threshold for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
+    text_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
 
 
