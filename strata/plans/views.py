@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import keys
 from ..functions.keys import sha, unit_draw
 
 EXTENT = 600_000
@@ -116,5 +115,3 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 SAMPLES = f"""SELECT o_orderkey AS sample_id, o_custkey AS observation_group,
   CASE WHEN {sql_unit("'C:' || CAST(o_custkey AS VARCHAR)", 1, 8)} < 0.1 THEN 'K' || CAST(o_custkey % 7 AS VARCHAR) || '-' || CAST(c_nationkey AS VARCHAR) ELSE '' END AS component,
   c_nationkey AS block, CAST(o_orderkey % 2 AS INTEGER) AS label FROM orders JOIN customer ON o_custkey = c_custkey"""
-
-__all__ = ["keys"]
