@@ -151,3 +151,54 @@ def packed(pixels: DataFrame) -> DataFrame:
 
 def patch_ids(spark: SparkSession, n: int) -> DataFrame:
     return spark.range(n).withColumnRenamed("id", "patch_id")
+
+
+def standardised(cells: DataFrame) -> DataFrame:
+    """Channels less their mean over their population deviation, both over all patches; a channel
+    without spread fails."""
+    stats = cells.agg(*[f(c).alias(f"{n}_{c}") for c in CHANNELS for n, f in (("m", F.avg), ("s", F.stddev_pop))])
+    rows = cells.crossJoin(F.broadcast(stats))  # stats is one row
+    one = lambda c: F.when(F.col(f"s_{c}") > 1e-8, (F.col(c) - F.col(f"m_{c}")) / F.col(f"s_{c}")).otherwise(F.raise_error(F.lit(f"{c} has no spread")).cast("double"))
+    return rows.select("patch_id", "brow", "bcol", *[one(c).alias(c) for c in CHANNELS])
+
+
+def representation_violations(pixels: DataFrame, reps: DataFrame, size: int = 128) -> DataFrame:
+    """``(patch_id, rule)``: no data must propagate; slope and hillshade may miss one pixel more around it;
+    ranges hold; the median of normalised elevation is about zero. ``pixels`` are prepared."""
+    joined = pixels.select("patch_id", "row", "col", F.col("z").isNull().alias("gap")).join(reps, ["patch_id", "row", "col"])
+    by_row, by_col = Window.partitionBy("patch_id", "row").orderBy("col").rowsBetween(-1, 1), Window.partitionBy("patch_id", "col").orderBy("row").rowsBetween(-1, 1)
+    wide = joined.withColumn("_r", F.max(F.col("gap")).over(by_row)).withColumn("near", F.max("_r").over(by_col))
+    gone = {c: F.col(c).isNull() for c in CHANNELS}
+    rules = {
+        "elevation_gap": F.bool_or(F.col("gap") != gone["elevation"]), "relief_gap": F.bool_or(F.col("gap") != gone["relief"]),
+        "stray_slope_gap": F.bool_or(gone["slope"] & ~F.col("near")), "stray_hillshade_gap": F.bool_or(gone["hillshade"] & ~F.col("near")),
+        "slope_range": F.bool_or(~F.col("slope").between(0, 90)), "hillshade_range": F.bool_or(~F.col("hillshade").between(0, 1)),
+        "elevation_median": F.abs(F.percentile("elevation", F.lit(0.5))) > 1e-4, "size": F.count("*") != size * size,
+    }
+    found = wide.groupBy("patch_id").agg(*[c.alias(k) for k, c in rules.items()])
+    broken = F.array_compact(F.array(*[F.when(F.col(k), F.lit(k)) for k in rules]))
+    return found.select("patch_id", F.explode(broken).alias("rule"))
+
+
+def cache_state(raw: Column, raw_ok: Column, processed: Column, processed_ok: Column, reps_ok: Column) -> Column:
+    """State of a patch's cached artefacts; the first that holds."""
+    return (
+        F.when(~raw, "raw_missing").when(~raw_ok, "raw_invalid").when(~processed, "processed_missing").when(~processed_ok, "processed_invalid").when(~reps_ok, "representation_invalid").otherwise("valid")
+    )
+
+
+def content_digests(patches: DataFrame) -> DataFrame:
+    """``(patch_id, digest)`` of packed patches: SHA-256 over little-endian float32 values and a mask byte
+    for each, patch by patch in Arrow batches."""
+    import hashlib
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for z in batch["z"]:
+                v = np.asarray(z, "<f4")
+                gap = ~np.isfinite(v)
+                out.append(hashlib.sha256(np.where(gap, np.float32(0), v).astype("<f4").tobytes() + gap.astype(np.uint8).tobytes()).hexdigest())
+            yield pd.DataFrame({"patch_id": batch["patch_id"].to_numpy(), "digest": out})
+
+    return patches.select("patch_id", "z").mapInPandas(run, "patch_id long, digest string")

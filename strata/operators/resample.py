@@ -46,3 +46,14 @@ def permuted_labels(rows: DataFrame, key: str, permutations: int, seed: str) ->
 def plus_one_tail(values: Column, observed: Column) -> Column:
     """(1 + number at or above the observed) / (number + 1)."""
     return (1 + F.count_if(values >= observed)) / (F.count(values) + 1)
+
+
+def paired_bootstrap(pairs: DataFrame, pair: str, replicates: int, seed: str, digits: int = 6) -> DataFrame:
+    """Percentile interval of the balanced accuracy of ``(positive, background)`` predictions: half the
+    mean of the positives and of one minus the backgrounds, over pairs drawn with replacement."""
+    numbered = pairs.withColumn("unit", F.row_number().over(Window.orderBy(pair)).cast("bigint") - 1)  # a row for each pair of an evaluation set
+    drawn = draw_indices(pairs.sparkSession, numbered.count(), replicates, seed).join(numbered, "unit")
+    ba = drawn.groupBy("replicate").agg(((F.avg("positive") + 1 - F.avg("background")) / 2).alias("ba"))
+    return ba.agg(F.round(F.avg("ba"), digits).alias("mean"), F.percentile("ba", F.array(F.lit(0.025), F.lit(0.975))).alias("q")).select(
+        "mean", F.round(F.col("q")[0], digits).alias("low"), F.round(F.col("q")[1], digits).alias("high")
+    )

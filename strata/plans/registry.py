@@ -24,4 +24,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load() -> None:
-    from . import keys_text, ledger, metrics, more, raster, sampling, sources, spatial, splits  # noqa: F401
+    from . import extra, keys_text, ledger, metrics, more, raster, sampling, sources, spatial, splits  # noqa: F401
