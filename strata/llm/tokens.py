@@ -22,7 +22,9 @@ result; further columns play no part.
 
 from __future__ import annotations
 
+import itertools
 import os
+import string
 import struct
 import uuid
 import zlib
@@ -37,13 +39,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import shared_dir, table, text_batches, worker_cache
+from .common import release_caches, shared_dir, table, text_batches, worker_cache
 
 SHARD_TOKENS = 1 << 23
 END_ID = 0
 BLOCK = 512
 SEGMENT = 1 << 16
-CACHE_WORDS = 600_000  # of each of two generations
+CACHE_WORDS = 450_000  # of each of two generations, and of the cores they are made of
+MARKS = string.punctuation
 ENCODE_BYTES = 1 << 24  # of text encoded at once
 SHARD_SCHEMA = "shard long, n_tokens long, payload binary"
 
@@ -210,6 +213,18 @@ def unpack(payload: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix]
     return [None if v else d for d, v in zip(ids, null)], np.frombuffer(frames[2], "<u8").astype(np.int64), WaveletMatrix(n, bits, zeros, planes)
 
 
+class Tails(dict):
+    """Ids of runs of marks, encoded when first asked for."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, tail: str) -> bytes:
+        self[tail] = ids = self.encode(tail)
+        return ids
+
+
 class WordCache:
     """Encodes texts word by word. In a byte-level BPE whose splitter never joins a space to what is
     before it, the pieces of a text cut before each single space encode on their own; words repeat,
@@ -221,8 +236,12 @@ class WordCache:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.kind = kind
         self.newline = self.ids("\n")
+        if len(self.newline) != 1:
+            raise ValueError("the tokenizer has no id of its own for a line end")
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.cores: tuple[dict[str, bytes | None], dict[str, bytes | None]] = ({}, {})  # after a space, and without one
+        self.tails = Tails(self.whole)
 
     def ids(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
@@ -230,32 +249,72 @@ class WordCache:
     def whole(self, text: str) -> bytes:
         return np.array(self.ids(text), self.kind).tobytes()
 
-    def learn(self, words: list[str]) -> None:
-        """Ids of ``" " + word``: many words in one call, told apart by the id of a line end."""
-        plain, single = [], []
-        for w in words:
-            if w in self.old:
-                self.new[w] = self.old[w]
-            elif "\n" in w or not w or len(self.newline) != 1:
-                single.append(w)
-            else:
-                plain.append(w)
-        for w, ids in zip(single, self.tokenizer.encode_batch_fast([" " + w for w in single], add_special_tokens=False)):
-            self.new[w] = np.array(ids.ids, self.kind).tobytes()
+    def bulk(self, pieces: list[str], lead: str) -> list[bytes]:
+        """Ids of ``lead + piece`` for pieces without line ends: many in one call, told apart by the id
+        of a line end."""
         size = np.dtype(self.kind).itemsize
-        for i in range(0, len(plain), 500):
-            part = plain[i : i + 500]
-            ids = np.array(self.ids(" " + "\n ".join(part)), self.kind)
+        out: list[bytes] = []
+        for i in range(0, len(pieces), 500):
+            part = pieces[i : i + 500]
+            ids = np.array(self.ids(lead + ("\n" + lead).join(part)), self.kind)
             ends = [*np.flatnonzero(ids == self.newline[0]).tolist(), len(ids)]
             if len(ends) != len(part):  # a piece held the mark after all
-                for w in part:
-                    self.new[w] = self.whole(" " + w)
+                out += [self.whole(lead + p) for p in part]
                 continue
             raw = ids.tobytes()
             a = 0
-            for w, e in zip(part, ends):
-                self.new[w] = raw[a * size : e * size]
+            for e in ends:
+                out.append(raw[a * size : e * size])
                 a = e + 1
+        return out
+
+    def learn(self, words: list[str]) -> None:
+        """Ids of ``" " + word``. The splitter ends a run of letters or digits at a mark, and takes a line
+        end before a letter alone, so a word falls into cores, trailing marks and line ends, which
+        repeat still more; a word that does not is encoded whole."""
+        old, new, tails = self.old, self.new, self.tails
+        new.update((w, old[w]) for w in words if w in old)
+        rest = [w for w in words if w not in old] if old else words
+        lined = [w.split("\n") for w in rest if "\n" in w]
+        plain = [w for w in rest if "\n" not in w]
+        cores = [w.rstrip(MARKS) for w in plain]
+        spaced = self.complete(0, " ", [*cores, *(p[0].rstrip(MARKS) for p in lined)])
+        bare = self.complete(1, "", [x.rstrip(MARKS) for p in lined for x in p[1:]])
+        single = []
+        for w, core in zip(plain, cores):
+            ids = spaced[core]
+            if ids is None:
+                single.append(w)
+            else:
+                new[w] = ids if len(core) == len(w) else ids + tails[w[len(core) :]]
+        line = np.array(self.newline, self.kind).tobytes()
+        for parts in lined:
+            found = []
+            for k, p in enumerate(parts):
+                core = p.rstrip(MARKS)
+                ids = (bare if k else spaced)[core]
+                if ids is None:
+                    single.append("\n".join(parts))
+                    break
+                found.append(ids if len(core) == len(p) else ids + tails[p[len(core) :]])
+            else:
+                new["\n".join(parts)] = line.join(found)
+        for w, ids in zip(single, self.tokenizer.encode_batch_fast([" " + w for w in single], add_special_tokens=False)):
+            new[w] = np.array(ids.ids, self.kind).tobytes()
+        if sum(map(len, self.cores)) > CACHE_WORDS:
+            self.cores = ({}, {})
+        if len(tails) > 10_000:
+            tails.clear()
+
+    def complete(self, kind: int, lead: str, cores: list[str]) -> dict[str, bytes | None]:
+        """The cache of cores of a kind, with ``cores`` in it; None for what is not safe to cut after."""
+        known = self.cores[kind]
+        missing = list(set(cores).difference(known))
+        safe = [c for c in missing if c and c[-1].isalnum() and not c[0].isspace()]
+        known.update(zip(missing, itertools.repeat(None)))
+        known.update(zip(safe, self.bulk(safe, lead)))
+        return known
+
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and their number for each text. Arrow cuts the texts
@@ -373,6 +432,7 @@ def shard_documents(shards: DataFrame) -> DataFrame:
     """``(doc_id, start, n_tokens, ids_crc32)`` of every document, decoded from the shard files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_caches()  # of the words that writing learned
         for batch in batches:
             for number, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
                 owners, lengths, wm = unpack(payload.as_py())
