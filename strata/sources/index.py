@@ -17,8 +17,10 @@ MODELLING_INDEX = T.StructType(
 
 
 def read_index(spark: SparkSession, path: str, schema: T.StructType, where: Column | None = None, columns: list[str] | None = None) -> DataFrame:
-    """CSV with a header and a fixed schema; malformed rows fail. Empty strings stay empty strings."""
-    rows = spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").option("enforceSchema", False).option("emptyValue", "").option("nullValue", "\u0000").csv(path)
+    """CSV with a header and a fixed schema; malformed rows fail. Text without a value is an empty string."""
+    rows = spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").option("enforceSchema", False).csv(path)
+    texts = [f.name for f in schema.fields if isinstance(f.dataType, T.StringType)]
+    rows = rows.withColumns({c: F.coalesce(c, F.lit("")) for c in texts})
     rows = rows if where is None else rows.where(where)
     return rows if columns is None else rows.select(*columns)
 
