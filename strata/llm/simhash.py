@@ -15,6 +15,7 @@ each keep a row; an empty table gives an empty result; further columns of the in
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -133,74 +134,159 @@ def simhash_components(docs: DataFrame, words: int = 3, radius: int = 3, id_col:
     return marked.join(placed, "fp").select("doc_id", "fp", "component_id")
 
 
-PRINTS = 8
+#: Pipeline stage: ``PRINTS`` fingerprints of ``SYMBOLS`` minwise values each, covered to radius 2.
+PRINTS = 4
+SYMBOLS = 7
 SKETCH_BITS = 128
 PERMUTATIONS = np.random.default_rng(17).integers(1, 1 << 63, SKETCH_BITS, dtype=np.uint64) | np.uint64(1)
-MIXERS = np.random.default_rng(18).integers(1, 1 << 63, PRINTS, dtype=np.uint64)
+#: Rows of a block where whole shingle sets are compared: a unit holds two blocks at most.
+SET_ROWS = 512
 
 
-def _mixed(h: np.ndarray) -> np.ndarray:
-    """``PRINTS`` independent hashes of each hash (finaliser of a 64-bit mixing generator)."""
-    x = h[:, None] + MIXERS
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def word_fingerprints(text: str | None, words: int = 5, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
-    """``PRINTS`` fingerprints over the distinct words of a text, and a one-bit minwise sketch of its
-    word shingles: two texts of shingle similarity J agree in a sketch bit with probability (1 + J) / 2.
-    Both as unsigned 64-bit words."""
+def shingle_set(text: str | None, words: int = 5, seed: int = 42) -> np.ndarray:
+    """Sorted distinct hashes of a text's word shingles; none for a blank text."""
     got = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not got:
-        return np.zeros(PRINTS, np.uint64), np.zeros(SKETCH_BITS // 64, np.uint64)
+        return np.empty(0, np.uint64)
     digest = xxhash.xxh64_intdigest
-    own = np.array([digest(w, seed) for w in set(got)], np.uint64)
-    ones = np.zeros((PRINTS, BITS), np.int64)
-    for i in range(0, len(own), CHUNK // 16):
-        bits = np.unpackbits(np.ascontiguousarray(_mixed(own[i : i + CHUNK // 16])).view(np.uint8)).reshape(-1, PRINTS, BITS)
-        ones += bits.sum(axis=0, dtype=np.int64)
-    prints = np.packbits(ones * 2 > len(own), axis=1).view(np.uint64).ravel()
     shingles = [b" ".join(got)] if len(got) <= words else map(b" ".join, zip(*(got[i:] for i in range(words))))
-    hashes = np.fromiter((digest(s, seed) for s in shingles), np.uint64)
+    return np.unique(np.fromiter((digest(s, seed) for s in shingles), np.uint64))
+
+
+@cache
+def _kept_symbols(radius: int) -> list[np.ndarray]:
+    """Places of the minwise values that each table keeps."""
+    masks = covering_masks(radius, SYMBOLS)
+    return [np.array([p * SYMBOLS + i for i in range(SYMBOLS) if m >> i & 1]) for p in range(PRINTS) for m in masks]
+
+
+def set_marks(hashes: np.ndarray, radius: int = 2) -> tuple[int, np.ndarray, np.ndarray]:
+    """Of a shingle set: a hash that equal sets share, the keys of all covering tables, and a one-bit
+    minwise sketch. Minwise values of two sets are equal with probability J, sketch bits with
+    (1 + J) / 2, wherever in the texts the differences lie."""
     low = np.full(SKETCH_BITS, np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(hashes), CHUNK // 64):
         low = np.minimum(low, (hashes[i : i + CHUNK // 64, None] * PERMUTATIONS).min(axis=0))
-    return prints, np.packbits((low & np.uint64(1)).astype(np.uint8)).view(np.uint64)
+    keys = [xxhash.xxh64_intdigest(low[kept].tobytes(), t) for t, kept in enumerate(_kept_symbols(radius))]
+    return xxhash.xxh64_intdigest(hashes.tobytes()), np.array(keys, np.uint64), np.packbits((low & np.uint64(1)).astype(np.uint8)).view(np.uint64)
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 3) -> DataFrame:
+def _differ(similarity: float) -> int:
+    """Sketch bits in which a pair of the similarity differs, four deviations above the expected."""
+    share = (1 - similarity) / 2
+    return int(SKETCH_BITS * share + 4 * (SKETCH_BITS * share * (1 - share)) ** 0.5)
+
+
+def _sketches_near(unit: dict, differ: int) -> np.ndarray:
+    parts = [unit[f"s{k}"].astype(np.int64).view(np.uint64) for k in range(SKETCH_BITS // 64)]
+    near = np.empty((len(parts[0]), len(parts[0])), bool)
+    for i in range(0, len(near), 128):  # a strip of pairs at once
+        near[i : i + 128] = sum(np.bitwise_count(p[i : i + 128, None] ^ p) for p in parts) <= differ
+    return near
+
+
+def set_links(near: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[list[int], list[int]]:
+    """Spanning edges of the pairs of ``near`` whose sets have the Jaccard similarity, counted exactly.
+    A row is compared only with rows that no link has reached yet."""
+    open_ = np.ones(len(sets), bool)
+    left: list[int] = []
+    right: list[int] = []
+    for root in range(len(sets)):
+        if not open_[root]:
+            continue
+        open_[root] = False
+        frontier = [root]
+        while frontier:
+            i = frontier.pop()
+            own = sets[i]
+            for j in np.flatnonzero(near[i] & open_).tolist():
+                other = sets[j]
+                small, large = (own, other) if len(own) <= len(other) else (other, own)
+                if len(small) < similarity * len(large):
+                    continue
+                at = np.searchsorted(large, small)
+                at[at == len(large)] = 0
+                common = int((large[at] == small).sum()) if len(large) else 0
+                if common >= similarity * (len(small) + len(large) - common):
+                    open_[j] = False
+                    frontier.append(j)
+                    left.append(i)
+                    right.append(j)
+    return left, right
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 2) -> DataFrame:
     """Keeps one document of each group of copies, that with the smallest id. Columns are those of
     ``docs``.
 
-    A fingerprint of word shingles changes in a dozen bits once a tenth of the shingles does, beyond
-    any radius that covering tables reach. So documents get ``PRINTS`` independent fingerprints of their
-    distinct words, where texts of shingle similarity 0.8 lie a few bits apart and one of the prints
-    within the radius, and a link must also hold in a sketch of the ``words``-word shingles, whose
-    expected share of differing bits is (1 - similarity) / 2; the slack is two and a half deviations.
-    Rows alike in id and text are one document."""
-    share = (1 - similarity) / 2
-    differ = int(SKETCH_BITS * share + 2.5 * (SKETCH_BITS * share * (1 - share)) ** 0.5)
+    A copy with a passage added, cut or replaced changes more bits of a majority fingerprint than
+    covering tables reach. So a fingerprint here is ``SYMBOLS`` minwise values of the set of word
+    shingles, and covering tables join all that differ in ``radius`` of them or fewer: at similarity 0.8
+    that holds for 87 % of pairs in a print (some lie beyond the radius) and for 99.97 % in one of
+    ``PRINTS``, for edits of any form. Links that also hold in a 128-bit sketch, with four deviations of
+    slack, give candidate groups; in these every link is then counted exactly on the sets of shingle
+    hashes. Rows alike in id and text are one document."""
+    differ = _differ(similarity)
+    wide = SKETCH_BITS // 64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_caches()
         for batch in batches:
-            found = [word_fingerprints(t, words) for t in batch.column(1).to_pylist()]
+            found = [set_marks(shingle_set(t, words), radius) for t in batch.column(1).to_pylist()]
+            if not found:
+                continue
             columns = [
-                pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate([f[k] for f in found]).view(np.int64) if found else np.empty(0, np.int64)), n).cast(pa.list_(pa.int64()))
-                for k, n in ((0, PRINTS), (1, SKETCH_BITS // 64))
+                pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate([f[k] for f in found]).view(np.int64)), len(found[0][k])).cast(pa.list_(pa.int64()))
+                for k in (1, 2)
             ]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], names=["doc_id", "key", "fps", "sketch"])
+            sig = pa.array(np.array([f[0] for f in found], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), sig, *columns], names=["doc_id", "key", "sig", "keys", "sketch"])
+
+    def candidates(unit: dict) -> dict | None:
+        left, right = forest_edges(_sketches_near(unit, differ))
+        return {"a": unit["sig"][left].astype(np.int64), "b": unit["sig"][right].astype(np.int64)} if len(left) else None
 
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_caches()
+        seen: set[int] = set()  # repeated rows
+        for batch in batches:
+            for i, sig in enumerate(batch.column(1).to_pylist()):
+                if sig not in seen:
+                    seen.add(sig)
+                    own = pa.array([shingle_set(batch.column(4)[i].as_py(), words).view(np.int64)], pa.list_(pa.int64()))
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, 1) for c in range(4)), own], names=["component", "sig", "s0", "s1", "hashes"])
+
+    def exact(unit: dict) -> dict | None:
+        whole = unit["hashes"]
+        flat = whole.flatten().to_numpy().view(np.uint64)
+        offsets = whole.offsets.to_numpy() - whole.offsets[0].as_py()
+        left, right = set_links(_sketches_near(unit, differ), [flat[a:b] for a, b in zip(offsets, offsets[1:])], similarity)
+        sig = unit["sig"].astype(np.int64)
+        return {"a": sig[left], "b": sig[right]} if left else None
+
+    spark = docs.sparkSession
     key = F.xxhash64(F.col("text").cast("string"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), key.alias("key"))
-    text_batches(docs.sparkSession)
-    marked = materialize(rows.mapInArrow(run, "doc_id long, key long, fps array<long>, sketch array<long>"), "near-marks")
-    fps = materialize(marked.groupBy("fps", "sketch").agg(F.min("doc_id").alias("rep")), "near-distinct")
-    parts = connected_components(hamming_links(fps.where("rep is not null"), radius, differ, PRINTS), "near-links")
-    placed = fps.join(parts, fps.rep == parts.node, "left").select("fps", "sketch", F.coalesce("component", "rep").alias("component_id"))
+    text_batches(spark)
+    marked = materialize(rows.mapInArrow(run, "doc_id long, key long, sig long, keys array<long>, sketch array<long>"), "near-marks")
+    distinct = materialize(marked.groupBy("sig", "keys", "sketch").agg(F.min(F.struct("doc_id", "key")).alias("one")), "near-distinct")
+    short = [F.col("sketch")[k].alias(f"s{k}") for k in range(wide)]
+    keyed = distinct.select("sig", *short, F.explode("keys").alias("t"))
+    text_batches(spark, 10_000)  # short rows
+    groups = materialize(connected_components(per_unit(bounded_units(keyed, ["t"], "sig"), ["t", "bi", "bj"], ["sig"], candidates, "a long, b long"), "near-candidates"), "near-groups")
+    members = distinct.join(groups, distinct.sig == groups.node).select("component", "sig", *short, F.col("one.doc_id").alias("_d"), F.col("one.key").alias("_k"))
+    text_batches(spark)
+    whole = rows.join(members, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("key") == F.col("_k"))).select("component", "sig", "s0", "s1", "text")
+    whole = materialize(whole.mapInArrow(sets, "component long, sig long, s0 long, s1 long, hashes array<long>"), "near-sets")
+    links = per_unit(bounded_units(whole, ["component"], "sig", SET_ROWS), ["component", "bi", "bj"], ["sig"], exact, "a long, b long", ("hashes",))
+    parts = connected_components(links, "near-links")
+    # a null id comes after all others
+    best = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("doc_id"), F.col("key").alias("key"))
+    one = marked.select("doc_id", "key", "sig").join(parts, F.col("sig") == F.col("node"), "left").select("doc_id", "key", F.coalesce("component", "sig").alias("component"))
+    one = materialize(one, "near-parts")
+    kept = one.groupBy("component").agg(F.min(best).alias("best"))
     gone = (
-        marked.join(placed, ["fps", "sketch"]).where("component_id is not null and (doc_id is null or doc_id <> component_id)")
+        one.join(kept, "component").where(~(F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("key") == F.col("best.key"))))
         .select(F.col("doc_id").alias("_d"), F.col("key").alias("_k")).distinct()
     )
     return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (key == F.col("_k")), "left_anti")

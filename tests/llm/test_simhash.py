@@ -91,3 +91,23 @@ def test_components_of_long_paths(spark):
     got = {r.node: r.component for r in common.connected_components(edges).collect()}
     assert got == {i: 0 for i in range(61)} | {199: 199, 200: 199}
     assert common.connected_components(edges.limit(0)).count() == 0
+
+
+def test_pipeline_stage_links_contiguous_and_scattered_edits_exactly(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(5000)]
+    rows, linked = [], set()
+    for k in range(120):
+        text = [rng.choice(words) for _ in range(300)]
+        extra = [rng.choice(words) for _ in range(60)]
+        at = rng.randrange(60, 200)
+        edited = [text + extra[:60], text[:at] + text[at + 50 :], text[:at] + extra[:24] + text[at + 24 :], [extra[0] if i in (30, 100, 170, 240) else w for i, w in enumerate(text)]][k % 4]
+        if k % 3 == 0:
+            edited = text + [rng.choice(words) for _ in range(90)]  # below the similarity
+        a, b = (set(zip(*(t[i:] for i in range(5)))) for t in (text, edited))
+        if len(a & b) >= 0.8 * len(a | b):
+            linked.add(2 * k + 1)
+        rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(edited))]
+    assert len(linked) == 80
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in simhash.drop_near_duplicates(df).collect()} == {r[0] for r in rows} - linked
