@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from strata.llm import decontamination, mixing, simhash, tokens, toxicity
 from strata.llm.common import materialize, table
 
+#: Settings of the mix, such as ``weights``; both stages that follow its schedule take them.
+MIX: dict = {}
+
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the pattern grammar, fitted on labelled rows of ``docs``, doesn't reject."""
@@ -27,12 +30,13 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, in the order of the Pfair schedule of their sources."""
-    return mixing.mixed_documents(docs)
+    return mixing.mixed_documents(docs, **MIX)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the wavelet matrix shards of the documents hold: ids, places and checksums."""
-    return tokens.tokenized(docs)
+    """What the wavelet matrix shards of the documents hold: ids, places and checksums. Shards follow the
+    schedule of the mix: files keep no order, but the same documents get the same places again."""
+    return tokens.tokenized(mixing.placed_documents(docs, **MIX), order_col="_place")
 
 
 STAGES = [

@@ -368,12 +368,12 @@ def encoder(path: str, kind: str) -> WordCache:
     return worker_cache(("words", path, kind), lambda: WordCache(path, kind))
 
 
-def write_shards(docs: DataFrame, path: str, tokenizer: str, bits: int = 16, shard_tokens: int = SHARD_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Encodes ``docs`` and writes the shard files under ``path``."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
-    ordered = (
-        rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").withColumn("part", F.spark_partition_id()).select("doc_id", "text", "part")
-    )
+def write_shards(docs: DataFrame, path: str, tokenizer: str, bits: int = 16, shard_tokens: int = SHARD_TOKENS, id_col: str = "doc_id", text_col: str = "text", order_col: str | None = None) -> None:
+    """Encodes ``docs`` and writes the shard files under ``path``, by ``order_col`` if there is one, else by id."""
+    order = [] if order_col is None else [F.col(order_col).alias("o")]
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *order).withColumn("h", F.xxhash64("text"))
+    by = ["doc_id", "h"] if order_col is None else ["o", "doc_id", "h"]
+    ordered = rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("part", F.spark_partition_id()).select("doc_id", "text", "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = "<u2" if bits <= 16 else "<u4"
@@ -481,11 +481,11 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def tokenized(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
+def tokenized(docs: DataFrame, tokenizer: str | None = None, order_col: str | None = None) -> DataFrame:
     """Writes the shards of ``docs`` to the shared folder and returns what they hold."""
     spark = docs.sparkSession
     path = f"{shared_dir(spark)}/token-shards-{uuid.uuid4().hex}"
-    write_shards(docs, path, tokenizer or default_tokenizer())
+    write_shards(docs, path, tokenizer or default_tokenizer(), order_col=order_col)
     return shard_documents(read_shards(spark, path))
 
 

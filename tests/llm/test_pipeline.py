@@ -42,3 +42,17 @@ def test_queries_cover_their_tables(spark, name):
         assert registry.queries()[name](spark, DATA.replace("0.001", "0.01")).count() > 0
     else:
         assert registry.queries()[name](spark, DATA).count() == spark.read.parquet(f"{DATA}/{rows}.parquet").count()
+
+
+def test_token_starts_follow_the_mix(spark, monkeypatch):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    sources = sorted(r.source for r in docs.select("source").distinct().collect())
+    assert len(sources) > 1
+    starts = []
+    for first in (sources[0], sources[-1]):
+        monkeypatch.setattr(corpus_pipeline, "MIX", {"weights": {s: 50.0 if s == first else 1.0 for s in sources}, "block": 2})
+        got = corpus_pipeline.write_tokens(spark, corpus_pipeline.mix_sources(spark, docs, DATA), DATA).collect()
+        place = {r.doc_id: r.place for r in corpus_pipeline.mixing.mix(docs, **corpus_pipeline.MIX).collect()}
+        assert [r.doc_id for r in sorted(got, key=lambda r: r.start)] == sorted(place, key=place.get)
+        starts.append({r.doc_id: r.start for r in got})
+    assert starts[0] != starts[1]
