@@ -36,10 +36,12 @@ DEPTH = 7
 SEED = 3
 NAMES = r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key)"
 RUN = r"[A-Za-z0-9_/+=.@-]"
+# A name may have a prefix (DB_PASSWORD, client_secret): what ends in one of NAMES is assigned to.
+NAMED = rf"[A-Za-z0-9_/+.@-]*+(?<={NAMES})[\"']?\s{{0,3}}+[:=]\s{{0,3}}+[\"']?"
 # Both branches start at the beginning of a run only; possessive parts keep long runs linear.
 CANDIDATE = (
     r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"
-    rf"|(?<!{RUN})(?:{NAMES}[\"']?\s{{0,3}}+[:=]\s{{0,3}}+[\"']?[^\s\"',;]{{6,}}+|[A-Za-z_/+=.@-]*+[0-9]{RUN}*+)"
+    rf"|(?<!{RUN})(?:{NAMED}[^\s\"',;]{{6,}}+|[A-Za-z_/+=.@-]*+[0-9]{RUN}*+)"
 )
 #: Words of placeholders and prose; a value made of them is no secret.
 DICTIONARY = (
@@ -54,7 +56,7 @@ FEATURES = "length digits upper lower symbols classes vowels distinct repeats di
 
 def parted(run: Column) -> tuple[Column, Column]:
     """Name and value of a candidate; the name is empty if nothing is assigned."""
-    pattern = rf"^({NAMES}[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?|[A-Za-z_.-]+[=:])(.+)$"
+    pattern = rf"^({NAMED}|[A-Za-z_.-]+[=:])(.+)$"
     name = F.regexp_extract(run, pattern, 1)
     return name, F.when(name != "", F.regexp_extract(run, pattern, 2)).otherwise(run)
 

@@ -42,3 +42,12 @@ def test_places_with_wide_characters_and_empty_table(spark, model):
     r = secrets.secrets(df, model).first()
     assert df.first().text[r.start : r.end] == KEY
     assert secrets.secrets(df.limit(0), model).count() == 0
+
+
+def test_prefixed_names_give_their_whole_value(spark, model):
+    cases = [
+        ("DB_PASSWORD=hunter!!Tree#x", "hunter!!Tree#x"), ('client_secret = "qWeRtYuIoPaSdFgHjKlZ"', "qWeRtYuIoPaSdFgHjKlZ"),
+        ('auth_token: "XyZabcQWErtyUIopLKJh"', "XyZabcQWErtyUIopLKJh"), ('MYSQL_PWD="p@ss!w0rd#xy"', "p@ss!w0rd#xy"), ("run --password=hunter!!Tree#x now", "hunter!!Tree#x"),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    assert {r.doc_id: r.value for r in secrets.secrets(df, model).collect()} == {i: v for i, (_, v) in enumerate(cases)}
