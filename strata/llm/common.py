@@ -13,12 +13,13 @@ from pyspark.sql import functions as F
 from ..operators.graph import connected_components
 from ..operators.shared import drop_table, materialize, shared_dir
 
-__all__ = ["bounded_units", "connected_components", "drop_table", "forest_edges", "materialize", "per_unit", "release_caches", "shared_dir", "table", "text_batches", "worker_cache"]
+__all__ = ["bounded_units", "connected_components", "drop_table", "forest_edges", "materialize", "per_unit", "release_caches", "shared_dir", "slices", "table", "worker_cache"]
 
 #: Rows that one block of a hot bucket holds; a work unit holds two blocks at most.
 BLOCK_ROWS = 1024
 
-#: Rows that Spark sends to Python at once on stages over whole texts.
+#: Rows of whole texts that a worker turns into Python strings at once. Spark itself bounds a batch by
+#: its bytes (``spark.sql.execution.arrow.maxBytesPerBatch``).
 TEXT_ROWS = 1000
 
 _caches: dict[tuple, object] = {}
@@ -36,9 +37,11 @@ def release_caches() -> None:
     _caches.clear()
 
 
-def text_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
-    """From now on, this session's Arrow batches hold so many rows: bounds memory where rows are long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def slices(batches: Iterator[pa.RecordBatch], rows: int = TEXT_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches of a task in pieces of so many rows."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import release_caches, table, text_batches
+from .common import release_caches, slices, table
 
 SAMPLES = 4
 STARTS = 4
@@ -239,7 +239,6 @@ def _pass(rows: DataFrame, shared) -> DataFrame:
                     )
                 a = b
 
-    text_batches(rows.sparkSession)
     return rows.mapInArrow(run, "doc_id long, key long, item_id long, edits long, word long")
 
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_units, connected_components, forest_edges, materialize, per_unit, release_caches, table, text_batches
+from .common import bounded_units, connected_components, forest_edges, materialize, per_unit, release_caches, slices, table
 
 BITS = 64
 #: Shingles whose bits are unpacked at once: bounds memory on very long texts.
@@ -54,11 +54,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_caches()
-        for batch in batches:
+        for batch in slices(batches):
             found = np.array([fingerprint(t, words) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["doc_id", "fp"])
 
-    text_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
         run, "doc_id long, fp long"
     )
@@ -106,7 +105,6 @@ def hamming_links(fps: DataFrame, radius: int = 3, differ: int | None = None, pr
             return None
         return {"a": unit["rep"][left].astype(np.int64), "b": unit["rep"][right].astype(np.int64)}
 
-    text_batches(fps.sparkSession, 10_000)  # short rows
     tables = _tables(prints, radius)
     out = None
     for first in range(0, len(tables), tables_at_once):
@@ -231,7 +229,7 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_caches()
-        for batch in batches:
+        for batch in slices(batches):
             found = [set_marks(shingle_set(t, words), radius) for t in batch.column(1).to_pylist()]
             if not found:
                 continue
@@ -249,7 +247,7 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_caches()
         seen: set[int] = set()  # repeated rows
-        for batch in batches:
+        for batch in slices(batches):
             for i, sig in enumerate(batch.column(1).to_pylist()):
                 if sig not in seen:
                     seen.add(sig)
@@ -267,15 +265,12 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.
     spark = docs.sparkSession
     key = F.xxhash64(F.col("text").cast("string"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), key.alias("key"))
-    text_batches(spark)
     marked = materialize(rows.mapInArrow(run, "doc_id long, key long, sig long, keys array<long>, sketch array<long>"), "near-marks")
     distinct = materialize(marked.groupBy("sig", "keys", "sketch").agg(F.min(F.struct("doc_id", "key")).alias("one")), "near-distinct")
     short = [F.col("sketch")[k].alias(f"s{k}") for k in range(wide)]
     keyed = distinct.select("sig", *short, F.explode("keys").alias("t"))
-    text_batches(spark, 10_000)  # short rows
     groups = materialize(connected_components(per_unit(bounded_units(keyed, ["t"], "sig"), ["t", "bi", "bj"], ["sig"], candidates, "a long, b long"), "near-candidates"), "near-groups")
     members = distinct.join(groups, distinct.sig == groups.node).select("component", "sig", *short, F.col("one.doc_id").alias("_d"), F.col("one.key").alias("_k"))
-    text_batches(spark)
     whole = rows.join(members, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("key") == F.col("_k"))).select("component", "sig", "s0", "s1", "text")
     whole = materialize(whole.mapInArrow(sets, "component long, sig long, s0 long, s1 long, hashes array<long>"), "near-sets")
     links = per_unit(bounded_units(whole, ["component"], "sig", SET_ROWS), ["component", "bi", "bj"], ["sig"], exact, "a long, b long", ("hashes",))

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import release_caches, shared_dir, table, text_batches, worker_cache
+from .common import release_caches, shared_dir, table, worker_cache
 
 SHARD_TOKENS = 1 << 23
 END_ID = 0
@@ -420,7 +420,6 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, bits: int = 16, sha
         if count:
             yield shard()
 
-    text_batches(docs.sparkSession, 10_000)  # words repeat: large batches are encoded faster
     ordered.mapInArrow(run, SHARD_SCHEMA).write.option("maxRecordsPerFile", 1).parquet(path)
 
 
