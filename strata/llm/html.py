@@ -1,25 +1,30 @@
 """Main text of web pages by a site style tree.
 
 After Yi, Liu and Li ("Eliminating Noisy Information in Web Pages for Data Mining", KDD 2003): the
-pages of a host are merged into one tree. An element is known by its path of tags, classes and ids
-(digits set to ``#``); like siblings merge. On a page it has a style, the sequence of its children,
-and contents, its text pieces and link targets. Over the pages that hold it,
-
-- presentation importance is the entropy of its styles (base: number of pages),
-- content importance is one minus the mean entropy of its contents over the pages: what stands on
-  every page says little, what stands on one says much,
-- composite importance averages its own and its descendants' importances, weighing a descendant by
-  ``DECAY`` for each level between, up to ``LEVELS`` levels.
-
-What markup declares enters as a prior on a node's importance: zero for branches whose tag, role or
-class names navigation, page headers, footers, sidebars, notices, adverts, forms or reader comments,
-and for branches outside the article on pages that mark one; one for branches of the marked article.
-Branches below ``threshold`` are removed from each page; the rest is its main text. Scripts, styles,
-the head and comments of the markup never are text.
-
-Counts are aggregations on (host, node, style) and (host, node, content), combined before the
-shuffle, so a host with a third of all pages stays divided; a page gets its host's removed branches,
-the topmost ones, as one list.
+pages of a host are merged into one tree. A block element is known by its path of tags, classes and
+ids (digits set to ``#``); inline elements belong to their block. On a page a node has a style, the
+sequence of its child blocks, and contents: the sentences of its text and its link targets.
+
+- Importance of a content is ``exp(-H)``, with H the entropy of its distribution over pages, that is
+  one over the number of pages that hold it at this node. H mixes the count on the host, by
+  ``n / (n + HOST_PAGES)`` of the node's n pages there, with the count over all hosts: adverts and
+  legal lines are shared by sites, and small sites repeat too little to tell.
+- Content importance of a node is the mean importance of its contents, weighed by words, mixed in the
+  same way with that of the node on all hosts. Composite importance averages it over the node and its
+  descendants, weighing each level by ``DECAY``.
+- A node that few pages hold leans on its parent: that counts as ``PARENT_PAGES`` pages. What mark-up
+  declares (navigation, page head or foot, sidebar, notice, advert) counts as ``ROLE_PAGES`` pages of
+  no importance. Both are outweighed as pages come in; neither decides on a table of some size.
+- Presentation importance is the entropy of a node's styles (base: number of pages). It lifts what
+  content leaves, the more the more styles there are: ``(1 - DECAY ** styles)``.
+
+Nodes below ``threshold`` are cut from each page, with the branches that hold nothing else; the rest
+is its main text. Scripts, styles, the head, mark-up comments, form controls, dialogs and reader
+comments never are text, by definition of the result.
+
+Counts are aggregations on (host, node, style) and (node, content, host), combined before the shuffle,
+so a host with a third of all pages stays divided. The cut nodes reach the pages as a broadcast set of
+8 bytes each, ``MAX_BROADCAST`` at most; if there are more, each page is joined with its own cut nodes.
 
 Defined results: null html is empty text; pages without a host in their url form one site; a page of
 which nothing would be left keeps what has no declared role; repeated rows each get a row; empty
@@ -33,16 +38,24 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, slices, table
 
-LEVELS = 8
+#: Ancestors of a node that its importance reaches; what lies above weighs less than DECAY ** LEVELS.
+LEVELS = 32
 DECAY = 0.9
-THRESHOLD = 0.3
+THRESHOLD = 0.5
+HOST_PAGES = 30
+PARENT_PAGES = 8
+ROLE_PAGES = 60
+MAX_BROADCAST = 1_000_000
+#: Pages that a worker parses at once.
+PAGE_ROWS = 200
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style noscript template textarea title iframe xmp noembed noframes svg math".split())
@@ -50,18 +63,21 @@ INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins
 CLOSES_P = set("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
-HARD_TAGS = set("nav aside footer form button select menu dialog object canvas head".split())
-HARD_ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
+NEVER_TAGS = set("form button select dialog object canvas head".split())
+NEVER_ROLES = set("form search dialog alertdialog".split())
 COMMENT_WORDS = set("comment comments commentlist disqus respond replies reply".split())
-SOFT_WORDS = COMMENT_WORDS | set(
+ROLE_TAGS = set("nav aside footer header menu".split())
+ROLES = set("navigation banner contentinfo complementary alert menu menubar".split())
+ROLE_WORDS = set(
     "ad ads advert adverts advertisement adsense adsbygoogle sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay "
-    "breadcrumb breadcrumbs sidebar menu nav navbar navigation footer related recommended share sharing social newsletter subscribe signup login search widget pagination pager toolbar".split()
+    "breadcrumb breadcrumbs sidebar menu nav navbar navigation footer related recommended share sharing social newsletter subscribe signup login search widget pagination pager toolbar "
+    "header masthead topbar".split()
 )
-PAGE_HEAD = set("header masthead topbar".split())
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[^<]+|<""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 NAMES = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 DIGITS = re.compile(r"\d+")
+SENTENCE = re.compile(r"(?<=[.!?…])\s+|\s*[·•—»\n]\s*")
 
 
 def _hash(text: str) -> int:
@@ -71,26 +87,26 @@ def _hash(text: str) -> int:
 
 @dataclass
 class Node:
-    """One path of a page: all elements that share it."""
+    """One path of a page: all block elements that share it."""
 
-    chain: list[int]
-    prior: int  # -1 declared noise, 1 in the article, 0 neither
+    chain: list[int]  # LEVELS nearest ancestors and the node itself
+    role: bool  # declared by mark-up, here or above
     children: list[str] = field(default_factory=list)
-    contents: set[int] = field(default_factory=set)
+    contents: dict[int, int] = field(default_factory=dict)  # words of each
 
 
 @dataclass
 class Page:
-    """Paths of a page, and its text pieces as (block, path, declared noise, text) in page order."""
+    """Paths of a page, and its text pieces as (block, path, declared role, text) in page order."""
 
     nodes: dict[int, Node]
     pieces: list[tuple[int, int, bool, str]]
 
 
 def parse(source: str | None) -> Page:
-    nodes: dict[int, Node] = {0: Node([], 0)}
+    nodes: dict[int, Node] = {0: Node([], False)}
     pieces: list[tuple[int, int, bool, str]] = []
-    stack: list[tuple[str, int, int, bool]] = [("", 0, 0, False)]  # tag, path, prior, declared by tag or comment
+    stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]  # tag, path, declared role, never text
     signs: dict[tuple[int, str], int] = {}
     block = 0
     source = source or ""
@@ -101,15 +117,19 @@ def parse(source: str | None) -> Page:
         tag = m[2] or m[5]
         if tag is None:
             text = m[0]
-            if text[0] == "<" and len(text) > 1:
+            _, path, role, never = stack[-1]
+            if never or text[0] == "<" and len(text) > 1:
                 continue
             if text.strip():
-                _, path, prior, _ = stack[-1]
                 text = entities.unescape(text)
-                pieces.append((block, path, prior < 0, text))
-                nodes[path].contents.add(_hash(" ".join(text.split())))
+                pieces.append((block, path, role, text))
+                contents = nodes[path].contents
+                for sentence in SENTENCE.split(text):
+                    words = sentence.split()
+                    if words:
+                        contents[_hash(" ".join(words))] = len(words)
             elif pieces and pieces[-1][0] == block:
-                pieces.append((block, stack[-1][1], stack[-1][2] < 0, " "))
+                pieces.append((block, path, role, " "))
             continue
         tag = tag.lower()
         if m[1] or m[4]:
@@ -140,34 +160,30 @@ def parse(source: str | None) -> Page:
                     break
                 if stack[i][0] in SCOPES[tag]:
                     break
-        attributes = {a[0].lower(): a[1] or a[2] or a[3] for a in ATTRIBUTE.findall(m[3] or m[6] or "")} if (m[3] or m[6]) else {}
-        names = f"{attributes.get('class', '')} {attributes.get('id', '')}".strip()
-        sign = tag + ("." + DIGITS.sub("#", " ".join(sorted(names.split()))) if names else "") + (f"[{attributes['role']}]" if attributes.get("role") else "")
-        _, above, prior, hard = stack[-1]
+        raw = m[3] or m[6]
+        attributes = {a[0].lower(): a[1] or a[2] or a[3] for a in ATTRIBUTE.findall(raw)} if raw else {}
+        _, above, role, never = stack[-1]
         parent = nodes[above]
-        if not parent.children or parent.children[-1] != sign:
-            parent.children.append(sign)
-        if attributes.get("href"):
-            parent.contents.add(_hash("href " + attributes["href"]))
-        path = signs.get((above, sign))
-        if path is None:
-            path = signs[above, sign] = _hash(f"{above}/{sign}")
-        words = {w.lower() for w in NAMES.findall(names)} if names else set()
-        role = (attributes.get("role") or "").lower()
-        if not hard:
-            comment = bool(words & COMMENT_WORDS)
-            if tag in HARD_TAGS or role in HARD_ROLES or comment and tag not in ("html", "body", "main"):
-                prior, hard = -1, True
-            elif tag in ("article", "main") or role in ("main", "article") or attributes.get("itemprop") == "articleBody":
-                prior = 1
-            elif words & SOFT_WORDS and tag not in ("html", "body"):
-                prior = -1
-            elif prior == 0 and (tag == "header" or words & PAGE_HEAD) and tag not in ("html", "body"):
-                prior = -1
-        if path not in nodes:
-            nodes[path] = Node([*parent.chain, path][-LEVELS:], prior)
-        if tag not in VOID and not (m[3] or m[6] or "").endswith("/"):
-            stack.append((tag, path, prior, hard))
+        if attributes.get("href") and not never:
+            parent.contents[_hash("href " + attributes["href"])] = 1
+        path = above
+        if tag not in INLINE and tag not in VOID:
+            names = f"{attributes.get('class', '')} {attributes.get('id', '')}".strip()
+            declared = (attributes.get("role") or "").lower()
+            sign = tag + ("." + DIGITS.sub("#", " ".join(sorted(names.split()))) if names else "") + (f"[{declared}]" if declared else "")
+            words = {w.lower() for w in NAMES.findall(names)} if names else set()
+            whole = tag in ("html", "body", "main")
+            never = never or tag in NEVER_TAGS or declared in NEVER_ROLES or bool(words & COMMENT_WORDS) and not whole
+            role = role or tag in ROLE_TAGS or declared in ROLES or bool(words & ROLE_WORDS) and not whole
+            if not never:
+                parent.children.append(sign)
+                path = signs.get((above, sign))
+                if path is None:
+                    path = signs[above, sign] = _hash(f"{above}/{sign}")
+                if path not in nodes:
+                    nodes[path] = Node([*parent.chain[-LEVELS:], path], role)
+        if tag not in VOID and not (raw or "").endswith("/"):
+            stack.append((tag, path, role, never))
     return Page(nodes, pieces)
 
 
@@ -184,97 +200,115 @@ def join_blocks(pieces: list[tuple[int, str]]) -> str:
     return " ".join(filter(None, (" ".join(b.split()) for b in out)))
 
 
-def main_text(source: str | None, removed: set[int]) -> str:
-    """The page's text without the branches in ``removed``."""
-    page = parse(source)
-    gone: dict[int, bool] = {}
-    for path, node in page.nodes.items():  # parents come before their children
-        above = node.chain[-2] if len(node.chain) > 1 else 0
-        gone[path] = path in removed or gone.get(above, False)
-    text = join_blocks([(b, t) for b, p, _, t in page.pieces if not gone[p]])
-    return text or join_blocks([(b, t) for b, _, noise, t in page.pieces if not noise])
+def main_text(page: Page, cut: set[int]) -> str:
+    """The page's text without that of the nodes in ``cut``."""
+    text = join_blocks([(b, t) for b, p, _, t in page.pieces if p not in cut])
+    return text or join_blocks([(b, t) for b, _, role, t in page.pieces if not role])
 
 
 def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
+def page_key() -> Column:
+    """Equal for pages of a host with equal html."""
+    return F.xxhash64("host", "html")
+
+
+def prepared(pages: DataFrame) -> DataFrame:
+    return pages.select("page_id", "url", host_of(F.col("url")).alias("host"), F.col("html").cast("string").alias("html"))
+
+
 def page_nodes(pages: DataFrame) -> DataFrame:
-    """``(host, node, chain, style, contents, noise, article, outside)``: a row for each page and path."""
+    """``(host, page, node, chain, role, style, contents)``: a row for each page and path."""
+    columns = {"host": pa.string(), "page": pa.int64(), "node": pa.int64(), "chain": pa.list_(pa.int64()), "role": pa.bool_(), "style": pa.int64(), "contents": pa.list_(pa.struct([("c", pa.int64()), ("w", pa.int32())]))}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows: list[list] = [[] for _ in range(8)]
-            for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                nodes = parse(source).nodes
-                marked = {p for p, n in nodes.items() if n.prior > 0}
-                over = {a for p in marked for a in nodes[p].chain}
-                for path, n in nodes.items():
+        for batch in slices(batches, PAGE_ROWS):
+            rows: list[tuple] = []
+            for host, key, source in zip(*(c.to_pylist() for c in batch.columns)):
+                for path, n in parse(source).nodes.items():
                     if path:
-                        values = (host, path, n.chain, _hash(" ".join(n.children)), list(n.contents), n.prior < 0, n.prior > 0, bool(marked) and n.prior == 0 and path not in over)
-                        for column, v in zip(rows, values):
-                            column.append(v)
-            types = (pa.string(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.list_(pa.int64()), pa.bool_(), pa.bool_(), pa.bool_())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(rows, types)], names=["host", "node", "chain", "style", "contents", "noise", "article", "outside"]
-            )
+                        rows.append((host, key, path, n.chain, n.role, _hash(" ".join(n.children)), [{"c": c, "w": w} for c, w in n.contents.items()]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * len(columns), columns.values())], names=list(columns))
 
-    schema = "host string, node long, chain array<long>, style long, contents array<long>, noise boolean, article boolean, outside boolean"
-    return pages.select(host_of(F.col("url")).alias("host"), F.col("html").cast("string").alias("html")).mapInArrow(run, schema)
+    schema = "host string, page long, node long, chain array<long>, role boolean, style long, contents array<struct<c: long, w: int>>"
+    return prepared(pages).select("host", page_key().alias("page"), "html").mapInArrow(run, schema)
 
 
-def site_style_tree(pages: DataFrame) -> DataFrame:
-    """``(host, node, chain, pages, presentation, content, composite, importance)`` of every node."""
-    rows = materialize(page_nodes(pages), "html-nodes")
+def site_style_tree(rows: DataFrame) -> DataFrame:
+    """``(host, node, chain, pages, words, role, content, presentation, styles, composite, importance)`` of
+    every node, from ``page_nodes``."""
     key = ["host", "node"]
-    log_pages = F.log(F.greatest(F.col("pages"), F.lit(2)))
-    merged = rows.groupBy(*key).agg(
-        F.count("*").alias("pages"), F.first("chain").alias("chain"), F.sum(F.size("contents")).alias("pieces"),
-        *(F.avg(F.col(c).cast("double")).alias(c) for c in ("noise", "article", "outside")),
-    )
-    styles = rows.groupBy(*key, "style").agg(F.count("*").alias("n")).groupBy(*key).agg(F.sum("n").alias("_t"), F.sum(F.col("n") * F.log("n")).alias("_s"), F.count("*").alias("styles"))
+    merged = rows.groupBy(*key).agg(F.count("*").alias("pages"), F.max("chain").alias("chain"), F.avg(F.col("role").cast("double")).alias("role"))
+    everywhere = merged.groupBy("node").agg(F.sum("pages").alias("pages_all"))
+    n, t = F.col("n"), F.col("_t")
+    styles = rows.groupBy(*key, "style").agg(F.count("*").alias("n")).groupBy(*key).agg(F.sum("n").alias("_t"), F.sum(n * F.log("n")).alias("_s"), F.count("*").alias("styles"))
+    counts = rows.select(*key, F.explode("contents").alias("x")).groupBy("node", "x.c", "host").agg(F.count("*").alias("n"), F.sum("x.w").alias("w"))
+    counts = materialize(counts, "html-contents")
+    shared = counts.groupBy("node", "c").agg(F.sum("n").alias("n_all"))
+    own = F.col("pages") / (F.col("pages") + HOST_PAGES)
     contents = (
-        rows.select(*key, F.explode("contents").alias("content")).groupBy(*key, "content").agg(F.count("*").alias("n"))
-        .groupBy(*key).agg(F.sum("n").alias("_c"), F.sum(F.col("n") * F.log("n")).alias("_e"))
+        counts.join(shared, ["node", "c"]).join(merged.select(*key, "pages"), key)
+        .groupBy(*key).agg(F.sum("w").alias("words"), F.sum(F.col("w") * F.exp(-own * F.log("n") - (1 - own) * F.log("n_all"))).alias("_i"))
     )
-    nodes = merged.join(styles, key).join(contents, key, "left").select(
-        *key, "chain", "pages", "pieces", "noise", "article", "outside",
-        F.when(F.col("pages") > 1, (F.log("_t") - F.col("_s") / F.col("_t")) / log_pages).otherwise(1.0).alias("presentation"),
-        F.when(F.col("pages") > 1, 1 - F.coalesce(F.col("_e") / F.col("_c"), F.lit(1.0)) / log_pages).otherwise(1.0).alias("content"),
+    typical = contents.groupBy("node").agg((F.sum("_i") / F.sum("words")).alias("_typical"))
+    mean = own * F.col("_i") / F.col("words") + (1 - own) * F.col("_typical")
+    nodes = merged.join(styles, key).join(contents, key, "left").join(everywhere, "node").join(typical, "node", "left").select(
+        *key, "chain", "pages", "pages_all", "role", "styles", F.coalesce("words", F.lit(0)).alias("words"), mean.alias("content"),
+        F.when(F.col("pages") > 1, (F.log(t) - F.col("_s") / t) / F.log("pages")).otherwise(0.0).alias("presentation"),
     )
     nodes = materialize(nodes, "html-tree")
-    own = F.when(F.col("pieces") > 0, F.col("content")).otherwise(F.col("presentation"))
-    weight = F.when(F.col("pieces") > 0, F.col("pieces").cast("double")).otherwise(0.1 * F.col("pages"))
-    ups = nodes.select("host", own.alias("own"), weight.alias("w"), F.posexplode(F.reverse("chain")).alias("up", "node"))
-    composite = (
-        ups.withColumn("w", F.col("w") * F.pow(F.lit(DECAY), F.col("up"))).groupBy(*key).agg((F.sum(F.col("own") * F.col("w")) / F.sum("w")).alias("composite"))
-    )
-    importance = F.greatest(F.col("composite") * (1 - F.greatest("noise", "outside")), F.col("article"))
-    return nodes.join(composite, key).withColumn("importance", importance)
+    ups = nodes.where("words > 0").select("host", "content", "words", F.posexplode(F.reverse("chain")).alias("up", "node"))
+    weight = F.col("words") * F.pow(F.lit(DECAY), F.col("up"))
+    composite = ups.groupBy(*key).agg((F.sum(F.col("content") * weight) / F.sum(weight)).alias("composite"))
+    tree = nodes.join(composite, key)  # nodes without any text below have nothing to cut
+    above = composite.select("host", F.col("node").alias("_up"), F.col("composite").alias("_above"))
+    parent = F.when(F.size("chain") > 1, F.element_at("chain", -2))
+    tree = tree.withColumn("_up", parent).join(above, ["host", "_up"], "left")
+    pages = F.col("pages_all")
+    held = pages * F.col("composite") + PARENT_PAGES * F.coalesce("_above", "composite")
+    leaning = held / (pages + PARENT_PAGES + ROLE_PAGES * F.col("role"))
+    lift = (1 - F.pow(F.lit(DECAY), F.col("styles"))) * F.col("presentation")
+    return tree.withColumn("importance", leaning + (1 - leaning) * lift).drop("_up", "_above")
 
 
 def extract(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``(page_id, url, text)`` of every page row."""
-    tree = site_style_tree(pages).select("host", "node", "chain", (F.col("importance") < threshold).alias("low"))
-    parent = F.when(F.size("chain") > 1, F.element_at("chain", -2))
-    low = tree.where("low").select("host", "node", parent.alias("parent"))
-    top = low.join(low.select(F.col("host"), F.col("node").alias("parent")), ["host", "parent"], "left_anti")
-    removed = top.groupBy("host").agg(F.collect_set("node").alias("removed"))
-    rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host")).join(removed, "host", "left").select("page_id", "url", F.col("html").cast("string").alias("html"), "removed")
+    nodes = materialize(page_nodes(pages), "html-nodes")
+    low = materialize(site_style_tree(nodes).where(F.col("importance") < threshold).select("host", "node"), "html-cut")
+    rows = prepared(pages)
+    types = dict(pages.dtypes)
+    schema = f"page_id {types['page_id']}, url {types['url']}, text string"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets: dict[tuple, set[int]] = {}
-            texts = []
-            for source, nodes in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                key = tuple(nodes or ())
-                if key not in sets:
-                    sets[key] = set(key)
-                texts.append(main_text(source, sets[key]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+    def done(batch: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
-    types = dict(pages.dtypes)
-    return rows.mapInArrow(run, f"page_id {types['page_id']}, url {types['url']}, text string")
+    if low.count() <= MAX_BROADCAST:
+        found = np.array([r.k for r in low.select(F.xxhash64("host").bitwiseXOR(F.col("node")).alias("k")).collect()], np.int64)  # MAX_BROADCAST at most
+        shared = pages.sparkSession.sparkContext.broadcast(np.unique(found))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            keys = shared.value
+            for batch in slices(batches, PAGE_ROWS):
+                texts = []
+                for host, source in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                    page = parse(source)
+                    paths = np.fromiter(page.nodes, np.int64, len(page.nodes))
+                    mine = paths ^ np.int64(host)
+                    at = np.minimum(np.searchsorted(keys, mine), max(0, len(keys) - 1))
+                    texts.append(main_text(page, set(paths[keys[at] == mine].tolist()) if len(keys) else set()))
+                yield done(batch, texts)
+
+        return rows.select("page_id", "url", F.xxhash64("host").alias("host"), "html").mapInArrow(run, schema)
+
+    cut = nodes.select("host", "node", "page").join(low, ["host", "node"]).groupBy("page").agg(F.collect_set("node").alias("cut"))  # of one page: its own nodes at most
+
+    def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, PAGE_ROWS):
+            yield done(batch, [main_text(parse(source), set(nodes or ())) for source, nodes in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())])
+
+    return rows.withColumn("page", page_key()).join(cut, "page", "left").select("page_id", "url", "html", "cut").mapInArrow(run_joined, schema)
 
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
