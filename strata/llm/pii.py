@@ -3,24 +3,36 @@
 Native: DataFrame functions only.
 
 Information-theoretic sanitisation follows C-sanitized privacy (Sanchez and Batet, "C-sanitized: a
-privacy model for document redaction and sanitization", JASIST 2016). A protected entity e is a
-distinct personal value that the base patterns find. Its information is IC(e) = -log2 p(e), with p
-taken over all documents; a term t reveals PMI(t; e) = log2 (p(t, e) / (p(t) p(e))) of it. A term of
-a document that holds e is disclosing if PMI(t; e) >= IC(e) / alpha, with at least ``min_together``
-documents holding both, so that chance meetings of rare words do not count. Disclosing terms become
-spans of kind ``term``. ``sanitize`` generalises those that have a class (a capitalised word, a number
-word) and removes the others.
-
-Counts cover all documents. Entities in one document only are left out of the pair counts: they
-cannot reach ``min_together``. A pair row is an entity and a term of its document, combined before
-the shuffle; terms of a document are its distinct words of ``min_length`` letters or more.
+privacy model for document redaction and sanitization", JASIST 2016). The base patterns find personal
+values; a protected entity is such a value, or what it belongs to: the domain or the name of an e-mail
+address, the network of an IP address, the issuer of a card, the exchange of a phone number, or the
+kind itself (``LEVELS``). The information of an entity e is IC(e) = -log2 p(e); a term t reveals
+PMI(t; e) = log2 (p(t, e) / (p(t) p(e))) of it. All three are shares of documents, counted over all of
+them. A term of a document that holds e is disclosing if PMI(t; e) >= IC(e) / alpha, that is
+p(e | t) >= p(e) ^ (1 - 1 / alpha), if ``min_together`` documents hold both, and if that is no chance
+meeting: by Chernoff's bound, so many of n documents meet with a probability of 2 ^ (-n KL(p(e|t) || p(e)))
+at most, which must stay under ``chance`` over all pairs of an entity and a term that were counted.
+Copies of a document are a common case: words that stand in them alone lead from one whose address was
+removed to the others.
+
+A term is a run of ``MIN_LENGTH`` or more letters that touches no digit, ``@``, ``%``, ``+``, ``-``, ``_`` or
+inner point, so that it lies outside of all base spans; case doesn't count. Every occurrence of a disclosing
+term in a document that holds its entity becomes a span of kind ``term``. ``sanitize`` replaces it by the
+first more general term of a given hierarchy that is not disclosing for the document's entities
+itself, and removes it if there is none.
+
+Entities in fewer than ``min_together`` documents are left out of the pair counts: nothing can be told of
+them. A pair row is an entity and a term of its document, combined before the shuffle.
 
 Defined results: null text counts as empty and has no spans; an empty table gives an empty result;
-repeated rows are each scanned; further columns play no part.
+repeated rows are each scanned and counted; further columns play no part.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +50,11 @@ PATTERNS = {
 }
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 EMPTY_SPANS = "array<struct<kind:string,start:long,end:long,value:string>>"
+MIN_LENGTH = 4
+#: A letter run that touches nothing of an address or number; the point of a sentence end may follow.
+TERM = rf"(?<![\p{{L}}0-9@._%+-])\p{{L}}{{{MIN_LENGTH},}}+(?![0-9@_%+-]|\.[\p{{L}}0-9])"
+#: Matches whose places are summed up together: a prefix sum in two steps stays linear.
+BLOCK = 64
 
 
 def _digits(value: Column) -> Column:
@@ -66,21 +83,43 @@ def valid(kind: str, value: Column) -> Column:
     return F.length(digits).between(9, 15)
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once: in the body of a lambda it would be for each element."""
+    return F.transform(F.array(value), use)[0]
+
+
+def prefix_sums(values: Column) -> Column:
+    """Sums of an array's values up to each one, block by block of ``BLOCK``: linear in its length."""
+    zero = F.lit(0).cast("long")
+
+    def total(part: Column) -> Column:
+        return F.aggregate(part, zero, lambda t, x: t + x)
+
+    def step(acc: Column, own: Column) -> Column:
+        sums = F.transform(own, lambda _, i: acc["before"] + total(F.slice(own, F.lit(1), i + 1)))
+        return F.struct((acc["before"] + total(own)).alias("before"), F.concat(acc["out"], F.array(sums)).alias("out"))
+
+    def run(v: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / BLOCK).cast("int")), lambda b: F.slice(v, b * BLOCK + 1, F.lit(BLOCK)))
+        first = F.struct(zero.alias("before"), F.array().cast("array<array<long>>").alias("out"))
+        return F.aggregate(blocks, first, step, lambda acc: F.flatten(acc["out"]))
+
+    return bound(values, run)
+
+
 def matches(text: Column, pattern: str, kind: str) -> Column:
-    """All leftmost non-overlapping matches as ``(kind, start, end, value)`` with code points: what
-    lies between the matches gives their places."""
-    parts = F.split(text, pattern, -1)
-    values = F.regexp_extract_all(text, F.lit(pattern), 0)
+    """All leftmost non-overlapping matches as ``(kind, start, end, value)`` with code points. One pass
+    sets each match between two marks; what lies between the marks gives the places."""
+    mark = "\x00"
+    marked = F.regexp_replace(F.translate(text, mark, "\x01"), pattern, f"{mark}$0{mark}")
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["before"]).cast("long")
-        end = start + F.length(x["value"]).cast("long")
-        span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), x["value"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
+    def run(parts: Column) -> Column:  # before, value, before, value, ..., rest
+        ends = prefix_sums(F.transform(parts, lambda x: F.length(x).cast("long")))
+        found = F.filter(F.zip_with(parts, ends, lambda v, e: F.struct(v.alias("v"), e.alias("e"))), lambda _, i: i % 2 == 1)
+        spans = F.transform(found, lambda x: F.struct(F.lit(kind).alias("kind"), (x["e"] - F.length(x["v"])).alias("start"), x["e"].alias("end"), x["v"].alias("value")))
+        return F.when(F.size(parts) > 1, spans).otherwise(F.array().cast(EMPTY_SPANS))
 
-    pairs = F.zip_with(F.slice(parts, 1, F.size(values)), values, lambda b, v: F.struct(b.alias("before"), v.alias("value")))
-    first = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(EMPTY_SPANS).alias("spans"))
-    return F.aggregate(pairs, first, step, lambda acc: acc["spans"])
+    return bound(F.split(marked, mark, -1), run)
 
 
 def _only(kind: str, spans: Column) -> Column:
@@ -108,10 +147,6 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(keyed, lambda s: F.concat_ws(":", s["kind"], s["s"].cast("string"), s["e"].cast("string"))), ",")
 
 
-#: A word of a context: letters between white space or punctuation, whole on both sides.
-WORD = r"(?<=[\s(\[\"'])\p{L}{4,}(?=[\s.,;:!?)\"'\]])"
-
-
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, key, spans, held)``: base spans of every row; ``held`` is the text where it has any.
     ``key`` is a hash of the text, so that rows that repeat an id stay apart."""
@@ -120,97 +155,152 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return spans.select("doc_id", F.xxhash64("text").alias("key"), "spans", F.when(F.size("spans") > 0, F.col("text")).alias("held"))
 
 
-def contexts(scanned: DataFrame, reach: int) -> DataFrame:
-    """``(doc_id, key, entity, term, start, end)``: each whole word within ``reach`` characters of a
-    base span and outside all of them."""
-    wide = F.concat(F.lit(" "), F.col("held"), F.lit(" "))  # place i of the text is place i + 2 here, counted from 1
-    span = F.col("s")
-    low = F.greatest(span["start"] + 1 - reach, F.lit(0)).cast("int")
-    sides = F.array(
-        F.struct(low.alias("at"), F.substring(wide, low + 1, (span["start"] + 1).cast("int") - low).alias("piece")),
-        F.struct((span["end"] + 1).cast("int").alias("at"), F.substring(wide, (span["end"] + 2).cast("int"), F.lit(reach)).alias("piece")),
-    )
-    pieces = (
-        scanned.where("held is not null")
-        .withColumn("s", F.explode("spans"))
-        .withColumn("side", F.explode(sides))
-        .select("doc_id", "key", "spans", F.concat_ws(":", span["kind"], F.lower(span["value"])).alias("entity"), "side")
-    )
-    words = pieces.withColumn("w", F.explode(matches(F.col("side.piece"), WORD, "term"))).select(
-        "doc_id", "key", "entity", F.lower("w.value").alias("term"), "spans",
-        (F.col("w.start") + F.col("side.at") - 1).alias("start"), (F.col("w.end") + F.col("side.at") - 1).alias("end"),
-    )
-    clear = ~F.exists("spans", lambda b: (b["start"] < F.col("end")) & (F.col("start") < b["end"]))
-    return words.where(clear).drop("spans")
+def entities_of(spans: Column) -> Column:
+    """Distinct entities of a document's base spans, on all ``LEVELS``."""
 
+    def levels(s: Column) -> Column:
+        value, digits = F.lower(s["value"]), _digits(s["value"])
+        part = (
+            F.when(s["kind"] == "email", F.concat(F.lit("domain:"), F.substring_index(value, "@", -1)))
+            .when(s["kind"] == "ip", F.concat(F.lit("network:"), F.substring_index(value, ".", 3)))
+            .when(s["kind"] == "card", F.concat(F.lit("issuer:"), F.substring(digits, 1, 6)))
+            .otherwise(F.concat(F.lit("exchange:"), F.substr(digits, F.lit(1), F.length(digits) - 4)))
+        )
+        exact = F.concat_ws(":", s["kind"], F.when(s["kind"].isin("email", "ip"), value).otherwise(digits))
+        name = F.when(s["kind"] == "email", F.concat(F.lit("name:"), F.substring_index(value, "@", 1)))
+        return F.array(exact, part, name, F.concat(F.lit("kind:"), s["kind"]))
+
+    return F.array_distinct(F.filter(F.flatten(F.transform(spans, levels)), lambda e: e.isNotNull()))
+
+
+#: From the value itself to what it belongs to.
+LEVELS = ("value", "domain, name, network, issuer, exchange", "kind")
+
+
+def terms_of(text: Column) -> Column:
+    """Distinct terms of a text, in lower case."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), 0))
 
-def disclosures(docs: DataFrame, scanned: DataFrame, near: DataFrame, alpha: float, min_together: int, text_col: str = "text") -> DataFrame:
-    """``(entity, term, pmi, ic)`` of the pairs that exceed the threshold, from counts over all documents."""
-    total = F.lit(float(max(scanned.count(), 1)))
-    met = near.select("doc_id", "key", "entity", "term").distinct()
-    entities = (
-        scanned.where("held is not null").select("doc_id", "key", F.explode(F.array_distinct(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], F.lower(s["value"]))))).alias("entity"))
-        .groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= min_together)
-    )
-    # The threshold is n_t <= n_et * (N / n_e)^(1 - 1/alpha). A term's documents are at least those
-    # that hold it near any entity, which rules out common words before the corpus is counted.
-    seen = met.select("doc_id", "key", "term").distinct().groupBy("term").agg(F.count("*").alias("n_c"))
-    most = F.col("n_et") * F.pow(total / F.col("n_e"), F.lit(1 - 1 / alpha))
-    pairs = met.groupBy("entity", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= min_together)
-    pairs = materialize(pairs.join(entities, "entity").join(seen, "term").where(F.col("n_c") <= most + 0.5), "pii-pairs")
-    terms = (
-        docs.select(F.explode(F.array_distinct(F.split(F.lower(F.col(text_col)), r"[^\p{L}]+"))).alias("term"))
-        .where(F.length("term") >= 4)
-        .join(pairs.select("term").distinct(), "term", "left_semi")
-        .groupBy("term").agg(F.count("*").alias("n_t"))
-    )
-    scored = (
-        pairs.join(terms, "term")
-        .withColumn("ic", F.log2(total / F.col("n_e")))
-        .withColumn("pmi", F.log2(F.col("n_et") * total / (F.col("n_e") * F.col("n_t"))))
-    )
-    return scored.where((F.col("pmi") >= F.col("ic") / alpha) & (F.col("ic") > 0)).select("entity", "term", "pmi", "ic")
 
+def _chernoff_bits(n: Column, q: Column, p: Column) -> Column:
+    """Bits by which ``n`` trials of chance ``p`` are unlikely to hit in the share ``q >= p``."""
+    rest = F.when(q < 1, (1 - q) * (F.log2(F.greatest(1 - q, F.lit(1e-300))) - F.log2(F.greatest(1 - p, F.lit(1e-300))))).otherwise(0.0)
+    return n * (q * (F.log2(q) - F.log2(p)) + rest)
 
-def find_spans(docs: DataFrame, reach: int = 120, alpha: float = 1.25, min_together: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def disclosures(docs: DataFrame, scanned: DataFrame, alpha: float, min_together: int, chance: float, text_col: str = "text", general: DataFrame | None = None) -> DataFrame:
+    """``(entity, term, n_et, n_e, n_t, pmi, ic)`` of the pairs that exceed the threshold, from counts over
+    all documents. With ``general(term, parent)``, each term stands for its parents instead."""
+    total = F.lit(float(max(scanned.count(), 1)))
+
+    def lifted(rows: DataFrame, keys: list[str]) -> DataFrame:
+        if general is None:
+            return rows
+        return rows.join(general, "term").select(*keys, F.col("parent").alias("term")).distinct()
+
+    holders = scanned.where("held is not null").select(F.monotonically_increasing_id().alias("row"), entities_of(F.col("spans")).alias("entities"), "held")
+    holders = materialize(holders, "pii-holders")
+    entities = holders.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= min_together)
+    entities = materialize(entities, "pii-entities")
+    held = holders.select("row", F.explode("entities").alias("entity"), "held").join(entities.select("entity"), "entity", "left_semi")
+    # texts travel once for each row, with the entities that are left
+    kept = held.select("row", "entity").groupBy("row").agg(F.collect_list("entity").alias("kept"))  # of one document
+    met = holders.join(kept, "row").select("row", "kept", F.explode(terms_of(F.col("held"))).alias("term"))
+    met = lifted(met, ["row", "kept"]).select("term", F.explode("kept").alias("entity"))
+    pairs = materialize(met.groupBy("entity", "term").agg(F.count("*").alias("n_et")), "pii-pairs")
+    bits = F.lit(math.log2(max(pairs.count(), 1) / chance))
+    share = F.col("n_e") / total
+    # n_t is n_et at least: what chance may explain even so is left out before the corpus is counted
+    hopeful = pairs.where(F.col("n_et") >= min_together).join(entities, "entity").where(F.col("n_et") * -F.log2(share) >= bits)
+    wanted = hopeful.select("term").distinct()
+    if general is not None:
+        wanted = general.join(wanted.withColumnRenamed("term", "parent"), "parent", "left_semi").select("term").distinct()
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.explode(terms_of(F.coalesce(F.col(text_col).cast("string"), F.lit("")))).alias("term"))
+    counts = lifted(texts.join(wanted, "term", "left_semi"), ["row"]).groupBy("term").agg(F.count("*").alias("n_t"))
+    scored = hopeful.join(counts, "term").withColumn("ic", -F.log2(share)).withColumn("pmi", F.log2(F.col("n_et") * total / (F.col("n_e") * F.col("n_t"))))
+    sure = _chernoff_bits(F.col("n_t"), F.col("n_et") / F.col("n_t"), share) >= bits
+    out = scored.where((F.col("ic") > 0) & (F.col("pmi") >= F.col("ic") / alpha) & sure).select("entity", "term", "n_et", "n_e", "n_t", "pmi", "ic")
+    return materialize(out, "pii-disclosures")
+
+
+def term_spans(scanned: DataFrame, telling: DataFrame) -> DataFrame:
+    """``(doc_id, key, terms)`` of the documents that hold an entity with disclosing terms: all of their
+    occurrences there."""
+    holders = scanned.where("held is not null").withColumn("entities", entities_of(F.col("spans")))
+    own = holders.select("doc_id", "key", F.explode("entities").alias("entity")).join(telling.select("entity", "term"), "entity").select("doc_id", "key", "term").distinct()
+    words = holders.select("doc_id", "key", F.explode(matches(F.col("held"), TERM, "term")).alias("s")).withColumn("term", F.lower("s.value"))
+    found = words.join(own.withColumnsRenamed({"doc_id": "_d", "key": "_k"}), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("key") == F.col("_k")) & (words.term == own.term))
+    return found.groupBy("doc_id", "key").agg(F.collect_set("s").alias("terms"))  # of one document
+
+
+def find_spans(
+    docs: DataFrame, alpha: float = 1.25, min_together: int = 2, chance: float = 0.01, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """``(doc_id, key, spans, terms)`` for every row: base spans and disclosing terms, each an array of
     ``(kind, start, end, value)``."""
     scanned = materialize(scan(docs, id_col, text_col), "pii-scan")
-    near = materialize(contexts(scanned, reach), "pii-contexts")
-    telling = disclosures(docs, scanned, near, alpha, min_together, text_col)
-    terms = (
-        near.join(telling.select("entity", "term"), ["entity", "term"], "left_semi")
-        .groupBy("doc_id", "key")
-        .agg(F.collect_set(F.struct(F.lit("term").alias("kind"), "start", "end", F.col("term").alias("value"))).alias("terms"))
-        .withColumnsRenamed({"doc_id": "_d", "key": "_k"})
-    )
+    return _found(scanned, disclosures(docs, scanned, alpha, min_together, chance, text_col))
+
+
+def _found(scanned: DataFrame, telling: DataFrame) -> DataFrame:
+    terms = term_spans(scanned, telling).withColumnsRenamed({"doc_id": "_d", "key": "_k"})
     return scanned.join(terms, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("key") == F.col("_k")), "left").select(
         "doc_id", "key", "spans", F.coalesce("terms", F.array().cast(EMPTY_SPANS)).alias("terms")
     )
 
 
-def sanitize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
-    """``docs`` with base spans replaced by ``[KIND]``, disclosing terms generalised to ``[NAME]`` if
-    capitalised, and removed otherwise. Null texts stay null."""
-    found = find_spans(docs, id_col=id_col, text_col=text_col, **params).dropDuplicates(["doc_id", "key"])
+def generalised(docs: DataFrame, scanned: DataFrame, telling: DataFrame, hierarchy: DataFrame, levels: int, **bounds) -> DataFrame:
+    """``(doc_id, key, term, instead)``: for each disclosing term of a document the nearest ancestor in
+    ``hierarchy(term, parent)`` that discloses none of the document's entities; none within ``levels``
+    steps: no row."""
+    step = hierarchy.select(F.lower("term").alias("term"), F.lower("parent").alias("parent")).where("term is not null and parent is not null and term <> parent").distinct()
+    above = step.withColumn("steps", F.lit(1))
+    every = above
+    for n in range(2, levels + 1):
+        above = above.join(step.toDF("parent", "_up"), "parent").select("term", F.col("_up").alias("parent"), F.lit(n).alias("steps"))
+        every = every.unionAll(above)
+    every = materialize(every.where("term <> parent").groupBy("term", "parent").agg(F.min("steps").alias("steps")), "pii-hierarchy")
+    # an ancestor stands for all terms below it, and for itself
+    meant = every.select("term", "parent").unionAll(every.select(F.col("parent").alias("term"), "parent")).distinct()
+    bad = disclosures(docs, scanned, general=meant, **bounds).select("entity", F.col("term").alias("parent"))
+    owners = scanned.where("held is not null").select("doc_id", "key", F.explode(entities_of(F.col("spans"))).alias("entity"))
+    risky = owners.join(bad, "entity").select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), F.col("parent").alias("_p")).distinct()
+    tried = owners.join(telling.select("entity", "term"), "entity").select("doc_id", "key", "term").distinct().join(every, "term")
+    clash = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("key") == F.col("_k")) & (F.col("parent") == F.col("_p"))
+    return tried.join(risky, clash, "left_anti").groupBy("doc_id", "key", "term").agg(F.min_by("parent", F.struct("steps", "parent")).alias("instead"))
+
+
+def sanitize(
+    docs: DataFrame, hierarchy: DataFrame | None = None, levels: int = 3, alpha: float = 1.25, min_together: int = 2, chance: float = 0.01,
+    id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
+    """``docs`` with base spans replaced by ``[KIND]`` and disclosing terms by ``[ANCESTOR]`` from
+    ``hierarchy(term, parent)``, or by nothing where no ancestor is safe. Null texts stay null."""
+    scanned = materialize(scan(docs, id_col, text_col), "pii-scan")
+    bounds = {"alpha": alpha, "min_together": min_together, "chance": chance, "text_col": text_col}
+    telling = disclosures(docs, scanned, **bounds)
+    found = _found(scanned, telling).dropDuplicates(["doc_id", "key"])
     found = found.select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), F.concat("spans", "terms").alias("_s"))
+    if hierarchy is None:
+        found = found.withColumn("_g", F.create_map().cast("map<string,string>"))
+    else:
+        general = generalised(docs, scanned, telling, hierarchy, levels, **bounds).groupBy("doc_id", "key").agg(F.map_from_entries(F.collect_set(F.struct("term", "instead"))).alias("_g"))
+        general = general.withColumnsRenamed({"doc_id": "_d2", "key": "_k2"})
+        found = found.join(general, F.col("_d").eqNullSafe(F.col("_d2")) & (F.col("_k") == F.col("_k2")), "left").drop("_d2", "_k2")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     joined = docs.join(found, F.col(id_col).cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64(text) == F.col("_k")), "left")
-    ordered = F.array_sort(F.transform("_s", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    ordered = F.array_sort(F.transform("_s", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["value"].alias("value"))))
 
     def step(acc: Column, s: Column) -> Column:
+        instead = F.try_element_at(F.col("_g"), F.lower(s["value"]))
+        mark = F.when(s["kind"] != "term", F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(F.coalesce(F.concat(F.lit("["), F.upper(instead), F.lit("]")), F.lit("")))
         start = F.greatest(s["start"], acc["at"])
-        own = F.substring(text, (s["start"] + 1).cast("int"), F.lit(1))
-        mark = F.when(s["kind"] != "term", F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))).when(own != F.lower(own), F.lit("[NAME]")).otherwise(F.lit(""))
         skip = s["end"] <= acc["at"]  # inside a span already replaced
-        before = F.substring(text, (acc["at"] + 1).cast("int"), (start - acc["at"]).cast("int"))
-        return F.struct(
-            F.greatest(s["end"], acc["at"]).alias("at"),
-            F.when(skip, acc["out"]).otherwise(F.concat(acc["out"], before, mark)).alias("out"),
-        )
+        piece = F.concat(F.substring(text, (acc["at"] + 1).cast("int"), (start - acc["at"]).cast("int")), mark)
+        return F.struct(F.greatest(s["end"], acc["at"]).alias("at"), F.when(skip, acc["out"]).otherwise(F.concat(acc["out"], F.array(piece))).alias("out"))
 
-    first = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate(ordered, first, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
+    first = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
+    clean = F.aggregate(ordered, first, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
     new = F.when(F.col(text_col).isNull() | (F.size("_s") == 0), F.col(text_col)).otherwise(clean)
     return joined.withColumn(text_col, new).select(*docs.columns)
 
