@@ -248,8 +248,9 @@ def site_style_tree(rows: DataFrame) -> DataFrame:
     counts = materialize(counts, "html-contents")
     shared = counts.groupBy("node", "c").agg(F.sum("n").alias("n_all"))
     own = F.col("pages") / (F.col("pages") + HOST_PAGES)
+    alike = counts.join(shared, ["node", "c"]).groupBy(*key, "n", "n_all").agg(F.sum("w").alias("w"))  # few rows a node
     contents = (
-        counts.join(shared, ["node", "c"]).join(merged.select(*key, "pages"), key)
+        alike.join(merged.select(*key, "pages"), key)
         .groupBy(*key).agg(F.sum("w").alias("words"), F.sum(F.col("w") * F.exp(-own * F.log("n") - (1 - own) * F.log("n_all"))).alias("_i"))
     )
     typical = contents.groupBy("node").agg((F.sum("_i") / F.sum("words")).alias("_typical"))
