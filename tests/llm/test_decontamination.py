@@ -50,14 +50,14 @@ def test_exact_passages_and_clean_documents(spark):
 
 
 def test_recall_of_edited_passages():
-    index = d.Index(ITEMS, 0.2, 0.95, 0.35)
+    index = d.Index(ITEMS, 0.2, 0.98)
     for rate in (0.05, 0.1, 0.2):
         hits = sum(any(g[1] == i for g in index.search([embed(edited(t, rate))])) for _ in range(3) for i, t in ITEMS)
         assert hits >= 0.9 * 3 * len(ITEMS), rate
 
 
 def test_edits_are_exact():
-    index = d.Index(ITEMS, 0.2, 0.95, 0.35)
+    index = d.Index(ITEMS, 0.2, 0.98)
     for i, t in ITEMS[:25]:
         words = edited(t, 0.1)
         text = embed(words)
@@ -70,3 +70,60 @@ def test_blocks_of_the_benchmark(spark, monkeypatch):
     df = spark.createDataFrame([(i, embed(t.split())) for i, t in ITEMS], "doc_id long, text string")
     got = {(r.doc_id, r.item_id) for r in d.contaminated(df, spark.createDataFrame(ITEMS, "item_id long, text string")).collect()}
     assert {(i, i) for i, _ in ITEMS} <= got
+
+
+def changed(text, places):
+    """Words at ``places`` replaced."""
+    w = text.split()
+    for p in places:
+        w[p] = "zzz"
+    return w
+
+
+def test_recall_wherever_the_edits_lie():
+    index = d.Index(ITEMS, 0.2, 0.98)
+    for where in ("opening", "middle", "end"):
+        hits = n = 0
+        for i, t in ITEMS:
+            size = len(t.split())
+            k = int(0.2 * size)
+            first = {"opening": 0, "middle": (size - k) // 2, "end": size - k}[where]
+            for _ in range(4):
+                n += 1
+                hits += any(g[1] == i for g in index.search([embed(changed(t, range(first, first + k)))]))
+        assert hits >= 0.95 * n, (where, hits, n)
+
+
+def test_recall_of_short_items():
+    own = random.Random(3)
+    items = [(i, " ".join(own.choice(WORDS[:120]) for _ in range(5 + i % 4))) for i in range(80)]
+    index = d.Index(items, 0.2, 0.98)
+    for p in range(8):
+        n = hits = 0
+        for i, t in items:
+            if p < len(t.split()):
+                n += 1
+                hits += any(g[1] == i for g in index.search([embed(changed(t, [p]))]))
+        assert hits >= 0.93 * n, (p, hits, n)
+
+
+def test_repetitions_follow_the_recall():
+    few, many = d.Index(ITEMS, 0.2, 0.5), d.Index(ITEMS, 0.2, 0.98)
+    assert sum(len(c.walks) for c in few.classes) < sum(len(c.walks) for c in many.classes)
+    assert all(c.reached >= 0.98 for c in many.classes)
+
+
+def test_all_pairs_equal_brute_force():
+    own = random.Random(6)
+    items = ITEMS[:20]
+    docs = [embed(edited(own.choice(items)[1], own.choice([0, 0.1, 0.2]))) if own.random() < 0.7 else embed([]) for _ in range(60)]
+    want = {(i, k) for i, t in enumerate(docs) for k, item in items if distance(item.split(), t.split()) <= int(0.2 * len(item.split()))}
+    got = {(t, k) for t, k, *_ in d.Index(items, 0.2, 0.98).search(docs)}
+    assert got <= want and len(got) >= 0.97 * len(want) > 20
+
+
+def test_single_words_and_very_long_texts():
+    index = d.Index([(1, "unicum"), (2, "two words"), (3, ITEMS[3][1])], 0.2, 0.98)
+    text = " ".join(WORDS[:120] * 2000) + " unicum two words " + ITEMS[3][1]
+    assert {g[1] for g in index.search([text, None, "two", "unicum"])} == {1, 2, 3}
+    assert {g[:2] for g in index.search(["two", "unicum x"])} == {(1, 1)}
