@@ -44,7 +44,7 @@ from .common import release_caches, slices, table
 SAMPLES = 2
 RATIO = 1.4
 TRIALS = 120
-MAX_REPETITIONS = 64
+MIN_REPETITIONS, MAX_REPETITIONS = 4, 64
 BLOCK_ITEMS = 20_000
 CHUNK_CHARS = 1 << 20
 WORD = re.compile(r"\w+")
@@ -168,7 +168,7 @@ class Class:
             trials.append((np.concatenate(parts), np.array(begins), np.array(own)))
         found = [np.zeros(TRIALS, bool) for _ in FORMS]
         self.walks: list[Walk] = []
-        while len(self.walks) < MAX_REPETITIONS and (not self.walks or min(f.mean() for f in found) < recall):
+        while len(self.walks) < MAX_REPETITIONS and (len(self.walks) < MIN_REPETITIONS or min(f.mean() for f in found) < recall):
             walk = Walk(words, starts, vocabulary, steps, rng)
             self.walks.append(walk)
             for f, (text, begins, own) in zip(found, trials):

@@ -7,13 +7,16 @@ reaches will do. The payload is, little-endian:
 
     magic ``WVMX``, version u8, bits u8, reserved u16, documents u64, ids u64,
     zeros per plane (bits x u64),
-    then zstandard frames, each with its u64 length before it:
-    document ids (i64), null flags of the ids (u8), ids per document (u64), and the planes, highest
-    bit first, as packed bits.
+    ones before each block of 65,536 bits, and in all (bits x (blocks + 1) x u64),
+    place in the payload of each block, and of the end (bits x blocks + 1, u64),
+    zstandard frames, each with its u64 length before it:
+    document ids (i64), null flags of the ids (u8), ids per document (u64),
+    and a zstandard frame for each block of each plane, highest bit first: ones of the block before
+    every 512 bits (128 x u16), then the packed bits.
 
 Plane k holds bit k of every id, in the order that a stable sort by the bits before it leaves (Claude
-and Navarro's wavelet matrix). Ranks come from counts before every 512 bits, built on loading; with
-them a shard answers access, rank, count, select and occurrence lookup without unpacking its ids.
+and Navarro's wavelet matrix). The ranks stand in the file: access, rank, count, select and occurrence
+lookup read the directories and unpack those blocks only that they touch, two of a plane for a count.
 
 Defined results: null texts count as empty; a document always ends with ``END_ID``; repeated ids keep
 their rows, next to each other; null ids come first; an empty table gives no shards and an empty
@@ -28,7 +31,9 @@ import string
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import lru_cache, partial
 
 import numpy as np
 import public_tokenizers
@@ -43,7 +48,11 @@ from .common import release_caches, shared_dir, table, worker_cache
 
 SHARD_TOKENS = 1 << 23
 END_ID = 0
-BLOCK = 512
+VERSION = 2
+BLOCK_BITS = 1 << 16
+BLOCK_BYTES = BLOCK_BITS // 8
+WORD_BITS = 512
+KEPT_BLOCKS = 256
 SEGMENT = 1 << 16
 CACHE_WORDS = 450_000  # of each of two generations, and of the cores they are made of
 MARKS = string.punctuation
@@ -51,12 +60,62 @@ ENCODE_BYTES = 1 << 24  # of text encoded at once
 SHARD_SCHEMA = "shard long, n_tokens long, payload binary"
 
 
+@dataclass
+class Plane:
+    """A bit-plane in blocks: ones before each block, and ``load(block)`` for the ones before every
+    ``WORD_BITS`` bits of it and its bytes."""
+
+    before: np.ndarray
+    load: Callable[[int], tuple[np.ndarray, np.ndarray]]
+
+    @classmethod
+    def of(cls, packed: np.ndarray) -> Plane:
+        blocks = -(-len(packed) // BLOCK_BYTES)
+        data = np.zeros((blocks, BLOCK_BYTES), np.uint8)
+        data.reshape(-1)[: len(packed)] = packed
+        ones = np.bitwise_count(data.reshape(-1, 8).view(np.uint64)).reshape(blocks, BLOCK_BITS // WORD_BITS, WORD_BITS // 64).sum(axis=2, dtype=np.int64)
+        within = np.zeros(ones.shape, np.uint16)
+        np.cumsum(ones[:, :-1], axis=1, dtype=np.uint16, out=within[:, 1:])
+        return cls(np.concatenate([[0], np.cumsum(ones.sum(axis=1))]).astype(np.int64), lambda b: (within[b], data[b]))
+
+    def bits(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ones before each place, and the bit at it (0 past the end)."""
+        i = np.asarray(i, np.int64)
+        block, at = i // BLOCK_BITS, i % BLOCK_BITS
+        ones, bit = self.before[block], np.zeros(len(i), np.int64)
+        for b in np.unique(block[block < len(self.before) - 1]).tolist():
+            mine = np.flatnonzero(block == b)
+            within, data = self.load(b)
+            p = at[mine]
+            word = data.reshape(-1, WORD_BITS // 8)[p // WORD_BITS]
+            inside = (p % WORD_BITS)[:, None] - 8 * np.arange(WORD_BITS // 8)
+            keep = (np.left_shift(0xFF, 8 - np.clip(inside, 0, 8)) & 0xFF).astype(np.uint8)
+            ones[mine] += within[p // WORD_BITS].astype(np.int64) + np.bitwise_count(word & keep).sum(axis=1, dtype=np.int64)
+            bit[mine] = (data[p // 8] >> (7 - p % 8).astype(np.uint8)) & 1
+        return ones, bit
+
+    def select(self, one: bool, k: np.ndarray) -> np.ndarray:
+        """Place of the k-th (from 0) one or zero."""
+        before = self.before if one else np.arange(len(self.before)) * BLOCK_BITS - self.before
+        block = np.searchsorted(before, k, side="right") - 1
+        out = np.empty(len(k), np.int64)
+        for b in np.unique(block).tolist():
+            mine = np.flatnonzero(block == b)
+            where = np.flatnonzero(np.unpackbits(self.load(b)[1]).view(np.bool_) == one)
+            out[mine] = b * BLOCK_BITS + where[k[mine] - before[b]]
+        return out
+
+    def packed(self, n: int) -> np.ndarray:
+        """All bits, as bytes."""
+        parts = [self.load(b)[1] for b in range(len(self.before) - 1)]
+        return (np.concatenate(parts) if parts else np.empty(0, np.uint8))[: -(-n // 8)]
+
+
 class WaveletMatrix:
-    """A sequence of ids below 2^bits as bit-planes with constant-time rank."""
+    """A sequence of ids below 2^bits as bit-planes with rank and select."""
 
-    def __init__(self, n: int, bits: int, zeros: list[int], planes: list[np.ndarray]):
+    def __init__(self, n: int, bits: int, zeros: list[int], planes: list[Plane]):
         self.n, self.bits, self.zeros, self.planes = n, bits, zeros, planes
-        self.ranks: list[np.ndarray] | None = None
 
     @classmethod
     def build(cls, ids: np.ndarray, bits: int) -> WaveletMatrix:
@@ -64,7 +123,7 @@ class WaveletMatrix:
         a = ids
         for k in range(bits - 1, -1, -1):
             mask = ((a >> a.dtype.type(k)) & a.dtype.type(1)).astype(np.bool_)
-            planes.append(np.packbits(mask))
+            planes.append(Plane.of(np.packbits(mask)))
             zeros.append(len(a) - int(np.count_nonzero(mask)))
             if k:
                 after = np.empty_like(a)
@@ -84,7 +143,7 @@ class WaveletMatrix:
         """All ids, from the lowest plane up."""
         out = np.zeros(self.n, np.uint16 if self.bits <= 16 else np.uint32)
         for level in range(self.bits - 1, -1, -1):
-            mask = np.unpackbits(self.planes[level], count=self.n).view(np.bool_)
+            mask = np.unpackbits(self.planes[level].packed(self.n), count=self.n).view(np.bool_)
             above = np.empty_like(out)
             low, high = 0, self.zeros[level]
             out[high:] |= out.dtype.type(1 << (self.bits - 1 - level))
@@ -99,39 +158,19 @@ class WaveletMatrix:
             out = above
         return out
 
-    def _rank1(self, level: int, i: np.ndarray) -> np.ndarray:
-        """Ones of the plane before each place."""
-        if self.ranks is None:
-            self.ranks = []
-            for plane in self.planes:
-                padded = np.zeros(-(-(len(plane) + 1) // (BLOCK // 8)) * (BLOCK // 8), np.uint8)
-                padded[: len(plane)] = plane
-                counts = np.bitwise_count(padded).reshape(-1, BLOCK // 8).sum(axis=1, dtype=np.int64)
-                self.ranks.append(np.concatenate([[0], np.cumsum(counts)]))
-        i = np.asarray(i, np.int64)
-        block = i // BLOCK
-        at = block[..., None] * (BLOCK // 8) + np.arange(BLOCK // 8)
-        plane = self.planes[level]
-        data = np.where(at < len(plane), plane[np.minimum(at, max(0, len(plane) - 1))] if len(plane) else 0, 0).astype(np.uint8)
-        inside = (i % BLOCK)[..., None] - 8 * np.arange(BLOCK // 8)
-        keep = np.left_shift(0xFF, 8 - np.clip(inside, 0, 8)).astype(np.int64) & 0xFF
-        return self.ranks[level][block] + np.bitwise_count(data & keep.astype(np.uint8)).sum(axis=-1, dtype=np.int64)
-
     def access(self, i: np.ndarray | int) -> np.ndarray:
         """Ids at the given places."""
         i = np.atleast_1d(np.asarray(i, np.int64))
         value = np.zeros(len(i), np.int64)
         for level in range(self.bits):
-            plane = self.planes[level]
-            bit = (plane[i // 8] >> (7 - i % 8).astype(np.uint8)) & 1
-            ones = self._rank1(level, i)
+            ones, bit = self.planes[level].bits(i)
             i = np.where(bit == 1, self.zeros[level] + ones, i - ones)
             value = (value << 1) | bit
         return value
 
     def _range(self, token: int, low: int, high: int) -> tuple[int, int]:
         for level in range(self.bits):
-            ones = self._rank1(level, np.array([low, high]))
+            ones, _ = self.planes[level].bits(np.array([low, high]))
             if token >> (self.bits - 1 - level) & 1:
                 low, high = (self.zeros[level] + ones).tolist()
             else:
@@ -148,69 +187,73 @@ class WaveletMatrix:
     def rank(self, token: int, i: int) -> int:
         return self.count(token, 0, i)
 
-    def _select_in(self, level: int, one: bool, k: np.ndarray) -> np.ndarray:
-        """Place of the k-th (from 0) one or zero of a plane: halving on ranks."""
-        low, high = np.zeros(len(k), np.int64), np.full(len(k), self.n, np.int64)
-        while (low < high).any():
-            mid = (low + high) // 2
-            ones = self._rank1(level, mid + 1)
-            enough = (ones if one else mid + 1 - ones) > k
-            active = low < high
-            high = np.where(active & enough, mid, high)
-            low = np.where(active & ~enough, mid + 1, low)
-        return low
-
     def occurrences(self, token: int, low: int = 0, high: int | None = None) -> np.ndarray:
         """Places of a token in ``[low, high)``, ascending."""
         if token >> self.bits or token < 0:
             return np.empty(0, np.int64)
         a, b = self._range(token, low, self.n if high is None else high)
-        at = np.arange(a, b, dtype=np.int64)
+        return self._up(token, np.arange(a, b, dtype=np.int64))
+
+    def _up(self, token: int, at: np.ndarray) -> np.ndarray:
+        """Places in the sequence of places below the last plane."""
         for level in range(self.bits - 1, -1, -1):
             one = bool(token >> (self.bits - 1 - level) & 1)
-            at = self._select_in(level, one, at - (self.zeros[level] if one else 0))
+            at = self.planes[level].select(one, at - (self.zeros[level] if one else 0))
         return at
 
     def select(self, token: int, k: int) -> int:
         """Place of the k-th occurrence, from 0; -1 if there are fewer."""
-        found = self.occurrences(token)
-        return int(found[k]) if 0 <= k < len(found) else -1
+        if token >> self.bits or token < 0:
+            return -1
+        a, b = self._range(token, 0, self.n)
+        return int(self._up(token, np.array([a + k]))[0]) if 0 <= k < b - a else -1
 
 
 def pack(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray, bits: int) -> bytes:
     wm = WaveletMatrix.build(ids, bits)
     z = zstandard.ZstdCompressor(level=1)
-    out = [b"WVMX", struct.pack("<BBHQQ", 1, bits, 0, len(doc_ids), len(ids)), struct.pack(f"<{bits}Q", *wm.zeros)]
-    frames = [
-        np.array([0 if d is None else d for d in doc_ids], "<i8").tobytes(), np.array([d is None for d in doc_ids], np.uint8).tobytes(),
-        np.asarray(lengths, "<u8").tobytes(), *(p.tobytes() for p in wm.planes),
-    ]
-    for f in frames:
-        c = z.compress(f)
-        out += [struct.pack("<Q", len(c)), c]
-    return b"".join(out)
+    frames = [z.compress(f) for f in (np.array([0 if d is None else d for d in doc_ids], "<i8").tobytes(), np.array([d is None for d in doc_ids], np.uint8).tobytes(), np.asarray(lengths, "<u8").tobytes())]
+    blocks = [z.compress(b"".join((within.astype("<u2").tobytes(), data.tobytes()))) for p in wm.planes for within, data in map(p.load, range(len(p.before) - 1))]
+    head = b"".join([b"WVMX", struct.pack("<BBHQQ", VERSION, bits, 0, len(doc_ids), len(ids)), struct.pack(f"<{bits}Q", *wm.zeros), *(p.before.astype("<u8").tobytes() for p in wm.planes)])
+    tables = b"".join(x for f in frames for x in (struct.pack("<Q", len(f)), f))
+    first = len(head) + 8 * (len(blocks) + 1) + len(tables)
+    places = np.cumsum([first, *map(len, blocks)]).astype("<u8")
+    return b"".join([head, places.tobytes(), tables, *blocks])
 
 
 def unpack(payload: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix]:
-    """Document ids, ids per document, and the matrix of a shard file."""
+    """Document ids, ids per document, and the matrix of a shard file, which unpacks blocks as they are
+    asked for and keeps the last ``KEPT_BLOCKS``."""
     if payload[:4] != b"WVMX":
         raise ValueError("not a wavelet matrix shard")
     version, bits, _, docs, n = struct.unpack_from("<BBHQQ", payload, 4)
-    if version != 1:
+    if version != VERSION:
         raise ValueError(f"unknown shard version {version}")
     at = 4 + struct.calcsize("<BBHQQ")
     zeros = list(struct.unpack_from(f"<{bits}Q", payload, at))
     at += 8 * bits
+    blocks = -(-n // BLOCK_BITS)
+    before = np.frombuffer(payload, "<u8", bits * (blocks + 1), at).reshape(bits, -1).astype(np.int64)
+    at += 8 * bits * (blocks + 1)
+    places = np.frombuffer(payload, "<u8", bits * blocks + 1, at).tolist()
+    at += 8 * (bits * blocks + 1)
     z = zstandard.ZstdDecompressor()
-    frames = []
-    for _ in range(3 + bits):
+    tables = []
+    for _ in range(3):
         (size,) = struct.unpack_from("<Q", payload, at)
-        frames.append(z.decompress(payload[at + 8 : at + 8 + size]))
+        tables.append(z.decompress(payload[at + 8 : at + 8 + size]))
         at += 8 + size
-    ids = np.frombuffer(frames[0], "<i8").tolist()
-    null = np.frombuffer(frames[1], np.uint8)
-    planes = [np.frombuffer(f, np.uint8) for f in frames[3:]]
-    return [None if v else d for d, v in zip(ids, null)], np.frombuffer(frames[2], "<u8").astype(np.int64), WaveletMatrix(n, bits, zeros, planes)
+
+    @lru_cache(maxsize=KEPT_BLOCKS)
+    def load(k: int) -> tuple[np.ndarray, np.ndarray]:
+        raw = np.frombuffer(z.decompress(payload[places[k] : places[k + 1]]), np.uint8)
+        words = BLOCK_BITS // WORD_BITS
+        return raw[: 2 * words].view("<u2"), raw[2 * words :]
+
+    planes = [Plane(before[p], partial(lambda p, b: load(p * blocks + b), p)) for p in range(bits)]
+    null = np.frombuffer(tables[1], np.uint8)
+    owners = [None if v else d for d, v in zip(np.frombuffer(tables[0], "<i8").tolist(), null)]
+    return owners, np.frombuffer(tables[2], "<u8").astype(np.int64), WaveletMatrix(n, bits, zeros, planes)
 
 
 class Tails(dict):
@@ -228,12 +271,13 @@ class Tails(dict):
 class WordCache:
     """Encodes texts word by word. In a byte-level BPE whose splitter never joins a space to what is
     before it, the pieces of a text cut before each single space encode on their own; words repeat,
-    so most are looked up. Texts for which a cut would not be safe go to the tokenizer whole."""
+    so most are looked up. Texts for which a cut would not be safe, and those with the string of an added
+    token, go to the tokenizer whole."""
 
     def __init__(self, path: str, kind: str = "<u2"):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]  # found in a text as a whole
         self.kind = kind
         self.newline = self.ids("\n")
         if len(self.newline) != 1:
@@ -332,7 +376,11 @@ class WordCache:
         bad = pc.or_(pc.not_equal(trimmed, coded.dictionary), pc.equal(coded.dictionary, "")).to_numpy(zero_copy_only=False)
         bad_at = bad[index]
         bad_at[starts] = [bool(words[i]) and bad[i] for i in first]
-        whole = np.unique(np.searchsorted(starts, np.flatnonzero(bad_at), side="right") - 1)
+        odd = np.zeros(len(texts), bool)
+        odd[np.searchsorted(starts, np.flatnonzero(bad_at), side="right") - 1] = True
+        for content in self.added:
+            odd |= pc.match_substring(texts, content).to_numpy(zero_copy_only=False)
+        whole = np.flatnonzero(odd)
         missing = [w for w in words if w not in self.new]
         if missing:
             self.learn(missing)

@@ -107,7 +107,8 @@ def test_recall_of_short_items():
         assert hits >= 0.93 * n, (p, hits, n)
 
 
-def test_repetitions_follow_the_recall():
+def test_repetitions_follow_the_recall(monkeypatch):
+    monkeypatch.setattr(d, "MIN_REPETITIONS", 1)
     few, many = d.Index(ITEMS, 0.2, 0.5), d.Index(ITEMS, 0.2, 0.98)
     assert sum(len(c.walks) for c in few.classes) < sum(len(c.walks) for c in many.classes)
     assert all(c.reached >= 0.98 for c in many.classes)

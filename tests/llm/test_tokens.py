@@ -9,12 +9,11 @@ from tokenizers import Tokenizer
 from strata.llm import tokens
 
 TOKENIZER = tokens.default_tokenizer()
-TEXTS = [None, "", " ", "  a", "a  b c", "tail ", "line\n next\nand", "\n \t x", "café naïve ñ 日本語 🙂", "a" * 3000, "word " * 2000, "<|endoftext|> x", "don't  it's", "x\r\n y", " wide  space", "it's, 's. dogs' 1,2.3%%% a\u0301, x.\nThe end.\n\nNew ...dots a.b,c,", "½, Ⅷ. ª! ²? __x__ $5 #tag##"]
+TEXTS = [None, "", " ", "  a", "a  b c", "tail ", "line\n next\nand", "\n \t x", "café naïve ñ 日本語 🙂", "a" * 3000, "word " * 2000, "<|endoftext|> x", "a <|endoftext|> b<|endoftext|>", " <|endoftext|>  ", "don't  it's", "x\r\n y", " wide  space", "it's, 's. dogs' 1,2.3%%% a\u0301, x.\nThe end.\n\nNew ...dots a.b,c,", "½, Ⅷ. ª! ²? __x__ $5 #tag##"]
 
 
 def plain(texts):
     t = Tokenizer.from_file(TOKENIZER)
-    t.encode_special_tokens = True
     return [t.encode(x or "", add_special_tokens=False).ids for x in texts]
 
 
@@ -38,7 +37,7 @@ def test_cached_words_on_odd_white_space(texts):
     assert [g.tolist() for g in np.split(ids, np.cumsum(n)[:-1])] == plain(texts)
 
 
-@pytest.mark.parametrize("n, bits", [(0, 16), (1, 16), (777, 3), (5000, 16), (70000, 17)])
+@pytest.mark.parametrize("n, bits", [(0, 16), (1, 16), (777, 3), (5000, 16), (70000, 17), (65536, 5), (200000, 6)])
 def test_wavelet_matrix(n, bits, monkeypatch):
     monkeypatch.setattr(tokens, "SEGMENT", 512)
     a = np.random.default_rng(n).integers(0, min(1 << bits, 40), n).astype(np.uint16 if bits <= 16 else np.uint32)
@@ -55,6 +54,28 @@ def test_wavelet_matrix(n, bits, monkeypatch):
         tokens.unpack(b"none")
 
 
+def test_a_count_unpacks_a_part_of_the_file(monkeypatch):
+    a = np.random.default_rng(1).integers(0, 50000, 1_000_000).astype(np.uint16)
+    payload = tokens.pack([1], np.array([len(a)]), a, 16)
+    asked = []
+    real = tokens.zstandard.ZstdDecompressor
+
+    class Counting:
+        def __init__(self):
+            self.z = real()
+
+        def decompress(self, data):
+            asked.append(len(data))
+            return self.z.decompress(data)
+
+    monkeypatch.setattr(tokens.zstandard, "ZstdDecompressor", Counting)
+    wm = tokens.unpack(payload)[2]
+    tables = len(asked)
+    assert wm.count(777, 1000, 900_000) == (a[1000:900_000] == 777).sum()
+    assert len(asked) - tables <= 2 * 16 and sum(asked[tables:]) < 0.2 * len(payload)
+    assert int(wm.access(123_456)[0]) == a[123_456]
+
+
 def test_shards_round_trip(spark, tmp_path):
     rows = [(i * 3 % 17, TEXTS[i % len(TEXTS)], "x") for i in range(40)] + [(None, "no id", "y")]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string")
