@@ -173,6 +173,12 @@ def entities_of(spans: Column) -> Column:
     return F.array_distinct(F.filter(F.flatten(F.transform(spans, levels)), lambda e: e.isNotNull()))
 
 
+def holders_of(scanned: DataFrame) -> DataFrame:
+    """``(row, doc_id, key, entities, held)`` of the rows with personal data, as a table: ``row`` is a number."""
+    found = scanned.where("held is not null").select(F.monotonically_increasing_id().alias("row"), "doc_id", "key", entities_of(F.col("spans")).alias("entities"), "held")
+    return materialize(found, "pii-holders")
+
+
 #: From the value itself to what it belongs to.
 LEVELS = ("value", "domain, name, network, issuer, exchange", "kind")
 
@@ -188,23 +194,23 @@ def _chernoff_bits(n: Column, q: Column, p: Column) -> Column:
     return n * (q * (F.log2(q) - F.log2(p)) + rest)
 
 
-def disclosures(docs: DataFrame, scanned: DataFrame, alpha: float, min_together: int, chance: float, text_col: str = "text", general: DataFrame | None = None) -> DataFrame:
+def disclosures(
+    docs: DataFrame, holders: DataFrame, alpha: float, min_together: int, chance: float, text_col: str = "text", general: DataFrame | None = None
+) -> DataFrame:
     """``(entity, term, n_et, n_e, n_t, pmi, ic)`` of the pairs that exceed the threshold, from counts over
     all documents. With ``general(term, parent)``, each term stands for its parents instead."""
-    total = F.lit(float(max(scanned.count(), 1)))
+    total = F.lit(float(max(docs.count(), 1)))
 
     def lifted(rows: DataFrame, keys: list[str]) -> DataFrame:
         if general is None:
             return rows
         return rows.join(general, "term").select(*keys, F.col("parent").alias("term")).distinct()
 
-    holders = scanned.where("held is not null").select(F.monotonically_increasing_id().alias("row"), entities_of(F.col("spans")).alias("entities"), "held")
-    holders = materialize(holders, "pii-holders")
     entities = holders.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= min_together)
     entities = materialize(entities, "pii-entities")
-    held = holders.select("row", F.explode("entities").alias("entity"), "held").join(entities.select("entity"), "entity", "left_semi")
-    # texts travel once for each row, with the entities that are left
-    kept = held.select("row", "entity").groupBy("row").agg(F.collect_list("entity").alias("kept"))  # of one document
+    held = holders.select("row", F.explode("entities").alias("entity")).join(entities.select("entity"), "entity", "left_semi")
+    # a text travels once, with the entities that are left
+    kept = held.groupBy("row").agg(F.collect_list("entity").alias("kept"))  # of one document
     met = holders.join(kept, "row").select("row", "kept", F.explode(terms_of(F.col("held"))).alias("term"))
     met = lifted(met, ["row", "kept"]).select("term", F.explode("kept").alias("entity"))
     pairs = materialize(met.groupBy("entity", "term").agg(F.count("*").alias("n_et")), "pii-pairs")
@@ -213,23 +219,26 @@ def disclosures(docs: DataFrame, scanned: DataFrame, alpha: float, min_together:
     # n_t is n_et at least: what chance may explain even so is left out before the corpus is counted
     hopeful = pairs.where(F.col("n_et") >= min_together).join(entities, "entity").where(F.col("n_et") * -F.log2(share) >= bits)
     wanted = hopeful.select("term").distinct()
-    if general is not None:
-        wanted = general.join(wanted.withColumnRenamed("term", "parent"), "parent", "left_semi").select("term").distinct()
     texts = docs.select(F.monotonically_increasing_id().alias("row"), F.explode(terms_of(F.coalesce(F.col(text_col).cast("string"), F.lit("")))).alias("term"))
-    counts = lifted(texts.join(wanted, "term", "left_semi"), ["row"]).groupBy("term").agg(F.count("*").alias("n_t"))
+    if general is None:  # counted within each task before terms travel
+        counts = texts.groupBy("term").agg(F.count("*").alias("n_t")).join(wanted, "term", "left_semi")
+    else:
+        below = general.join(wanted.withColumnRenamed("term", "parent"), "parent", "left_semi")
+        met_at = texts.join(below.select("term").distinct(), "term", "left_semi").join(below, "term")
+        counts = met_at.select("row", F.col("parent").alias("term")).distinct().groupBy("term").agg(F.count("*").alias("n_t"))
     scored = hopeful.join(counts, "term").withColumn("ic", -F.log2(share)).withColumn("pmi", F.log2(F.col("n_et") * total / (F.col("n_e") * F.col("n_t"))))
     sure = _chernoff_bits(F.col("n_t"), F.col("n_et") / F.col("n_t"), share) >= bits
     out = scored.where((F.col("ic") > 0) & (F.col("pmi") >= F.col("ic") / alpha) & sure).select("entity", "term", "n_et", "n_e", "n_t", "pmi", "ic")
     return materialize(out, "pii-disclosures")
 
 
-def term_spans(scanned: DataFrame, telling: DataFrame) -> DataFrame:
+def term_spans(holders: DataFrame, telling: DataFrame) -> DataFrame:
     """``(doc_id, key, terms)`` of the documents that hold an entity with disclosing terms: all of their
-    occurrences there."""
-    holders = scanned.where("held is not null").withColumn("entities", entities_of(F.col("spans")))
-    own = holders.select("doc_id", "key", F.explode("entities").alias("entity")).join(telling.select("entity", "term"), "entity").select("doc_id", "key", "term").distinct()
-    words = holders.select("doc_id", "key", F.explode(matches(F.col("held"), TERM, "term")).alias("s")).withColumn("term", F.lower("s.value"))
-    found = words.join(own.withColumnsRenamed({"doc_id": "_d", "key": "_k"}), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("key") == F.col("_k")) & (words.term == own.term))
+    occurrences there. A document meets the terms that stand in it, not all of its entities' terms."""
+    words = holders.select("row", F.explode(matches(F.col("held"), TERM, "term")).alias("s")).withColumn("term", F.lower("s.value"))
+    words = words.join(telling.select("term").distinct(), "term", "left_semi")
+    owned = holders.select("row", "doc_id", "key", F.explode("entities").alias("entity"))
+    found = words.join(owned, "row").join(telling.select("entity", "term"), ["entity", "term"], "left_semi")
     return found.groupBy("doc_id", "key").agg(F.collect_set("s").alias("terms"))  # of one document
 
 
@@ -239,17 +248,18 @@ def find_spans(
     """``(doc_id, key, spans, terms)`` for every row: base spans and disclosing terms, each an array of
     ``(kind, start, end, value)``."""
     scanned = materialize(scan(docs, id_col, text_col), "pii-scan")
-    return _found(scanned, disclosures(docs, scanned, alpha, min_together, chance, text_col))
+    holders = holders_of(scanned)
+    return _found(scanned, holders, disclosures(docs, holders, alpha, min_together, chance, text_col))
 
 
-def _found(scanned: DataFrame, telling: DataFrame) -> DataFrame:
-    terms = term_spans(scanned, telling).withColumnsRenamed({"doc_id": "_d", "key": "_k"})
+def _found(scanned: DataFrame, holders: DataFrame, telling: DataFrame) -> DataFrame:
+    terms = term_spans(holders, telling).withColumnsRenamed({"doc_id": "_d", "key": "_k"})
     return scanned.join(terms, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("key") == F.col("_k")), "left").select(
         "doc_id", "key", "spans", F.coalesce("terms", F.array().cast(EMPTY_SPANS)).alias("terms")
     )
 
 
-def generalised(docs: DataFrame, scanned: DataFrame, telling: DataFrame, hierarchy: DataFrame, levels: int, **bounds) -> DataFrame:
+def generalised(docs: DataFrame, holders: DataFrame, telling: DataFrame, hierarchy: DataFrame, levels: int, **bounds) -> DataFrame:
     """``(doc_id, key, term, instead)``: for each disclosing term of a document the nearest ancestor in
     ``hierarchy(term, parent)`` that discloses none of the document's entities; none within ``levels``
     steps: no row."""
@@ -262,12 +272,13 @@ def generalised(docs: DataFrame, scanned: DataFrame, telling: DataFrame, hierarc
     every = materialize(every.where("term <> parent").groupBy("term", "parent").agg(F.min("steps").alias("steps")), "pii-hierarchy")
     # an ancestor stands for all terms below it, and for itself
     meant = every.select("term", "parent").unionAll(every.select(F.col("parent").alias("term"), "parent")).distinct()
-    bad = disclosures(docs, scanned, general=meant, **bounds).select("entity", F.col("term").alias("parent"))
-    owners = scanned.where("held is not null").select("doc_id", "key", F.explode(entities_of(F.col("spans"))).alias("entity"))
-    risky = owners.join(bad, "entity").select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), F.col("parent").alias("_p")).distinct()
-    tried = owners.join(telling.select("entity", "term"), "entity").select("doc_id", "key", "term").distinct().join(every, "term")
-    clash = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("key") == F.col("_k")) & (F.col("parent") == F.col("_p"))
-    return tried.join(risky, clash, "left_anti").groupBy("doc_id", "key", "term").agg(F.min_by("parent", F.struct("steps", "parent")).alias("instead"))
+    bad = disclosures(docs, holders, general=meant, **bounds).select("entity", F.col("term").alias("parent"))
+    owned = holders.select("row", "doc_id", "key", F.explode("entities").alias("entity"))
+    words = holders.select("row", F.explode(terms_of(F.col("held"))).alias("term")).join(telling.select("term").distinct(), "term", "left_semi")
+    open_ = words.join(owned, "row").join(telling.select("entity", "term"), ["entity", "term"], "left_semi").select("row", "doc_id", "key", "term").distinct()
+    tried = open_.join(every, "term")
+    risky = tried.select("row", "parent").distinct().join(owned.select("row", "entity"), "row").join(bad, ["entity", "parent"], "left_semi").select("row", "parent").distinct()
+    return tried.join(risky, ["row", "parent"], "left_anti").groupBy("doc_id", "key", "term").agg(F.min_by("parent", F.struct("steps", "parent")).alias("instead"))
 
 
 def sanitize(
@@ -278,13 +289,14 @@ def sanitize(
     ``hierarchy(term, parent)``, or by nothing where no ancestor is safe. Null texts stay null."""
     scanned = materialize(scan(docs, id_col, text_col), "pii-scan")
     bounds = {"alpha": alpha, "min_together": min_together, "chance": chance, "text_col": text_col}
-    telling = disclosures(docs, scanned, **bounds)
-    found = _found(scanned, telling).dropDuplicates(["doc_id", "key"])
+    holders = holders_of(scanned)
+    telling = disclosures(docs, holders, **bounds)
+    found = _found(scanned, holders, telling).dropDuplicates(["doc_id", "key"])
     found = found.select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), F.concat("spans", "terms").alias("_s"))
     if hierarchy is None:
         found = found.withColumn("_g", F.create_map().cast("map<string,string>"))
     else:
-        general = generalised(docs, scanned, telling, hierarchy, levels, **bounds).groupBy("doc_id", "key").agg(F.map_from_entries(F.collect_set(F.struct("term", "instead"))).alias("_g"))
+        general = generalised(docs, holders, telling, hierarchy, levels, **bounds).groupBy("doc_id", "key").agg(F.map_from_entries(F.collect_set(F.struct("term", "instead"))).alias("_g"))
         general = general.withColumnsRenamed({"doc_id": "_d2", "key": "_k2"})
         found = found.join(general, F.col("_d").eqNullSafe(F.col("_d2")) & (F.col("_k") == F.col("_k2")), "left").drop("_d2", "_k2")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))

@@ -104,7 +104,7 @@ def test_counts_equal_a_plain_computation(spark):
         rows.append((i, " ".join(t)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     scanned = pii.materialize(pii.scan(df), "t")
-    got = {(r.entity, r.term): (r.n_et, r.n_e, r.n_t, r.pmi, r.ic) for r in pii.disclosures(df, scanned, 1.25, 2, 0.01).collect()}
+    got = {(r.entity, r.term): (r.n_et, r.n_e, r.n_t, r.pmi, r.ic) for r in pii.disclosures(df, pii.holders_of(scanned), 1.25, 2, 0.01).collect()}
     docs = []
     for _, t in rows:
         ents = set()
