@@ -157,3 +157,13 @@ def word_count(text: Column) -> Column:
 def line_digest(text: Column) -> Column:
     """SHA-256 that does not depend on the kind of line ends."""
     return F.sha2(F.replace(text, F.lit("\r\n"), F.lit("\n")), 256)
+
+
+def iso_utc(milliseconds: Column) -> Column:
+    """Milliseconds since 1970 as an ISO time with offset, to the second; NULL stays NULL."""
+    at = F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.timestamp_seconds(F.floor(milliseconds / 1000)).cast("timestamp_ntz"))
+    return F.concat(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"))
+
+
+def date_prefix(iso: Column) -> Column:
+    return F.substring(iso, 1, 10)

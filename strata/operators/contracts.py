@@ -70,3 +70,82 @@ def admission(items: DataFrame, batch: str, order: str, most_items: int, most_by
     before = F.count("_fault").over(w.rowsBetween(Window.unboundedPreceding, -1))
     status = F.when(before > 0, "not_reached").when(F.col("_fault").isNotNull(), F.col("_fault")).otherwise("admitted")
     return judged.select(batch, "item", status.alias("status"))
+
+
+# What an automatic result may claim and must say.
+EVIDENCE_LEVELS = ("AI_OUTPUT", "AI_HYPOTHESIS")
+WARNINGS = ("HUMAN_REVIEW_REQUIRED", "AUTOMATIC_EVIDENCE_ONLY")
+SLUG = r"^[a-z0-9]+(?:-[a-z0-9]+)*$"
+SLUG_LENGTH = 64
+SCORE_COLUMNS = ("model_score", "prediction", "predicted_label", "probability")
+
+
+def coded(codes: Column, required: tuple[str, ...]) -> Column:
+    """Whether a list of codes holds all required ones and none twice."""
+    return (F.size(F.array_except(F.array(*[F.lit(c) for c in required]), codes)) == 0) & (F.size(F.array_distinct(codes)) == F.size(codes))
+
+
+def envelope_violations(rows: DataFrame, key: str, configs: dict[str, str]) -> DataFrame:
+    """``(rule, key)`` of result envelopes ``(score, evidence_level, model, config, warnings)`` that may not
+    leave. ``configs`` holds the approved models and the digest of each one's settings."""
+    score = F.col("score")
+    approved = F.lit(False)
+    for model, digest in configs.items():
+        approved = approved | ((F.col("model") == model) & (F.col("config") == digest))
+    rules = {
+        "score": score.between(0, 1) & ~F.isnan(score),
+        "evidence_level": F.col("evidence_level").isin(*EVIDENCE_LEVELS),
+        "model": F.col("model").rlike(SLUG) & (F.length("model") <= SLUG_LENGTH),
+        "config": approved,
+        "warnings": coded(F.col("warnings"), WARNINGS),
+    }
+    return row_violations(rows, key, rules)
+
+
+def score_columns(schema: T.StructType) -> list[str]:
+    """Columns that a manifest from before scoring may not have."""
+    return [f.name for f in schema.fields if f.name.casefold() in SCORE_COLUMNS]
+
+
+def batch_results(items: DataFrame, changed: Column, fault: Column) -> DataFrame:
+    """``(batch, item, status, preparation, error)``: an item that changed since it was admitted, or whose
+    raster has a fault, is recorded; the others go on."""
+    error = F.when(changed, "INPUT_CHANGED_AFTER_ADMISSION").otherwise(F.coalesce(fault, F.lit("NONE")))
+    good = F.col("error") == "NONE"
+    return items.select("batch", "item", error.alias("error")).select(
+        "batch", "item", F.when(good, "FEATURES_READY").otherwise("INVALID_INPUT").alias("status"), F.when(good, "SUCCEEDED").otherwise("FAILED").alias("preparation"), "error"
+    )
+
+
+def batch_totals(results: DataFrame) -> DataFrame:
+    """``(batch, total, accepted, invalid, status)``."""
+    invalid = F.count_if(F.col("status") == "INVALID_INPUT")
+    return results.groupBy("batch").agg(
+        F.count("*").alias("total"), F.count_if(F.col("status") == "FEATURES_READY").alias("accepted"), invalid.alias("invalid"),
+        F.when(invalid == 0, "COMPLETE").otherwise("COMPLETE_WITH_INVALID_ITEMS").alias("status"),
+    )
+
+
+def gate_chain(status: Column, geometry: Column, duplicate: Column, coverage: Column, provenance: Column, geometry_open: str = "needs_geometry_review") -> Column:
+    """Review status after the geometry gate and, for what passes, the terrain gate. A missing answer (NULL)
+    is a state of review, never a rejection. ``geometry_open`` is what unclear geometry ends in."""
+    terrain = (
+        F.when(coverage.isNull() | provenance.isNull(), "needs_terrain_review").when(coverage == "fail", "rejected")
+        .when(provenance == "pass", "accepted").otherwise("needs_terrain_review")
+    )
+    gate = F.when(duplicate, "rejected").when(geometry.isNull(), geometry_open).when(geometry == "fail", "rejected").when(geometry == "pass", terrain).otherwise(geometry_open)
+    return F.when(status == "needs_geometry_review", gate).otherwise(status)
+
+
+def encoded_label(label: Column, positive: str, background: str) -> Column:
+    """1 or 0; any other label is an error."""
+    return F.when(label == positive, 1).when(label == background, 0).otherwise(F.raise_error(F.concat(F.lit("unknown label: "), F.coalesce(label, F.lit("NULL")))).cast("int"))
+
+
+def raster_metadata_fault(crs: Column, x_resolution: Column, y_resolution: Column, bands: Column, kind: Column, expected: str = "EPSG:27700", resolution: float = 1.0, tolerance: float = 1e-6) -> Column:
+    """First fault of a raster's metadata, NULL if there is none."""
+    off = F.greatest(F.abs(x_resolution - resolution), F.abs(y_resolution - resolution)) > tolerance
+    return (
+        F.when(~F.coalesce(crs == expected, F.lit(False)), "crs_mismatch").when(F.coalesce(off, F.lit(True)), "resolution_mismatch")
+        .when(~F.coalesce((bands == 1) & (kind != ""), F.lit(False)), "source_metadata_missing")
+    )

@@ -10,10 +10,25 @@ PROJECT_STATES = ("DRAFT", "AUTHORIZED", "PROCESSING", "REVIEW_REQUIRED", "REVIE
 RESULT_MOVES = {"UNREVIEWED": ("IN_REVIEW",), "IN_REVIEW": ("REVIEWED", "ESCALATED")}
 
 
-def insert_ignore(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """``existing`` and the rows of ``new`` whose key is not there yet; of repeated new keys, one stays."""
-    fresh = new.dropDuplicates([key]).join(existing.select(key), key, "left_anti")
-    return existing.unionByName(fresh)
+def insert_ignore(existing: DataFrame, new: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """``existing`` and the rows of ``new`` whose key is not there yet; of repeated new keys, the first
+    by ``order`` stays (by all columns without it)."""
+    rest = [c for c in new.columns if c != key]
+    first = new.select(key).distinct()
+    if rest:
+        place = F.struct(*([order] if order else []), *rest)
+        first = new.groupBy(key).agg(F.min_by(F.struct(*rest), place).alias("v")).select(key, "v.*").select(*new.columns)
+    return existing.unionByName(first.join(existing.select(key), key, "left_anti"))
+
+
+def insert_audited(new: DataFrame, key: str, action: str, actor: str, at: str) -> DataFrame:
+    """Each row of ``new`` with its audit row, as one table of events ``(kind, key, payload, actor, at)``: one
+    write makes both visible or neither."""
+    payload = F.to_json(F.struct(*[c for c in new.columns if c not in (key, actor, at)]))
+    pair = F.array(F.struct(F.lit("row").alias("kind"), payload.alias("payload")), F.struct(F.lit("audit").alias("kind"), F.lit(action).alias("payload")))
+    return new.select(F.col(key).cast("string").alias("key"), F.explode(pair).alias("e"), F.col(actor).alias("actor"), F.col(at).alias("at")).select(
+        "e.kind", "key", "e.payload", "actor", "at"
+    )
 
 
 def latest(versions: DataFrame, key: list[str], order: list) -> DataFrame:
@@ -43,6 +58,16 @@ def illegal_moves(events: DataFrame, key: str, order: list, state: str, states:
     return events.withColumn("_place", place).withColumn("_before", before).where(F.col("_place") != F.col("_before") + 1).drop("_place", "_before")
 
 
+def illegal_results(events: DataFrame, key: str, order: list, state: str, moves: dict[str, tuple[str, ...]] = RESULT_MOVES) -> DataFrame:
+    """Events whose state may not follow the one before it of the same key; the first must be the first
+    of ``moves``."""
+    before = F.coalesce(F.lag(state).over(Window.partitionBy(key).orderBy(*order)), F.lit(""))
+    legal = F.col("_before").eqNullSafe("") & (F.col(state) == next(iter(moves)))
+    for start, ends in moves.items():
+        legal = legal | ((F.col("_before") == start) & F.col(state).isin(*ends))
+    return events.withColumn("_before", before).where(~F.coalesce(legal, F.lit(False))).drop("_before")
+
+
 def uniform(column: str, default: str):
     """The group's single value, or a default if it has several or none."""
     return F.when(F.min(column) == F.max(column), F.min(column)).otherwise(F.lit(default))

@@ -94,3 +94,30 @@ def external_outcome(accuracy: Column, low: Column, high: Column, pairs: Column,
         .when(accuracy > 0.5, "EXTERNAL_GENERALIZATION_PARTIALLY_SUPPORTED")
         .otherwise("EXTERNAL_GENERALIZATION_NOT_SUPPORTED")
     )
+
+
+def robustness_outcome(mean: Column, low: Column, seed_range: Column, half_mean: Column) -> Column:
+    """Outcome of the robustness rule; its bounds are fixed values."""
+    robust = (mean >= 0.70) & (low >= 0.60) & (seed_range <= 0.05) & (half_mean >= 0.65)
+    return F.when(robust, "ROBUST").when((mean >= 0.60) & (low >= 0.50), "MIXED ROBUSTNESS").otherwise("FRAGILE")
+
+
+def go_decision(accepted: Column, viable: Column, holdouts: Column, fine: Column, sourced: Column) -> Column:
+    """Final gate over accepted sites, viable groups, holdout candidates, resolution and provenance."""
+    go = (accepted >= 250) & (viable >= 8) & (holdouts >= 2) & fine & sourced
+    return F.when(go, "FINAL GO").otherwise("CONDITIONAL GO REMAINS")
+
+
+def figures_differ(published: DataFrame, again: DataFrame, keys: list[str], figures: list[str]) -> DataFrame:
+    """``(*keys, differs)``: whether a published figure is missing, too many or not what the rows give."""
+    a, b = published.select(*keys, F.struct(*figures).alias("_a")), again.select(*keys, F.struct(*figures).alias("_b"))
+    return a.join(b, keys, "full").select(*keys, (~F.col("_a").eqNullSafe(F.col("_b"))).alias("differs"))
+
+
+def flattened(rows: DataFrame, nested: str) -> DataFrame:
+    """A struct column as columns of their own; structs in it too."""
+    out = rows.select(*[c for c in rows.columns if c != nested], f"{nested}.*")
+    for f in rows.schema[nested].dataType.fields:
+        if f.dataType.typeName() == "struct":
+            out = flattened(out, f.name)
+    return out

@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in ``spark.checkpoint.dir``; one of our own only
-    where that is unset (tests on one machine)."""
+    """The shared folder that the cluster names in ``spark.checkpoint.dir``. Where that is unset, one of
+    our own in local mode; on a cluster executors wouldn't see it, so that is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = getattr(spark, "_strata_shared_dir", None)
         if path is None:
+            if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             path = spark._strata_shared_dir = "file://" + tempfile.mkdtemp(prefix="strata-shared-")
     return path.rstrip("/")
 

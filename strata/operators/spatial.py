@@ -143,3 +143,11 @@ def annulus_draw(digest: Column, e: Column, n: Column, inner: float, outer: floa
     angle = unit_draw(digest, 1) * F.lit(2) * F.pi()
     radius = F.sqrt(F.lit(inner**2) + unit_draw(digest, 17) * F.lit(outer**2 - inner**2))
     return F.bround(e + radius * F.cos(angle)), F.bround(n + radius * F.sin(angle))
+
+
+def policy_violations(policy: dict[str, float]) -> list[str]:
+    """Rules that a background sampling policy breaks; the bounds are fixed values."""
+    rules = {
+        "annulus": 0 < policy["inner_m"] < policy["outer_m"], "attempts": 1 <= policy["attempts"] <= 2_000, "spacing": policy["spacing_m"] > 0,
+    }
+    return [name for name, holds in rules.items() if not holds]

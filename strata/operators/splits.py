@@ -55,3 +55,9 @@ def partition_summary(rows: DataFrame) -> DataFrame:
     return rows.groupBy("partition").agg(
         F.count("*").alias("rows"), F.count_distinct("block").alias("blocks"), F.count_distinct(unit).alias("units"), F.sum("label").alias("positives"), F.sum(1 - F.col("label")).alias("backgrounds")
     )
+
+
+def fold_roles(rows: DataFrame, fold: str, folds: int) -> DataFrame:
+    """Every row once for each fold, as ``test`` in its own and ``train`` in the others."""
+    many = rows.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
+    return many.withColumn("role", F.when(F.col(fold) == F.col("fold"), "test").otherwise("train"))

@@ -45,18 +45,18 @@ def patch_spread(spark: SparkSession, d: str) -> DataFrame:
     return g.select("patch_id", F.round("m", 6).alias("mean"), F.round("s", 6).alias("sd"), F.round(F.col("q")[2] - F.col("q")[1], 6).alias("iqr"), F.round(F.col("q")[3] - F.col("q")[0], 6).alias("spread"))
 
 
-PAIRS = f"SELECT region, max(predicted) FILTER (label = 1) AS positive, max(predicted) FILTER (label = 0) AS background FROM ({v.SCORED}) WHERE sample_id % 2 = 0 GROUP BY region HAVING count(DISTINCT label) = 2"
+PAIRS = f"SELECT region, max(predicted) FILTER (label = 1) AS positive, max(predicted) FILTER (label = 0) AS background FROM ({v.SCORED}) GROUP BY region HAVING count(DISTINCT label) = 2"
 PAIRED_SQL = f"""WITH u AS (SELECT *, row_number() OVER (ORDER BY region) - 1 AS unit FROM ({PAIRS})), n AS (SELECT count(*) AS n FROM u),
- s AS (SELECT r AS replicate, CAST(CAST('0x' || substr(sha256('paired-v1:' || CAST(r AS VARCHAR) || ':' || CAST(k AS VARCHAR)), 1, 8) AS UBIGINT) % (SELECT n FROM n) AS BIGINT) AS unit FROM (SELECT unnest(range(0, 400)) AS r), LATERAL (SELECT unnest(range(0, (SELECT n FROM n))) AS k)),
+ s AS (SELECT r AS replicate, CAST(CAST('0x' || substr(sha256('paired-v1:' || CAST(r AS VARCHAR) || ':' || CAST(k AS VARCHAR)), 1, 8) AS UBIGINT) % (SELECT n FROM n) AS BIGINT) AS unit FROM (SELECT unnest(range(0, 10000)) AS r), LATERAL (SELECT unnest(range(0, (SELECT n FROM n))) AS k)),
  b AS (SELECT (avg(positive) + 1 - avg(background)) / 2 AS ba FROM s JOIN u USING (unit) GROUP BY replicate) SELECT round(avg(ba), 6) AS mean, round(quantile_cont(ba, 0.025), 6) AS low, round(quantile_cont(ba, 0.975), 6) AS high FROM b"""
 
 
 @query("bst02_paired_bootstrap", PAIRED_SQL)
 def paired_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    g = v.scored(spark, d).where("sample_id % 2 = 0").groupBy("region").agg(
+    g = v.scored(spark, d).groupBy("region").agg(
         F.max(F.when(F.col("label") == 1, F.col("predicted"))).alias("positive"), F.max(F.when(F.col("label") == 0, F.col("predicted"))).alias("background"), F.count_distinct("label").alias("n")
     )
-    return resample.paired_bootstrap(g.where("n = 2").drop("n"), "region", 400, "paired-v1")
+    return resample.paired_bootstrap(g.where("n = 2").drop("n"), "region", 10000, "paired-v1")
 
 
 @query("met09_score_summary", f"SELECT domain, count(*) AS n, round(quantile_cont(score, 0.25), 9) AS q25, round(quantile_cont(score, 0.5), 9) AS q50, round(quantile_cont(score, 0.75), 9) AS q75, count(*) FILTER (score >= 0.9) AS high FROM ({v.WINDOWS}) GROUP BY domain")

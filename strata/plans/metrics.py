@@ -126,22 +126,22 @@ def table_counts(spark: SparkSession, d: str) -> DataFrame:
 
 N_UNITS = f"(SELECT count(DISTINCT region) FROM ({v.SCORED}))"
 BOOT_SQL = f"""WITH u AS (SELECT *, row_number() OVER (ORDER BY region) - 1 AS unit FROM ({CONFUSION})),
- s AS (SELECT r AS replicate, CAST(CAST('0x' || substr(sha256('boot-v1:' || CAST(r AS VARCHAR) || ':' || CAST(k AS VARCHAR)), 1, 8) AS UBIGINT) % {N_UNITS} AS BIGINT) AS unit FROM (SELECT unnest(range(0, 500)) AS r), LATERAL (SELECT unnest(range(0, {N_UNITS})) AS k)),
+ s AS (SELECT r AS replicate, CAST(CAST('0x' || substr(sha256('boot-v1:' || CAST(r AS VARCHAR) || ':' || CAST(k AS VARCHAR)), 1, 8) AS UBIGINT) % {N_UNITS} AS BIGINT) AS unit FROM (SELECT unnest(range(0, 5000)) AS r), LATERAL (SELECT unnest(range(0, {N_UNITS})) AS k)),
  b AS (SELECT (sum(tp) / (sum(tp) + sum(fn)) + sum(tn) / (sum(tn) + sum(fp))) / 2 AS ba FROM s JOIN u USING (unit) GROUP BY replicate)
  SELECT count(ba) AS defined, round(avg(ba), 6) AS mean, round(quantile_cont(ba, 0.025), 6) AS low, round(quantile_cont(ba, 0.975), 6) AS high FROM b"""
 
 
 @query("bst01_group_bootstrap", BOOT_SQL)
 def group_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    return resample.group_bootstrap(v.scored(spark, d), "region", 500, "boot-v1")
+    return resample.group_bootstrap(v.scored(spark, d), "region", 5000, "boot-v1")
 
 
-@query("bst03_permutation_tail", f"""WITH base AS (SELECT sample_id, region, label, predicted FROM ({v.SCORED}) WHERE sample_id % 10 = 0), p AS (SELECT unnest(range(0, 50)) AS permutation),
+@query("bst03_permutation_tail", f"""WITH base AS (SELECT sample_id, region, label, predicted FROM ({v.SCORED}) ), p AS (SELECT unnest(range(0, 50)) AS permutation),
  k AS (SELECT permutation, sample_id, predicted, row_number() OVER (PARTITION BY permutation ORDER BY sample_id) AS i FROM base, p), l AS (SELECT permutation, label, row_number() OVER (PARTITION BY permutation ORDER BY sha256('perm-v1:' || CAST(permutation AS VARCHAR) || ':' || CAST(sample_id AS VARCHAR))) AS i FROM base, p),
  a AS (SELECT permutation, sum(CASE WHEN label = predicted THEN 1 ELSE 0 END) AS hits FROM k JOIN l USING (permutation, i) GROUP BY permutation), o AS (SELECT sum(CASE WHEN label = predicted THEN 1 ELSE 0 END) AS hits FROM base)
  SELECT CAST(o.hits AS BIGINT) AS observed, round((1 + count(*) FILTER (a.hits >= o.hits)) / (count(*) + 1.0), 9) AS tail FROM a, o GROUP BY o.hits""")
 def permutation_tail(spark: SparkSession, d: str) -> DataFrame:
-    base = v.scored(spark, d).where("sample_id % 10 = 0").select("sample_id", "label", "predicted")
+    base = v.scored(spark, d).select("sample_id", "label", "predicted")
     dealt = resample.permuted_labels(base.select("sample_id", "label"), "sample_id", 50, "perm-v1")
     hits = dealt.join(base.select("sample_id", "predicted"), "sample_id").groupBy("permutation").agg(F.count_if(F.col("label") == F.col("predicted")).alias("hits"))
     observed = base.agg(F.count_if(F.col("label") == F.col("predicted")).alias("observed"))

@@ -28,7 +28,7 @@ def independence(spark: SparkSession, d: str) -> DataFrame:
 
 @query("spa12_coverage_assessment")
 def coverage(spark: SparkSession, d: str) -> DataFrame:
-    s = v.sites(spark, d).where("site_id % 4 = 0")
+    s = v.sites(spark, d)
     pts = s.select("site_id", F.posexplode(spatial.sample_points(F.col("easting").cast("double"), F.col("northing").cast("double")))).select("site_id", F.col("pos").alias("i"), "col.x", "col.y")
     cell = lambda c: F.floor(F.col(c) / 20000.0)
     pts = pts.withColumn("cx", cell("x")).withColumn("cy", cell("y"))
@@ -147,24 +147,12 @@ def few_pairs(spark: SparkSession, d: str) -> DataFrame:
     return v.scored(spark, d).groupBy("region").agg((F.count("*") < 15).alias("few"), F.round((one + 1 - zero) / 2, 9).alias("balanced_accuracy"))
 
 
-@query("met07_robustness_rule", f"""SELECT CASE WHEN avg(a) >= 0.70 AND min(a) >= 0.60 THEN 'ROBUST' WHEN avg(a) >= 0.60 THEN 'MIXED' ELSE 'NOT_ROBUST' END AS outcome FROM (SELECT region, avg(CASE WHEN label = predicted THEN 1.0 ELSE 0.0 END) AS a FROM ({v.SCORED}) GROUP BY region)""")
-def robustness(spark: SparkSession, d: str) -> DataFrame:
-    a = v.scored(spark, d).groupBy("region").agg(F.avg((F.col("label") == F.col("predicted")).cast("double")).alias("a")).agg(F.avg("a").alias("m"), F.min("a").alias("low"))
-    return a.select(F.when((F.col("m") >= 0.70) & (F.col("low") >= 0.60), "ROBUST").when(F.col("m") >= 0.60, "MIXED").otherwise("NOT_ROBUST").alias("outcome"))
-
-
 @query("met08_against_baseline", f"SELECT region, round(avg(CASE WHEN label = predicted THEN 1.0 ELSE 0.0 END) - greatest(avg(label), 1 - avg(label)), 9) AS gain FROM ({v.SCORED}) GROUP BY region")
 def against_baseline(spark: SparkSession, d: str) -> DataFrame:
     right, share = F.avg((F.col("label") == F.col("predicted")).cast("double")), F.avg("label")
     return v.scored(spark, d).groupBy("region").agg(F.round(right - F.greatest(share, 1 - share), 9).alias("gain"))
 
 
-@query("met10_go_no_go", f"SELECT CASE WHEN sum(n) >= 250 AND count(*) FILTER (n >= 12) >= 8 THEN 'GO' ELSE 'NO_GO' END AS decision, count(*) FILTER (n >= 12) AS viable FROM (SELECT block_id, count(*) AS n FROM ({v.SITES}) GROUP BY block_id)")
-def go_no_go(spark: SparkSession, d: str) -> DataFrame:
-    g = v.sites(spark, d).groupBy("block_id").agg(F.count("*").alias("n")).agg(F.sum("n").alias("t"), F.count_if(F.col("n") >= 12).alias("viable"))
-    return g.select(F.when((F.col("t") >= 250) & (F.col("viable") >= 8), "GO").otherwise("NO_GO").alias("decision"), "viable")
-
-
 @query("ml01_prior", f"SELECT round(avg(label), 9) AS prior FROM ({v.SCORED})")
 def prior(spark: SparkSession, d: str) -> DataFrame:
     return v.scored(spark, d).agg(F.round(F.avg("label"), 9).alias("prior"))
@@ -173,7 +161,7 @@ def prior(spark: SparkSession, d: str) -> DataFrame:
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.ml.functions import array_to_vector
 
-    e = v.table(spark, d, "embeddings").where("label is not null and embedding is not null and size(embedding) = 64")
+    e = v.table(spark, d, "embeddings").where("label is not null and embedding is not null")
     return e.select("vec_id", (F.col("label") < 5).cast("double").alias("label"), array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("features"))
 
 
@@ -196,13 +184,6 @@ def accepted_gates(spark: SparkSession, d: str) -> DataFrame:
     return contracts.row_violations(rows, "o_orderkey", {"price": F.col("o_totalprice") > 20000, "priority": ~F.col("o_orderpriority").isin("1-URGENT")})
 
 
-@query("con10_gate_chain", "SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'needs_review' WHEN l.toxic = 1 THEN 'rejected' WHEN l.quality = 0 THEN 'uncertain' ELSE 'accepted' END AS status FROM documents d LEFT JOIN labels l USING (doc_id)")
-def gate_chain(spark: SparkSession, d: str) -> DataFrame:
-    rows = v.table(spark, d, "documents").select("doc_id").join(v.table(spark, d, "labels"), "doc_id", "left")
-    status = F.when(F.col("toxic").isNull(), "needs_review").when(F.col("toxic") == 1, "rejected").when(F.col("quality") == 0, "uncertain").otherwise("accepted")
-    return rows.select("doc_id", status.alias("status"))
-
-
 @query("pip03_overrides", f"SELECT sample_id, CASE WHEN status = 'uncertain' AND sample_id % 9 = 0 THEN 'accepted' ELSE status END AS status, status <> 'uncertain' AND sample_id % 9 = 0 AS illegal FROM (SELECT sample_id, CASE WHEN score < 0.3 THEN 'rejected' WHEN score < 0.6 THEN 'uncertain' ELSE 'accepted' END AS status FROM ({v.SCORED}))")
 def overrides(spark: SparkSession, d: str) -> DataFrame:
     s = F.col("score")

@@ -13,7 +13,7 @@ SURFACE = """SELECT patch_id, "row", "col", CASE s WHEN 0 THEN 100 + (1.1 + k *
   WHEN 1 THEN 100 - (0.8 + k * 0.05) * exp(-((x + k) * (x + k) + (y - k) * (y - k)) / (320.0 + k * 20)) WHEN 2 THEN 100 + (0.008 + k * 0.001) * x + 0.006 * y
   WHEN 3 THEN 100 + 0.25 * sin(x / (7 + k * 0.2) + k * 0.37) + 0.18 * cos(y / 9.0 - k * 0.37) ELSE 100 + 0.55 * exp(-(x * x + y * y) / 300.0) + 0.18 * sin((x + k) / 8.0) - 0.12 * cos((y - k) / 11.0) END AS z,
   patch_id % 4 = 1 AND ("row" * 7 + "col" * 3) % 97 = 0 AS masked
-  FROM (SELECT n_nationkey AS patch_id, "row", "col", CAST("col" - 64 AS DOUBLE) AS x, CAST("row" - 64 AS DOUBLE) AS y, CAST(n_nationkey % 6 AS DOUBLE) AS k, n_nationkey % 5 AS s FROM nation, (SELECT unnest(range(0, 128)) AS "row"), (SELECT unnest(range(0, 128)) AS "col") WHERE n_nationkey < 8)"""
+  FROM (SELECT n_nationkey AS patch_id, "row", "col", CAST("col" - 64 AS DOUBLE) AS x, CAST("row" - 64 AS DOUBLE) AS y, CAST(n_nationkey % 6 AS DOUBLE) AS k, n_nationkey % 5 AS s FROM nation, (SELECT unnest(range(0, 128)) AS "row"), (SELECT unnest(range(0, 128)) AS "col"))"""
 PIXELS = f'SELECT patch_id, "row", "col", CASE WHEN NOT masked THEN z END AS z FROM ({SURFACE})'
 REPS = f"""SELECT g.patch_id, "row", "col", z - median AS elevation, degrees(atan(sqrt(ge * ge + gs * gs))) AS slope, CASE WHEN ge IS NOT NULL AND gs IS NOT NULL THEN greatest(0.0, least(1.0, (-ge * -0.5 + gs * 0.5 + sqrt(0.5)) / sqrt(ge * ge + gs * gs + 1))) END AS hillshade, z - box AS relief
  FROM (SELECT patch_id, "row", "col", z, ge, CASE WHEN "row" = 0 THEN (lead(z) OVER c) - z WHEN "row" = 127 THEN z - (lag(z) OVER c) ELSE ((lead(z) OVER c) - (lag(z) OVER c)) / 2 END AS gs,
@@ -24,7 +24,7 @@ REPS = f"""SELECT g.patch_id, "row", "col", z - median AS elevation, degrees(ata
 
 
 def _pixels(spark: SparkSession, d: str) -> DataFrame:
-    return r.surfaces(v.table(spark, d, "nation").where("n_nationkey < 8").select(F.col("n_nationkey").alias("patch_id")))
+    return r.surfaces(v.table(spark, d, "nation").select(F.col("n_nationkey").alias("patch_id")))
 
 
 @query("src16_surfaces", f"SELECT patch_id, round(sum(z), 3) AS total, round(min(z), 6) AS low, round(max(z), 6) AS high, count(*) FILTER (masked) AS masked FROM ({SURFACE}) GROUP BY patch_id")

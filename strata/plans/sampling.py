@@ -108,7 +108,7 @@ def nonadjacent(spark: SparkSession, d: str) -> DataFrame:
 
 @query("grd05_diverse_order")
 def diverse(spark: SparkSession, d: str) -> DataFrame:
-    s = v.sites(spark, d).where("site_id % 10 = 0").select(F.col("site_id"), "block_id", (F.col("easting") % 7).alias("year"))
+    s = v.sites(spark, d).select(F.col("site_id"), "block_id", (F.col("easting") % 7).alias("year"))
     order = greedy.diverse_order(s.withColumn("key", keys.hash_rank("diverse-v1", F.col("site_id"))), "key", ["block_id", "year"], 40)
     return spark.createDataFrame([(i, k) for i, k in enumerate(order)], "place int, key string")
 
@@ -117,7 +117,7 @@ def diverse(spark: SparkSession, d: str) -> DataFrame:
 def rejection(spark: SparkSession, d: str) -> DataFrame:
     from ..operators.spatial import annulus_draw
 
-    s = v.sites(spark, d).where("site_id % 5 = 0").withColumn("attempt", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(8).cast("bigint"))))
+    s = v.sites(spark, d).withColumn("attempt", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(8).cast("bigint"))))
     x, y = annulus_draw(keys.sha("draw-v1:", F.col("site_id"), ":", F.col("attempt")), F.col("easting").cast("double"), F.col("northing").cast("double"), 2000.0, 10000.0)
     rows = s.select((F.col("block_id") % 5).cast("bigint").alias("region"), F.col("site_id").alias("positive"), "attempt", x.alias("x"), y.alias("y"))
     inside = rows.where((F.col("x") >= 0) & (F.col("y") >= 0) & (F.col("x") < v.EXTENT) & (F.col("y") < v.EXTENT))

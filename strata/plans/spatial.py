@@ -43,12 +43,12 @@ def distances(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-CELLS = f"SELECT DISTINCT CAST(floor(easting / 25000.0) AS BIGINT) AS e, CAST(floor(northing / 25000.0) AS BIGINT) AS n FROM ({v.SITES}) WHERE site_id % 50 = 0"
+CELLS = f"SELECT DISTINCT CAST(floor(easting / 25000.0) AS BIGINT) AS e, CAST(floor(northing / 25000.0) AS BIGINT) AS n FROM ({v.SITES})"
 
 
 @query("spa05_cell_gaps", f"SELECT a.e AS e1, a.n AS n1, b.e AS e2, b.n AS n2, round(sqrt(power(greatest(abs(a.e - b.e) - 1, 0) * 25000.0, 2) + power(greatest(abs(a.n - b.n) - 1, 0) * 25000.0, 2)), 6) AS gap, greatest(abs(a.e - b.e), abs(a.n - b.n)) <= 1 AS touching FROM ({CELLS}) a JOIN ({CELLS}) b ON abs(a.e - b.e) <= 2 AND abs(a.n - b.n) <= 2")
 def cell_gaps(spark: SparkSession, d: str) -> DataFrame:
-    rows = v.sites(spark, d).where("site_id % 50 = 0")
+    rows = v.sites(spark, d)
     cells = rows.select(F.floor(F.col("easting") / 25000.0).cast("bigint").alias("x"), F.floor(F.col("northing") / 25000.0).cast("bigint").alias("y")).distinct()
     pairs = near_pairs(cells, cells, 3, lambda a, b: (F.abs(F.col(f"{a}.x") - F.col(f"{b}.x")) <= 2) & (F.abs(F.col(f"{a}.y") - F.col(f"{b}.y")) <= 2))
     e1, n1, e2, n2 = F.col("a.x"), F.col("a.y"), F.col("b.x"), F.col("b.y")
@@ -111,11 +111,11 @@ def window_iou(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select(F.col("a.window_id").alias("a"), F.col("b.window_id").alias("b"), F.round(iou, 9).alias("iou"))
 
 
-@query("spa15_candidate_cells", f"""WITH o AS (SELECT DISTINCT CAST(floor(easting / 5000.0) AS BIGINT) AS e, CAST(floor(northing / 5000.0) AS BIGINT) AS n FROM ({v.SITES}) WHERE site_id % 20 = 0),
+@query("spa15_candidate_cells", f"""WITH o AS (SELECT DISTINCT CAST(floor(easting / 5000.0) AS BIGINT) AS e, CAST(floor(northing / 5000.0) AS BIGINT) AS n FROM ({v.SITES})),
   f AS (SELECT de, dn FROM (SELECT unnest(range(-2, 3)) AS de), (SELECT unnest(range(-2, 3)) AS dn) WHERE abs(de) + abs(dn) BETWEEN 1 AND 2)
   SELECT e, n, sha256('cells-v1:' || CAST(e AS VARCHAR) || '_' || CAST(n AS VARCHAR)) AS rank FROM (SELECT DISTINCT o.e + f.de AS e, o.n + f.dn AS n FROM o, f) c WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.e = c.e AND o.n = c.n)""")
 def candidate_cells(spark: SparkSession, d: str) -> DataFrame:
-    rows = v.sites(spark, d).where("site_id % 20 = 0")
+    rows = v.sites(spark, d)
     o = rows.select(F.floor(F.col("easting") / 5000.0).cast("bigint").alias("e"), F.floor(F.col("northing") / 5000.0).cast("bigint").alias("n")).distinct()
     steps = [(a, b) for a in range(-2, 3) for b in range(-2, 3) if 1 <= abs(a) + abs(b) <= 2]
     near = o.select("e", "n", F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in steps])).alias("s"))

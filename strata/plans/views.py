@@ -63,9 +63,10 @@ SITES = (
 
 
 def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(window_id, domain, row, col, score)``: order lines as scored windows on a 64 m grid."""
+    """``(window_id, domain, row, col, score)``: order lines as scored windows on a 64 m grid,
+    a domain for each supplier."""
     k = F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
-    rows = table(spark, sf_dir, "lineitem").where("l_orderkey % 20 = 0").select(k.alias("window_id"), (F.col("l_suppkey") % 8).alias("domain"), sha("W:", k).alias("h")).distinct()
+    rows = table(spark, sf_dir, "lineitem").select(k.alias("window_id"), F.col("l_suppkey").cast("bigint").alias("domain"), sha("W:", k).alias("h")).distinct()
     return rows.select(
         "window_id", "domain", (F.floor(unit_draw(F.col("h"), 1, 8) * 77) * 64).cast("bigint").alias("row"), (F.floor(unit_draw(F.col("h"), 9, 8) * 77) * 64).cast("bigint").alias("col"),
         F.round(unit_draw(F.col("h"), 17, 8), 2).alias("score"),
@@ -74,7 +75,7 @@ def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 WINDOWS = f"""SELECT window_id, domain, CAST(floor({sql_unit("'W:' || window_id", 1, 8)} * 77) * 64 AS BIGINT) AS "row",
   CAST(floor({sql_unit("'W:' || window_id", 9, 8)} * 77) * 64 AS BIGINT) AS "col", round({sql_unit("'W:' || window_id", 17, 8)}, 2) AS score
-  FROM (SELECT DISTINCT CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS window_id, l_suppkey % 8 AS domain FROM lineitem WHERE l_orderkey % 20 = 0)"""
+  FROM (SELECT DISTINCT CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS window_id, CAST(l_suppkey AS BIGINT) AS domain FROM lineitem)"""
 
 
 def titles(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,10 +39,19 @@ def write_index(rows: DataFrame, path: str, schema: T.StructType, violations: Da
 
 
 def content_digest(rows: DataFrame) -> Column:
-    """Order-free digest of all rows: count and two 64-bit sums of row hashes, as one string."""
-    h = F.xxhash64(*[F.col(c) for c in rows.columns])
-    g = F.xxhash64(*[F.col(c) for c in reversed(rows.columns)], F.lit(1))
-    return F.concat_ws(":", F.count("*").cast("string"), F.coalesce(F.bit_xor(h), F.lit(0)).cast("string"), F.coalesce(F.sum(g.cast("decimal(38,0)")), F.lit(0)).cast("string"))
+    """Order-free digest of all rows: count and two 64-bit sums of row hashes, as one string. Hashes skip
+    NULLs, so each column comes with a flag; nested values are hashed as JSON, which shows theirs."""
+
+    def plain(name: str) -> Column:
+        kind = rows.schema[name].dataType
+        nested = isinstance(kind, (T.ArrayType, T.MapType, T.StructType))
+        return F.to_json(F.struct(name), {"ignoreNullFields": "false"}) if nested else F.col(name)
+
+    marked = [x for c in rows.columns for x in (F.col(c).isNull(), plain(c))]
+    h = F.xxhash64(*marked)
+    g = F.xxhash64(*reversed(marked), F.lit(1))
+    total = F.coalesce(F.sum(g.cast("decimal(38,0)")), F.lit(0))
+    return F.concat_ws(":", F.count("*").cast("string"), F.coalesce(F.bit_xor(h), F.lit(0)).cast("string"), total.cast("string"))
 
 
 def verified_write(rows: DataFrame, path: str) -> str:

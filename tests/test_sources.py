@@ -83,3 +83,14 @@ def test_streamed_work_is_done_once(spark, tmp_path):
         resumable.stream_pending(spark, source, spark.range(1).schema, "id", work, state, f"file://{tmp_path}/cp").awaitTermination()
     rows = spark.read.parquet(state)
     assert rows.count() == 6 and rows.select("id").distinct().count() == 6
+
+
+def test_digest_tells_nulls_apart(spark):
+    def digest(rows, schema="a int, b int"):
+        df = spark.createDataFrame(rows, schema)
+        return df.agg(index.content_digest(df).alias("d")).first().d
+
+    assert digest([(1, None), (2, 3)]) != digest([(None, 1), (2, 3)])
+    assert digest([(1, 2), (3, 4)]) == digest([(3, 4), (1, 2)]) != digest([(1, 2), (3, 4), (3, 4)])
+    assert digest([([1, None],)], "a array<int>") != digest([([None, 1],)], "a array<int>")
+    assert digest([]) == digest([])
