@@ -44,7 +44,7 @@ from .common import release_caches, slices, table
 SAMPLES = 2
 RATIO = 1.4
 TRIALS = 120
-MIN_REPETITIONS, MAX_REPETITIONS = 4, 64
+MIN_REPETITIONS, MAX_REPETITIONS = 8, 64
 BLOCK_ITEMS = 20_000
 CHUNK_CHARS = 1 << 20
 WORD = re.compile(r"\w+")
