@@ -11,7 +11,8 @@ follows from that, from the threshold and from ``miss``, so recall holds as the
 
 Defined results: null labels, null, empty or zero vectors and vectors with null or non-finite
 components link with nothing; vectors of different lengths are not compared; rows that repeat an id
-with the same label and vector count as one vector and all get its row; an empty table gives an
+with the same label and vector count as one vector and all get its row; labels that aren't whole
+numbers are told apart by a 64-bit hash of their text; an empty table gives an
 empty result; further columns play no part.
 """
 
@@ -24,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import bounded_units, connected_components, forest_edges, materialize, per_unit, table
 
@@ -74,7 +76,7 @@ def projection_keys(vectors: DataFrame, passes: int) -> DataFrame:
                         names=["p", "label", "dim", "key", "rep", "e"],
                     )
 
-    return vectors.select("label", "dim", "rep", "e").mapInArrow(run, "p int, label int, dim int, key long, rep long, e array<float>")
+    return vectors.select("label", "dim", "rep", "e").mapInArrow(run, f"p int, label long, dim int, key long, rep long, e {dict(vectors.dtypes)['e']}")
 
 
 def window_links(keyed: DataFrame, threshold: float, window: int) -> DataFrame:
@@ -97,7 +99,7 @@ def window_links(keyed: DataFrame, threshold: float, window: int) -> DataFrame:
         return (np.concatenate(left), np.concatenate(right)) if left else (np.empty(0, np.int64), np.empty(0, np.int64))
 
     columns = ["p", "label", "dim", "key", "rep", "e"]
-    schema = "a long, b long, seam int, side int, " + ", ".join(f"{c} {t}" for c, t in zip(columns, ("int", "int", "int", "long", "long", "array<float>")))
+    schema = "a long, b long, seam int, side int, " + ", ".join(f"{c} {t}" for c, t in zip(columns, ("int", "long", "int", "long", "long", dict(keyed.dtypes)["e"])))
     step = 2 * window
 
     def edges(a: np.ndarray, b: np.ndarray, like: pa.Schema) -> pa.RecordBatch:
@@ -186,7 +188,13 @@ def component_links(parts: DataFrame, vectors: DataFrame, threshold: float) -> D
 
 def embedding_links(vectors: DataFrame, threshold: float = 0.98, window: int = WINDOW, miss: float = 1e-4) -> DataFrame:
     """``(vec_id, n_links, component_id)`` for every row of ``vectors(vec_id, embedding, label)``."""
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"), F.col("label").cast("int").alias("label"))
+    kinds = {f.name: f.dataType for f in vectors.schema.fields}
+    single = isinstance(kinds["embedding"].elementType, T.FloatType)  # others are held in double precision
+    label = F.col("label").cast("long") if isinstance(kinds["label"], T.IntegralType) else F.xxhash64(F.col("label").cast("string"))
+    rows = vectors.select(
+        F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>" if single else "array<double>").alias("embedding"),
+        F.when(F.col("label").isNotNull(), label).alias("label"),
+    )
     good = rows.where(usable() & F.col("label").isNotNull() & F.col("vec_id").isNotNull())
     distinct = materialize(
         good.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.countDistinct("vec_id").alias("copies"))

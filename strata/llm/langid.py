@@ -3,7 +3,7 @@
 A text's UTF-8 bytes are cut into windows of ``WINDOW`` bytes; two gated recurrent layers read each
 window from either side, and a softmax layer on both states labels every byte. A document's
 probabilities are the mean over all of its bytes. Training is plain numpy: backpropagation through
-time with Adam, from at most ``MAX_PER_LANG`` documents of each language and ``WINDOWS_PER_DOC``
+time with Adam, from at most ``MAX_PER_LANG`` documents of each of ``MAX_LANGS`` languages and ``WINDOWS_PER_DOC``
 windows of each (documented bounds of the fit; documents are taken in hash order). Prediction reads
 every byte of every text and nothing but the text.
 
@@ -23,12 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import slices, table
 
 WINDOW = 96
 HIDDEN = 8
 PAD = 256  # input past a text's end: keeps the state as it is
 MAX_PER_LANG = 800
+MAX_LANGS = 200
 WINDOWS_PER_DOC = 6
 BATCH_WINDOWS = 4096
 LETTER = re.compile(r"[^\W\d_]")
@@ -149,18 +150,17 @@ class Network:
         return total / np.maximum(total.sum(axis=1, keepdims=True), 1e-12)
 
 
-def train(texts: list[str], langs: list[str], steps: int = 360, batch: int = 192, rate: float = 0.02, seed: int = 7) -> Network:
-    """Fits a network with Adam on windows spread evenly over the texts, languages drawn alike."""
+def spread(text: str) -> np.ndarray:
+    """At most ``WINDOWS_PER_DOC`` windows of a text, evenly spread."""
+    x, _ = windows([text.encode("utf-8", "surrogatepass")])
+    return x[np.linspace(0, len(x) - 1, WINDOWS_PER_DOC).astype(int)] if len(x) > WINDOWS_PER_DOC else x
+
+
+def train(x: np.ndarray, langs: list[str], steps: int = 360, batch: int = 192, rate: float = 0.02, seed: int = 7) -> Network:
+    """Fits a network with Adam on windows and the language of each; languages are drawn alike."""
     names = sorted(set(langs))
-    x, of = windows([t.encode("utf-8", "surrogatepass") for t in texts])
-    keep = np.ones(len(x), bool)
-    for i in range(len(texts)):
-        own = np.flatnonzero(of == i) if len(texts) < 64 else np.arange(*np.searchsorted(of, [i, i + 1]))
-        if len(own) > WINDOWS_PER_DOC:
-            keep[own] = False
-            keep[own[np.linspace(0, len(own) - 1, WINDOWS_PER_DOC).astype(int)]] = True
-    x, of = x[keep], of[keep]
-    y = np.array([names.index(v) for v in langs])[of]
+    place = {n: i for i, n in enumerate(names)}
+    y = np.array([place[v] for v in langs])
     net = Network.start(names, seed)
     rng = np.random.default_rng(seed)
     by = [np.flatnonzero(y == c) for c in range(len(names))]
@@ -182,16 +182,27 @@ def train(texts: list[str], langs: list[str], steps: int = 360, batch: int = 192
 
 
 def training_sample(docs: DataFrame, per_lang: int = MAX_PER_LANG) -> DataFrame:
-    """``(text, lang)``: at most ``per_lang`` documents of each language, in hash order."""
+    """``(doc_id, lang, place, bytes)``: the windows of at most ``per_lang`` documents of each of the
+    ``MAX_LANGS`` most frequent languages, in hash order. They are cut where the texts are."""
     rows = docs.where("lang is not null and text is not null and text <> ''").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
     order = Window.partitionBy("lang").orderBy("h", "doc_id")
     # Hashes are spread evenly, so the first per_lang of n lie within the first 3 per_lang / n of their
     # range: a language with many rows is thinned to that before it meets in a window.
-    sizes = F.broadcast(rows.groupBy("lang").agg(F.count("*").alias("size")))  # a row for each language
+    sizes = F.broadcast(rows.groupBy("lang").agg(F.count("*").alias("size")).orderBy(F.desc("size"), "lang").limit(MAX_LANGS))
     reach = F.least(F.lit(3.0 * per_lang + 100) / F.col("size"), F.lit(1.0)) * 2.0**64 - 2.0**63
     hashed = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).join(sizes, "lang").where(F.col("h").cast("double") <= reach)
     ids = hashed.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_lang).select("doc_id").distinct()
-    return rows.join(F.broadcast(ids), "doc_id").select("text", "lang", "doc_id")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            out: list[tuple[int | None, str, int, bytes]] = []
+            for doc, lang, text in zip(*(c.to_pylist() for c in batch.columns)):
+                out += [(doc, lang, i, w[w != PAD].astype(np.uint8).tobytes()) for i, w in enumerate(spread(text))]
+            columns = zip(*out) if out else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.int32(), pa.binary()))], names=["doc_id", "lang", "place", "bytes"])
+
+    chosen = rows.join(F.broadcast(ids), "doc_id").select("doc_id", "lang", "text")  # per_lang * MAX_LANGS ids at most
+    return chosen.mapInArrow(cut, "doc_id long, lang string, place int, bytes binary")
 
 
 def predict(docs: DataFrame, net: Network | None) -> DataFrame:
@@ -199,7 +210,7 @@ def predict(docs: DataFrame, net: Network | None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(net)  # about 12,000 weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(1).to_pylist()
             known = shared.value is not None
             p = shared.value.documents(texts) if known else np.zeros((len(texts), 1))
@@ -214,9 +225,11 @@ def predict(docs: DataFrame, net: Network | None) -> DataFrame:
 
 
 def fit(docs: DataFrame, per_lang: int = MAX_PER_LANG) -> Network | None:
-    rows = training_sample(docs, per_lang).collect()  # per_lang documents of each language at most
-    rows.sort(key=lambda r: (r.doc_id, r.lang, r.text))
-    return train([r.text for r in rows], [r.lang for r in rows]) if rows else None
+    rows = training_sample(docs, per_lang).collect()  # WINDOWS_PER_DOC * per_lang * MAX_LANGS windows of WINDOW bytes at most
+    rows.sort(key=lambda r: (r.lang, r.doc_id, r.place, bytes(r.bytes)))
+    if not rows:
+        return None
+    return train(windows([bytes(r.bytes) for r in rows])[0], [r.lang for r in rows])
 
 
 def held_out() -> F.Column:

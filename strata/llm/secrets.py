@@ -9,9 +9,14 @@ coverage, the look of a path, address, identifier or date, and the words before
 forest trained on labelled findings ``(before, value, after, label)`` scores each candidate; those of
 ``threshold`` or more are findings. Private key blocks always are.
 
-``labelled_findings`` makes the default training table by rule (``TRAIN_ROWS`` rows, a documented
-bound): keys of known and unknown shape in assignments against commit ids, checksums, identifiers,
-addresses, paths, placeholders and numbers.
+The dictionary is the corpus: a value is cut into words at marks, digits and changes of case, and those
+that ``WORD_DOCS`` or more documents hold as words count as covered, with the words of placeholders below.
+Counts cover all documents; only words that stand in a candidate travel.
+
+Findings of one's own are the training table of choice. ``labelled_findings`` makes the default one by
+rule (``TRAIN_ROWS`` rows, a documented bound): keys of known and unknown shape in assignments against
+commit ids, checksums, identifiers, addresses, paths, placeholders and numbers. The tests hold the forest
+against shapes that the rules don't make.
 
 Defined results: null text counts as empty and has no findings; repeated rows are each scanned; an
 empty table gives an empty result; further columns play no part.
@@ -25,7 +30,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialize, table
 from .pii import matches
 
 MIN_LENGTH = 12
@@ -34,6 +39,9 @@ TRAIN_ROWS = 6_000
 TREES = 24
 DEPTH = 7
 SEED = 3
+#: Documents that hold a word of the dictionary, and its fewest letters.
+WORD_DOCS = 10
+WORD_LETTERS = 3
 NAMES = r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key)"
 RUN = r"[A-Za-z0-9_/+=.@-]"
 # A name may have a prefix (DB_PASSWORD, client_secret): what ends in one of NAMES is assigned to.
@@ -43,7 +51,7 @@ CANDIDATE = (
     r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"
     rf"|(?<!{RUN})(?:{NAMED}[^\s\"',;]{{6,}}+|[A-Za-z_/+=.@-]*+[0-9]{RUN}*+)"
 )
-#: Words of placeholders and prose; a value made of them is no secret.
+#: Words of placeholders; a value made of them is no secret, whatever the corpus holds.
 DICTIONARY = (
     "example sample test demo dummy fake placeholder changeme default value your here insert none null true false undefined password passwd secret token "
     "public index page section chapter article image photo file data user name admin guest login home main content release version build module package "
@@ -61,8 +69,24 @@ def parted(run: Column) -> tuple[Column, Column]:
     return name, F.when(name != "", F.regexp_extract(run, pattern, 2)).otherwise(run)
 
 
+def words_of(value: Column) -> Column:
+    """Words of a value in lower case: letters between marks, digits and changes of case."""
+    return F.transform(F.regexp_extract_all(value, F.lit(rf"\p{{Lu}}?\p{{Ll}}{{{WORD_LETTERS - 1},}}+|\p{{Lu}}{{{WORD_LETTERS},}}+"), 0), F.lower)
+
+
+def covered_letters(rows: DataFrame, docs: DataFrame, text_col: str = "text", word_docs: int = WORD_DOCS) -> DataFrame:
+    """Adds ``covered`` to rows with ``value``: letters in words that ``word_docs`` documents hold."""
+    numbered = materialize(rows.withColumn("_row", F.monotonically_increasing_id()), "secret-candidates")
+    pieces = numbered.select("_row", F.explode(words_of(F.col("value"))).alias("word"))
+    texts = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), r"[^\p{L}]+"))).alias("word"))
+    texts = texts.where(F.length("word") >= WORD_LETTERS).groupBy("word").agg(F.count("*").alias("n"))  # counted within tasks before words travel
+    known = texts.where(F.col("n") >= word_docs).join(pieces.select("word").distinct(), "word", "left_semi").select("word")
+    covered = pieces.join(known, "word").groupBy("_row").agg(F.sum(F.length("word")).alias("covered"))
+    return numbered.join(covered, "_row", "left").withColumn("covered", F.coalesce("covered", F.lit(0))).drop("_row")
+
+
 def features(rows: DataFrame) -> DataFrame:
-    """Adds ``FEATURES`` to rows with ``before, value, after``."""
+    """Adds ``FEATURES`` to rows with ``before, value, after`` and, from the corpus, ``covered``."""
     v = F.col("value")
     n = F.greatest(F.length(v), F.lit(1)).cast("double")
 
@@ -73,7 +97,8 @@ def features(rows: DataFrame) -> DataFrame:
     for pattern, mark in (("[a-z]", "a"), ("[A-Z]", "A"), ("[0-9]", "0"), ("[^aA0]", "-")):
         shape = F.regexp_replace(shape, pattern, mark)
     low = F.lower(v)
-    covered = n - F.length(F.regexp_replace(low, "(" + "|".join(sorted(DICTIONARY, key=len, reverse=True)) + ")", ""))
+    placeholders = n - F.length(F.regexp_replace(low, "(" + "|".join(sorted(DICTIONARY, key=len, reverse=True)) + ")", ""))
+    covered = F.greatest(placeholders, F.col("covered")) if "covered" in rows.columns else placeholders
     tail = F.regexp_extract(F.col("before"), r"([A-Za-z0-9_.-]+)[^A-Za-z0-9]*$", 1)
     columns = {
         "length": F.least(n, F.lit(200.0)),
@@ -116,7 +141,7 @@ def labelled_findings(spark: SparkSession, rows: int = TRAIN_ROWS) -> DataFrame:
 
     names = pick(["token", "password", "secret", "api_key", "access_key", "auth_token", "client_secret", "pwd"], 1)
     sign = pick([" = \"", "=", ": ", "=\"", ": '", " = "], 2)
-    prose = pick(["the", "of", "and", "see", "page", "with", "in", "by", "from", "mentoi", "erheit", "ciones"], 3)
+    prose = pick(["the", "of", "and", "see", "page", "with", "in", "by", "from", "which", "under", "about"], 3)
     digits = F.translate(h, "abcdef", "012345")
     word = pick(["section", "chapter", "image", "release", "handler", "module", "package", "article", "photo", "version"], 4)
     kinds: list[tuple[int, Column, Column]] = [
@@ -189,9 +214,9 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return rows.where(block | long_enough).select("doc_id", "start", (F.col("start") + F.length("value")).alias("end"), "before", "value", "after")
 
 
-def secrets(docs: DataFrame, model: RandomForestClassificationModel, threshold: float = 0.5, **columns) -> DataFrame:
+def secrets(docs: DataFrame, model: RandomForestClassificationModel, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, start, end, value, score)`` of the candidates that the forest keeps."""
-    rows = features(candidates(docs, **columns))
+    rows = features(covered_letters(candidates(docs, id_col, text_col), docs, text_col))
     scored = model.transform(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows))
     score = F.when(F.col("value").startswith("-----BEGIN"), F.lit(1.0)).otherwise(vector_to_array("probability")[1])
     return scored.withColumn("score", score).where(F.col("score") >= threshold).select("doc_id", "start", "end", "value", "score")

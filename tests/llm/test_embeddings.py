@@ -60,3 +60,11 @@ def test_repeated_rows_are_one_vector(spark):
 def test_passes_grow_with_the_table():
     few, many = (embeddings.passes_for(n, 0.98, 256, 1e-4) for n in (10_000, 1_000_000_000))
     assert 4 <= few < many < 200
+
+
+def test_text_labels_and_double_vectors(spark):
+    # in single precision both pairs would be one vector
+    rows = [(1, "a", [1.0, 1e-9]), (2, "a", [1.0, 2e-9]), (3, "b", [1.0, 0.0]), (4, None, [1.0, 0.0]), (5, "b", [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, label string, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.embedding_links(df).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (0, 4), 5: (0, 5)}

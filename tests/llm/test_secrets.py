@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from strata.llm import secrets
@@ -51,3 +53,39 @@ def test_prefixed_names_give_their_whole_value(spark, model):
     ]
     df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
     assert {r.doc_id: r.value for r in secrets.secrets(df, model).collect()} == {i: v for i, (_, v) in enumerate(cases)}
+
+
+def test_shapes_that_the_rules_do_not_make(spark, model):
+    """Held out: base32 seeds, dotted tokens, url credentials, licence keys; against versions, slugs, hashes in
+    paths, long identifiers, coordinates and repeated marks."""
+    rng = random.Random(12)
+
+    def draw(letters, n):
+        return "".join(rng.choice(letters) for _ in range(n))
+
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    rows = []
+    for _ in range(60):
+        rows += [
+            (f"totp_secret: {draw(upper + '234567', 32)} ok", 1), (f'api-key="{draw(lower + digits, 8)}.{draw(lower + upper + digits, 24)}" set', 1),
+            (f"SERVICE_TOKEN={draw(lower + upper + digits, 22)}== end", 1), (f"password: {draw(lower, 4)}{draw(upper, 3)}!{draw(digits, 4)}$ then", 1),
+            (f"release build-{draw(digits, 4)}.{draw(digits, 2)}.{draw(digits, 2)}-rc{draw(digits, 1)} of", 0), (f"see https://docs.example.org/guide/chapter-{draw(digits, 3)}/page.html for", 0),
+            (f"blob {draw('0123456789abcdef', 40)} in", 0), (f"at 52.{draw(digits, 5)},-1.{draw(digits, 5)} north", 0), (f"order {draw(digits, 14)} shipped", 0),
+            (f"file report_{draw(digits, 8)}_final_version.xlsx saved", 0),
+        ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    found = {r.doc_id for r in secrets.secrets(df, model).collect()}
+    good, bad = {i for i, (_, y) in enumerate(rows) if y}, {i for i, (_, y) in enumerate(rows) if not y}
+    assert len(found & good) >= 0.9 * len(good) and len(found & bad) <= 0.05 * len(bad), (len(found & good) / len(good), len(found & bad) / len(bad))
+
+
+def test_coverage_counts_words_of_the_corpus(spark):
+    docs = spark.createDataFrame([(i, f"Quick brown foxes {i}") for i in range(12)] + [(50, "rarely seen"), (51, None)], "doc_id long, text string")
+    rows = spark.createDataFrame([("quickBrownFoxes7",), ("QUICK_rarely",), ("x9",), ("quickBrownFoxes7",)], "value string")
+    got = sorted((r.value, r.covered) for r in secrets.covered_letters(rows, docs).collect())
+    assert got == [("QUICK_rarely", 5), ("quickBrownFoxes7", 15), ("quickBrownFoxes7", 15), ("x9", 0)]
+
+
+def test_repeated_rows_and_clashing_columns(spark, model):
+    df = spark.createDataFrame([(1, f'token = "{KEY}"', "a", 1)] * 3, "doc_id long, text string, value string, covered int")
+    assert [(r.doc_id, r.value) for r in secrets.secrets(df, model).collect()] == [(1, KEY)] * 3
