@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +23,30 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+_open: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that ``materialize`` writes inside are deleted at the end, but for those given to the function
+    that this yields. For work whose result is written before the end."""
+    made: list[DataFrame] = []
+    kept: list[DataFrame] = []
+    _open.append(made)
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _open.remove(made)
+        for df in made:
+            if not any(df is k for k in kept):
+                drop_table(df)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` as a Parquet table in the shared folder and reads it back."""
     spark = df.sparkSession
@@ -28,6 +54,8 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._strata_path = path
+    if _open:
+        _open[-1].append(out)
     return out
 
 
