@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from strata.llm import decontamination, mixing, simhash, tokens, toxicity
-from strata.llm.common import materialize, table
+from strata.llm.common import drop_table, materialize, scratch, table
 
 #: Settings of the mix, such as ``weights``; both stages that follow its schedule take them.
 MIX: dict = {}
@@ -53,5 +53,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before = docs
+        with scratch() as keep:  # what a stage wrote on its way goes with it
+            docs = keep(materialize(stage(spark, before, sf_dir), f"pipeline-{name}"))
+        drop_table(before)
     return docs

@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from ..operators.shared import drop_table, materialize, shared_dir
+from ..operators.shared import drop_table, materialize, scratch, shared_dir
 
-__all__ = ["bounded_units", "connected_components", "drop_table", "forest_edges", "materialize", "per_unit", "release_caches", "shared_dir", "slices", "table", "worker_cache"]
+__all__ = ["bounded_units", "connected_components", "drop_table", "forest_edges", "materialize", "per_unit", "release_caches", "scratch", "shared_dir", "slices", "table", "worker_cache"]
 
 #: Rows that one block of a hot bucket holds; a work unit holds two blocks at most.
 BLOCK_ROWS = 1024
