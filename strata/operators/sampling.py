@@ -37,11 +37,15 @@ def review_queues(windows: DataFrame, seed: str, limit: int = 25, high: float =
     MEDIUM by hash within the quantile band; REFERENCE by hash from the rest."""
     q = windows.agg(F.percentile("score", F.array(F.lit(high), F.lit(band[0]), F.lit(band[1]))).alias("q"))
     rows = windows.crossJoin(F.broadcast(q)).withColumn("rank", hash_rank(seed, F.col("window_id")))  # q is one row
-    top = rows.where(F.col("score") >= F.col("q")[0]).orderBy(F.col("score").desc(), "window_id").limit(limit).select(F.lit("HIGH").alias("queue"), "window_id", "score")
-    rest = rows.join(top, "window_id", "left_anti")
-    middle = rest.where(F.col("score").between(F.col("q")[1], F.col("q")[2])).orderBy("rank", "window_id").limit(limit).select(F.lit("MEDIUM").alias("queue"), "window_id", "score")
-    other = rest.join(middle, "window_id", "left_anti").orderBy("rank", "window_id").limit(limit).select(F.lit("REFERENCE").alias("queue"), "window_id", "score")
-    return top.unionAll(middle).unionAll(other)
+    # a queue loses at most ``limit`` rows to each queue before it, so that many more are enough to choose from
+    score, by_hash = [F.col("score").desc(), "window_id"], ["rank", "window_id"]
+    top = rows.where(F.col("score") >= F.col("q")[0]).orderBy(*score).limit(limit)
+    middle = rows.where(F.col("score").between(F.col("q")[1], F.col("q")[2])).orderBy(*by_hash).limit(2 * limit)
+    middle = middle.join(top.select("window_id"), "window_id", "left_anti").orderBy(*by_hash).limit(limit)
+    other = rows.orderBy(*by_hash).limit(3 * limit)
+    other = other.join(top.select("window_id").unionAll(middle.select("window_id")), "window_id", "left_anti").orderBy(*by_hash).limit(limit)
+    named = [q.select(F.lit(name).alias("queue"), "window_id", "score") for name, q in (("HIGH", top), ("MEDIUM", middle), ("REFERENCE", other))]
+    return named[0].unionAll(named[1]).unionAll(named[2])
 
 
 def shortest_prefix(rows: DataFrame, order: list, value: str, target: int, most: int) -> DataFrame:

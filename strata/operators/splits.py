@@ -30,13 +30,14 @@ def block_split(rows: DataFrame, block: str, final: list, development: list) ->
 
 
 def integrity_violations(rows: DataFrame, key: str) -> DataFrame:
-    """``(rule, key)``: repeated ids, groups, components or blocks in two partitions, unbalanced ones."""
-    out = rows.groupBy(F.col(key).cast("string").alias("key")).agg(F.count("*").alias("n")).where("n > 1").select(F.lit("repeated_id").alias("rule"), "key")
-    for rule, column in (("group_crosses", "observation_group"), ("component_crosses", "component")):
-        g = rows.where(F.col(column).cast("string") != "").groupBy(F.col(column).cast("string").alias("key")).agg(F.min("partition").alias("a"), F.max("partition").alias("b"))
-        out = out.unionAll(g.where("a <> b").select(F.lit(rule).alias("rule"), "key"))
-    balance = rows.groupBy(F.col("partition").alias("key")).agg(F.sum(F.col("label") * 2 - 1).alias("d"))
-    return out.unionAll(balance.where("d <> 0").select(F.lit("class_imbalance").alias("rule"), "key"))
+    """``(rule, key)``: repeated ids, groups, components or blocks in two partitions, unbalanced ones. Each
+    row gives its keys, and one aggregation judges them all."""
+    columns = {"repeated_id": key, "group_crosses": "observation_group", "component_crosses": "component", "class_imbalance": "partition"}
+    keys = F.array(*[F.struct(F.lit(rule).alias("rule"), F.col(c).cast("string").alias("key")) for rule, c in columns.items()])
+    seen = rows.select("partition", "label", F.explode(keys).alias("k")).where((F.col("k.key") != "") | (F.col("k.rule") != "component_crosses"))
+    judged = seen.groupBy("k.rule", "k.key").agg(F.count("*").alias("n"), F.min("partition").alias("a"), F.max("partition").alias("b"), F.sum(F.col("label") * 2 - 1).alias("d"))
+    broken = F.when(F.col("rule") == "repeated_id", F.col("n") > 1).when(F.col("rule") == "class_imbalance", F.col("d") != 0).otherwise(F.col("a") != F.col("b"))
+    return judged.where(broken).select("rule", "key")
 
 
 def training_units(rows: DataFrame, unit: Column, fold: int, fraction: float, seed: str) -> DataFrame:

@@ -128,8 +128,7 @@ def semi_anti(spark: SparkSession, d: str) -> DataFrame:
     p = _points(spark, d)
     left, right = p.where("block_id >= 3"), p.where("block_id < 3")
     near = near_pairs(left, right, 15000, closer_than(15000), "left_semi").select("site_id", F.lit(True).alias("near"))
-    far = near_pairs(left, right, 15000, closer_than(15000), "left_anti").select("site_id", F.lit(False).alias("near"))
-    return near.unionAll(far)
+    return left.select("site_id").join(near, "site_id", "left").select("site_id", F.coalesce("near", F.lit(False)).alias("near"))
 
 
 @query("jon06_near_pair_counts", f"""SELECT a.block_id, count(*) AS pairs FROM ({v.SITES}) a JOIN ({v.SITES}) b ON a.site_id < b.site_id AND a.block_id = b.block_id AND (a.easting - b.easting) * (a.easting - b.easting) + (a.northing - b.northing) * (a.northing - b.northing) < 20000.0 * 20000.0 GROUP BY a.block_id""")
