@@ -76,7 +76,13 @@ def rounded_quartiles(spark: SparkSession, d: str) -> DataFrame:
     return g.select("label", *[F.round(F.col("q")[i], 6).alias(k) for i, k in enumerate(("q25", "q50", "q75"))])
 
 
-@query("grd03_group_fill")
+FILL_SQL = f"""WITH RECURSIVE g AS (SELECT *, row_number() OVER (ORDER BY {hash_sql('fill-v1', 'observation_group')}) AS i FROM (SELECT observation_group, sum(label) AS w FROM ({v.SAMPLES}) GROUP BY 1 HAVING sum(label) > 0)),
+  r AS (SELECT CAST(0 AS BIGINT) AS i, CAST(40 AS BIGINT) AS rest, CAST(-1 AS INTEGER) AS place, CAST(NULL AS BIGINT) AS observation_group, false AS taken
+  UNION ALL SELECT g.i, CAST(r.rest - CASE WHEN g.w <= r.rest THEN g.w ELSE 0 END AS BIGINT), r.place + CASE WHEN g.w <= r.rest THEN 1 ELSE 0 END, g.observation_group, g.w <= r.rest FROM r JOIN g ON g.i = r.i + 1 WHERE r.rest > 0)
+  SELECT place, observation_group FROM r WHERE taken"""
+
+
+@query("grd03_group_fill", FILL_SQL)
 def group_fill(spark: SparkSession, d: str) -> DataFrame:
     g = v.samples(spark, d).groupBy("observation_group").agg(F.sum("label").alias("w")).where("w > 0")
     taken = greedy.fill_groups(g.withColumn("rank", keys.hash_rank("fill-v1", F.col("observation_group"))), "observation_group", "w", 40, ["rank"])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import raster as r
@@ -47,18 +47,30 @@ def mean_pool(spark: SparkSession, d: str) -> DataFrame:
     return cells.select("patch_id", "brow", "bcol", *[F.round(c, 6).alias(c) for c in r.CHANNELS])
 
 
-@query("ras10_features_packed", f"SELECT patch_id, CAST(4096 AS INTEGER) AS n, round(sum(elevation), 2) AS elevation, round(sum(slope), 2) AS slope, round(sum(hillshade), 1) AS hillshade, round(sum(relief), 2) AS relief FROM ({POOLED}) GROUP BY patch_id")
-def features_packed(spark: SparkSession, d: str) -> DataFrame:
-    f = r.packed_features(r.packed(_pixels(spark, d)))
-    total = lambda k: F.aggregate(F.slice("features", 1024 * k + 1, 1024), F.lit(0.0), lambda s, x: s + x.cast("double"))
-    return f.select(
-        F.col("patch_id").cast("int").alias("patch_id"), F.size("features").alias("n"), F.round(total(0), 2).alias("elevation"), F.round(total(1), 2).alias("slope"), F.round(total(2), 1).alias("hillshade"), F.round(total(3), 2).alias("relief")
+FEATURE_SUMS = f"""SELECT patch_id, CAST(4096 AS INTEGER) AS n, round(sum(elevation), 2) AS elevation, round(sum(slope), 2) AS slope, round(sum(hillshade), 1) AS hillshade, round(sum(relief), 2) AS relief
+  FROM ({POOLED}) GROUP BY patch_id"""
+
+
+def _feature_sums(features: DataFrame) -> DataFrame:
+    """Length of the feature vector and the sum of each channel's 1,024 values."""
+
+    def total(k: int) -> Column:
+        return F.aggregate(F.slice("features", 1024 * k + 1, 1024), F.lit(0.0), lambda s, x: s + x.cast("double"))
+
+    return features.select(
+        F.col("patch_id").cast("int").alias("patch_id"), F.size("features").alias("n"), F.round(total(0), 2).alias("elevation"), F.round(total(1), 2).alias("slope"),
+        F.round(total(2), 1).alias("hillshade"), F.round(total(3), 2).alias("relief"),
     )
 
 
-@query("ras10_features_long")
+@query("ras10_features_packed", FEATURE_SUMS)
+def features_packed(spark: SparkSession, d: str) -> DataFrame:
+    return _feature_sums(r.packed_features(r.packed(_pixels(spark, d))))
+
+
+@query("ras10_features_long", FEATURE_SUMS)
 def features_long(spark: SparkSession, d: str) -> DataFrame:
-    return r.feature_vectors(r.pooled(r.representations(r.prepared(_pixels(spark, d)))))
+    return _feature_sums(r.feature_vectors(r.pooled(r.representations(r.prepared(_pixels(spark, d))))))
 
 
 @query("ras11_patch_review", f"""SELECT patch_id, round(n, 9) AS nodata, CASE WHEN n > 0.005 THEN 'nodata_excess' ELSE '' END AS reasons, n <= 0.005 AS passed FROM (SELECT patch_id, avg(CASE WHEN masked THEN 1.0 ELSE 0.0 END) AS n FROM ({SURFACE}) GROUP BY patch_id)""")

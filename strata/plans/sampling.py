@@ -92,13 +92,28 @@ def suppression(spark: SparkSession, d: str) -> DataFrame:
     return greedy.suppress(v.windows(spark, d).withColumn("domain", F.col("domain").cast("bigint")))
 
 
-@query("grd02_balanced_folds")
+UNITS = "coalesce(nullif(component, ''), CAST(observation_group AS VARCHAR))"
+FOLD_SQL = f"""WITH RECURSIVE g AS (SELECT block, size, row_number() OVER (ORDER BY size DESC, units DESC, block) AS i FROM (SELECT block, count(*) AS size, count(DISTINCT {UNITS}) AS units FROM ({v.SAMPLES}) GROUP BY block)),
+  r AS (SELECT CAST(0 AS BIGINT) AS i, CAST([0, 0, 0, 0, 0] AS BIGINT[]) AS t, CAST([0, 0, 0, 0, 0] AS BIGINT[]) AS k, CAST(0 AS BIGINT) AS f, CAST(NULL AS BIGINT) AS block, CAST(0 AS BIGINT) AS size
+  UNION ALL SELECT i, list_transform(range(1, 6), lambda x: t[x] + CASE WHEN x = f THEN size ELSE 0 END), list_transform(range(1, 6), lambda x: k[x] + CASE WHEN x = f THEN 1 ELSE 0 END), f, block, size
+  FROM (SELECT g.i, r.t, r.k, g.block, g.size, list_position(list_transform(range(1, 6), lambda x: r.t[x] * 1000000 + r.k[x] * 10 + x), list_min(list_transform(range(1, 6), lambda x: r.t[x] * 1000000 + r.k[x] * 10 + x))) AS f FROM r JOIN g ON g.i = r.i + 1))
+  SELECT block, CAST(f - 1 AS INTEGER) AS fold, size FROM r WHERE i > 0"""
+
+
+@query("grd02_balanced_folds", FOLD_SQL)
 def folds(spark: SparkSession, d: str) -> DataFrame:
     s = v.samples(spark, d).withColumn("unit", keys.related_unit(F.col("component"), F.col("observation_group").cast("string")))
     return greedy.balanced_folds(s, "block", "unit")
 
 
-@query("grd04_nonadjacent_cells")
+CELL_SQL = f"""WITH RECURSIVE g AS (SELECT *, row_number() OVER (ORDER BY c DESC, cell) AS i FROM (SELECT {cell_sql(100)} AS cell, CAST(floor(easting / 100000.0) AS BIGINT) AS x, CAST(floor(northing / 100000.0) AS BIGINT) AS y, count(*) AS c
+    FROM ({v.SITES}) GROUP BY ALL HAVING count(*) >= 12)),
+  r AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(x BIGINT, y BIGINT, cell VARCHAR)[]) AS taken UNION ALL SELECT g.i, CASE WHEN len(list_filter(r.taken, lambda t: abs(t.x - g.x) <= 1 AND abs(t.y - g.y) <= 1)) = 0
+    AND len(r.taken) < 4 THEN list_append(r.taken, {{'x': g.x, 'y': g.y, 'cell': g.cell}}) ELSE r.taken END FROM r JOIN g ON g.i = r.i + 1)
+  SELECT CAST(k - 1 AS INTEGER) AS place, taken[k].cell AS cell FROM (SELECT taken, unnest(range(1, len(taken) + 1)) AS k FROM r WHERE i = (SELECT max(i) FROM r))"""
+
+
+@query("grd04_nonadjacent_cells", CELL_SQL)
 def nonadjacent(spark: SparkSession, d: str) -> DataFrame:
     e, n = keys.cell_indices(F.col("cell"))
     cells = v.sites(spark, d).groupBy(keys.grid_cell(F.col("easting"), F.col("northing")).alias("cell")).agg(F.count("*").alias("count"))

@@ -1,10 +1,13 @@
+import hashlib
 import math
+import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from strata.operators import contracts, graph, greedy, ledger, metrics, raster, resample, sampling, spatial, splits
+from strata.operators.coverage import assess_coverage
 from strata.operators.celljoin import closer_than, near_pairs, squares_overlap
 
 
@@ -177,3 +180,104 @@ def test_ledger(spark):
     old = spark.createDataFrame([("k", 7, 1, "x")], "key string, id long, at int, v string")
     new = spark.createDataFrame([("k", 8, 2, "y"), ("m", 9, 2, "z")], "key string, id long, at int, v string")
     assert {tuple(r) for r in ledger.upsert(old, new, ["key"], "at").collect()} == {("k", 7, 2, "y"), ("m", 9, 2, "z")}
+
+
+def square(x, y, size):
+    return [(x, y), (x, y + size), (x + size, y + size), (x + size, y), (x, y)]
+
+
+def test_geometry_review_by_hand(spark):
+    ring = "array<array<struct<x:double,y:double>>>"
+    cases = [
+        (None, 5.0, 5.0, 0.1, ("needs_review", "geometry_missing", 0)), ([], 5.0, 5.0, 0.1, ("needs_review", "geometry_missing", 0)),
+        ([square(0.0, 0.0, 10.0)], 5.0, 5.0, 0.1, ("pass", None, 1)), ([square(0.0, 0.0, 10.0)] * 2, 5.0, 5.0, 0.1, ("fail", "geometry_compound", 2)),
+        ([square(0.0, 0.0, 10.0)], 50.0, 5.0, 0.1, ("fail", "geometry_off_centre", 1)), ([square(0.0, 0.0, 10.0)], 5.0, 5.0, None, ("needs_review", "geometry_too_large", 1)),
+        ([square(0.0, 0.0, 10.0)], 5.0, 5.0, 0.6, ("needs_review", "geometry_too_large", 1)), ([square(0.0, 0.0, 250.0)], 125.0, 125.0, 0.1, ("needs_review", "geometry_too_large", 1)),
+        ([square(0.0, 0.0, 10.0)[::-1]], 5.0, 5.0, 0.1, ("pass", None, 1)),  # no outer ring: the largest one stands for it
+    ]
+    df = spark.createDataFrame([(i, r, x, y, a) for i, (r, x, y, a, _) in enumerate(cases)], f"i int, rings {ring}, x double, y double, a double")
+    got = df.select("i", spatial.geometry_review(*[F.col(c) for c in ("rings", "x", "y", "a")]).alias("g")).select("i", "g.*").collect()
+    assert {r.i: (r.status, r.reason, r.outer_rings) for r in got} == {i: c[-1] for i, c in enumerate(cases)}
+
+
+def test_coverage_assessment_by_hand(spark):
+    points = [(s, i, s * 100.0 + i, 5.0) for s in range(7) for i in range(9)]
+    full, half = lambda s: square(s * 100.0 - 10, 0.0, 30.0), lambda s: square(s * 100.0 - 10, 0.0, 14.0)
+    feats = [
+        (0, 1, full(0), "p", "2020", "1", "a", "b", "NP file", None), (1, 2, half(1), "p", "2020", "1", "a", "b", "x", None),
+        (2, 3, full(2), "p", "2020", "1", "a", "b", "x", None), (2, 4, full(2), "q", "2020", "1", "a", "b", "x", None), (3, 5, full(3), "p", "2020", "2", "a", "b", "x", None),
+        (4, 6, full(4), "p", "2020", "1", "a", "", "x", None), (5, 7, full(5), "p", "2020", "1", "a", "b", "", "stamped"),
+    ]
+    p = spark.createDataFrame(points, "site_id int, i int, x double, y double").withColumn("c", F.col("site_id"))
+    f = spark.createDataFrame(feats, "d int, feature_id int, ring array<struct<x:double,y:double>>, polygon_id string, year string, resolution string, start string, end string, source string, programme_kind string")
+    got = {r.site_id: (r.coverage, r.provenance, r.reason, r.programme) for r in assess_coverage(p, f, F.col("c") == F.col("d")).collect()}
+    assert got == {
+        0: ("pass", "pass", None, "National LIDAR Programme"), 1: ("fail", "not_reviewed", "terrain_patch_incomplete", None), 2: ("pass", "needs_review", "terrain_provenance_confounded", "EA Composite source survey"),
+        3: ("fail", "fail", "terrain_no_1m_coverage", "EA Composite source survey"), 4: ("pass", "needs_review", "terrain_provenance_missing", "EA Composite source survey"),
+        5: ("pass", "pass", None, "Time-stamped EA survey"), 6: ("fail", "not_reviewed", "terrain_no_1m_coverage", None),
+    }
+
+
+def test_diverse_order_and_rejection_equal_the_plain_rules(spark):
+    rng = random.Random(8)
+    rows = [(f"k{i:03d}", rng.randrange(6), rng.randrange(4)) for i in range(60)]
+    left, seen, want = sorted(rows), (set(), set()), []
+    while len(want) < 15:
+        best = max(left, key=lambda r: sum(r[j + 1] not in seen[j] for j in (0, 1)))
+        left.remove(best)
+        want.append(best[0])
+        for j in (0, 1):
+            seen[j].add(best[j + 1])
+    assert greedy.diverse_order(spark.createDataFrame(rows, "key string, a int, b int"), "key", ["a", "b"], 15) == want
+    draws = [(g, p, a, rng.uniform(0, 90), rng.uniform(0, 90)) for g in (0, 1) for p in range(20) for a in (1, 2, 3)]
+    want = []
+    for g in (0, 1):
+        taken, done = [], set()
+        for _, p, a, x, y in sorted(d for d in draws if d[0] == g):
+            if p not in done and all((x - u) ** 2 + (y - w) ** 2 >= 225 for u, w in taken):
+                taken.append((x, y))
+                done.add(p)
+                want.append((g, p, a))
+    got = greedy.rejection_sample(spark.createDataFrame(draws, "region long, positive long, attempt long, x double, y double"), 15.0).collect()
+    assert sorted((r.region, r.positive, r.attempt) for r in got) == sorted(want) and len(want) < 40
+
+
+def test_array_digests_by_hand(spark):
+    z = [1.5, float("nan"), -2.0]
+    got = raster.content_digests(spark.createDataFrame([(7, z)], "patch_id long, z array<double>")).first()
+    values, mask = np.array([1.5, 0.0, -2.0], "<f4"), np.array([0, 1, 0], np.uint8)
+    assert got.digest == hashlib.sha256(values.tobytes() + mask.tobytes()).hexdigest()
+
+
+def test_models_separate_what_can_be_separated(spark):
+    from pyspark.ml.functions import array_to_vector
+
+    from strata.operators import models
+
+    rng = random.Random(1)
+    rows = [(i, float(i % 2), [rng.gauss(2.0 * (i % 2), 0.4), rng.gauss(0, 1)]) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, label double, f array<double>").withColumn("features", array_to_vector("f")).drop("f")
+    train, test = df.where("vec_id % 3 <> 0"), df.where("vec_id % 3 = 0")
+    for model in (models.logistic(train.count()), models.forest(20)):
+        scores = models.score(model.fit(train), test).collect()
+        assert len(scores) == 100 and all(0 <= r.score <= 1 for r in scores)
+        assert sum((r.score >= 0.5) == (r.label == 1) for r in scores) >= 95
+
+
+def test_inserts_keep_the_first_and_come_with_their_audit_row(spark):
+    old = spark.createDataFrame([(1, "a", 5)], "id int, v string, at int")
+    new = spark.createDataFrame([(2, "late", 9), (2, "early", 3), (1, "again", 1)], "id int, v string, at int")
+    assert sorted(map(tuple, ledger.insert_ignore(old, new, "id", "at").collect())) == [(1, "a", 5), (2, "early", 3)]
+    got = ledger.insert_audited(new.limit(1).withColumn("who", F.lit("w")), "id", "CREATED", "who", "at").collect()
+    assert sorted((r.kind, r.key, r.actor) for r in got) == [("audit", "2", "w"), ("row", "2", "w")]
+
+
+def test_unknown_labels_and_open_results(spark):
+    df = spark.createDataFrame([("p",), ("b",)], "l string")
+    label = contracts.encoded_label(F.col("l"), "p", "b")
+    assert [r[0] for r in df.select(label).collect()] == [1, 0]
+    for bad in ("x", None):
+        with pytest.raises(Exception, match="unknown label"):
+            spark.createDataFrame([(bad,)], "l string").select(label).collect()
+    events = spark.createDataFrame([(1, 1, "UNREVIEWED"), (1, 2, "IN_REVIEW"), (1, 3, "ESCALATED"), (2, 1, "IN_REVIEW"), (3, 1, "UNREVIEWED"), (3, 2, "REVIEWED")], "k int, at int, state string")
+    assert sorted((r.k, r.at) for r in ledger.illegal_results(events, "k", ["at"], "state").collect()) == [(2, 1), (3, 2)]
