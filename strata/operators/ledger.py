@@ -10,6 +10,34 @@ PROJECT_STATES = ("DRAFT", "AUTHORIZED", "PROCESSING", "REVIEW_REQUIRED", "REVIE
 RESULT_MOVES = {"UNREVIEWED": ("IN_REVIEW",), "IN_REVIEW": ("REVIEWED", "ESCALATED")}
 
 
+# Tables of the ledger with their keys, and what each refers to.
+TABLES = {
+    "organisations": ("organisation_id string, name string, created_at timestamp", "organisation_id", {}),
+    "projects": ("project_id string, organisation_id string, state string, created_at timestamp", "project_id", {"organisation_id": "organisations"}),
+    "jobs": ("job_id string, project_id string, status string, created_at timestamp", "job_id", {"project_id": "projects"}),
+    "results": ("result_id string, job_id string, project_id string, review_state string, score double", "result_id", {"job_id": "jobs", "project_id": "projects"}),
+    "audit": ("event_id string, project_id string, action string, actor string, at timestamp", "event_id", {"project_id": "projects"}),
+}
+
+
+def key_violations(tables: dict[str, DataFrame]) -> DataFrame:
+    """``(rule, key)`` of repeated or missing primary keys and of references to rows that are not there."""
+    out = None
+    for name, (_, key, refers) in TABLES.items():
+        if name not in tables:
+            continue
+        rows = tables[name]
+        k = F.coalesce(F.col(key), F.lit(""))
+        found = rows.groupBy(k.alias("key")).agg(F.count("*").alias("n")).where("n > 1 or key = ''").select(F.lit(f"{name}.primary_key").alias("rule"), "key")
+        for column, other in refers.items():
+            if other in tables:
+                there = tables[other].select(F.col(TABLES[other][1]).alias(column))
+                lost = rows.where(F.col(column).isNotNull()).join(there, column, "left_anti").select(F.lit(f"{name}.{column}").alias("rule"), k.alias("key"))
+                found = found.unionAll(lost)
+        out = found if out is None else out.unionAll(found)
+    return out
+
+
 def insert_ignore(existing: DataFrame, new: DataFrame, key: str, order: str | None = None) -> DataFrame:
     """``existing`` and the rows of ``new`` whose key is not there yet; of repeated new keys, the first
     by ``order`` stays (by all columns without it)."""

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.contracts import assert_empty, assert_public
+from ..operators.contracts import assert_empty, assert_public, repeated
+from ..operators.metrics import inventory_digest
 
 #: A modelling index; column order is the CSV header.
 MODELLING_INDEX = T.StructType(
@@ -69,3 +70,19 @@ def quarantine(rows: DataFrame, good: Column, reason: Column, path: str) -> Data
     bad = rows.where(~F.coalesce(good, F.lit(False))).withColumn("reason", reason)
     bad.write.mode("append").partitionBy("reason").parquet(path)
     return rows.where(good)
+
+
+def read_folds(spark: SparkSession, path: str, digest: str, prefix: str = "fold_", folds: int = 5) -> DataFrame:
+    """``(group, fold int)`` of a frozen fold file. A repeated group, a name without the prefix, a fold out of
+    range or one that no group has, and a digest other than the frozen one, are errors."""
+    rows = spark.read.schema("group string, fold string").option("header", True).option("mode", "FAILFAST").csv(path)
+    number = F.expr(f"try_cast(substring(fold, {len(prefix) + 1}) as int)")
+    named = rows.withColumn("_n", F.when(F.startswith(F.col("fold"), F.lit(prefix)), number))
+    bad = named.where("_n is null or _n < 0 or _n >= " + str(folds)).select(F.lit("fold_name").alias("rule"), F.coalesce("group", F.lit("")).alias("key"))
+    missing = spark.range(folds).join(named.select(F.col("_n").cast("long").alias("id")), "id", "left_anti").select(F.lit("missing_fold").alias("rule"), F.col("id").cast("string").alias("key"))
+    assert_empty(bad.unionAll(repeated(rows, "group", "repeated_group")).unionAll(missing))
+    line = F.concat_ws(":", "group", "fold")
+    found = inventory_digest(rows, [], line, "group").first().digest
+    if found != digest:
+        raise ValueError("the folds differ from the frozen ones")
+    return named.select("group", F.col("_n").alias("fold"))

@@ -94,3 +94,76 @@ def test_digest_tells_nulls_apart(spark):
     assert digest([(1, 2), (3, 4)]) == digest([(3, 4), (1, 2)]) != digest([(1, 2), (3, 4), (3, 4)])
     assert digest([([1, None],)], "a array<int>") != digest([([None, 1],)], "a array<int>")
     assert digest([]) == digest([])
+
+
+@pytest.fixture
+def service():
+    """A record service on this machine: counts and pages of what matches."""
+    import http.server
+    import threading
+    import urllib.parse
+
+    records = [{"list_entry": i, "name": f"n{i}", "easting": float(i), "northing": 0.0, "kind": "ab"[i % 2]} for i in range(25)]
+    asked = []
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):  # noqa: N802
+            q = {k: v[0] for k, v in urllib.parse.parse_qs(urllib.parse.urlparse(self.path).query).items()}
+            asked.append(q)
+            found = [r for r in records if q["where"] == "1=1" or r["kind"] == q["where"].split("'")[1]]
+            if q.get("returnCountOnly"):
+                got = {"count": len(found)}
+            else:
+                at, n = int(q["resultOffset"]), int(q["resultRecordCount"])
+                got = {"features": [{"attributes": {k: r[k] for k in q["outFields"].split(",")}} for r in found[at : at + n]]}
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps(got).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}/query", asked
+    server.shutdown()
+
+
+def test_offset_pages_follow_the_count_and_send_the_predicate(spark, service):
+    from strata.sources.paged import OffsetSource, record_count
+
+    address, asked = service
+    spark.dataSource.register(OffsetSource)
+    rows = spark.read.format("strata_offset").option("address", address).option("page_size", "7").load()
+    assert sorted(r.list_entry for r in rows.collect()) == list(range(25)) and rows.rdd.getNumPartitions() == 4
+    asked.clear()
+    part = spark.read.format("strata_offset").option("address", address).option("where", "kind='b'").load()
+    assert sorted(r.list_entry for r in part.collect()) == list(range(1, 25, 2))
+    assert asked and all(q["where"] == "kind='b'" for q in asked)
+    assert record_count(address, "kind='a'") == 13
+
+
+def test_frozen_folds(spark, tmp_path):
+    import hashlib
+
+    def write(name, lines):
+        (tmp_path / name).write_text("group,fold\n" + "\n".join(lines) + "\n")
+        return str(tmp_path / name)
+
+    good = ["g1,fold_0", "g2,fold_1", "g3,fold_0"]
+    digest = hashlib.sha256("".join(f"{x.replace(',', ':')}\n" for x in good).encode()).hexdigest()
+    got = index.read_folds(spark, write("a.csv", good[::-1]), digest, folds=2).collect()
+    assert {r.group: r.fold for r in got} == {"g1": 0, "g2": 1, "g3": 0}
+    for name, lines, folds, match in (("b", [*good, "g1,fold_1"], 2, "repeated_group"), ("c", ["g1,part_0"], 1, "fold_name"), ("d", good, 3, "missing_fold"), ("e", ["g1,fold_1", "g2,fold_0"], 2, "frozen")):
+        with pytest.raises(ValueError, match=match):
+            index.read_folds(spark, write(f"{name}.csv", lines), digest, folds=folds)
+
+
+def test_ledger_keys(spark):
+    from strata.operators import ledger
+
+    made = {name: spark.createDataFrame([], schema) for name, (schema, _, _) in ledger.TABLES.items()}
+    made["projects"] = spark.createDataFrame([("p1", "o1", "DRAFT", None), ("p1", "o1", "DRAFT", None), ("p2", None, "DRAFT", None)], ledger.TABLES["projects"][0])
+    made["jobs"] = spark.createDataFrame([("j1", "p1", "DONE", None), ("j2", "p9", "DONE", None), (None, "p2", "DONE", None)], ledger.TABLES["jobs"][0])
+    got = sorted((r.rule, r.key) for r in ledger.key_violations(made).collect())
+    assert got == [("jobs.primary_key", ""), ("jobs.project_id", "j2"), ("projects.organisation_id", "p1"), ("projects.organisation_id", "p1"), ("projects.primary_key", "p1")]
