@@ -30,6 +30,8 @@ from pyspark.sql import types as T
 from .common import bounded_units, connected_components, forest_edges, materialize, per_unit, table
 
 WINDOW = 256
+#: Rows of a sorted partition: enough windows that a seam reaches from one partition into the next only.
+LEAST_ROWS, MOST_ROWS = 8 * WINDOW, 500_000
 SIGN_BITS = 63  # a key fits into a non-negative long
 SEED = 20240229
 
@@ -79,9 +81,9 @@ def projection_keys(vectors: DataFrame, passes: int) -> DataFrame:
     return vectors.select("label", "dim", "rep", "e").mapInArrow(run, f"p int, label long, dim int, key long, rep long, e {dict(vectors.dtypes)['e']}")
 
 
-def window_links(keyed: DataFrame, threshold: float, window: int) -> DataFrame:
+def window_links(keyed: DataFrame, threshold: float, window: int, total: int) -> DataFrame:
     """``edges(a, b)``: spanning edges of the links found inside the windows of each sorted
-    partition, and of those across neighbouring partitions' ends."""
+    partition, and of those across neighbouring partitions' ends. ``total``: rows of ``keyed``."""
 
     def compare(part: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         group = np.stack([part.column(c).to_numpy() for c in ("p", "label", "dim")])
@@ -151,8 +153,10 @@ def window_links(keyed: DataFrame, threshold: float, window: int) -> DataFrame:
         if tail is not None:
             yield from ends(tail, seam + 1, 0)
 
+    usual = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = min(max(1, total // LEAST_ROWS), max(usual, total // MOST_ROWS))
     sorted_ = (
-        keyed.repartitionByRange("p", "label", "dim", "key", "rep")
+        keyed.repartitionByRange(parts, "p", "label", "dim", "key", "rep")
         .sortWithinPartitions("p", "label", "dim", "key", "rep")
         .withColumn("seam", F.spark_partition_id())
     )
@@ -201,8 +205,9 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.98, window: int = W
         .select("label", F.size("embedding").alias("dim"), "rep", "copies", F.col("embedding").alias("e")),
         "embedding-distinct",
     )
-    passes = passes_for(distinct.count(), threshold, window, miss)
-    edges = window_links(projection_keys(distinct, passes), threshold, window)
+    rows_ = distinct.count()
+    passes = passes_for(rows_, threshold, window, miss)
+    edges = window_links(projection_keys(distinct, passes), threshold, window, rows_ * passes)
     parts = connected_components(edges, "embedding-links")
     links = component_links(parts, distinct, threshold)
     placed = materialize(
