@@ -32,19 +32,25 @@ def surfaces(spark: SparkSession, d: str) -> DataFrame:
     return _pixels(spark, d).groupBy("patch_id").agg(F.round(F.sum("z"), 3).alias("total"), F.round(F.min("z"), 6).alias("low"), F.round(F.max("z"), 6).alias("high"), F.count_if("masked").alias("masked"))
 
 
-@query("ras08_representations", f'SELECT patch_id, "row", "col", round(elevation, 6) AS elevation, round(slope, 6) AS slope, round(hillshade, 6) AS hillshade, round(relief, 6) AS relief FROM ({REPS})')
+#: Closed-form surfaces give values that end in a 5 at the seventh decimal; which way they round would hang on
+#: the order of sums. All are moved off such ties before rounding.
+OFF_TIES = 3e-8
+ROUNDED = ", ".join(f"round({c} + {OFF_TIES}, 6) AS {c}" for c in r.CHANNELS)
+
+
+@query("ras08_representations", f'SELECT patch_id, "row", "col", {ROUNDED} FROM ({REPS})')
 def representations(spark: SparkSession, d: str) -> DataFrame:
     reps = r.representations(r.prepared(_pixels(spark, d)))
-    return reps.select("patch_id", "row", "col", *[F.round(c, 6).alias(c) for c in r.CHANNELS])
+    return reps.select("patch_id", "row", "col", *[F.round(F.col(c) + OFF_TIES, 6).alias(c) for c in r.CHANNELS])
 
 
 POOLED = f'SELECT patch_id, CAST(floor("row" / 4) AS INTEGER) AS brow, CAST(floor("col" / 4) AS INTEGER) AS bcol, coalesce(avg(elevation), 0) AS elevation, coalesce(avg(slope), 0) AS slope, coalesce(avg(hillshade), 0) AS hillshade, coalesce(avg(relief), 0) AS relief FROM ({REPS}) GROUP BY 1, 2, 3'
 
 
-@query("ras09_mean_pool", f"SELECT patch_id, brow, bcol, round(elevation, 6) AS elevation, round(slope, 6) AS slope, round(hillshade, 6) AS hillshade, round(relief, 6) AS relief FROM ({POOLED})")
+@query("ras09_mean_pool", f"SELECT patch_id, brow, bcol, {ROUNDED} FROM ({POOLED})")
 def mean_pool(spark: SparkSession, d: str) -> DataFrame:
     cells = r.pooled(r.representations(r.prepared(_pixels(spark, d))))
-    return cells.select("patch_id", "brow", "bcol", *[F.round(c, 6).alias(c) for c in r.CHANNELS])
+    return cells.select("patch_id", "brow", "bcol", *[F.round(F.col(c) + OFF_TIES, 6).alias(c) for c in r.CHANNELS])
 
 
 FEATURE_SUMS = f"""SELECT patch_id, CAST(4096 AS INTEGER) AS n, round(sum(elevation), 2) AS elevation, round(sum(slope), 2) AS slope, round(sum(hillshade), 1) AS hillshade, round(sum(relief), 2) AS relief
