@@ -1,7 +1,7 @@
 """Fill-in-middle transformation over an index of distinct texts.
 
-Identical texts are grouped by their content: rows are combined in their tasks and then by digest and
-whole text, so that two texts are one only if they are equal byte by byte. Each distinct text gets one
+Identical texts are grouped by their content: copies in a batch are combined before the shuffle, then by digest
+and whole text, so that two texts are one only if they are equal byte by byte. Each distinct text gets one
 Elias-Fano list of its code-point boundaries (byte offsets), about two bits for each code point. The
 index is joined back to the documents on the digest; each document's cuts, drawn from its id, are two
 select operations on the list, which give byte offsets without decoding the text.
@@ -20,10 +20,13 @@ an empty result; further columns play no part.
 
 from __future__ import annotations
 
+import hashlib
 import struct
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -88,37 +91,38 @@ def code_point_starts(text: bytes) -> np.ndarray:
     return np.append(np.flatnonzero(begins), len(raw))
 
 
-def _digest(docs: DataFrame) -> DataFrame:
-    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("digest"), text.alias("bytes"))
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("bytes"))
 
 
 def distinct_index(docs: DataFrame) -> DataFrame:
-    """``(digest, copies, packed, chars, marked, bounds)``: a row for each distinct text of ``docs``."""
+    """``(digest, packed, copies, chars, marked, bounds)``: a row for each distinct text of ``docs``, dealt by
+    digest. Copies in a batch are one row before the shuffle, which is the only one that texts go through."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
         for batch in slices(batches):
-            packed = [press.compress(x) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["digest", "packed"])
+            counts = Counter(batch.column(1).to_pylist())
+            packed = [press.compress(x) for x in counts]
+            digests = [hashlib.sha256(x).digest() for x in counts]
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(packed, pa.binary()), pa.array(counts.values(), pa.int64())], names=["digest", "packed", "copies"])
 
-    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.pandas_udf("chars long, marked boolean, bounds binary")
+    def listed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         unpress = zstandard.ZstdDecompressor()
         marks = [m.encode() for m in (PREFIX, SUFFIX, MIDDLE)]
-        for batch in slices(batches):
-            chars, marked, bounds = [], [], []
-            for packed in batch.column(2).to_pylist():
+        for batch in batches:
+            rows = []
+            for packed in batch:
                 text = unpress.decompress(packed)
                 starts = code_point_starts(text)
-                chars.append(len(starts) - 1)
-                marked.append(any(m in text for m in marks))
-                bounds.append(elias_fano(starts, len(text)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(chars, pa.int64()), pa.array(marked, pa.bool_()), pa.array(bounds, pa.binary())], names=[*batch.schema.names, "chars", "marked", "bounds"])
+                rows.append((len(starts) - 1, any(m in text for m in marks), elias_fano(starts, len(text))))
+            yield pd.DataFrame(rows, columns=["chars", "marked", "bounds"])
 
-    packed = _digest(docs).select("digest", "bytes").mapInArrow(pack, "digest binary, packed binary")
+    packed = _texts(docs).mapInArrow(pack, "digest binary, packed binary, copies long")
     # the packer is one function of the text and can be undone: equal packed texts are equal texts
-    distinct = packed.groupBy("digest", "packed").agg(F.count("*").alias("copies")).select("digest", "copies", "packed")
-    return distinct.mapInArrow(bound, "digest binary, copies long, packed binary, chars long, marked boolean, bounds binary")
+    distinct = packed.repartition("digest").groupBy("digest", "packed").agg(F.sum("copies").alias("copies"))
+    return distinct.withColumn("_list", listed("packed")).select("digest", "packed", "copies", "_list.*")
 
 
 def cuts(doc_id: Column, chars: Column, marked: Column, seed: str = SEED) -> tuple[Column, Column, Column]:
@@ -132,18 +136,16 @@ def cuts(doc_id: Column, chars: Column, marked: Column, seed: str = SEED) -> tup
 
 def fill_in_middle(docs: DataFrame, seed: str = SEED, chunk: int = CHUNK) -> DataFrame:
     """``(doc_id, n, form, prefix_chars, middle_chars, output)`` of every row of ``docs(doc_id, text)``."""
-    keys = materialize(_digest(docs).select("doc_id", "digest"), "infilling-keys")
+    keys = materialize(_texts(docs).select("doc_id", F.unhex(F.sha2("bytes", 256)).alias("digest")), "infilling-keys")
     often = max(chunk, keys.count() // HEAVY_KEYS)
     parts = F.ceil(F.col("copies") / F.lit(chunk)).cast("int")
     heavy = keys.groupBy("digest").agg(F.count("*").alias("copies")).where(F.col("copies") > often)
     heavy = heavy.select("digest", parts.alias("parts"))  # fewer than HEAVY_KEYS rows: each stands for more than 1 / HEAVY_KEYS of all
-    asked = keys.join(F.broadcast(heavy), "digest", "left").select(
-        "doc_id", "digest", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"), F.lit(0)).alias("part")
-    )
-    index = distinct_index(docs).withColumn(
-        "part", F.explode(F.when(F.col("copies") > often, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.lit(0))))
-    )
-    met = asked.join(index, ["digest", "part"])
+    asked = keys.join(F.broadcast(heavy), "digest", "left").select("doc_id", "digest", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("part"))
+    index = distinct_index(docs)
+    usual = asked.where("part is null").drop("part").join(index.where(F.col("copies") <= often), "digest")  # where the index already lies
+    spread = index.where(F.col("copies") > often).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    met = usual.unionByName(asked.join(spread, ["digest", "part"]).drop("part"))
     form, first, second = cuts(F.col("doc_id"), F.col("chars"), F.col("marked"), seed)
     ready = met.select("doc_id", F.col("chars").alias("n"), form.alias("form"), first.alias("first"), second.alias("second"), "digest", "packed", "bounds")
     p, s, m = (x.encode() for x in (PREFIX, SUFFIX, MIDDLE))
