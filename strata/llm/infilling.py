@@ -1,9 +1,9 @@
 """Fill-in-middle transformation over an index of distinct texts.
 
 Identical texts are grouped by their content: copies in a batch are combined before the shuffle, then by digest
-and whole text, so that two texts are one only if they are equal byte by byte. Each distinct text gets one
-Elias-Fano list of its code-point boundaries (byte offsets), about two bits for each code point. The
-index is joined back to the documents on the digest; each document's cuts, drawn from its id, are two
+and whole text, so that two texts are one only if they are equal byte by byte. Each distinct text has one
+Elias-Fano list of its code-point boundaries (byte offsets), about two bits for each code point, made once in
+a batch that holds the text. The index is joined back to the documents on the digest, where it lies; each document's cuts, drawn from its id, are two
 select operations on the list, which give byte offsets without decoding the text.
 
 Texts travel compressed. A text of very many copies is given to several tasks: digests with more than
@@ -26,7 +26,6 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -96,33 +95,24 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def distinct_index(docs: DataFrame) -> DataFrame:
-    """``(digest, packed, copies, chars, marked, bounds)``: a row for each distinct text of ``docs``, dealt by
-    digest. Copies in a batch are one row before the shuffle, which is the only one that texts go through."""
+    """``(digest, packed, chars, marked, bounds, copies)``: a row for each distinct text of ``docs``, dealt by
+    digest. A batch packs and lists each of its texts once; that row goes through the only shuffle of texts."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
-        for batch in slices(batches):
-            counts = Counter(batch.column(1).to_pylist())
-            packed = [press.compress(x) for x in counts]
-            digests = [hashlib.sha256(x).digest() for x in counts]
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(packed, pa.binary()), pa.array(counts.values(), pa.int64())], names=["digest", "packed", "copies"])
-
-    @F.pandas_udf("chars long, marked boolean, bounds binary")
-    def listed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        unpress = zstandard.ZstdDecompressor()
         marks = [m.encode() for m in (PREFIX, SUFFIX, MIDDLE)]
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
-            for packed in batch:
-                text = unpress.decompress(packed)
+            for text, copies in Counter(batch.column(1).to_pylist()).items():
                 starts = code_point_starts(text)
-                rows.append((len(starts) - 1, any(m in text for m in marks), elias_fano(starts, len(text))))
-            yield pd.DataFrame(rows, columns=["chars", "marked", "bounds"])
-
-    packed = _texts(docs).mapInArrow(pack, "digest binary, packed binary, copies long")
-    # the packer is one function of the text and can be undone: equal packed texts are equal texts
-    distinct = packed.repartition("digest").groupBy("digest", "packed").agg(F.sum("copies").alias("copies"))
-    return distinct.withColumn("_list", listed("packed")).select("digest", "packed", "copies", "_list.*")
+                rows.append((hashlib.sha256(text).digest(), press.compress(text), len(starts) - 1, any(m in text for m in marks), elias_fano(starts, len(text)), copies))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
+
+    names = ["digest", "packed", "chars", "marked", "bounds", "copies"]
+    kinds = [pa.binary(), pa.binary(), pa.int64(), pa.bool_(), pa.binary(), pa.int64()]
+    rows = _texts(docs).mapInArrow(pack, "digest binary, packed binary, chars long, marked boolean, bounds binary, copies long")
+    # packer and list are functions of the text, and the packer can be undone: equal packed texts are equal texts
+    return rows.repartition("digest").groupBy(*names[:-1]).agg(F.sum("copies").alias("copies"))
 
 
 def cuts(doc_id: Column, chars: Column, marked: Column, seed: str = SEED) -> tuple[Column, Column, Column]:
