@@ -14,7 +14,7 @@ from .langid import op3_language_id
 from .mixing import op8_source_mixing
 from .pii import op4_pii
 from .secrets import op9_secret_scan
-from .sharding import op13_sharding
+from .sharding import OP13_SQL, op13_sharding
 from .simhash import op10_simhash_near_dedup
 from .tokens import op1_token_output
 from .toxicity import op6_toxicity
@@ -32,4 +32,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_embedding_near_dedup": OP7_SQL, "op12_fill_in_middle": OP12_SQL}
+    return {"op7_embedding_near_dedup": OP7_SQL, "op12_fill_in_middle": OP12_SQL, "op13_sharding": OP13_SQL}

@@ -102,3 +102,18 @@ def moved(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = placements(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return got.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")
+
+
+#: The same rows; the checksum is linear over bits: what a byte adds depends on its distance from the end (``w``).
+OP13_SQL = """WITH RECURSIVE d AS (SELECT row_number() OVER (ORDER BY doc_id, text) AS r, doc_id, coalesce(text, '') AS text, strlen(coalesce(text, '')) AS bytes, sha256(coalesce(CAST(doc_id AS VARCHAR), chr(0))) AS h FROM documents),
+  t AS (SELECT list(c ORDER BY b) AS t FROM (SELECT b, list_reduce(list_prepend(CAST(b AS UBIGINT), CAST(range(8) AS UBIGINT[])), lambda c, k: xor(c >> 1, CAST(3988292384 AS UBIGINT) * (c & 1))) AS c FROM range(256) x(b))),
+  w(k, v) AS (SELECT CAST(0 AS BIGINT), list_append(list_transform(range(8), lambda b: t[(1 << b) + 1]), CAST(4294967295 AS UBIGINT)) FROM t
+    UNION ALL SELECT k + 1, list_transform(v, lambda c: xor(c >> 8, t[CAST(c & 255 AS BIGINT) + 1])) FROM w, t WHERE k < (SELECT max(bytes) FROM d)),
+  b AS (SELECT r, bytes, unnest(regexp_extract_all(hex(encode(text)), '..')) AS x, unnest(range(bytes)) AS i FROM d),
+  s AS (SELECT r, bit_xor(list_reduce(list_prepend(CAST(0 AS UBIGINT), list_transform(range(8), lambda j: v[j + 1] * ((CAST('0x' || x AS UBIGINT) >> j) & 1))), lambda p, q: xor(p, q))) AS c FROM b JOIN w ON k = bytes - 1 - i GROUP BY r),
+  j(r, state, place) AS (SELECT r, CAST('0x' || substr(h, 1, 16) AS UHUGEINT), CAST(0 AS BIGINT) FROM d UNION ALL
+    SELECT r, z, CAST(floor(least((place + 1) * (2147483648.0::DOUBLE / CAST((z >> 33) + 1 AS DOUBLE)), 1e15)) AS BIGINT) FROM (SELECT r, place, (state * 2862933555777941757 + 1) % 18446744073709551616 AS z FROM j WHERE place < 25)),
+  g AS (SELECT r, max(place) FILTER (place < 24) AS shard, max(place) FILTER (place < 25) AS grown_shard FROM j GROUP BY r)
+  SELECT doc_id, bytes + 8 AS size, CAST(xor(xor(coalesce(s.c, 0), w.v[9]), 4294967295) AS BIGINT) AS text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS shard,
+    row_number() OVER (PARTITION BY shard ORDER BY doc_id, xor(xor(coalesce(s.c, 0), w.v[9]), 4294967295), bytes) - 1 AS slot, CAST(grown_shard AS INTEGER) AS grown_shard
+  FROM d JOIN w ON w.k = bytes JOIN g USING (r) LEFT JOIN s USING (r)"""
