@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -145,6 +148,14 @@ def annulus_draw(digest: Column, e: Column, n: Column, inner: float, outer: floa
     return F.bround(e + radius * F.cos(angle)), F.bround(n + radius * F.sin(angle))
 
 
+def annulus_points(keys: list[str], e: float, n: float, inner: float, outer: float) -> tuple[np.ndarray, np.ndarray]:
+    """The draws of ``annulus_draw`` for the digests of ``keys``, outside Spark's expressions."""
+    digests = np.frombuffer(b"".join([hashlib.sha256(k.encode()).digest() for k in keys]), ">u8").reshape(-1, 4)
+    u, w = (digests[:, k].astype(np.float64) / float(16**16) for k in (0, 1))
+    angle, radius = 2 * np.pi * u, np.sqrt(inner**2 + w * (outer**2 - inner**2))
+    return np.round(e + radius * np.cos(angle)), np.round(n + radius * np.sin(angle))
+
+
 def policy_violations(policy: dict[str, float]) -> list[str]:
     """Rules that a background sampling policy breaks; the bounds are fixed values."""
     rules = {

@@ -86,7 +86,7 @@ FILL_SQL = f"""WITH RECURSIVE g AS (SELECT *, row_number() OVER (ORDER BY {hash_
 def group_fill(spark: SparkSession, d: str) -> DataFrame:
     g = v.samples(spark, d).groupBy("observation_group").agg(F.sum("label").alias("w")).where("w > 0")
     taken = greedy.fill_groups(g.withColumn("rank", keys.hash_rank("fill-v1", F.col("observation_group"))), "observation_group", "w", 40, ["rank"])
-    return spark.createDataFrame([(i, t) for i, t in enumerate(taken)], "place int, observation_group long")
+    return taken.select(F.col("place").cast("int").alias("place"), "observation_group")
 
 
 @query("win02_group_ordinals", f"SELECT site_id, row_number() OVER (PARTITION BY block_id ORDER BY {hash_sql('ordinal-v1', 'site_id')}, site_id) AS place FROM ({v.SITES})")

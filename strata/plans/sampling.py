@@ -87,7 +87,16 @@ def pair_minimum(spark: SparkSession, d: str) -> DataFrame:
     return v.samples(spark, d).groupBy("observation_group").agg(F.min_by("sample_id", keys.hash_rank("pair-v1", F.col("sample_id"))).alias("sample_id"))
 
 
-@query("grd01_suppression")
+KEPT_SQL = f"""WITH RECURSIVE w AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY score DESC, window_id) AS i FROM ({v.WINDOWS})),
+  r AS (SELECT domain, CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(i BIGINT, y BIGINT, x BIGINT)[]) AS kept FROM w GROUP BY domain
+  UNION ALL SELECT r.domain, w.i, CASE WHEN len(list_filter(r.kept, lambda k: (k.y - w."row") ** 2 + (k.x - w."col") ** 2 < 16384
+    OR greatest(128 - abs(k.y - w."row"), 0) * greatest(128 - abs(k.x - w."col"), 0) / (32768.0 - greatest(128 - abs(k.y - w."row"), 0) * greatest(128 - abs(k.x - w."col"), 0)) > 0.25)) = 0
+    THEN list_append(r.kept, {{'i': w.i, 'y': w."row", 'x': w."col"}}) ELSE r.kept END FROM r JOIN w ON w.domain = r.domain AND w.i = r.i + 1),
+  k AS (SELECT domain, unnest(kept).i AS i, unnest(range(1, len(kept) + 1)) AS place FROM (SELECT domain, arg_max(kept, i) AS kept FROM r GROUP BY domain))
+  SELECT domain, window_id, "row", "col", score, place FROM k JOIN w USING (domain, i)"""
+
+
+@query("grd01_suppression", KEPT_SQL)
 def suppression(spark: SparkSession, d: str) -> DataFrame:
     return greedy.suppress(v.windows(spark, d).withColumn("domain", F.col("domain").cast("bigint")))
 
@@ -130,13 +139,9 @@ def diverse(spark: SparkSession, d: str) -> DataFrame:
 
 @query("grd06_rejection_sampling")
 def rejection(spark: SparkSession, d: str) -> DataFrame:
-    from ..operators.spatial import annulus_draw
-
-    s = v.sites(spark, d).withColumn("attempt", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(8).cast("bigint"))))
-    x, y = annulus_draw(keys.sha("draw-v1:", F.col("site_id"), ":", F.col("attempt")), F.col("easting").cast("double"), F.col("northing").cast("double"), 2000.0, 10000.0)
-    rows = s.select((F.col("block_id") % 5).cast("bigint").alias("region"), F.col("site_id").alias("positive"), "attempt", x.alias("x"), y.alias("y"))
-    inside = rows.where((F.col("x") >= 0) & (F.col("y") >= 0) & (F.col("x") < v.EXTENT) & (F.col("y") < v.EXTENT))
-    return greedy.rejection_sample(inside, 15000.0)
+    s = v.sites(spark, d).select((F.col("block_id") % 5).cast("bigint").alias("region"), F.col("site_id").alias("positive"), F.col("easting").alias("x"), F.col("northing").alias("y"))
+    draw = greedy.annulus_attempts("draw-v1", 2000.0, 10000.0, (0.0, 0.0, float(v.EXTENT), float(v.EXTENT)))
+    return greedy.rejection_sample(s, draw, 10_001.0, 15_000.0)  # a rounded draw may lie a metre farther out
 
 
 @query("grd07_overlap_components", f"""WITH RECURSIVE e AS (SELECT a.site_id AS a, b.site_id AS b FROM ({v.SITES}) a JOIN ({v.SITES}) b ON a.site_id <> b.site_id AND abs(a.easting - b.easting) < 5000 AND abs(a.northing - b.northing) < 5000),

@@ -65,8 +65,8 @@ SITES = (
 def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(window_id, domain, row, col, score)``: order lines as scored windows on a 64 m grid,
     a domain for each supplier."""
-    k = F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
-    rows = table(spark, sf_dir, "lineitem").select(k.alias("window_id"), F.col("l_suppkey").cast("bigint").alias("domain")).distinct()
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_suppkey").cast("bigint").alias("domain")).distinct()
+    rows = rows.select(F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("window_id"), "domain")
     return rows.withColumn("h", sha("W:", F.col("window_id"))).select(
         "window_id", "domain", (F.floor(unit_draw(F.col("h"), 1, 8) * 77) * 64).cast("bigint").alias("row"), (F.floor(unit_draw(F.col("h"), 9, 8) * 77) * 64).cast("bigint").alias("col"),
         F.round(unit_draw(F.col("h"), 17, 8), 2).alias("score"),

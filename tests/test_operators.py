@@ -22,19 +22,42 @@ def test_suppression_keeps_the_best_of_each_place(spark):
     assert [(r.window_id, r.place) for r in greedy.suppress(w).orderBy("place").collect()] == [("a", 1), ("c", 2)]
 
 
-def test_suppression_equals_the_sequential_rule(spark):
-    rng = np.random.default_rng(1)
-    rows = [(0, f"w{i:03d}", int(rng.integers(0, 20)) * 64, int(rng.integers(0, 20)) * 64, float(round(rng.random(), 2))) for i in range(300)]
-    kept = []
-    for r in sorted(rows, key=lambda r: (-r[4], r[1])):
+def greedy_kept(rows):
+    """The rule row by row: best first, a window stays unless it clashes with one that stays."""
+    kept = {}
+    for r in sorted(rows, key=lambda r: (r[0], -r[4], r[1])):
         def clash(k):
             dr, dc = abs(k[2] - r[2]), abs(k[3] - r[3])
             shared = max(128 - dr, 0) * max(128 - dc, 0)
             return math.hypot(dr, dc) < 128 or shared / (2 * 128 * 128 - shared) > 0.25
-        if not any(clash(k) for k in kept):
-            kept.append(r)
-    got = greedy.suppress(spark.createDataFrame(rows, "domain long, window_id string, row long, col long, score double"))
-    assert [r.window_id for r in got.orderBy("place").collect()] == [k[1] for k in kept]
+        if not any(clash(k) for k in kept.setdefault(r[0], [])):
+            kept[r[0]].append(r)
+    return sorted((d, r[1], r[2], r[3], r[4], i + 1) for d, rows in kept.items() for i, r in enumerate(rows))
+
+
+WINDOW = "domain long, window_id string, row long, col long, score double"
+
+
+def window_cases():
+    rng = np.random.default_rng(1)
+    yield [(i % 3, f"w{i:03d}", int(rng.integers(-20, 40)) * 64, int(rng.integers(-20, 40)) * 64, float(round(rng.random(), 2))) for i in range(1500)]
+    yield [(0, f"w{i:04d}", int(rng.integers(0, 900)), int(rng.integers(0, 900)), 0.5) for i in range(900)]  # one score: order by id
+    yield [(0, f"w{i:03d}", 100 * i, 0, 1 - i / 1000) for i in range(40)]  # a chain: each hangs on the one before, over all tiles
+    yield [(0, f"w{i:03d}", 100 * i, 0, i / 1000) for i in range(40)] + [(1, f"x{i}", 0, 0, 0.1) for i in range(50)]  # the other way, and one place
+
+
+@pytest.mark.parametrize("case", range(4))
+def test_suppression_equals_the_sequential_rule(spark, case):
+    rows = list(window_cases())[case]
+    for cells in (4, 64):  # small tiles: many borders and rounds
+        got = greedy.suppress(spark.createDataFrame(rows, WINDOW), tile_cells=cells)
+        assert sorted(tuple(r) for r in got.collect()) == greedy_kept(rows)
+
+
+def test_suppression_of_nothing(spark):
+    assert greedy.suppress(spark.createDataFrame([], WINDOW)).collect() == []
+    with pytest.raises(ValueError):
+        greedy.suppress(spark.createDataFrame([], WINDOW), distance=0)
 
 
 def test_review_queues(spark):
@@ -132,11 +155,36 @@ def test_folds_are_balanced(spark):
         greedy.balanced_folds(df.where("grp < 'g03'"), "grp", "unit")
 
 
-def test_fill_defers_groups_that_do_not_fit(spark):
+def test_folds_equal_the_walk_over_groups(spark):
+    rng = random.Random(6)
+    for sizes in ([rng.randrange(1, 9) for _ in range(120)], [1] * 57, [40, 1, 1, 1, 1, 1, 1, 1, 39, 39, 3, 3, 3], [7, 7, 7, 7, 7]):
+        rows = [(f"g{i:03d}", f"u{i}-{j % (1 + i % 3)}") for i, n in enumerate(sizes) for j in range(n)]
+        walk, totals, numbers = {}, [0] * 5, [0] * 5
+        for i, n in sorted(enumerate(sizes), key=lambda x: (-x[1], -min(x[1], 1 + x[0] % 3), x[0])):
+            f = min(range(5), key=lambda k: (totals[k], numbers[k], k))
+            totals[f] += n
+            numbers[f] += 1
+            walk[f"g{i:03d}"] = (f, n)
+        got = greedy.balanced_folds(spark.createDataFrame(rows, "grp string, unit string"), "grp", "unit").collect()
+        assert {r.grp: (r.fold, r.size) for r in got} == walk
+
+
+def test_fill_defers_groups_that_do_not_fit(spark, monkeypatch):
     g = spark.createDataFrame([(1, 5), (2, 4), (3, 2), (4, 1)], "g int, w int")
-    assert greedy.fill_groups(g, "g", "w", 8, ["g"]) == [1, 3, 4]
+    assert sorted(map(tuple, greedy.fill_groups(g, "g", "w", 8, ["g"]).collect())) == [(1, 0), (3, 1), (4, 2)]
+    assert greedy.fill_groups(g, "g", "w", 12, ["g"]).count() == 4
     with pytest.raises(ValueError):
         greedy.fill_groups(g.where("g < 3"), "g", "w", 8, ["g"])
+    monkeypatch.setattr(greedy, "HELD", 3)
+    rng = random.Random(7)
+    groups = [(i, rng.randrange(1, 30)) for i in range(200)] + [(200 + i, 1) for i in range(30)]
+    left, want = 500, []
+    for i, w in groups:
+        if w <= left:
+            want.append(i)
+            left -= w
+    got = greedy.fill_groups(spark.createDataFrame(groups, "g int, w int"), "g", "w", 500, ["g"]).orderBy("place").collect()
+    assert [r.g for r in got] == want and [r.place for r in got] == list(range(len(want))) and left == 0
 
 
 def test_nonadjacent_cells(spark):
@@ -218,28 +266,66 @@ def test_coverage_assessment_by_hand(spark):
     }
 
 
-def test_diverse_order_and_rejection_equal_the_plain_rules(spark):
+def test_diverse_order_equals_the_plain_rule(spark, monkeypatch):
     rng = random.Random(8)
-    rows = [(f"k{i:03d}", rng.randrange(6), rng.randrange(4)) for i in range(60)]
-    left, seen, want = sorted(rows), (set(), set()), []
-    while len(want) < 15:
-        best = max(left, key=lambda r: sum(r[j + 1] not in seen[j] for j in (0, 1)))
-        left.remove(best)
-        want.append(best[0])
-        for j in (0, 1):
-            seen[j].add(best[j + 1])
-    assert greedy.diverse_order(spark.createDataFrame(rows, "key string, a int, b int"), "key", ["a", "b"], 15) == want
-    draws = [(g, p, a, rng.uniform(0, 90), rng.uniform(0, 90)) for g in (0, 1) for p in range(20) for a in (1, 2, 3)]
-    want = []
-    for g in (0, 1):
-        taken, done = [], set()
-        for _, p, a, x, y in sorted(d for d in draws if d[0] == g):
-            if p not in done and all((x - u) ** 2 + (y - w) ** 2 >= 225 for u, w in taken):
-                taken.append((x, y))
-                done.add(p)
-                want.append((g, p, a))
-    got = greedy.rejection_sample(spark.createDataFrame(draws, "region long, positive long, attempt long, x double, y double"), 15.0).collect()
-    assert sorted((r.region, r.positive, r.attempt) for r in got) == sorted(want) and len(want) < 40
+    rows = [(f"k{i:03d}", rng.randrange(6), rng.choice([None, 0, 1, 2])) for i in range(60)]
+    for k in (15, 80):
+        left, seen, want = sorted(rows, key=lambda r: r[0]), (set(), set()), []
+        while left and len(want) < k:
+            best = max(left, key=lambda r: sum(r[j + 1] not in seen[j] for j in (0, 1)))
+            left.remove(best)
+            want.append(best[0])
+            for j in (0, 1):
+                seen[j].add(best[j + 1])
+        df = spark.createDataFrame(rows, "key string, a int, b int")
+        assert greedy.diverse_order(df, "key", ["a", "b"], k) == want
+    monkeypatch.setattr(greedy, "HELD", 10)  # each choice an aggregation
+    assert greedy.diverse_order(df, "key", ["a", "b"], 12) == want[:12]
+
+
+def sequential_sample(positives, draw, spacing, attempts):
+    out = []
+    for g in sorted({p[0] for p in positives}):
+        taken = []
+        for _, p, x, y in sorted(q for q in positives if q[0] == g):
+            xs, ys, ok = draw(p, x, y, np.arange(1, attempts + 1))
+            for a in np.flatnonzero(ok):
+                if all((xs[a] - u) ** 2 + (ys[a] - w) ** 2 >= spacing * spacing for u, w in taken):
+                    taken.append((xs[a], ys[a]))
+                    out.append((g, p, int(a) + 1, float(xs[a]), float(ys[a])))
+                    break
+    return out
+
+
+@pytest.mark.parametrize("n, extent, first, tile", [(150, 400.0, 1024, 120.0), (500, 300.0, 16, 110.0), (60, 90.0, 8, None)])
+def test_rejection_equals_the_sequential_rule(spark, n, extent, first, tile):
+    """Sparse and crowded rooms, one batch and many, tiles smaller than the room and larger."""
+    rng = random.Random(n)
+    positives = [(i % 2, i, float(rng.randrange(int(extent))), float(rng.randrange(int(extent)))) for i in range(n)]
+    draw = greedy.annulus_attempts("t", 4.0, 20.0, (0.0, 0.0, extent, extent))
+    got = greedy.rejection_sample(spark.createDataFrame(positives, "region long, positive long, x double, y double"), draw, 21.0, 30.0, attempts=100, first_batch=first, tile=tile)
+    assert sorted(map(tuple, got.collect())) == sequential_sample(positives, draw, 30.0, 100)
+
+
+def test_annulus_points_are_those_of_the_expression(spark):
+    rows = spark.range(300).select("id", *[c.alias(a) for a, c in zip("xy", spatial.annulus_draw(F.sha2(F.concat(F.lit("s:"), F.col("id").cast("string"), F.lit(":1")), 256), F.col("id") * 1000.0, F.col("id") * -7.0, 2000.0, 10000.0))]).collect()
+    draw = greedy.annulus_attempts("s", 2000.0, 10000.0, (-1e9, -1e9, 1e9, 1e9))
+    for r in rows:
+        x, y, ok = draw(r.id, r.id * 1000.0, r.id * -7.0, np.array([1]))
+        assert (x[0], y[0], ok[0]) == (r.x, r.y, True)
+
+
+def test_numbering_counts_on_over_partitions(spark):
+    from strata.operators.numbering import numbered
+
+    rng = random.Random(9)
+    rows = [(rng.choice("aab"), rng.randrange(50), rng.randrange(9)) for _ in range(400)] + [(None, 3, 1), (None, 2, 5)]
+    got = numbered(spark.createDataFrame(rows, "k string, o int, v int"), ["k"], ["o", "v"], "v").collect()
+    for k in ("a", "b", None):
+        mine = sorted((r for r in got if r.k == k), key=lambda r: r["rank"])
+        assert [(r.o, r.v) for r in mine] == sorted((o, v) for a, o, v in rows if a == k)
+        assert [r["rank"] for r in mine] == list(range(len(mine)))
+        assert [r.before for r in mine] == [sum(x.v for x in mine[:i]) for i in range(len(mine))]
 
 
 def test_array_digests_by_hand(spark):
