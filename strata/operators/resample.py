@@ -6,6 +6,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .numbering import numbered
+from .shared import materialize
+
 
 def draw_indices(spark, units: int, replicates: int, seed: str) -> DataFrame:
     """``(replicate, slot, unit)``: unit numbers from 0, drawn with replacement."""
@@ -15,22 +18,37 @@ def draw_indices(spark, units: int, replicates: int, seed: str) -> DataFrame:
 
 
 def group_bootstrap(rows: DataFrame, unit: str, replicates: int, seed: str, digits: int = 6) -> DataFrame:
-    """Percentile interval of balanced accuracy over units drawn with replacement. ``rows`` has
-    ``label`` and ``predicted``; a unit's rows are drawn together. Units are counted up first, so a draw
-    joins one row of counts for each unit."""
+    """``(metric, defined, undefined, mean, low, high)``: percentile intervals of balanced accuracy, accuracy,
+    F1 and ROC area over units drawn with replacement. ``rows`` has ``label``, ``predicted`` and ``score``; a
+    unit's rows are drawn together.
+
+    A unit counts in a replicate as often as it is drawn. Counts of a unit are added up with that weight; for
+    the ROC area so are its counts at each score, and the weighted area is a running sum over scores. Balanced
+    accuracy is the mean recall of the classes that a replicate has; without both of them it has no ROC area."""
+    score = rows.groupBy(unit, "score").agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("n"))
     counts = rows.groupBy(unit).agg(
         *[F.count_if((F.col("label") == a) & (F.col("predicted") == b)).alias(k) for k, a, b in (("tn", 0, 0), ("fp", 0, 1), ("fn", 1, 0), ("tp", 1, 1))]
     )
-    numbered = counts.withColumn("unit", F.row_number().over(Window.orderBy(unit)).cast("bigint") - 1)  # a row for each unit
-    n = numbered.count()
-    drawn = draw_indices(rows.sparkSession, n, replicates, seed).join(numbered, "unit")
-    sums = drawn.groupBy("replicate").agg(*[F.sum(k).alias(k) for k in ("tn", "fp", "fn", "tp")])
-    recall, other = F.try_divide("tp", F.col("tp") + F.col("fn")), F.try_divide("tn", F.col("tn") + F.col("fp"))
-    ba = sums.select(((recall + other) / 2).alias("ba"))
-    q = F.percentile("ba", F.array(F.lit(0.025), F.lit(0.975)))
-    return ba.agg(F.count("ba").alias("defined"), F.round(F.avg("ba"), digits).alias("mean"), q.alias("q")).select(
-        "defined", "mean", F.round(F.col("q")[0], digits).alias("low"), F.round(F.col("q")[1], digits).alias("high")
+    units = materialize(numbered(counts, [], [unit]).withColumnRenamed("rank", "unit_"), "bootstrap-units")
+    weights = draw_indices(rows.sparkSession, units.count(), replicates, seed).groupBy("replicate", F.col("unit").alias("unit_")).agg(F.count("*").alias("w"))
+    weights = materialize(weights, "bootstrap-weights")
+    sums = weights.join(units, "unit_").groupBy("replicate").agg(*[F.sum(F.col(k) * F.col("w")).alias(k) for k in ("tn", "fp", "fn", "tp")])
+    tn, fp, fn, tp = (F.col(k) for k in ("tn", "fp", "fn", "tp"))
+    recalls = F.array_compact(F.array(F.try_divide(tp, tp + fn), F.try_divide(tn, tn + fp)))
+    simple = sums.select(
+        "replicate", F.try_divide(F.aggregate(recalls, F.lit(0.0), lambda a, x: a + x), F.size(recalls)).alias("balanced_accuracy"),
+        F.try_divide(tp + tn, tp + tn + fp + fn).alias("accuracy"), F.coalesce(F.try_divide(2 * tp, 2 * tp + fp + fn), F.lit(0.0)).alias("f1"),
     )
+    groups = score.join(units.select(unit, "unit_"), unit).select("unit_", "score", "p", "n")
+    at = weights.join(groups, "unit_").groupBy("replicate", "score").agg(F.sum(F.col("p") * F.col("w")).alias("p"), F.sum(F.col("n") * F.col("w")).alias("n"))
+    below = F.sum("n").over(Window.partitionBy("replicate").orderBy("score"))  # a row for each score
+    area = at.withColumn("upto", below).groupBy("replicate").agg(F.sum(F.col("p") * (F.col("upto") - F.col("n") / 2)).alias("area"), F.sum("p").alias("p"), F.sum("n").alias("n"))
+    every = simple.join(area.select("replicate", F.try_divide("area", F.col("p") * F.col("n")).alias("roc_auc")), "replicate")
+    names = ["balanced_accuracy", "accuracy", "f1", "roc_auc"]
+    long = every.select(F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), F.col(k).cast("double").alias("x")) for k in names])).alias("m")).select("m.*")
+    q = F.percentile("x", F.array(F.lit(0.025), F.lit(0.975)))  # a value for each replicate
+    got = long.groupBy("metric").agg(F.count("x").alias("defined"), (F.count("*") - F.count("x")).alias("undefined"), F.round(F.avg("x"), digits).alias("mean"), q.alias("q"))
+    return got.select("metric", "defined", "undefined", "mean", F.round(F.col("q")[0], digits).alias("low"), F.round(F.col("q")[1], digits).alias("high"))
 
 
 def permuted_labels(rows: DataFrame, key: str, permutations: int, seed: str) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import hash_rank
+from .quantiles import exact_quantiles
+from .shared import materialize
 
 
 def lowest_ranks(rows: DataFrame, key: str, k: int, seed: str) -> DataFrame:
@@ -34,18 +36,27 @@ def second_review(rows: DataFrame, key: str, status: str, size: int, seed: str)
 
 def review_queues(windows: DataFrame, seed: str, limit: int = 25, high: float = 0.99, band: tuple[float, float] = (0.45, 0.55)) -> DataFrame:
     """``(queue, window_id, score)``: three disjoint queues. HIGH by score from the upper quantile on;
-    MEDIUM by hash within the quantile band; REFERENCE by hash from the rest."""
-    q = windows.agg(F.percentile("score", F.array(F.lit(high), F.lit(band[0]), F.lit(band[1]))).alias("q"))
-    rows = windows.crossJoin(F.broadcast(q)).withColumn("rank", hash_rank(seed, F.col("window_id")))  # q is one row
+    MEDIUM by hash within the quantile band; REFERENCE by hash from the rest. Scores and hashes are
+    computed once, quantiles by selection."""
+    rows = materialize(windows.select("window_id", "score", hash_rank(seed, F.col("window_id")).alias("rank")), "review-windows")
+    q = exact_quantiles(rows, "score", [high, *band]).first().q
+    if q is None:
+        return rows.select(F.lit("").alias("queue"), "window_id", "score").limit(0)
     # a queue loses at most ``limit`` rows to each queue before it, so that many more are enough to choose from
     score, by_hash = [F.col("score").desc(), "window_id"], ["rank", "window_id"]
-    top = rows.where(F.col("score") >= F.col("q")[0]).orderBy(*score).limit(limit)
-    middle = rows.where(F.col("score").between(F.col("q")[1], F.col("q")[2])).orderBy(*by_hash).limit(2 * limit)
-    middle = middle.join(top.select("window_id"), "window_id", "left_anti").orderBy(*by_hash).limit(limit)
+    top = rows.where(F.col("score") >= q[0]).orderBy(*score).limit(limit)
+    middle = rows.where(F.col("score").between(q[1], q[2])).orderBy(*by_hash).limit(2 * limit)
     other = rows.orderBy(*by_hash).limit(3 * limit)
-    other = other.join(top.select("window_id").unionAll(middle.select("window_id")), "window_id", "left_anti").orderBy(*by_hash).limit(limit)
-    named = [q.select(F.lit(name).alias("queue"), "window_id", "score") for name, q in (("HIGH", top), ("MEDIUM", middle), ("REFERENCE", other))]
-    return named[0].unionAll(named[1]).unionAll(named[2])
+    turns = [c.withColumn("_turn", F.lit(i)) for i, c in enumerate((top, middle, other))]
+    best = turns[0].unionAll(turns[1]).unionAll(turns[2]).collect()  # six times the limit at most
+    queues, seen = [], set()
+    for turn, name in enumerate(("HIGH", "MEDIUM", "REFERENCE")):
+        found = [r for r in best if r["_turn"] == turn and r["window_id"] not in seen]
+        found = sorted(found, key=lambda r: (-r["score"], r["window_id"]) if turn == 0 else (r["rank"], r["window_id"]))[:limit]
+        seen |= {r["window_id"] for r in found}
+        queues += [(name, r["window_id"], r["score"]) for r in found]
+    kinds = dict(rows.dtypes)
+    return rows.sparkSession.createDataFrame(queues, f"queue string, window_id {kinds['window_id']}, score {kinds['score']}")
 
 
 def shortest_prefix(rows: DataFrame, order: list, value: str, target: int, most: int) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import keys
 from ..operators import greedy, resample
 from ..operators import raster as r
+from ..operators.quantiles import exact_quantiles
 from . import views as v
 from .keys_text import hash_sql
 from .raster import PIXELS, POOLED, REPS, _pixels
@@ -61,7 +62,8 @@ def paired_bootstrap(spark: SparkSession, d: str) -> DataFrame:
 
 @query("met09_score_summary", f"SELECT domain, count(*) AS n, round(quantile_cont(score, 0.25), 9) AS q25, round(quantile_cont(score, 0.5), 9) AS q50, round(quantile_cont(score, 0.75), 9) AS q75, count(*) FILTER (score >= 0.9) AS high FROM ({v.WINDOWS}) GROUP BY domain")
 def score_summary(spark: SparkSession, d: str) -> DataFrame:
-    g = v.windows(spark, d).groupBy("domain").agg(F.count("*").alias("n"), F.percentile("score", F.array(*[F.lit(x) for x in (0.25, 0.5, 0.75)])).alias("q"), F.count_if(F.col("score") >= 0.9).alias("high"))
+    w = v.windows(spark, d)
+    g = exact_quantiles(w, "score", [0.25, 0.5, 0.75], ["domain"]).join(w.groupBy("domain").agg(F.count_if(F.col("score") >= 0.9).alias("high")), "domain")
     return g.select("domain", "n", *[F.round(F.col("q")[i], 9).alias(k) for i, k in enumerate(("q25", "q50", "q75"))], "high")
 
 

@@ -126,9 +126,16 @@ def table_counts(spark: SparkSession, d: str) -> DataFrame:
 
 N_UNITS = f"(SELECT count(DISTINCT region) FROM ({v.SCORED}))"
 BOOT_SQL = f"""WITH u AS (SELECT *, row_number() OVER (ORDER BY region) - 1 AS unit FROM ({CONFUSION})),
- s AS (SELECT r AS replicate, CAST(CAST('0x' || substr(sha256('boot-v1:' || CAST(r AS VARCHAR) || ':' || CAST(k AS VARCHAR)), 1, 8) AS UBIGINT) % {N_UNITS} AS BIGINT) AS unit FROM (SELECT unnest(range(0, 5000)) AS r), LATERAL (SELECT unnest(range(0, {N_UNITS})) AS k)),
- b AS (SELECT (sum(tp) / (sum(tp) + sum(fn)) + sum(tn) / (sum(tn) + sum(fp))) / 2 AS ba FROM s JOIN u USING (unit) GROUP BY replicate)
- SELECT count(ba) AS defined, round(avg(ba), 6) AS mean, round(quantile_cont(ba, 0.025), 6) AS low, round(quantile_cont(ba, 0.975), 6) AS high FROM b"""
+  s AS (SELECT r AS replicate, CAST(CAST('0x' || substr(sha256('boot-v1:' || CAST(r AS VARCHAR) || ':' || CAST(k AS VARCHAR)), 1, 8) AS UBIGINT) % {N_UNITS} AS BIGINT) AS unit
+    FROM (SELECT unnest(range(0, 5000)) AS r), LATERAL (SELECT unnest(range(0, {N_UNITS})) AS k)),
+  b AS (SELECT replicate, sum(tp) AS tp, sum(tn) AS tn, sum(fp) AS fp, sum(fn) AS fn FROM s JOIN u USING (unit) GROUP BY replicate),
+  w AS (SELECT replicate, unit, count(*) AS w FROM s GROUP BY ALL),
+  g AS (SELECT unit, score, sum(label) AS p, sum(1 - label) AS n FROM ({v.SCORED}) JOIN u USING (region) GROUP BY ALL),
+  a AS (SELECT replicate, score, sum(w * p) AS p, sum(w * n) AS n FROM w JOIN g USING (unit) GROUP BY ALL),
+  c AS (SELECT replicate, sum(p * (upto - n / 2)) / nullif(sum(p) * sum(n), 0) AS auc FROM (SELECT *, sum(n) OVER (PARTITION BY replicate ORDER BY score) AS upto FROM a) GROUP BY replicate),
+  m AS (SELECT 'balanced_accuracy' AS metric, list_avg(list_filter([tp / nullif(tp + fn, 0), tn / nullif(tn + fp, 0)], lambda x: x IS NOT NULL)) AS x FROM b
+    UNION ALL SELECT 'accuracy', (tp + tn) / (tp + tn + fp + fn) FROM b UNION ALL SELECT 'f1', coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) FROM b UNION ALL SELECT 'roc_auc', auc FROM c)
+  SELECT metric, count(x) AS defined, count(*) - count(x) AS undefined, round(avg(x), 6) AS mean, round(quantile_cont(x, 0.025), 6) AS low, round(quantile_cont(x, 0.975), 6) AS high FROM m GROUP BY metric"""
 
 
 @query("bst01_group_bootstrap", BOOT_SQL)

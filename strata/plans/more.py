@@ -9,6 +9,7 @@ from ..functions import keys
 from ..operators import contracts, metrics, models, spatial
 from ..operators.celljoin import closer_than, near_pairs
 from ..operators.coverage import assess_coverage
+from ..operators.quantiles import exact_quantiles
 from . import views as v
 from .keys_text import hash_sql
 from .registry import query
@@ -84,8 +85,7 @@ def size_range(spark: SparkSession, d: str) -> DataFrame:
 
 @query("agg07_quantiles", f"SELECT round(quantile_cont(score, 0.01), 9) AS q01, round(quantile_cont(score, 0.45), 9) AS q45, round(quantile_cont(score, 0.55), 9) AS q55, round(quantile_cont(score, 0.99), 9) AS q99 FROM ({v.WINDOWS})")
 def quantiles(spark: SparkSession, d: str) -> DataFrame:
-    q = F.percentile("score", F.array(*[F.lit(x) for x in (0.01, 0.45, 0.55, 0.99)]))
-    return v.windows(spark, d).agg(q.alias("q")).select(*[F.round(F.col("q")[i], 9).alias(n) for i, n in enumerate(("q01", "q45", "q55", "q99"))])
+    return exact_quantiles(v.windows(spark, d), "score", [0.01, 0.45, 0.55, 0.99]).select(*[F.round(F.col("q")[i], 9).alias(n) for i, n in enumerate(("q01", "q45", "q55", "q99"))])
 
 
 @query("agg20_confusion_totals", f"SELECT CAST(sum(CASE WHEN label = 1 AND predicted = 1 THEN 1 ELSE 0 END) AS BIGINT) AS tp, CAST(sum(CASE WHEN label = 0 AND predicted = 1 THEN 1 ELSE 0 END) AS BIGINT) AS fp FROM ({v.SCORED})")

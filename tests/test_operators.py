@@ -141,9 +141,60 @@ def test_metrics_by_hand(spark):
 
 
 def test_bootstrap_of_equal_units_has_no_width(spark):
-    df = spark.createDataFrame([(u, y, y) for u in range(8) for y in (0, 1)], "unit long, label int, predicted int")
-    r = resample.group_bootstrap(df, "unit", 50, "s").first()
-    assert (r.defined, r.mean, r.low, r.high) == (50, 1.0, 1.0, 1.0)
+    df = spark.createDataFrame([(u, y, y, 0.2 + 0.5 * y) for u in range(8) for y in (0, 1)], "unit long, label int, predicted int, score double")
+    got = {r.metric: (r.defined, r.undefined, r.mean, r.low, r.high) for r in resample.group_bootstrap(df, "unit", 50, "s").collect()}
+    assert got == dict.fromkeys(("balanced_accuracy", "accuracy", "f1", "roc_auc"), (50, 0, 1.0, 1.0, 1.0))
+
+
+def test_bootstrap_equals_the_plain_replicates(spark):
+    """Units of one class: some replicates have no ROC area, and a recall of one class only."""
+    rng = random.Random(3)
+    rows = [(u, int(u == 3) if u < 4 else rng.randrange(2), round(rng.random(), 1)) for u in range(5) for _ in range(4)]
+    rows = [(u, y, int(s >= 0.5), s) for u, y, s in rows if u < 4]
+    got = {r.metric: r for r in resample.group_bootstrap(spark.createDataFrame(rows, "unit long, label int, predicted int, score double"), "unit", 200, "b").collect()}
+    values = {k: [] for k in got}
+    for r in range(200):
+        drawn = [int(hashlib.sha256(f"b:{r}:{k}".encode()).hexdigest()[:8], 16) % 4 for k in range(4)]
+        part = [x for d in drawn for x in rows if x[0] == d]
+        pos, neg = [x for x in part if x[1]], [x for x in part if not x[1]]
+        recalls = [np.mean([x[2] == x[1] for x in c]) for c in (pos, neg) if c]
+        tp, wrong = sum(x[1] & x[2] for x in part), sum(x[1] != x[2] for x in part)
+        values["balanced_accuracy"].append(np.mean(recalls))
+        values["accuracy"].append(np.mean([x[1] == x[2] for x in part]))
+        values["f1"].append(2 * tp / (2 * tp + wrong) if tp + wrong else 0.0)
+        if pos and neg:
+            values["roc_auc"].append(np.mean([(p[3] > n[3]) + (p[3] == n[3]) / 2 for p in pos for n in neg]))
+    assert 0 < got["roc_auc"].undefined < 200
+    for k, x in values.items():
+        r = got[k]
+        assert (r.defined, r.undefined) == (len(x), 200 - len(x))
+        assert [r.mean, r.low, r.high] == pytest.approx([np.mean(x), *np.percentile(x, [2.5, 97.5])], abs=1e-6)
+
+
+@pytest.mark.parametrize("values", ["spread", "equal", "few", "heavy"])
+def test_quantiles_equal_the_sorted_list(spark, values):
+    from strata.operators.quantiles import exact_quantiles
+
+    rng = np.random.default_rng(5)
+    x = {"spread": rng.normal(size=3000), "equal": np.full(500, 2.5), "few": rng.integers(0, 3, 700).astype(float), "heavy": np.exp(rng.normal(size=3000) * 20)}[values]
+    rows = [(i % 3 or None, float(v)) for i, v in enumerate(x)] + [(1, None), (7, None)]
+    df = spark.createDataFrame(rows, "k int, v double").repartition(5)
+    shares = [0.0, 0.01, 0.25, 0.5, 0.999, 1.0]
+    got = exact_quantiles(df, "v", shares).first()
+    assert got.n == len(x) and got.q == pytest.approx(np.quantile(x, shares).tolist(), rel=1e-12)
+    # a coarse summary brackets too little or too much; the counts make up for it
+    for r in exact_quantiles(df, "v", shares, ["k"], accuracy=20).collect():
+        mine = [v for k, v in rows if k == r.k and v is not None]
+        assert r.n == len(mine) and r.q == pytest.approx(np.quantile(mine, shares).tolist(), rel=1e-12)
+
+
+def test_quantiles_of_nothing(spark):
+    from strata.operators.quantiles import exact_quantiles
+
+    df = spark.createDataFrame([], "k int, v double")
+    assert exact_quantiles(df, "v", [0.5], ["k"]).collect() == []
+    assert [(r.n, r.q) for r in exact_quantiles(df, "v", [0.5]).collect()] == [(0, None)]
+    assert sampling.review_queues(spark.createDataFrame([], "window_id string, score double"), "seed").collect() == []
 
 
 def test_folds_are_balanced(spark):
