@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .shared import drop_table, materialize
@@ -15,24 +15,21 @@ def connected_components(edges: DataFrame, label: str = "components") -> DataFra
     before the shuffle, and an equi-join that adaptive execution can split on a hot hub. The number
     of rounds grows with the logarithm of the longest path. Every round is written to the shared
     folder, and the one before is deleted."""
-    current = materialize(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), label
-    )
 
-    def mark(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+    def written(df: DataFrame) -> tuple[DataFrame, tuple]:
+        """The table, with its number of rows and a mark of its content that the write itself has taken."""
+        seen = Observation()
+        out = materialize(df.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("mark")), label)
+        return out, (seen.get["n"], seen.get["mark"])
 
-    state = mark(current)
+    current, state = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     while state[0]:
         both = current.unionAll(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        after = materialize(
-            moved.where("u > v").unionAll(least.select("u", F.col("m").alias("v"))).distinct(), label
-        )
-        now = mark(after)
+        after, now = written(moved.where("u > v").unionAll(least.select("u", F.col("m").alias("v"))).distinct())
         drop_table(current)
         current = after
         if now == state:

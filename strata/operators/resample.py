@@ -3,6 +3,11 @@ side; draws come from hashes of (seed, replicate, slot)."""
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,7 +22,12 @@ def draw_indices(spark, units: int, replicates: int, seed: str) -> DataFrame:
     return rows.withColumn("unit", h % units)
 
 
-def group_bootstrap(rows: DataFrame, unit: str, replicates: int, seed: str, digits: int = 6) -> DataFrame:
+METRICS = ("balanced_accuracy", "accuracy", "f1", "roc_auc")
+#: Units times distinct scores that every task may hold; beyond it, replicates are joins.
+PACKED = 2_000_000
+
+
+def group_bootstrap(rows: DataFrame, unit: str, replicates: int, seed: str, digits: int = 6, packed: int = PACKED) -> DataFrame:
     """``(metric, defined, undefined, mean, low, high)``: percentile intervals of balanced accuracy, accuracy,
     F1 and ROC area over units drawn with replacement. ``rows`` has ``label``, ``predicted`` and ``score``; a
     unit's rows are drawn together.
@@ -25,12 +35,51 @@ def group_bootstrap(rows: DataFrame, unit: str, replicates: int, seed: str, digi
     A unit counts in a replicate as often as it is drawn. Counts of a unit are added up with that weight; for
     the ROC area so are its counts at each score, and the weighted area is a running sum over scores. Balanced
     accuracy is the mean recall of the classes that a replicate has; without both of them it has no ROC area."""
-    score = rows.groupBy(unit, "score").agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("n"))
+    score = materialize(rows.groupBy(unit, "score").agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("n")), "bootstrap-scores")
     counts = rows.groupBy(unit).agg(
         *[F.count_if((F.col("label") == a) & (F.col("predicted") == b)).alias(k) for k, a, b in (("tn", 0, 0), ("fp", 0, 1), ("fn", 1, 0), ("tp", 1, 1))]
     )
     units = materialize(numbered(counts, [], [unit]).withColumnRenamed("rank", "unit_"), "bootstrap-units")
-    weights = draw_indices(rows.sparkSession, units.count(), replicates, seed).groupBy("replicate", F.col("unit").alias("unit_")).agg(F.count("*").alias("w"))
+    n, scores = units.count(), score.select("score").distinct().count()
+    every = (_packed_replicates if n * scores <= packed else _joined_replicates)(units, score, unit, n, replicates, seed)
+    long = every.select(F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), F.col(k).alias("x")) for k in METRICS])).alias("m")).select("m.*")
+    q = F.percentile("x", F.array(F.lit(0.025), F.lit(0.975)))  # a value for each replicate
+    got = long.groupBy("metric").agg(F.count("x").alias("defined"), (F.count("*") - F.count("x")).alias("undefined"), F.round(F.avg("x"), digits).alias("mean"), q.alias("q"))
+    return got.select("metric", "defined", "undefined", "mean", F.round(F.col("q")[0], digits).alias("low"), F.round(F.col("q")[1], digits).alias("high"))
+
+
+def _packed_replicates(units: DataFrame, score: DataFrame, unit: str, n: int, replicates: int, seed: str) -> DataFrame:
+    """A row of metrics for each replicate, from matrices of units by scores that every task gets."""
+    rows = units.orderBy("unit_").collect()
+    table = np.array([[r[k] for k in ("tn", "fp", "fn", "tp")] for r in rows], np.int64).reshape(n, 4)
+    groups = score.collect()
+    number, place = {r[unit]: r["unit_"] for r in rows}, {s: i for i, s in enumerate(sorted({g["score"] for g in groups}))}
+    pos, neg = np.zeros((n, len(place)), np.int64), np.zeros((n, len(place)), np.int64)
+    for g in groups:
+        pos[number[g[unit]], place[g["score"]]], neg[number[g[unit]], place[g["score"]]] = g["p"], g["n"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                ids = batch.column(0).slice(at, 256).to_pylist()
+                drawn = np.array([[int.from_bytes(hashlib.sha256(f"{seed}:{r}:{k}".encode()).digest()[:4], "big") % n for k in range(n)] for r in ids])
+                w = np.zeros((len(ids), n), np.int64)
+                np.add.at(w, (np.arange(len(ids))[:, None], drawn), 1)
+                tn, fp, fn, tp = (w @ table).T.astype(float)
+                p, below = w @ pos, np.cumsum(w @ neg, axis=1)
+                area = (p * (below - (w @ neg) / 2)).sum(axis=1)
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    recall, other = tp / (tp + fn), tn / (tn + fp)
+                    both = np.where(np.isnan(recall), other, np.where(np.isnan(other), recall, (recall + other) / 2))
+                    found = [both, (tp + tn) / (tp + tn + fp + fn), np.nan_to_num(2 * tp / (2 * tp + fp + fn)), area / ((tp + fn) * (tn + fp))]
+                yield pa.RecordBatch.from_arrays([pa.array(x, from_pandas=True) for x in found], names=list(METRICS))
+
+    return units.sparkSession.range(replicates).mapInArrow(run, ", ".join(f"{k} double" for k in METRICS))
+
+
+def _joined_replicates(units: DataFrame, score: DataFrame, unit: str, n: int, replicates: int, seed: str) -> DataFrame:
+    """The same rows for units and scores of any number: weights are joined with a unit's counts."""
+    weights = draw_indices(units.sparkSession, n, replicates, seed).groupBy("replicate", F.col("unit").alias("unit_")).agg(F.count("*").alias("w"))
     weights = materialize(weights, "bootstrap-weights")
     sums = weights.join(units, "unit_").groupBy("replicate").agg(*[F.sum(F.col(k) * F.col("w")).alias(k) for k in ("tn", "fp", "fn", "tp")])
     tn, fp, fn, tp = (F.col(k) for k in ("tn", "fp", "fn", "tp"))
@@ -43,12 +92,7 @@ def group_bootstrap(rows: DataFrame, unit: str, replicates: int, seed: str, digi
     at = weights.join(groups, "unit_").groupBy("replicate", "score").agg(F.sum(F.col("p") * F.col("w")).alias("p"), F.sum(F.col("n") * F.col("w")).alias("n"))
     below = F.sum("n").over(Window.partitionBy("replicate").orderBy("score"))  # a row for each score
     area = at.withColumn("upto", below).groupBy("replicate").agg(F.sum(F.col("p") * (F.col("upto") - F.col("n") / 2)).alias("area"), F.sum("p").alias("p"), F.sum("n").alias("n"))
-    every = simple.join(area.select("replicate", F.try_divide("area", F.col("p") * F.col("n")).alias("roc_auc")), "replicate")
-    names = ["balanced_accuracy", "accuracy", "f1", "roc_auc"]
-    long = every.select(F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), F.col(k).cast("double").alias("x")) for k in names])).alias("m")).select("m.*")
-    q = F.percentile("x", F.array(F.lit(0.025), F.lit(0.975)))  # a value for each replicate
-    got = long.groupBy("metric").agg(F.count("x").alias("defined"), (F.count("*") - F.count("x")).alias("undefined"), F.round(F.avg("x"), digits).alias("mean"), q.alias("q"))
-    return got.select("metric", "defined", "undefined", "mean", F.round(F.col("q")[0], digits).alias("low"), F.round(F.col("q")[1], digits).alias("high"))
+    return simple.join(area.select("replicate", F.try_divide("area", F.col("p") * F.col("n")).alias("roc_auc")), "replicate").select(*[F.col(k).cast("double").alias(k) for k in METRICS])
 
 
 def permuted_labels(rows: DataFrame, key: str, permutations: int, seed: str) -> DataFrame:

@@ -30,14 +30,16 @@ def block_split(rows: DataFrame, block: str, final: list, development: list) ->
 
 
 def integrity_violations(rows: DataFrame, key: str) -> DataFrame:
-    """``(rule, key)``: repeated ids, groups, components or blocks in two partitions, unbalanced ones. Each
-    row gives its keys, and one aggregation judges them all."""
-    columns = {"repeated_id": key, "group_crosses": "observation_group", "component_crosses": "component", "class_imbalance": "partition"}
+    """``(rule, key)``: repeated ids, groups, components or blocks in two partitions, unbalanced ones. Ids are
+    counted as they are; the rest is combined by group, component and partition before each key is judged."""
+    repeated = rows.groupBy(F.col(key).alias("key")).agg(F.count("*").alias("n")).where("n > 1").select(F.lit("repeated_id").alias("rule"), F.col("key").cast("string").alias("key"))
+    columns = {"group_crosses": "observation_group", "component_crosses": "component", "class_imbalance": "partition"}
+    few = rows.groupBy("observation_group", "component", "partition").agg(F.sum(F.col("label") * 2 - 1).alias("d"))
     keys = F.array(*[F.struct(F.lit(rule).alias("rule"), F.col(c).cast("string").alias("key")) for rule, c in columns.items()])
-    seen = rows.select("partition", "label", F.explode(keys).alias("k")).where((F.col("k.key") != "") | (F.col("k.rule") != "component_crosses"))
-    judged = seen.groupBy("k.rule", "k.key").agg(F.count("*").alias("n"), F.min("partition").alias("a"), F.max("partition").alias("b"), F.sum(F.col("label") * 2 - 1).alias("d"))
-    broken = F.when(F.col("rule") == "repeated_id", F.col("n") > 1).when(F.col("rule") == "class_imbalance", F.col("d") != 0).otherwise(F.col("a") != F.col("b"))
-    return judged.where(broken).select("rule", "key")
+    seen = few.select("partition", "d", F.explode(keys).alias("k")).where((F.col("k.key") != "") | (F.col("k.rule") != "component_crosses"))
+    sides = seen.groupBy("k.rule", "k.key", "partition").agg(F.sum("d").alias("d")).groupBy("rule", "key").agg(F.count("partition").alias("n"), F.sum("d").alias("d"))
+    broken = F.when(F.col("rule") == "class_imbalance", F.col("d") != 0).otherwise(F.col("n") > 1)
+    return repeated.unionAll(sides.where(broken).select("rule", "key"))
 
 
 def training_units(rows: DataFrame, unit: Column, fold: int, fraction: float, seed: str) -> DataFrame:

@@ -146,12 +146,13 @@ def test_bootstrap_of_equal_units_has_no_width(spark):
     assert got == dict.fromkeys(("balanced_accuracy", "accuracy", "f1", "roc_auc"), (50, 0, 1.0, 1.0, 1.0))
 
 
-def test_bootstrap_equals_the_plain_replicates(spark):
+@pytest.mark.parametrize("packed", [0, 1000])
+def test_bootstrap_equals_the_plain_replicates(spark, packed):
     """Units of one class: some replicates have no ROC area, and a recall of one class only."""
     rng = random.Random(3)
     rows = [(u, int(u == 3) if u < 4 else rng.randrange(2), round(rng.random(), 1)) for u in range(5) for _ in range(4)]
     rows = [(u, y, int(s >= 0.5), s) for u, y, s in rows if u < 4]
-    got = {r.metric: r for r in resample.group_bootstrap(spark.createDataFrame(rows, "unit long, label int, predicted int, score double"), "unit", 200, "b").collect()}
+    got = {r.metric: r for r in resample.group_bootstrap(spark.createDataFrame(rows, "unit long, label int, predicted int, score double"), "unit", 200, "b", packed=packed).collect()}
     values = {k: [] for k in got}
     for r in range(200):
         drawn = [int(hashlib.sha256(f"b:{r}:{k}".encode()).hexdigest()[:8], 16) % 4 for k in range(4)]
