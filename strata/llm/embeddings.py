@@ -6,10 +6,16 @@ find links; the links of all passes are united into components. A group may be l
 so each component is then compared exactly, block against block, which makes ``n_links`` whole.
 
 Two vectors at angle a agree in k signs with probability (1 - a/pi)^k, and share a window once the
-vectors that agree in the first k signs fit into it: k = log2(n / window). The number of passes
-follows from that, from the threshold and from ``miss``, so recall holds as the table grows.
+vectors that agree in the first k signs fit into it: k = log2(n / window) if signs are spread evenly. The
+number of passes follows from that, from the threshold and from ``miss``.
 
-Defined results: null labels, null, empty or zero vectors and vectors with null or non-finite
+Where vectors crowd (a cone of a label), more signs are needed. The passes measure it: a row agrees with the row
+a window farther on in so many signs that its window lies inside a longer run. Vectors whose measured signs
+leave more than ten times ``miss`` get what they lack: all crowded vectors of a label are compared block against
+block if that is less work than the passes they lack, else they go through so many more passes. So the work
+grows with the square of a crowd only as long as that is the cheaper way.
+
+Defined results: an id with two vectors stands for both, as one node of the links; null labels, null, empty or zero vectors and vectors with null or non-finite
 components link with nothing; vectors of different lengths are not compared; rows that repeat an id
 with the same label and vector count as one vector and all get its row; labels that aren't whole
 numbers are told apart by a 64-bit hash of their text; an empty table gives an
@@ -32,6 +38,8 @@ from .common import bounded_units, connected_components, forest_edges, materiali
 WINDOW = 256
 #: Rows of a sorted partition: enough windows that a seam reaches from one partition into the next only.
 LEAST_ROWS, MOST_ROWS = 8 * WINDOW, 500_000
+#: A crowd is compared whole up to so many vectors for each window of a pass that it lacks.
+WHOLE = 4
 SIGN_BITS = 63  # a key fits into a non-negative long
 SEED = 20240229
 
@@ -44,11 +52,14 @@ def usable(embedding: str = "embedding") -> F.Column:
 
 
 def passes_for(rows: int, threshold: float, window: int, miss: float) -> int:
-    k = max(1.0, math.log2(max(2, rows) / window) + 1)
-    hit = (1 - math.acos(threshold) / math.pi) ** k
+    hit = (1 - math.acos(threshold) / math.pi) ** signs_for(rows, window)
     return max(4, math.ceil(math.log(miss) / math.log(1 - hit)))
 
 
+def signs_for(rows: int, window: int) -> float:
+    return max(1.0, math.log2(max(2, rows) / window) + 1)
+
+
 def unit_rows(vectors: pa.Array) -> np.ndarray:
     """Arrow list column of equal lengths as a matrix of unit rows in double precision."""
     values = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
@@ -57,8 +68,8 @@ def unit_rows(vectors: pa.Array) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def projection_keys(vectors: DataFrame, passes: int) -> DataFrame:
-    """``(p, label, dim, key, rep, e)``: one row for each vector and pass."""
+def projection_keys(vectors: DataFrame, passes: int, first: int = 0) -> DataFrame:
+    """``(p, label, dim, key, rep, e)``: one row for each vector and pass, from pass ``first`` on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
@@ -68,7 +79,7 @@ def projection_keys(vectors: DataFrame, passes: int) -> DataFrame:
             for dim in np.unique(dims):
                 part = batch.filter(pa.array(dims == dim))
                 x = unit_rows(part.column(3))
-                for p in range(passes):
+                for p in range(first, first + passes):
                     if (dim, p) not in planes:
                         planes[dim, p] = np.random.default_rng([SEED, int(dim), p]).standard_normal((int(dim), SIGN_BITS))
                     key = ((x @ planes[dim, p]) > 0) @ weights
@@ -81,9 +92,20 @@ def projection_keys(vectors: DataFrame, passes: int) -> DataFrame:
     return vectors.select("label", "dim", "rep", "e").mapInArrow(run, f"p int, label long, dim int, key long, rep long, e {dict(vectors.dtypes)['e']}")
 
 
-def window_links(keyed: DataFrame, threshold: float, window: int, total: int) -> DataFrame:
+def window_links(keyed: DataFrame, threshold: float, window: int, total: int, signs: float = SIGN_BITS) -> tuple[DataFrame, DataFrame]:
     """``edges(a, b)``: spanning edges of the links found inside the windows of each sorted
-    partition, and of those across neighbouring partitions' ends. ``total``: rows of ``keyed``."""
+    partition, and of those across neighbouring partitions' ends. ``total``: rows of ``keyed``.
+    And ``(rep, depth)`` for each row of a pass whose window lies in a run of more than ``signs`` equal signs."""
+
+    def crowded(part: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        near, far = part.slice(0, max(0, part.num_rows - window)), part.slice(window)
+        same = np.ones(near.num_rows, bool)
+        for c in ("p", "label", "dim"):
+            same &= near.column(c).to_numpy() == far.column(c).to_numpy()
+        apart = near.column("key").to_numpy() ^ far.column("key").to_numpy()
+        depth = SIGN_BITS - np.frexp(apart.astype(np.float64))[1] + 1  # signs needed: one more than are shared
+        deep = same & (depth > signs)
+        return near.column("rep").to_numpy()[deep], np.minimum(depth[deep], SIGN_BITS).astype(np.int32)
 
     def compare(part: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         group = np.stack([part.column(c).to_numpy() for c in ("p", "label", "dim")])
@@ -101,14 +123,17 @@ def window_links(keyed: DataFrame, threshold: float, window: int, total: int) ->
         return (np.concatenate(left), np.concatenate(right)) if left else (np.empty(0, np.int64), np.empty(0, np.int64))
 
     columns = ["p", "label", "dim", "key", "rep", "e"]
-    schema = "a long, b long, seam int, side int, " + ", ".join(f"{c} {t}" for c, t in zip(columns, ("int", "long", "int", "long", "long", dict(keyed.dtypes)["e"])))
+    schema = "a long, b long, depth int, seam int, side int, " + ", ".join(f"{c} {t}" for c, t in zip(columns, ("int", "long", "int", "long", "long", dict(keyed.dtypes)["e"])))
     step = 2 * window
 
-    def edges(a: np.ndarray, b: np.ndarray, like: pa.Schema) -> pa.RecordBatch:
+    def edges(a: np.ndarray, b: np.ndarray | None, depth: np.ndarray | None, like: pa.Schema) -> pa.RecordBatch:
         n = len(a)
         return pa.RecordBatch.from_arrays(
-            [pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), *(pa.nulls(n, like.field(c).type) for c in columns)],
-            names=["a", "b", "seam", "side", *columns],
+            [
+                pa.array(a.astype(np.int64)), pa.nulls(n, pa.int64()) if b is None else pa.array(b.astype(np.int64)), pa.nulls(n, pa.int32()) if depth is None else pa.array(depth),
+                pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), *(pa.nulls(n, like.field(c).type) for c in columns),
+            ],
+            names=["a", "b", "depth", "seam", "side", *columns],
         )
 
     def ends(rows: pa.Table, seam: int, side: int) -> Iterator[pa.RecordBatch]:
@@ -116,8 +141,8 @@ def window_links(keyed: DataFrame, threshold: float, window: int, total: int) ->
         if n:
             rows = rows.combine_chunks()
             whole = pa.Table.from_arrays(
-                [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(np.full(n, seam, np.int32)), pa.array(np.full(n, side, np.int32)), *(rows.column(c) for c in columns)],
-                names=["a", "b", "seam", "side", *columns],
+                [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.array(np.full(n, seam, np.int32)), pa.array(np.full(n, side, np.int32)), *(rows.column(c) for c in columns)],
+                names=["a", "b", "depth", "seam", "side", *columns],
             )
             yield from whole.to_batches()
 
@@ -134,7 +159,10 @@ def window_links(keyed: DataFrame, threshold: float, window: int, total: int) ->
                 whole = part if tail is None else pa.concat_tables([tail, part])
                 a, b = compare(whole)
                 if len(a):
-                    yield edges(a, b, whole.schema)
+                    yield edges(a, b, None, whole.schema)
+                reps, depth = crowded(whole)
+                if len(reps):
+                    yield edges(reps, None, depth, whole.schema)
                 tail = whole.slice(max(0, whole.num_rows - window))
 
         for batch in batches:
@@ -169,7 +197,38 @@ def window_links(keyed: DataFrame, threshold: float, window: int, total: int) ->
 
     seams = found.where("seam is not null").select("seam", *columns, "side")
     met = per_unit(seams, ["seam"], ["side", "p", "label", "dim", "key", "rep"], across, "a long, b long", arrays=("e",))
-    return found.where("seam is null").select("a", "b").unionAll(met)
+    return found.where("b is not null").select("a", "b").unionAll(met), found.where("depth is not null").select(F.col("a").alias("rep"), "depth")
+
+
+def crowded_links(vectors: DataFrame, depths: DataFrame, passes: int, signs: float, threshold: float, window: int, miss: float) -> DataFrame | None:
+    """``edges(a, b)`` that the passes so far may have left out where vectors crowd; None if they don't."""
+    agree = 1 - math.acos(min(1.0, threshold)) / math.pi
+
+    def log_miss(k: F.Column) -> F.Column:
+        return F.log1p(-F.pow(F.lit(agree), k))
+
+    usual = math.log1p(-(agree**signs))
+    logs = depths.groupBy("rep").agg((F.sum(log_miss(F.col("depth"))) + (F.lit(passes) - F.count("*")) * usual).alias("log"))
+    lacking = logs.where(F.col("log") > math.log(miss * 10)).select("rep", (passes * (math.log(miss) / F.col("log") - 1)).alias("more"))
+    crowd = materialize(vectors.join(lacking, "rep").select("label", "dim", "rep", "e", "more"), "embedding-crowd")
+    sizes = crowd.groupBy("label", "dim").agg(F.count("*").alias("m"), F.ceil(F.max("more")).alias("most"))
+    # comparing all takes m / 2 products for a vector, a pass two windows of them
+    plan = materialize(sizes.withColumn("whole", F.col("m") <= WHOLE * window * F.col("most")), "embedding-crowds")
+    whole = crowd.join(plan.where("whole").select("label", "dim"), ["label", "dim"], "left_semi").select("label", "dim", "rep", "e")
+    rest = plan.where(~F.col("whole")).agg(F.sum("m").alias("m"), F.max("most").alias("most")).first()
+    if plan.isEmpty():
+        return None
+
+    def compare(unit: dict) -> dict | None:
+        x = unit_rows(unit["e"])
+        i, j = forest_edges(x @ x.T >= threshold)
+        return {"a": unit["rep"][i], "b": unit["rep"][j]} if len(i) else None
+
+    edges = per_unit(bounded_units(whole, ["label", "dim"], "rep"), ["label", "dim", "bi", "bj"], ["rep"], compare, "a long, b long", arrays=("e",))
+    if rest.m:
+        many = crowd.join(plan.where(~F.col("whole")).select("label", "dim"), ["label", "dim"], "left_semi")
+        edges = edges.unionAll(window_links(projection_keys(many, int(rest.most), passes), threshold, window, rest.m * int(rest.most))[0])
+    return materialize(edges, "embedding-crowd-links")
 
 
 def component_links(parts: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
@@ -207,7 +266,10 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.98, window: int = W
     )
     rows_ = distinct.count()
     passes = passes_for(rows_, threshold, window, miss)
-    edges = window_links(projection_keys(distinct, passes), threshold, window, rows_ * passes)
+    signs = signs_for(rows_, window)
+    edges, depths = window_links(projection_keys(distinct, passes), threshold, window, rows_ * passes, signs)
+    more = crowded_links(distinct, depths, passes, signs, threshold, window, miss)
+    edges = edges if more is None else edges.unionAll(more)
     parts = connected_components(edges, "embedding-links")
     links = component_links(parts, distinct, threshold)
     placed = materialize(

@@ -68,3 +68,53 @@ def test_text_labels_and_double_vectors(spark):
     df = spark.createDataFrame(rows, "vec_id long, label string, embedding array<double>")
     got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.embedding_links(df).collect()}
     assert got == {1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (0, 4), 5: (0, 5)}
+
+
+def cone(n, pairs, seed, dim=64):
+    """A third of ``n`` vectors at cosine 0.95 to each other, with pairs at about 0.981 among them; the rest at random."""
+    rng = np.random.default_rng(seed)
+    m = n // 3
+    axis = np.zeros(dim)
+    axis[0] = 1.0
+    side = rng.normal(size=(m, dim)) * (np.arange(dim) > 0)
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    near = rng.normal(size=(pairs, dim)) * (np.arange(dim) > 0)
+    near -= (near * side[:pairs]).sum(axis=1, keepdims=True) * side[:pairs]
+    near /= np.linalg.norm(near, axis=1, keepdims=True)
+    side[m - pairs :] = 0.62 * side[:pairs] + np.sqrt(1 - 0.62**2) * near
+    x = np.concatenate([np.sqrt(0.95) * axis + np.sqrt(0.05) * side, rng.normal(size=(n - m, dim))])
+    return x.astype(np.float32), m
+
+
+def exact_links(x, threshold=0.98):
+    u = x.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    return {(i, int(j)) for i in range(len(u)) for j in np.flatnonzero(u @ u[i] >= threshold) if j != i}
+
+
+def found_links(spark, x, **params):
+    df = spark.createDataFrame([(i, v.tolist(), 0, None) for i, v in enumerate(x)], SCHEMA).repartition(8)
+    return {r.vec_id: (r.n_links, r.component_id) for r in embeddings.embedding_links(df, **params).collect()}
+
+
+def test_pairs_in_a_crowd_are_found(spark):
+    x, m = cone(6000, 150, 7)
+    links = exact_links(x)
+    assert len(links) >= 290 and max(max(p) for p in links) < m
+    got = found_links(spark, x, window=32)
+    degree = {i: sum(a == i for a, _ in links) for i in range(m)}
+    assert all(got[i][0] == degree[i] for i in range(m))
+
+
+def test_crowds_too_large_to_compare_go_through_more_passes(spark, monkeypatch):
+    x, m = cone(3000, 100, 8)
+    links = exact_links(x)
+    distinct = spark.createDataFrame([(0, 64, i, v.tolist()) for i, v in enumerate(x)], "label long, dim int, rep long, e array<float>")
+    signs, passes = embeddings.signs_for(3000, 8), embeddings.passes_for(3000, 0.98, 8, 1e-4)
+    edges, depths = embeddings.window_links(embeddings.projection_keys(distinct, passes), 0.98, 8, 3000 * passes, signs)
+    before = {tuple(sorted(r)) for r in edges.collect()}
+    want = {p for p in links if p[0] < p[1]}
+    assert len(before & want) < len(want)
+    monkeypatch.setattr(embeddings, "WHOLE", 0)
+    more = embeddings.crowded_links(distinct, depths, passes, signs, 0.98, 8, 1e-4)
+    assert want <= before | {tuple(sorted(r)) for r in more.collect()}
