@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .spatial import point_in_ring
+from ..functions.keys import provenance_id
+from .spatial import point_in_ring, sample_points
 
 # Names of programmes and outcomes.
 NATIONAL, STAMPED, COMPOSITE = "National LIDAR Programme", "Time-stamped EA survey", "EA Composite source survey"
@@ -43,3 +44,65 @@ def assess_coverage(points: DataFrame, features: DataFrame, on: Column) -> DataF
         .when(missing, result("pass", "needs_review", "terrain_provenance_missing")).otherwise(result("pass", "pass", None))
     )
     return sites.join(found, "site_id", "left").select("site_id", outcome.alias("o"), F.when(F.col("covered") == F.col("points"), programme).alias("programme")).select("site_id", "o.*", "programme")
+
+
+#: Cell sizes of the cover in metres, each four times the one before: a feature goes to the smallest cells that its
+#: box fits into, so it takes four of them at most, however large it is.
+CELLS = tuple(1000.0 * 4**k for k in range(10))
+
+
+def _cells(low: Column, high: Column, size: Column) -> Column:
+    return F.sequence(F.floor(low / size), F.floor(high / size))
+
+
+def envelope_pairs(patches: DataFrame, features: DataFrame) -> DataFrame:
+    """Pairs of rows whose boxes ``(x0, y0, x1, y1)`` meet, columns of features with the prefix ``f_``. An
+    equi-join on cells of the feature's own size; a pair is taken in the one cell that holds the lower left
+    corner of what both share, so it comes once without a further shuffle."""
+    extent = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
+    size = F.coalesce(*[F.when(extent <= c, F.lit(c)) for c in CELLS[:-1]], F.lit(CELLS[-1]))
+    f = features.withColumn("size", size)
+    sizes = f.select("size").distinct()  # as many rows as CELLS at most
+    f = f.select(*[F.col(c).alias(f"f_{c}") for c in f.columns])
+    f = f.withColumn("f_cx", F.explode(_cells(F.col("f_x0"), F.col("f_x1"), F.col("f_size")))).withColumn("f_cy", F.explode(_cells(F.col("f_y0"), F.col("f_y1"), F.col("f_size"))))
+    p = patches.crossJoin(F.broadcast(sizes)).withColumn("cx", F.explode(_cells(F.col("x0"), F.col("x1"), F.col("size")))).withColumn("cy", F.explode(_cells(F.col("y0"), F.col("y1"), F.col("size"))))
+    met = p.join(f, (F.col("size") == F.col("f_size")) & (F.col("cx") == F.col("f_cx")) & (F.col("cy") == F.col("f_cy")))
+    box = (F.col("x0") <= F.col("f_x1")) & (F.col("f_x0") <= F.col("x1")) & (F.col("y0") <= F.col("f_y1")) & (F.col("f_y0") <= F.col("y1"))
+    first = (F.floor(F.greatest("x0", "f_x0") / F.col("size")) == F.col("cx")) & (F.floor(F.greatest("y0", "f_y0") / F.col("size")) == F.col("cy"))
+    return met.where(box & first).drop("cx", "cy", "f_cx", "f_cy", "size", "f_size")
+
+
+def matching_provenance(patches: DataFrame, features: DataFrame, dataset: str, size: float = 128) -> DataFrame:
+    """``(patch_id, coverage, signatures, matches, year, resolution, programme)`` of each of
+    ``patches(patch_id, x, y, expected)`` by ``features(rings, polygon_id, year, resolution, start, end, file)``.
+
+    A feature is relevant if one of its rings holds one of the nine sample points. A patch is covered if each
+    point lies in a ring of a relevant feature. Its provenance is known if it is covered and all relevant features
+    agree in six fields (null as empty); the programme follows from the file's name. It matches if the
+    resolution is a metre or finer and the provenance id is the expected one. ``signatures`` is 0, 1 or 2 (more
+    than one)."""
+    points = sample_points(F.col("x").cast("double"), F.col("y").cast("double"), size)
+    boxed = patches.select("patch_id", "expected", points.alias("points"), *[(F.col(c) + d * size / 2).alias(n) for c, d, n in (("x", -1, "x0"), ("y", -1, "y0"), ("x", 1, "x1"), ("y", 1, "y1"))])
+
+    def axis(c: str) -> Column:
+        return F.transform(F.flatten("rings"), lambda p: p[c])
+
+    ends = [F.array_min(axis("x")).alias("x0"), F.array_min(axis("y")).alias("y0"), F.array_max(axis("x")).alias("x1"), F.array_max(axis("y")).alias("y1")]
+    fields = ("polygon_id", "year", "resolution", "start", "end", "file")
+    whole = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in fields]
+    met = envelope_pairs(boxed.select("patch_id", "points", "x0", "y0", "x1", "y1"), features.select("rings", *whole, *ends).where("x0 is not null"))
+    inside = F.transform("points", lambda p: F.exists("f_rings", lambda ring: point_in_ring(p["x"], p["y"], ring)))
+    mask = F.aggregate(inside, F.lit(0), lambda s, held: s * 2 + held.cast("int"))
+    signature = F.struct(*[F.col(f"f_{c}").alias(c) for c in fields])
+    found = met.select("patch_id", mask.alias("mask"), signature.alias("s")).where("mask > 0").groupBy("patch_id").agg(F.bit_or("mask").alias("mask"), F.min("s").alias("low"), F.max("s").alias("high"))
+    joined = patches.select("patch_id", "expected").join(found, "patch_id", "left")
+    covered, one = F.coalesce(F.col("mask") == 511, F.lit(False)), F.col("low") == F.col("high")
+    known = covered & F.coalesce(one, F.lit(False))
+    metres = F.expr("try_cast(low.resolution as double)")
+    resolution = F.regexp_replace(metres.cast("string"), "[.]0$", "")
+    programme = F.when(F.startswith(F.lower(F.col("low.file")), F.lit("np ")), NATIONAL).otherwise(COMPOSITE)
+    matches = known & F.coalesce((metres <= 1) & (provenance_id(F.col("low.year"), resolution, programme, F.lit(dataset)) == F.col("expected")), F.lit(False))
+    return joined.select(
+        "patch_id", covered.alias("coverage"), F.when(F.col("mask").isNull(), 0).when(one, 1).otherwise(2).alias("signatures"), matches.alias("matches"),
+        F.when(known, F.col("low.year")).alias("year"), F.when(known, resolution).alias("resolution"), F.when(known, programme).alias("programme"),
+    )

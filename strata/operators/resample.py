@@ -97,12 +97,12 @@ def _joined_replicates(units: DataFrame, score: DataFrame, unit: str, n: int, re
 
 def permuted_labels(rows: DataFrame, key: str, permutations: int, seed: str) -> DataFrame:
     """``(permutation, key, label)``: labels dealt anew in hash order. Rows and labels are numbered apart
-    and matched by number, permutation by permutation."""
+    and matched by number, permutation by permutation, over all partitions."""
     many = rows.select(key, "label", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("permutation"))
     h = F.sha2(F.concat_ws(":", F.lit(seed), F.col("permutation").cast("string"), F.col(key).cast("string")), 256)
-    keys = many.withColumn("_n", F.row_number().over(Window.partitionBy("permutation").orderBy(key))).select("permutation", key, "_n")
-    dealt = many.withColumn("_n", F.row_number().over(Window.partitionBy("permutation").orderBy(h))).select("permutation", "label", "_n")
-    return keys.join(dealt, ["permutation", "_n"]).select("permutation", key, "label")
+    keys = numbered(rows.select(key), [], [key]).select(key, F.col("rank").alias("_n"))  # the same for every permutation
+    dealt = numbered(many.select("permutation", "label", h.alias("_h")), ["permutation"], ["_h"]).select("permutation", "label", F.col("rank").alias("_n"))
+    return dealt.join(keys, "_n").select("permutation", key, "label")
 
 
 def plus_one_tail(values: Column, observed: Column) -> Column:
@@ -113,8 +113,8 @@ def plus_one_tail(values: Column, observed: Column) -> Column:
 def paired_bootstrap(pairs: DataFrame, pair: str, replicates: int, seed: str, digits: int = 6) -> DataFrame:
     """Percentile interval of the balanced accuracy of ``(positive, background)`` predictions: half the
     mean of the positives and of one minus the backgrounds, over pairs drawn with replacement."""
-    numbered = pairs.withColumn("unit", F.row_number().over(Window.orderBy(pair)).cast("bigint") - 1)  # a row for each pair of an evaluation set
-    drawn = draw_indices(pairs.sparkSession, numbered.count(), replicates, seed).join(numbered, "unit")
+    units = materialize(numbered(pairs, [], [pair]).withColumnRenamed("rank", "unit"), "bootstrap-pairs")
+    drawn = draw_indices(pairs.sparkSession, units.count(), replicates, seed).join(units, "unit")
     ba = drawn.groupBy("replicate").agg(((F.avg("positive") + 1 - F.avg("background")) / 2).alias("ba"))
     return ba.agg(F.round(F.avg("ba"), digits).alias("mean"), F.percentile("ba", F.array(F.lit(0.025), F.lit(0.975))).alias("q")).select(
         "mean", F.round(F.col("q")[0], digits).alias("low"), F.round(F.col("q")[1], digits).alias("high")

@@ -143,13 +143,13 @@ def group_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     return resample.group_bootstrap(v.scored(spark, d), "region", 5000, "boot-v1")
 
 
-@query("bst03_permutation_tail", f"""WITH base AS (SELECT sample_id, region, label, predicted FROM ({v.SCORED}) ), p AS (SELECT unnest(range(0, 50)) AS permutation),
+@query("bst03_permutation_tail", f"""WITH base AS (SELECT sample_id, region, label, predicted FROM ({v.SCORED}) ), p AS (SELECT unnest(range(0, 100)) AS permutation),
  k AS (SELECT permutation, sample_id, predicted, row_number() OVER (PARTITION BY permutation ORDER BY sample_id) AS i FROM base, p), l AS (SELECT permutation, label, row_number() OVER (PARTITION BY permutation ORDER BY sha256('perm-v1:' || CAST(permutation AS VARCHAR) || ':' || CAST(sample_id AS VARCHAR))) AS i FROM base, p),
  a AS (SELECT permutation, sum(CASE WHEN label = predicted THEN 1 ELSE 0 END) AS hits FROM k JOIN l USING (permutation, i) GROUP BY permutation), o AS (SELECT sum(CASE WHEN label = predicted THEN 1 ELSE 0 END) AS hits FROM base)
  SELECT CAST(o.hits AS BIGINT) AS observed, round((1 + count(*) FILTER (a.hits >= o.hits)) / (count(*) + 1.0), 9) AS tail FROM a, o GROUP BY o.hits""")
 def permutation_tail(spark: SparkSession, d: str) -> DataFrame:
     base = v.scored(spark, d).select("sample_id", "label", "predicted")
-    dealt = resample.permuted_labels(base.select("sample_id", "label"), "sample_id", 50, "perm-v1")
+    dealt = resample.permuted_labels(base.select("sample_id", "label"), "sample_id", 100, "perm-v1")
     hits = dealt.join(base.select("sample_id", "predicted"), "sample_id").groupBy("permutation").agg(F.count_if(F.col("label") == F.col("predicted")).alias("hits"))
     observed = base.agg(F.count_if(F.col("label") == F.col("predicted")).alias("observed"))
     return hits.crossJoin(F.broadcast(observed)).groupBy("observed").agg(F.round(resample.plus_one_tail(F.col("hits"), F.col("observed")), 9).alias("tail"))  # observed is one row

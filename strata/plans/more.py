@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import keys
 from ..operators import contracts, metrics, models, spatial
 from ..operators.celljoin import closer_than, near_pairs
-from ..operators.coverage import assess_coverage
+from ..operators.coverage import COMPOSITE, NATIONAL, assess_coverage, matching_provenance
 from ..operators.quantiles import exact_quantiles
 from . import views as v
 from .keys_text import hash_sql
@@ -44,6 +44,43 @@ def coverage(spark: SparkSession, d: str) -> DataFrame:
     return assess_coverage(pts, feats, (F.col("cx") == F.col("fx")) & (F.col("cy") == F.col("fy")))
 
 
+#: Mapped features: a square and a diamond for each supplier, 30 to 120 km wide; half metres keep points off the diamond.
+FEATURES = f"""SELECT s_suppkey AS k, {v.sql_unit("'FE:' || CAST(s_suppkey AS VARCHAR)")} * {v.EXTENT} // 1 AS cx, {v.sql_unit("'FN:' || CAST(s_suppkey AS VARCHAR)")} * {v.EXTENT} // 1 AS cy, 15000.5 * (1 + s_suppkey % 4) AS half,
+  CASE WHEN s_suppkey % 5 > 0 THEN 'p' || CAST(s_suppkey % 2 AS VARCHAR) ELSE '' END AS polygon_id, CAST(2019 + s_suppkey % 2 AS VARCHAR) AS year, CASE s_suppkey % 6 WHEN 0 THEN '2.0' WHEN 1 THEN '0.5' ELSE '1.0' END AS resolution,
+  CASE WHEN s_suppkey % 3 = 0 THEN 'survey' ELSE 'NP tile' END AS file FROM supplier"""
+MATCH_SQL = f"""WITH f AS ({FEATURES}), s AS (SELECT site_id, easting, northing, 'EAP-' || substr(sha256(CASE WHEN site_id % 2 = 0 THEN '2019|1' ELSE '2020|0.5' END || '|{NATIONAL}|dtm'), 1, 12) AS expected FROM ({v.SITES})),
+  p AS (SELECT site_id, easting + 64 * a AS x, northing + 64 * b AS y, (a + 1) * 3 + b + 1 AS i FROM s, (SELECT unnest([-1, 0, 1]) AS a), (SELECT unnest([-1, 0, 1]) AS b)),
+  h AS (SELECT site_id, i, polygon_id, year, resolution, file FROM p JOIN f ON (x >= cx - half AND x < cx + half AND y >= cy - half AND y < cy + half) OR abs(x - cx - 2 * half) + abs(y - cy) < half),
+  g AS (SELECT site_id, count(DISTINCT i) AS n, count(DISTINCT polygon_id || '|' || year || '|' || resolution || '|' || file) AS many, min(year) AS year, min(regexp_replace(resolution, '[.]0$', '')) AS resolution,
+    CASE WHEN min(file) = 'NP tile' THEN '{NATIONAL}' ELSE '{COMPOSITE}' END AS programme FROM h GROUP BY site_id)
+  SELECT s.site_id AS patch_id, coalesce(n = 9, false) AS coverage, CAST(CASE WHEN many > 1 THEN 2 ELSE coalesce(many, 0) END AS INTEGER) AS signatures,
+    coalesce(n = 9 AND many = 1 AND CAST(resolution AS DOUBLE) <= 1 AND 'EAP-' || substr(sha256(year || '|' || resolution || '|' || programme || '|dtm'), 1, 12) = expected, false) AS matches,
+    CASE WHEN n = 9 AND many = 1 THEN year END AS year, CASE WHEN n = 9 AND many = 1 THEN resolution END AS resolution, CASE WHEN n = 9 AND many = 1 THEN programme END AS programme FROM s LEFT JOIN g USING (site_id)"""
+
+
+def _features(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    cx, cy = (F.floor(keys.unit_draw(keys.sha(f"F{a}:", k)) * v.EXTENT).cast("double") for a in "EN")
+    half = F.lit(15000.5) * (1 + k % 4)
+
+    def ring(e: Column, n: Column, corners: list[tuple[int, int]]) -> Column:
+        return F.array(*[F.struct((e + a * half).alias("x"), (n + b * half).alias("y")) for a, b in corners])
+
+    rings = F.array(ring(cx, cy, [(-1, -1), (-1, 1), (1, 1), (1, -1), (-1, -1)]), ring(cx + 2 * half, cy, [(-1, 0), (0, 1), (1, 0), (0, -1), (-1, 0)]))
+    return v.table(spark, d, "supplier").select(
+        rings.alias("rings"), F.when(k % 5 > 0, F.concat(F.lit("p"), (k % 2).cast("string"))).alias("polygon_id"), (F.lit(2019) + k % 2).alias("year"), F.when(k % 6 == 0, "2.0").when(k % 6 == 1, "0.5").otherwise("1.0").alias("resolution"),
+        F.lit("a").alias("start"), F.lit("b").alias("end"), F.when(k % 3 == 0, "survey").otherwise("NP tile").alias("file"),
+    )
+
+
+@query("spa16_matching_provenance", MATCH_SQL)
+def provenance_matches(spark: SparkSession, d: str) -> DataFrame:
+    even = F.col("site_id") % 2 == 0
+    expected = keys.provenance_id(F.when(even, "2019").otherwise("2020"), F.when(even, "1").otherwise("0.5"), F.lit(NATIONAL), F.lit("dtm"))
+    sites = v.sites(spark, d).select(F.col("site_id").alias("patch_id"), F.col("easting").alias("x"), F.col("northing").alias("y"), expected.alias("expected"))
+    return matching_provenance(sites, _features(spark, d), "dtm")
+
+
 @query("jon03_predictions_with_manifest", f"SELECT s.sample_id, l.toxic, CASE WHEN s.label = s.predicted THEN 'right' ELSE 'wrong' END AS outcome FROM ({v.SCORED}) s JOIN labels l ON l.doc_id = s.sample_id")
 def predictions(spark: SparkSession, d: str) -> DataFrame:
     rows = v.scored(spark, d).join(v.table(spark, d, "labels").select(F.col("doc_id").alias("sample_id"), "toxic"), "sample_id")
@@ -175,7 +212,7 @@ def logistic_scores(spark: SparkSession, d: str) -> DataFrame:
 @query("ml03_forest_scores")
 def forest_scores(spark: SparkSession, d: str) -> DataFrame:
     rows = _vectors(spark, d)
-    return models.score(models.forest(60).fit(rows.where("vec_id % 3 <> 0")), rows.where("vec_id % 3 = 0")).select("vec_id", "label", "score")
+    return models.score(models.forest().fit(rows.where("vec_id % 3 <> 0")), rows.where("vec_id % 3 = 0")).select("vec_id", "label", "score")
 
 
 @query("con02_accepted_gates", "SELECT 'price' AS rule, CAST(o_orderkey AS VARCHAR) AS key FROM orders WHERE o_orderstatus = 'F' AND NOT o_totalprice > 20000 UNION ALL SELECT 'priority', CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority IN ('1-URGENT')")

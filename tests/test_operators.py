@@ -419,3 +419,46 @@ def test_unknown_labels_and_open_results(spark):
             spark.createDataFrame([(bad,)], "l string").select(label).collect()
     events = spark.createDataFrame([(1, 1, "UNREVIEWED"), (1, 2, "IN_REVIEW"), (1, 3, "ESCALATED"), (2, 1, "IN_REVIEW"), (3, 1, "UNREVIEWED"), (3, 2, "REVIEWED")], "k int, at int, state string")
     assert sorted((r.k, r.at) for r in ledger.illegal_results(events, "k", ["at"], "state").collect()) == [(2, 1), (3, 2)]
+
+
+def test_provenance_equals_the_nested_loop(spark):
+    """Features from metres to the whole country, with two rings, against every patch and point."""
+    from strata.operators import coverage
+
+    rng = random.Random(11)
+
+    def box(x, y, w):
+        return [(x, y), (x, y + w), (x + w, y + w), (x + w, y), (x, y)]
+
+    feats = []
+    for i in range(60):
+        w = 10.0 ** rng.uniform(2, 5.5)
+        x, y = rng.uniform(-1e4, 4e4), rng.uniform(-1e4, 4e4)
+        feats.append(([box(x, y, w), box(x + 2 * w, y, w / 2)], rng.choice(["a", None]), "2020", rng.choice(["1.0", "0.5", "x"]), "s", "e", rng.choice(["np 1", "NP 2", "other"])))
+    feats += [([], "z", "2020", "1.0", "s", "e", "np 1"), ([box(5.09e6, 9e4, 500.0)], "b", "2021", "1.0", "s", "e", "NP 7"), ([box(5.08e6, 9e4, 500.0)], "b", "2021", "2", "s", "e", "NP 7")]
+    patches = [(i, rng.randrange(-9000, 40000), rng.randrange(-9000, 40000), "?") for i in range(150)]
+    wanted = "EAP-" + hashlib.sha256(b"2021|1|National LIDAR Programme|set").hexdigest()[:12]
+    patches += [(900, 5_090_200, 90_200, wanted), (901, 5_090_200, 90_200, "?"), (902, 5_090_480, 90_200, wanted), (903, 5_080_200, 90_200, wanted), (904, 9_300_000, 0, wanted)]
+
+    def inside(x, y, ring):
+        odd = False
+        for (x1, y1), (x2, y2) in zip([ring[-1], *ring[:-1]], ring):
+            if (y1 > y) != (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1:
+                odd = not odd
+        return odd
+
+    want = {}
+    for i, x, y, _ in patches:
+        points = [(x + 64 * a, y + 64 * b) for a in (-1, 0, 1) for b in (-1, 0, 1)]
+        held = {n: [any(inside(*p, r) for r in f[0]) for p in points] for n, f in enumerate(feats)}
+        relevant = [n for n, h in held.items() if any(h)]
+        covered = bool(relevant) and all(any(held[n][k] for n in relevant) for k in range(9))
+        want[i] = (covered, min(2, len({tuple(v or "" for v in feats[n][1:]) for n in relevant})))
+    schema = "rings array<array<struct<x:double,y:double>>>, polygon_id string, year string, resolution string, start string, end string, file string"
+    rows = coverage.matching_provenance(spark.createDataFrame(patches, "patch_id int, x int, y int, expected string"), spark.createDataFrame(feats, schema), "set").collect()
+    assert {r.patch_id: (r.coverage, r.signatures) for r in rows} == want and len({v for v in want.values()}) > 3
+    last = {r.patch_id: (r.matches, r.year, r.resolution, r.programme) for r in rows if r.patch_id >= 900}
+    assert last == {
+        900: (True, "2021", "1", "National LIDAR Programme"), 901: (False, "2021", "1", "National LIDAR Programme"), 902: (False, None, None, None),
+        903: (False, "2021", "2", "National LIDAR Programme"), 904: (False, None, None, None),
+    }
