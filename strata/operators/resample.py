@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .numbering import numbered
@@ -35,25 +35,26 @@ def group_bootstrap(rows: DataFrame, unit: str, replicates: int, seed: str, digi
     A unit counts in a replicate as often as it is drawn. Counts of a unit are added up with that weight; for
     the ROC area so are its counts at each score, and the weighted area is a running sum over scores. Balanced
     accuracy is the mean recall of the classes that a replicate has; without both of them it has no ROC area."""
-    score = materialize(rows.groupBy(unit, "score").agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("n")), "bootstrap-scores")
+    score = rows.groupBy(unit, "score").agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("n"))
     counts = rows.groupBy(unit).agg(
         *[F.count_if((F.col("label") == a) & (F.col("predicted") == b)).alias(k) for k, a, b in (("tn", 0, 0), ("fp", 0, 1), ("fn", 1, 0), ("tp", 1, 1))]
     )
-    units = materialize(numbered(counts, [], [unit]).withColumnRenamed("rank", "unit_"), "bootstrap-units")
-    n, scores = units.count(), score.select("score").distinct().count()
-    every = (_packed_replicates if n * scores <= packed else _joined_replicates)(units, score, unit, n, replicates, seed)
+    groups = score.limit(packed + 1).collect()
+    if len(groups) <= packed and len({g[unit] for g in groups}) * len({g["score"] for g in groups}) <= packed:
+        every = _packed_replicates(rows.sparkSession, counts.collect(), groups, unit, replicates, seed)
+    else:
+        every = _joined_replicates(materialize(numbered(counts, [], [unit]).withColumnRenamed("rank", "unit_"), "bootstrap-units"), score, unit, replicates, seed)
     long = every.select(F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), F.col(k).alias("x")) for k in METRICS])).alias("m")).select("m.*")
     q = F.percentile("x", F.array(F.lit(0.025), F.lit(0.975)))  # a value for each replicate
     got = long.groupBy("metric").agg(F.count("x").alias("defined"), (F.count("*") - F.count("x")).alias("undefined"), F.round(F.avg("x"), digits).alias("mean"), q.alias("q"))
     return got.select("metric", "defined", "undefined", "mean", F.round(F.col("q")[0], digits).alias("low"), F.round(F.col("q")[1], digits).alias("high"))
 
 
-def _packed_replicates(units: DataFrame, score: DataFrame, unit: str, n: int, replicates: int, seed: str) -> DataFrame:
+def _packed_replicates(spark: SparkSession, rows: list, groups: list, unit: str, replicates: int, seed: str) -> DataFrame:
     """A row of metrics for each replicate, from matrices of units by scores that every task gets."""
-    rows = units.orderBy("unit_").collect()
+    rows, n = sorted(rows, key=lambda r: (r[unit] is not None, r[unit])), len(rows)
     table = np.array([[r[k] for k in ("tn", "fp", "fn", "tp")] for r in rows], np.int64).reshape(n, 4)
-    groups = score.collect()
-    number, place = {r[unit]: r["unit_"] for r in rows}, {s: i for i, s in enumerate(sorted({g["score"] for g in groups}))}
+    number, place = {r[unit]: i for i, r in enumerate(rows)}, {s: i for i, s in enumerate(sorted({g["score"] for g in groups}))}
     pos, neg = np.zeros((n, len(place)), np.int64), np.zeros((n, len(place)), np.int64)
     for g in groups:
         pos[number[g[unit]], place[g["score"]]], neg[number[g[unit]], place[g["score"]]] = g["p"], g["n"]
@@ -74,12 +75,12 @@ def _packed_replicates(units: DataFrame, score: DataFrame, unit: str, n: int, re
                     found = [both, (tp + tn) / (tp + tn + fp + fn), np.nan_to_num(2 * tp / (2 * tp + fp + fn)), area / ((tp + fn) * (tn + fp))]
                 yield pa.RecordBatch.from_arrays([pa.array(x, from_pandas=True) for x in found], names=list(METRICS))
 
-    return units.sparkSession.range(replicates).mapInArrow(run, ", ".join(f"{k} double" for k in METRICS))
+    return spark.range(replicates).mapInArrow(run, ", ".join(f"{k} double" for k in METRICS))
 
 
-def _joined_replicates(units: DataFrame, score: DataFrame, unit: str, n: int, replicates: int, seed: str) -> DataFrame:
+def _joined_replicates(units: DataFrame, score: DataFrame, unit: str, replicates: int, seed: str) -> DataFrame:
     """The same rows for units and scores of any number: weights are joined with a unit's counts."""
-    weights = draw_indices(units.sparkSession, n, replicates, seed).groupBy("replicate", F.col("unit").alias("unit_")).agg(F.count("*").alias("w"))
+    weights = draw_indices(units.sparkSession, units.count(), replicates, seed).groupBy("replicate", F.col("unit").alias("unit_")).agg(F.count("*").alias("w"))
     weights = materialize(weights, "bootstrap-weights")
     sums = weights.join(units, "unit_").groupBy("replicate").agg(*[F.sum(F.col(k) * F.col("w")).alias(k) for k in ("tn", "fp", "fn", "tp")])
     tn, fp, fn, tp = (F.col(k) for k in ("tn", "fp", "fn", "tp"))
