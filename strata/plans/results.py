@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import contracts, joins, ledger, metrics, spatial, splits
+from ..operators import contracts, evidence, joins, ledger, metrics, spatial, splits
 from . import views as v
+from .metrics import BOOT_SQL
 from .registry import query
 from .splits import FOLDS
 
@@ -97,6 +98,33 @@ def reproduced_figures(spark: SparkSession, d: str) -> DataFrame:
     return metrics.figures_differ(published, again, ["region"], ["tp", "fp", "accuracy"])
 
 
+#: The rows with one prediction turned.
+TURNED = f"SELECT * REPLACE (CASE WHEN sample_id = (SELECT min(sample_id) FROM ({v.SCORED})) THEN 1 - predicted ELSE predicted END AS predicted) FROM ({v.SCORED})"
+
+
+def figures_sql(scored: str) -> str:
+    boot = BOOT_SQL.replace("5000", "500").replace(v.SCORED, scored)
+    return f"""SELECT unnest(['tn', 'fp', 'fn', 'tp', 'balanced_accuracy', 'accuracy', 'f1']) AS figure,
+      unnest([tn, fp, fn, tp, round((tp / (tp + fn) + tn / (tn + fp)) / 2, 9), round((tp + tn) / (tp + tn + fp + fn), 9), round(2 * tp / (2 * tp + fp + fn), 9)]) AS x
+      FROM (SELECT {", ".join(f"CAST(count(*) FILTER (label = {a} AND predicted = {b}) AS DOUBLE) AS {k}" for k, a, b in (("tn", 0, 0), ("fp", 0, 1), ("fn", 1, 0), ("tp", 1, 1)))} FROM ({scored}))
+      UNION ALL SELECT metric || unnest(['_low', '_high', '_undefined']), unnest([low, high, CAST(undefined AS DOUBLE)]) FROM ({boot})"""
+
+
+def outcome_sql(figures: str) -> str:
+    return f"""SELECT CASE WHEN n < 40 THEN 0 WHEN ba >= 0.75 AND low > 0.5 THEN 1 WHEN ba > 0.5 THEN 2 ELSE 3 END
+      FROM (SELECT sum(x) FILTER (figure IN ('tn', 'fp', 'fn', 'tp')) AS n, max(x) FILTER (figure = 'balanced_accuracy') AS ba, least(ba, max(x) FILTER (figure = 'balanced_accuracy_low')) AS low FROM {figures})"""
+
+
+@query("con16_sealed_figures", f"""WITH a AS ({figures_sql(v.SCORED)}), b AS ({figures_sql(TURNED)})
+  SELECT figure, a.x AS published, b.x AS again, a.x = b.x AS agrees FROM a JOIN b USING (figure) UNION ALL SELECT 'outcome', NULL, NULL, ({outcome_sql('a')}) = ({outcome_sql('b')}) UNION ALL SELECT 'rows', NULL, NULL, false""")
+def sealed_figures(spark: SparkSession, d: str) -> DataFrame:
+    """The sealed figures of the scored rows against those of the rows with one prediction turned."""
+    rows = v.scored(spark, d).select("sample_id", "region", "label", "predicted", "score")
+    receipt = evidence.published_figures(rows, "region", 500, "boot-v1")
+    first = F.col("sample_id") == F.lit(rows.agg(F.min("sample_id")).first()[0])
+    return evidence.reproduced(receipt, rows.withColumn("predicted", F.when(first, 1 - F.col("predicted")).otherwise(F.col("predicted"))), "region", 500, "boot-v1")
+
+
 @query(
     "spl11_fold_indices",
     f"SELECT fold, CAST(sum(CASE WHEN role = 'test' THEN 1 ELSE 0 END) AS BIGINT) AS test, CAST(sum(CASE WHEN role = 'train' THEN 1 ELSE 0 END) AS BIGINT) AS train FROM (SELECT f.fold, CASE WHEN s.fold = f.fold THEN 'test' ELSE 'train' END AS role FROM ({FOLDS}) s, (SELECT unnest(range(5)) AS fold) f) GROUP BY fold",

@@ -462,3 +462,21 @@ def test_provenance_equals_the_nested_loop(spark):
         900: (True, "2021", "1", "National LIDAR Programme"), 901: (False, "2021", "1", "National LIDAR Programme"), 902: (False, None, None, None),
         903: (False, "2021", "2", "National LIDAR Programme"), 904: (False, None, None, None),
     }
+
+
+def test_sealed_figures_find_one_changed_row(spark):
+    from strata.operators import evidence
+
+    rng = random.Random(12)
+    rows = [(i, f"u{i % 9}", y, int(s >= 0.5), s) for i in range(90) for y, s in [(i % 2, round(rng.random(), 2))]]
+    df = spark.createDataFrame(rows, "sample_id int, u string, label int, predicted int, score double")
+    receipt = evidence.published_figures(df, "u", 30, "s")
+    assert all(r.agrees for r in evidence.reproduced(receipt, df.repartition(5), "u", 30, "s").collect())
+    turned = df.withColumn("score", F.when(F.col("sample_id") == 7, F.col("score") + 1e-9).otherwise(F.col("score")))
+    assert "rows" in {r.figure for r in evidence.reproduced(receipt, turned, "u", 30, "s").collect() if not r.agrees}
+    wrong = df.withColumn("predicted", F.when(F.col("sample_id") == 7, 1 - F.col("predicted")).otherwise(F.col("predicted")))
+    lost = {r.figure for r in evidence.reproduced(receipt, wrong, "u", 30, "s").collect() if not r.agrees}
+    assert {"rows", "accuracy", "balanced_accuracy"} <= lost and lost & {"tn", "fp", "fn", "tp"}
+    receipt["figures"]["tp"] += 1
+    with pytest.raises(ValueError):
+        evidence.reproduced(receipt, df, "u", 30, "s")
