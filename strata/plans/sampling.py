@@ -130,7 +130,16 @@ def nonadjacent(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(i, c) for i, c in enumerate(chosen)], "place int, cell string")
 
 
-@query("grd05_diverse_order")
+DIVERSE_SQL = f"""WITH RECURSIVE s AS (SELECT {hash_sql('diverse-v1', 'site_id')} AS key, block_id AS a, easting % 7 AS b FROM ({v.SITES})),
+  r AS (SELECT 0 AS i, CAST([] AS VARCHAR[]) AS keys, CAST([] AS BIGINT[]) AS seen_a, CAST([] AS BIGINT[]) AS seen_b
+  UNION ALL SELECT i + 1, list_append(keys, best.key), list_append(seen_a, best.a), list_append(seen_b, best.b)
+  FROM (SELECT i, any_value(keys) AS keys, any_value(seen_a) AS seen_a, any_value(seen_b) AS seen_b,
+    arg_min({{'key': key, 'a': CAST(a AS BIGINT), 'b': CAST(b AS BIGINT)}}, CAST(2 - CAST(NOT list_contains(seen_a, a) AS INTEGER) - CAST(NOT list_contains(seen_b, b) AS INTEGER) AS VARCHAR) || key) AS best
+    FROM r, s WHERE i < 40 AND NOT list_contains(keys, key) GROUP BY i))
+  SELECT CAST(unnest(range(len(keys))) AS INTEGER) AS place, unnest(keys) AS key FROM (SELECT arg_max(keys, i) AS keys FROM r)"""
+
+
+@query("grd05_diverse_order", DIVERSE_SQL)
 def diverse(spark: SparkSession, d: str) -> DataFrame:
     s = v.sites(spark, d).select(F.col("site_id"), "block_id", (F.col("easting") % 7).alias("year"))
     order = greedy.diverse_order(s.withColumn("key", keys.hash_rank("diverse-v1", F.col("site_id"))), "key", ["block_id", "year"], 40)
