@@ -60,9 +60,10 @@ def representations(pixels: DataFrame, size: int = 128, radius: int = 16, azimut
     east, north, up = float(np.sin(a) * np.cos(h)), float(np.cos(a) * np.cos(h)), float(np.sin(h))
     ge, gn = F.col("ge"), -F.col("gs")
     shade = (ge * -east - gn * north + up) / F.sqrt(ge * ge + gn * gn + 1)
+    seen = F.col("z").isNotNull()  # a gap's own neighbours may well be there
     return g.join(median, "patch_id").select(
-        "patch_id", "row", "col", (F.col("z") - F.col("median")).alias("elevation"), F.degrees(F.atan(F.sqrt(ge * ge + F.col("gs") * F.col("gs")))).alias("slope"),
-        F.when(shade.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), shade))).alias("hillshade"), (F.col("z") - F.col("box")).alias("relief"),
+        "patch_id", "row", "col", (F.col("z") - F.col("median")).alias("elevation"), F.when(seen, F.degrees(F.atan(F.sqrt(ge * ge + F.col("gs") * F.col("gs"))))).alias("slope"),
+        F.when(seen & shade.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), shade))).alias("hillshade"), (F.col("z") - F.col("box")).alias("relief"),
     )
 
 
@@ -166,6 +167,7 @@ def packed_features(patches: DataFrame, size: int = 128, radius: int = 16, azimu
                     heights = fours(z)
                     pool = np.stack([heights - 16 * median, fours(slope), fours(shade), heights - fours(boxes(z) * full)], axis=1) / 16
                 else:
+                    slope[~valid] = shade[~valid] = np.nan  # a gap's own neighbours may well be there
                     with np.errstate(invalid="ignore", divide="ignore"):
                         relief = z - boxes(np.where(valid, z, 0)) / boxes(valid.astype(np.float64))
                         median = np.nanmedian(flat, axis=1)[:, None, None]
@@ -210,6 +212,7 @@ def representation_violations(pixels: DataFrame, reps: DataFrame, size: int = 12
     gone = {c: F.col(c).isNull() for c in CHANNELS}
     rules = {
         "elevation_gap": F.bool_or(F.col("gap") != gone["elevation"]), "relief_gap": F.bool_or(F.col("gap") != gone["relief"]),
+        "slope_gap": F.bool_or(F.col("gap") & ~gone["slope"]), "hillshade_gap": F.bool_or(F.col("gap") & ~gone["hillshade"]),
         "stray_slope_gap": F.bool_or(gone["slope"] & ~F.col("near")), "stray_hillshade_gap": F.bool_or(gone["hillshade"] & ~F.col("near")),
         "slope_range": F.bool_or(~F.col("slope").between(0, 90)), "hillshade_range": F.bool_or(~F.col("hillshade").between(0, 1)),
         "elevation_median": F.abs(F.percentile("elevation", F.lit(0.5))) > 1e-4, "size": F.count("*") != size * size,

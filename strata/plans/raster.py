@@ -15,7 +15,7 @@ SURFACE = """SELECT patch_id, "row", "col", CASE s WHEN 0 THEN 100 + (1.1 + k *
   patch_id % 4 = 1 AND ("row" * 7 + "col" * 3) % 97 = 0 AS masked
   FROM (SELECT n_nationkey AS patch_id, "row", "col", CAST("col" - 64 AS DOUBLE) AS x, CAST("row" - 64 AS DOUBLE) AS y, CAST(n_nationkey % 6 AS DOUBLE) AS k, n_nationkey % 5 AS s FROM nation, (SELECT unnest(range(0, 128)) AS "row"), (SELECT unnest(range(0, 128)) AS "col"))"""
 PIXELS = f'SELECT patch_id, "row", "col", CASE WHEN NOT masked THEN z END AS z FROM ({SURFACE})'
-REPS = f"""SELECT g.patch_id, "row", "col", z - median AS elevation, degrees(atan(sqrt(ge * ge + gs * gs))) AS slope, CASE WHEN ge IS NOT NULL AND gs IS NOT NULL THEN greatest(0.0, least(1.0, (-ge * -0.5 + gs * 0.5 + sqrt(0.5)) / sqrt(ge * ge + gs * gs + 1))) END AS hillshade, z - box AS relief
+REPS = f"""SELECT g.patch_id, "row", "col", z - median AS elevation, CASE WHEN z IS NOT NULL THEN degrees(atan(sqrt(ge * ge + gs * gs))) END AS slope, CASE WHEN z IS NOT NULL AND ge IS NOT NULL AND gs IS NOT NULL THEN greatest(0.0, least(1.0, (-ge * -0.5 + gs * 0.5 + sqrt(0.5)) / sqrt(ge * ge + gs * gs + 1))) END AS hillshade, z - box AS relief
  FROM (SELECT patch_id, "row", "col", z, ge, CASE WHEN "row" = 0 THEN (lead(z) OVER c) - z WHEN "row" = 127 THEN z - (lag(z) OVER c) ELSE ((lead(z) OVER c) - (lag(z) OVER c)) / 2 END AS gs,
    (sum(rs) OVER cw) / nullif(sum(rc) OVER cw, 0) AS box FROM (SELECT patch_id, "row", "col", z, CASE WHEN "col" = 0 THEN (lead(z) OVER r) - z WHEN "col" = 127 THEN z - (lag(z) OVER r) ELSE ((lead(z) OVER r) - (lag(z) OVER r)) / 2 END AS ge,
      sum(z) OVER rw AS rs, count(z) OVER rw AS rc FROM ({PIXELS}) WINDOW r AS (PARTITION BY patch_id, "row" ORDER BY "col"), rw AS (PARTITION BY patch_id, "row" ORDER BY "col" ROWS BETWEEN 16 PRECEDING AND 16 FOLLOWING))
