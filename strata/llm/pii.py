@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -194,11 +195,41 @@ def _chernoff_bits(n: Column, q: Column, p: Column) -> Column:
     return n * (q * (F.log2(q) - F.log2(p)) + rest)
 
 
+class Groups(NamedTuple):
+    """Entities that stand in the same documents: they lead to the same terms, so one stands for all.
+    ``members`` is ``(entity, group)``, ``sizes`` ``(group, n_e, size)``, ``rows`` ``(row, groups)``."""
+
+    members: DataFrame
+    sizes: DataFrame
+    rows: DataFrame
+
+
+def grouped(holders: DataFrame, min_together: int) -> Groups:
+    """Entities of ``min_together`` documents or more by their set of documents: its size and two 64-bit sums of
+    hashes of its rows, which are distinct numbers. A document of thousands of entities that it shares with the
+    same others is in a few groups, so that it meets its terms a few times, not thousands of times."""
+    found = holders.select("row", F.explode("entities").alias("entity"))
+    marks = [F.hex(F.bit_xor(F.xxhash64("row", F.lit(k)))) for k in (1, 2)]
+    sets = found.groupBy("entity").agg(F.count("*").alias("n_e"), *[m.alias(f"_{k}") for k, m in enumerate(marks)]).where(F.col("n_e") >= min_together)
+    members = materialize(sets.select("entity", F.concat_ws("-", F.col("n_e").cast("string"), "_0", "_1").alias("group"), "n_e"), "pii-entities")
+    sizes = members.groupBy("group").agg(F.first("n_e").alias("n_e"), F.count("*").alias("size"))
+    rows = found.join(members.select("entity", "group"), "entity").groupBy("row").agg(F.collect_set("group").alias("groups"))  # of one document
+    return Groups(members.select("entity", "group"), materialize(sizes, "pii-groups"), materialize(rows, "pii-rows"))
+
+
 def disclosures(
     docs: DataFrame, holders: DataFrame, alpha: float, min_together: int, chance: float, text_col: str = "text", general: DataFrame | None = None
 ) -> DataFrame:
     """``(entity, term, n_et, n_e, n_t, pmi, ic)`` of the pairs that exceed the threshold, from counts over
     all documents. With ``general(term, parent)``, each term stands for its parents instead."""
+    groups = grouped(holders, min_together)
+    return telling_terms(docs, holders, groups, alpha, min_together, chance, text_col, general).join(groups.members, "group").drop("group")
+
+
+def telling_terms(
+    docs: DataFrame, holders: DataFrame, groups: Groups, alpha: float, min_together: int, chance: float, text_col: str = "text", general: DataFrame | None = None
+) -> DataFrame:
+    """``disclosures`` with ``group`` for ``entity``: a row holds for each of the group's entities."""
     total = F.lit(float(max(docs.count(), 1)))
 
     def lifted(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -206,18 +237,15 @@ def disclosures(
             return rows
         return rows.join(general, "term").select(*keys, F.col("parent").alias("term")).distinct()
 
-    entities = holders.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= min_together)
-    entities = materialize(entities, "pii-entities")
-    held = holders.select("row", F.explode("entities").alias("entity")).join(entities.select("entity"), "entity", "left_semi")
-    # a text travels once, with the entities that are left
-    kept = held.groupBy("row").agg(F.collect_list("entity").alias("kept"))  # of one document
-    met = holders.join(kept, "row").select("row", "kept", F.explode(terms_of(F.col("held"))).alias("term"))
-    met = lifted(met, ["row", "kept"]).select("term", F.explode("kept").alias("entity"))
-    pairs = materialize(met.groupBy("entity", "term").agg(F.count("*").alias("n_et")), "pii-pairs")
-    bits = F.lit(math.log2(max(pairs.count(), 1) / chance))
+    # a text travels once, with the groups of its entities
+    met = holders.join(groups.rows, "row").select("row", "groups", F.explode(terms_of(F.col("held"))).alias("term"))
+    met = lifted(met, ["row", "groups"]).select("term", F.explode("groups").alias("group"))
+    pairs = materialize(met.groupBy("group", "term").agg(F.count("*").alias("n_et")), "pii-pairs")
+    tried = pairs.groupBy("group").agg(F.count("*").alias("n")).join(groups.sizes, "group").agg(F.sum(F.col("n") * F.col("size"))).first()[0]  # pairs of entity and term
+    bits = F.lit(math.log2(max(tried or 0, 1) / chance))
     share = F.col("n_e") / total
     # n_t is n_et at least: what chance may explain even so is left out before the corpus is counted
-    hopeful = pairs.where(F.col("n_et") >= min_together).join(entities, "entity").where(F.col("n_et") * -F.log2(share) >= bits)
+    hopeful = pairs.where(F.col("n_et") >= min_together).join(groups.sizes.drop("size"), "group").where(F.col("n_et") * -F.log2(share) >= bits)
     wanted = hopeful.select("term").distinct()
     texts = docs.select(F.monotonically_increasing_id().alias("row"), F.explode(terms_of(F.coalesce(F.col(text_col).cast("string"), F.lit("")))).alias("term"))
     if general is None:  # counted within each task before terms travel
@@ -228,17 +256,18 @@ def disclosures(
         counts = met_at.select("row", F.col("parent").alias("term")).distinct().groupBy("term").agg(F.count("*").alias("n_t"))
     scored = hopeful.join(counts, "term").withColumn("ic", -F.log2(share)).withColumn("pmi", F.log2(F.col("n_et") * total / (F.col("n_e") * F.col("n_t"))))
     sure = _chernoff_bits(F.col("n_t"), F.col("n_et") / F.col("n_t"), share) >= bits
-    out = scored.where((F.col("ic") > 0) & (F.col("pmi") >= F.col("ic") / alpha) & sure).select("entity", "term", "n_et", "n_e", "n_t", "pmi", "ic")
+    out = scored.where((F.col("ic") > 0) & (F.col("pmi") >= F.col("ic") / alpha) & sure).select("group", "term", "n_et", "n_e", "n_t", "pmi", "ic")
     return materialize(out, "pii-disclosures")
 
 
-def term_spans(holders: DataFrame, telling: DataFrame) -> DataFrame:
+def term_spans(holders: DataFrame, groups: Groups, telling: DataFrame) -> DataFrame:
     """``(doc_id, key, terms)`` of the documents that hold an entity with disclosing terms: all of their
     occurrences there. A document meets the terms that stand in it, not all of its entities' terms."""
-    words = holders.select("row", F.explode(matches(F.col("held"), TERM, "term")).alias("s")).withColumn("term", F.lower("s.value"))
+    words = holders.select("row", "doc_id", "key", F.explode(matches(F.col("held"), TERM, "term")).alias("s")).withColumn("term", F.lower("s.value"))
     words = words.join(telling.select("term").distinct(), "term", "left_semi")
-    owned = holders.select("row", "doc_id", "key", F.explode("entities").alias("entity"))
-    found = words.join(owned, "row").join(telling.select("entity", "term"), ["entity", "term"], "left_semi")
+    owned = groups.rows.select("row", F.explode("groups").alias("group"))
+    told = words.select("row", "term").distinct().join(owned, "row").join(telling.select("group", "term"), ["group", "term"], "left_semi").select("row", "term").distinct()
+    found = words.join(told, ["row", "term"], "left_semi")
     return found.groupBy("doc_id", "key").agg(F.collect_set("s").alias("terms"))  # of one document
 
 
@@ -249,17 +278,18 @@ def find_spans(
     ``(kind, start, end, value)``."""
     scanned = materialize(scan(docs, id_col, text_col), "pii-scan")
     holders = holders_of(scanned)
-    return _found(scanned, holders, disclosures(docs, holders, alpha, min_together, chance, text_col))
+    groups = grouped(holders, min_together)
+    return _found(scanned, holders, groups, telling_terms(docs, holders, groups, alpha, min_together, chance, text_col))
 
 
-def _found(scanned: DataFrame, holders: DataFrame, telling: DataFrame) -> DataFrame:
-    terms = term_spans(holders, telling).withColumnsRenamed({"doc_id": "_d", "key": "_k"})
+def _found(scanned: DataFrame, holders: DataFrame, groups: Groups, telling: DataFrame) -> DataFrame:
+    terms = term_spans(holders, groups, telling).withColumnsRenamed({"doc_id": "_d", "key": "_k"})
     return scanned.join(terms, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("key") == F.col("_k")), "left").select(
         "doc_id", "key", "spans", F.coalesce("terms", F.array().cast(EMPTY_SPANS)).alias("terms")
     )
 
 
-def generalised(docs: DataFrame, holders: DataFrame, telling: DataFrame, hierarchy: DataFrame, levels: int, **bounds) -> DataFrame:
+def generalised(docs: DataFrame, holders: DataFrame, groups: Groups, telling: DataFrame, hierarchy: DataFrame, levels: int, **bounds) -> DataFrame:
     """``(doc_id, key, term, instead)``: for each disclosing term of a document the nearest ancestor in
     ``hierarchy(term, parent)`` that discloses none of the document's entities; none within ``levels``
     steps: no row."""
@@ -272,12 +302,12 @@ def generalised(docs: DataFrame, holders: DataFrame, telling: DataFrame, hierarc
     every = materialize(every.where("term <> parent").groupBy("term", "parent").agg(F.min("steps").alias("steps")), "pii-hierarchy")
     # an ancestor stands for all terms below it, and for itself
     meant = every.select("term", "parent").unionAll(every.select(F.col("parent").alias("term"), "parent")).distinct()
-    bad = disclosures(docs, holders, general=meant, **bounds).select("entity", F.col("term").alias("parent"))
-    owned = holders.select("row", "doc_id", "key", F.explode("entities").alias("entity"))
-    words = holders.select("row", F.explode(terms_of(F.col("held"))).alias("term")).join(telling.select("term").distinct(), "term", "left_semi")
-    open_ = words.join(owned, "row").join(telling.select("entity", "term"), ["entity", "term"], "left_semi").select("row", "doc_id", "key", "term").distinct()
+    bad = telling_terms(docs, holders, groups, general=meant, **bounds).select("group", F.col("term").alias("parent"))
+    owned = groups.rows.select("row", F.explode("groups").alias("group"))
+    words = holders.select("row", "doc_id", "key", F.explode(terms_of(F.col("held"))).alias("term")).join(telling.select("term").distinct(), "term", "left_semi")
+    open_ = words.join(owned, "row").join(telling.select("group", "term"), ["group", "term"], "left_semi").select("row", "doc_id", "key", "term").distinct()
     tried = open_.join(every, "term")
-    risky = tried.select("row", "parent").distinct().join(owned.select("row", "entity"), "row").join(bad, ["entity", "parent"], "left_semi").select("row", "parent").distinct()
+    risky = tried.select("row", "parent").distinct().join(owned, "row").join(bad, ["group", "parent"], "left_semi").select("row", "parent").distinct()
     return tried.join(risky, ["row", "parent"], "left_anti").groupBy("doc_id", "key", "term").agg(F.min_by("parent", F.struct("steps", "parent")).alias("instead"))
 
 
@@ -290,13 +320,14 @@ def sanitize(
     scanned = materialize(scan(docs, id_col, text_col), "pii-scan")
     bounds = {"alpha": alpha, "min_together": min_together, "chance": chance, "text_col": text_col}
     holders = holders_of(scanned)
-    telling = disclosures(docs, holders, **bounds)
-    found = _found(scanned, holders, telling).dropDuplicates(["doc_id", "key"])
+    groups = grouped(holders, min_together)
+    telling = telling_terms(docs, holders, groups, **bounds)
+    found = _found(scanned, holders, groups, telling).dropDuplicates(["doc_id", "key"])
     found = found.select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), F.concat("spans", "terms").alias("_s"))
     if hierarchy is None:
         found = found.withColumn("_g", F.create_map().cast("map<string,string>"))
     else:
-        general = generalised(docs, holders, telling, hierarchy, levels, **bounds).groupBy("doc_id", "key").agg(F.map_from_entries(F.collect_set(F.struct("term", "instead"))).alias("_g"))
+        general = generalised(docs, holders, groups, telling, hierarchy, levels, **bounds).groupBy("doc_id", "key").agg(F.map_from_entries(F.collect_set(F.struct("term", "instead"))).alias("_g"))
         general = general.withColumnsRenamed({"doc_id": "_d2", "key": "_k2"})
         found = found.join(general, F.col("_d").eqNullSafe(F.col("_d2")) & (F.col("_k") == F.col("_k2")), "left").drop("_d2", "_k2")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))

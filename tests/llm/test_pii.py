@@ -144,3 +144,26 @@ def test_terms_are_generalised_along_the_hierarchy(spark, corpus):
 
 def test_empty_table(spark):
     assert pii.find_spans(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_entities_of_the_same_documents_are_one_group(spark):
+    text = " ".join(f"mail{i}@host{i}.org word{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(4_000))
+    rows = [(1, text), (2, text), (3, "quiet note for one@host7.org"), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    holders = pii.holders_of(pii.materialize(pii.scan(df), "t"))
+    groups = pii.grouped(holders, 2)
+    sets = {}
+    for r in holders.collect():
+        for e in r.entities:
+            sets.setdefault(e, set()).add(r.doc_id)
+    want = {}
+    for e, ids in sets.items():
+        if len(ids) >= 2:
+            want.setdefault(frozenset(ids), set()).add(e)
+    got = {}
+    for r in groups.members.collect():
+        got.setdefault(r.group, set()).add(r.entity)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values())) and len(got) == 2  # 1 and 2; 1, 2 and 3
+    assert {r.group: (r.n_e, r.size) for r in groups.sizes.collect()} == {g: (len(next(k for k, v in want.items() if v == m)), len(m)) for g, m in got.items()}
+    assert sorted(len(r.groups) for r in groups.rows.collect()) == [1, 2, 2]
+    assert pii.find_spans(df).count() == 4
