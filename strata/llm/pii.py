@@ -262,12 +262,15 @@ def telling_terms(
 
 def term_spans(holders: DataFrame, groups: Groups, telling: DataFrame) -> DataFrame:
     """``(doc_id, key, terms)`` of the documents that hold an entity with disclosing terms: all of their
-    occurrences there. A document meets the terms that stand in it, not all of its entities' terms."""
-    words = holders.select("row", "doc_id", "key", F.explode(matches(F.col("held"), TERM, "term")).alias("s")).withColumn("term", F.lower("s.value"))
-    words = words.join(telling.select("term").distinct(), "term", "left_semi")
+    occurrences there. A document meets the terms that stand in it, not all of its entities' terms. Terms meet
+    by a hash; their words then select the occurrences, so a hash that two terms share adds none."""
+    known = telling.select("group", "term", F.xxhash64("term").alias("hash"))
+    words = holders.select("row", F.explode(terms_of(F.col("held"))).alias("word")).select("row", F.xxhash64("word").alias("hash"))
+    words = words.join(known.select("hash").distinct(), "hash", "left_semi")
     owned = groups.rows.select("row", F.explode("groups").alias("group"))
-    told = words.select("row", "term").distinct().join(owned, "row").join(telling.select("group", "term"), ["group", "term"], "left_semi").select("row", "term").distinct()
-    found = words.join(told, ["row", "term"], "left_semi")
+    told = words.join(owned, "row").join(known, ["group", "hash"]).groupBy("row").agg(F.collect_set("term").alias("told"))  # of one document
+    spans = F.filter(matches(F.col("held"), TERM, "term"), lambda s: F.array_contains(F.col("told"), F.lower(s["value"])))
+    found = holders.join(told, "row").select("doc_id", "key", F.explode(spans).alias("s"))
     return found.groupBy("doc_id", "key").agg(F.collect_set("s").alias("terms"))  # of one document
 
 
