@@ -34,7 +34,7 @@ def packed_quality(spark: SparkSession, d: str) -> DataFrame:
     rows = quality.packed_representations(p, planted)
     for c in r.CHANNELS:
         rows = rows.withColumn(f"reference_{c}", F.transform(c, lambda x, i: x + F.when((k % 8 == 5) & (i == 77), 0.25).otherwise(0.0).cast("float")) if c == "relief" else F.col(c))
-    return quality.packed_violations(rows, reference="reference_").select("patch_id", "reasons", "passed")
+    return quality.packed_violations(rows, reference="reference_").select(F.col("patch_id").cast("int").alias("patch_id"), "reasons", "passed")
 
 
 CELL = 50
@@ -61,7 +61,7 @@ def tiling_seams(spark: SparkSession, d: str) -> DataFrame:
     )
     seams = quality.seam_diagnostics(p, r.representations(p), extents, float(CELL))
     off = [F.round(F.col(c) + 3e-8, 6).alias(c) for c in ("step", "slope_median", "relief_median")]
-    return seams.select("patch_id", "orientation", "index", "duplicate_edge", *off, F.round("percentile", 6).alias("percentile"))
+    return seams.select("patch_id", "orientation", F.col("index").cast("bigint").alias("index"), "duplicate_edge", *off, F.round("percentile", 6).alias("percentile"))
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
