@@ -24,4 +24,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load() -> None:
-    from . import approval, extra, keys_text, ledger, metrics, more, raster, results, sampling, sources, spatial, splits  # noqa: F401
+    from . import acquisition, approval, extra, keys_text, ledger, metrics, more, raster, results, sampling, sources, spatial, splits  # noqa: F401
