@@ -75,18 +75,31 @@ def admission(items: DataFrame, batch: str, order: str, most_items: int, most_by
 # What an automatic result may claim and must say.
 EVIDENCE_LEVELS = ("AI_OUTPUT", "AI_HYPOTHESIS")
 WARNINGS = ("HUMAN_REVIEW_REQUIRED", "AUTOMATIC_EVIDENCE_ONLY")
+LIMITATIONS = ("NOT_ARCHAEOLOGICAL_PROBABILITY", "NOT_ARCHAEOLOGICAL_CONFIRMATION", "E001_SCOPE_ONLY")
+MESSAGES = {
+    "HUMAN_REVIEW_REQUIRED": "Independent human review is required.",
+    "AUTOMATIC_EVIDENCE_ONLY": "This is automatic terrain-model output only.",
+    "NOT_ARCHAEOLOGICAL_PROBABILITY": "The score is not a probability that archaeology exists.",
+    "NOT_ARCHAEOLOGICAL_CONFIRMATION": "The result does not confirm an archaeological site or discovery.",
+    "E001_SCOPE_ONLY": "The model is limited to the documented E001 research scope.",
+}
 SLUG = r"^[a-z0-9]+(?:-[a-z0-9]+)*$"
 SLUG_LENGTH = 64
 SCORE_COLUMNS = ("model_score", "prediction", "predicted_label", "probability")
 
 
+MANIFEST_STAGES = ("curation", "terrain_acquisition", "dataset_freeze")
+REVIEW_STATES = ("accepted", "rejected", "uncertain", "terrain_review_needed")
+
+
 def coded(codes: Column, required: tuple[str, ...]) -> Column:
-    """Whether a list of codes holds all required ones and none twice."""
-    return (F.size(F.array_except(F.array(*[F.lit(c) for c in required]), codes)) == 0) & (F.size(F.array_distinct(codes)) == F.size(codes))
+    """Whether a list of codes holds all required ones, none twice and no other one."""
+    known = F.array(*[F.lit(c) for c in required])
+    return (F.size(F.array_except(known, codes)) == 0) & (F.size(F.array_except(codes, known)) == 0) & (F.size(F.array_distinct(codes)) == F.size(codes))
 
 
 def envelope_violations(rows: DataFrame, key: str, configs: dict[str, str]) -> DataFrame:
-    """``(rule, key)`` of result envelopes ``(score, evidence_level, model, config, warnings)`` that may not
+    """``(rule, key)`` of result envelopes ``(score, evidence_level, model, config, warnings, limitations)`` that may not
     leave. ``configs`` holds the approved models and the digest of each one's settings."""
     score = F.col("score")
     approved = F.lit(False)
@@ -98,13 +111,46 @@ def envelope_violations(rows: DataFrame, key: str, configs: dict[str, str]) -> D
         "model": F.col("model").rlike(SLUG) & (F.length("model") <= SLUG_LENGTH),
         "config": approved,
         "warnings": coded(F.col("warnings"), WARNINGS),
+        "limitations": coded(F.col("limitations"), LIMITATIONS),
+    }
+    return row_violations(rows, key, rules)
+
+
+def public_envelopes(rows: DataFrame, version: str) -> DataFrame:
+    """What may be shown of envelopes without a violation: these fields and no other, with codes as sentences."""
+    sentences = F.create_map(*[F.lit(x) for pair in MESSAGES.items() for x in pair])
+    said = lambda c: F.transform(c, lambda code: sentences[code]).alias(c)
+    return rows.select(F.lit(version).alias("schema_version"), "evidence_level", "score", "model", "config", said("warnings"), said("limitations"))
+
+
+def manifest_violations(rows: DataFrame, key: str) -> DataFrame:
+    """``(rule, key)`` of records ``(stage, scored boolean, record string)`` of a manifest from before scoring;
+    ``record`` is a JSON object. A field is a score by its name, whatever the case."""
+    names = F.transform(F.coalesce(F.json_object_keys("record"), F.array().cast("array<string>")), F.lower)
+    rules = {
+        "stage": F.col("stage").isin(*MANIFEST_STAGES), "pre_score": ~F.col("scored"), "record": F.json_object_keys("record").isNotNull(),
+        "review_status": F.get_json_object("record", "$.review_status").isin(*REVIEW_STATES),
+        "score_field": ~F.arrays_overlap(names, F.array(*[F.lit(c) for c in SCORE_COLUMNS])),
     }
     return row_violations(rows, key, rules)
 
 
-def score_columns(schema: T.StructType) -> list[str]:
-    """Columns that a manifest from before scoring may not have."""
-    return [f.name for f in schema.fields if f.name.casefold() in SCORE_COLUMNS]
+def terrain_answers(items: DataFrame, frozen: DataFrame, live: DataFrame, cached: DataFrame, key: str) -> DataFrame:
+    """``(key, origin, coverage, provenance, reason, status)``: each item's answer is the frozen one, else the live one
+    unless that has an ``error``, else the cached one; without any it stays open, which is never a pass. The three
+    tables have ``(key, coverage, provenance, reason)``, ``live`` also ``error``; a row a key at most."""
+    fields = ("coverage", "provenance", "reason")
+    out = items.select(key)
+    for name, table in (("frozen", frozen), ("live", live.where("error IS NULL")), ("cached", cached)):
+        out = out.join(table.select(key, F.struct(*fields).alias(name)), key, "left")
+    out = out.join(live.where("error IS NOT NULL").select(key, "error"), key, "left")
+    answer = F.coalesce("frozen", "live", "cached")
+    origin = F.when(F.col("frozen").isNotNull(), "frozen").when(F.col("live").isNotNull(), "live").when(F.col("cached").isNotNull(), "cached").otherwise("none")
+    status = F.when(answer["coverage"].isNull(), "needs_terrain_review").when(answer["coverage"] != "pass", "rejected").when(answer["provenance"] == "pass", "accepted").otherwise("needs_terrain_review")
+    return out.select(
+        key, origin.alias("origin"), F.coalesce(answer["coverage"], F.lit("needs_review")).alias("coverage"), F.coalesce(answer["provenance"], F.lit("needs_review")).alias("provenance"),
+        F.coalesce(answer["reason"], F.when(answer.isNull(), F.coalesce("error", F.lit("no_answer")))).alias("reason"), status.alias("status"),
+    )
 
 
 def batch_results(items: DataFrame, changed: Column, fault: Column) -> DataFrame:

@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .contracts import row_violations
+
 
 def snap(value: Column, resolution: float = 1.0) -> Column:
     """To the grid, half up (not half even)."""
@@ -156,9 +158,11 @@ def annulus_points(keys: list[str], e: float, n: float, inner: float, outer: flo
     return np.round(e + radius * np.cos(angle)), np.round(n + radius * np.sin(angle))
 
 
-def policy_violations(policy: dict[str, float]) -> list[str]:
-    """Rules that a background sampling policy breaks; the bounds are fixed values."""
+def policy_violations(rows: DataFrame, key: str) -> DataFrame:
+    """``(rule, key)`` of background sampling policies, one a row, that break a bound; the bounds are fixed values."""
+    positive = [F.coalesce(F.col(c) > 0, F.lit(False)) for c in ("exclusion_m", "archaeology_exclusion_m", "separation_m", "inner_m")]
     rules = {
-        "annulus": 0 < policy["inner_m"] < policy["outer_m"], "attempts": 1 <= policy["attempts"] <= 2_000, "spacing": policy["spacing_m"] > 0,
+        "label": F.col("label") == "unlabelled_background", "ratio": F.col("per_positive") == 1, "distances": positive[0] & positive[1] & positive[2] & positive[3],
+        "annulus": F.col("outer_m") > F.col("inner_m"), "gaps": F.col("most_gaps").between(0, 1),
     }
-    return [name for name, holds in rules.items() if not holds]
+    return row_violations(rows, key, rules)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import contracts, evidence, joins, ledger, metrics, spatial, splits
+from ..operators import contracts, evidence, greedy, joins, ledger, metrics, spatial, splits
 from . import views as v
 from .metrics import BOOT_SQL
 from .registry import query
@@ -19,7 +19,8 @@ ENVELOPES = f"""SELECT sample_id, CASE WHEN sample_id % 23 = 0 THEN score * 3 WH
   CASE sample_id % 7 WHEN 0 THEN 'Forest A' WHEN 1 THEN 'logistic-b' ELSE 'forest-a' END AS model,
   CASE sample_id % 5 WHEN 0 THEN '{"cd" * 32}' ELSE '{"ab" * 32}' END AS config,
   CASE sample_id % 13 WHEN 0 THEN 'HUMAN_REVIEW_REQUIRED' WHEN 1 THEN 'HUMAN_REVIEW_REQUIRED,AUTOMATIC_EVIDENCE_ONLY,HUMAN_REVIEW_REQUIRED'
-    ELSE 'HUMAN_REVIEW_REQUIRED,AUTOMATIC_EVIDENCE_ONLY' END AS warnings FROM ({v.SCORED})"""
+    ELSE 'HUMAN_REVIEW_REQUIRED,AUTOMATIC_EVIDENCE_ONLY' END AS warnings,
+  CASE sample_id % 17 WHEN 3 THEN 'E001_SCOPE_ONLY' WHEN 4 THEN NULL ELSE '{",".join(contracts.LIMITATIONS)}' END AS limitations FROM ({v.SCORED})"""
 
 
 @query(
@@ -29,11 +30,16 @@ ENVELOPES = f"""SELECT sample_id, CASE WHEN sample_id % 23 = 0 THEN score * 3 WH
       CASE WHEN evidence_level NOT IN ('AI_OUTPUT', 'AI_HYPOTHESIS') THEN 'evidence_level' END,
       CASE WHEN NOT regexp_matches(model, '^[a-z0-9]+(-[a-z0-9]+)*$') THEN 'model' END,
       CASE WHEN (model, config) NOT IN (('forest-a', '{"ab" * 32}'), ('logistic-b', '{"cd" * 32}')) THEN 'config' END,
-      CASE WHEN warnings <> 'HUMAN_REVIEW_REQUIRED,AUTOMATIC_EVIDENCE_ONLY' THEN 'warnings' END]) AS rule FROM ({ENVELOPES})) WHERE rule IS NOT NULL""",
+      CASE WHEN warnings <> 'HUMAN_REVIEW_REQUIRED,AUTOMATIC_EVIDENCE_ONLY' THEN 'warnings' END,
+      CASE WHEN limitations IS DISTINCT FROM '{",".join(contracts.LIMITATIONS)}' THEN 'limitations' END]) AS rule FROM ({ENVELOPES})) WHERE rule IS NOT NULL""",
 )
 def envelope_violations(spark: SparkSession, d: str) -> DataFrame:
+    return contracts.envelope_violations(_envelopes(spark, d), "sample_id", CONFIGS)
+
+
+def _envelopes(spark: SparkSession, d: str) -> DataFrame:
     k, score = F.col("sample_id"), F.col("score")
-    rows = v.scored(spark, d).select(
+    return v.scored(spark, d).select(
         k,
         F.when(k % 23 == 0, score * 3).when(k % 29 == 0, F.lit(float("nan"))).otherwise(score).alias("score"),
         F.when(k % 11 == 0, "HUMAN_VETTED_OBSERVATION").when(k % 11 == 1, "AI_HYPOTHESIS").otherwise("AI_OUTPUT").alias("evidence_level"),
@@ -43,8 +49,22 @@ def envelope_violations(spark: SparkSession, d: str) -> DataFrame:
             F.when(k % 13 == 0, "HUMAN_REVIEW_REQUIRED").when(k % 13 == 1, "HUMAN_REVIEW_REQUIRED,AUTOMATIC_EVIDENCE_ONLY,HUMAN_REVIEW_REQUIRED")
             .otherwise("HUMAN_REVIEW_REQUIRED,AUTOMATIC_EVIDENCE_ONLY"), ",",
         ).alias("warnings"),
+        F.when(k % 17 == 3, F.array(F.lit("E001_SCOPE_ONLY"))).when(k % 17 != 4, F.array(*[F.lit(c) for c in contracts.LIMITATIONS])).alias("limitations"),
     )
-    return contracts.envelope_violations(rows, "sample_id", CONFIGS)
+
+
+@query(
+    "con04_public_envelopes",
+    f"""SELECT 'result-v1' AS schema_version, evidence_level, score, model, config, '{" ".join(contracts.MESSAGES[c] for c in contracts.WARNINGS)}' AS warnings,
+      '{" ".join(contracts.MESSAGES[c] for c in contracts.LIMITATIONS)}' AS limitations FROM ({ENVELOPES}) WHERE score BETWEEN 0 AND 1 AND NOT isnan(score) AND evidence_level IN ('AI_OUTPUT', 'AI_HYPOTHESIS')
+      AND (model, config) IN (('forest-a', '{"ab" * 32}'), ('logistic-b', '{"cd" * 32}')) AND warnings = 'HUMAN_REVIEW_REQUIRED,AUTOMATIC_EVIDENCE_ONLY' AND limitations = '{",".join(contracts.LIMITATIONS)}'""",
+)
+def public_envelopes(spark: SparkSession, d: str) -> DataFrame:
+    """The public fields of envelopes that break no rule."""
+    rows = _envelopes(spark, d)
+    broken = contracts.envelope_violations(rows, "sample_id", CONFIGS).select(F.col("key").cast("bigint").alias("sample_id")).distinct()
+    public = contracts.public_envelopes(rows.join(broken, "sample_id", "left_anti"), "result-v1")
+    return contracts.assert_public(public).withColumns({c: F.array_join(c, " ") for c in ("warnings", "limitations")})
 
 
 RESULTS = """SELECT page_id // 32 AS batch, page_id AS item, CASE WHEN page_id % 17 = 0 THEN 'INPUT_CHANGED_AFTER_ADMISSION'
@@ -53,8 +73,10 @@ RESULTS = """SELECT page_id // 32 AS batch, page_id AS item, CASE WHEN page_id %
 
 def _batch_results(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("item")
-    items = v.table(spark, d, "pages").select(F.floor(F.col("page_id") / 32).alias("batch"), F.col("page_id").alias("item"), F.length("html").alias("size"))
-    return contracts.batch_results(items, k % 17 == 0, F.when(F.col("size") > 12000, "RASTER_TOO_LARGE").when(k % 19 == 3, "CRS_MISMATCH"))
+    pages = v.table(spark, d, "pages").select(F.floor(F.col("page_id") / 32).alias("batch"), F.col("page_id").alias("item"), "html", F.length("html").alias("size"))
+    present = F.when(k % 17 == 0, F.concat("html", F.lit(" "))).otherwise(F.col("html"))  # what stands there once the batch is run
+    items = pages.withColumns({"admitted": F.sha2("html", 256), "present": F.sha2(present, 256)})
+    return contracts.batch_results(items, ~F.col("admitted").eqNullSafe(F.col("present")), F.when(F.col("size") > 12000, "RASTER_TOO_LARGE").when(k % 19 == 3, "CRS_MISMATCH"))
 
 
 @query(
@@ -75,10 +97,23 @@ def batch_totals(spark: SparkSession, d: str) -> DataFrame:
     return contracts.batch_totals(_batch_results(spark, d))
 
 
-@query("con15_score_columns", "SELECT 'probability' AS column_name")
+@query(
+    "con15_score_columns",
+    """SELECT rule, CAST(id AS VARCHAR) AS key FROM (SELECT c_custkey AS id, unnest([CASE WHEN c_custkey % 13 = 1 THEN 'stage' END, CASE WHEN c_custkey % 29 = 2 THEN 'pre_score' END, CASE WHEN c_custkey % 31 = 3 THEN 'record' END,
+      CASE WHEN c_custkey % 31 = 3 OR c_custkey % 11 = 4 THEN 'review_status' END, CASE WHEN c_custkey % 31 <> 3 AND (c_custkey % 7 = 5 OR c_custkey % 19 = 6) THEN 'score_field' END]) AS rule FROM customer) WHERE rule IS NOT NULL""",
+)
 def score_columns(spark: SparkSession, d: str) -> DataFrame:
-    rows = v.scored(spark, d).select("sample_id", "region", F.col("score").alias("probability"))
-    return spark.createDataFrame([(c,) for c in contracts.score_columns(rows.schema)], "column_name string")
+    """Manifest records of customers, some with a score among their fields, of another stage or state, or no object."""
+    k = F.col("c_custkey")
+    record = F.struct(
+        F.when(k % 11 == 4, "scored").when(k % 3 == 0, "rejected").otherwise("accepted").alias("review_status"), F.col("c_nationkey").alias("group"),
+        F.when(k % 7 == 5, 0.5).alias("Probability"), F.when(k % 19 == 6, 1).alias("predicted_label"), F.when(k % 5 == 0, 0.25).alias("probability_note"),
+    )
+    rows = v.table(spark, d, "customer").select(
+        k.alias("id"), F.when(k % 13 == 1, "scoring").when(k % 2 == 0, "curation").otherwise("dataset_freeze").alias("stage"), (k % 29 == 2).alias("scored"),
+        F.when(k % 31 == 3, "[1]").otherwise(F.to_json(record)).alias("record"),
+    )
+    return contracts.manifest_violations(rows, "id")
 
 
 PUBLISHED = f"""SELECT region, count(*) FILTER (label = 1 AND predicted = 1) AS tp, count(*) FILTER (label = 0 AND predicted = 1) AS fp,
@@ -333,25 +368,59 @@ CELL_COUNTS = f"SELECT CAST(floor(easting / 100000.0) AS BIGINT) AS e, CAST(floo
     "met10_go_no_go",
     f"""WITH RECURSIVE g AS (SELECT *, row_number() OVER (ORDER BY c DESC, e, n) AS i FROM ({CELL_COUNTS})),
       r AS (SELECT 0::BIGINT AS i, [(-9::BIGINT, -9::BIGINT)] AS taken UNION ALL SELECT g.i, CASE WHEN len(list_filter(r.taken, lambda t: abs(t[1] - g.e) <= 1 AND abs(t[2] - g.n) <= 1)) = 0 AND len(r.taken) < 5 THEN list_append(r.taken, (g.e, g.n)) ELSE r.taken END FROM r JOIN g ON g.i = r.i + 1),
-      t AS (SELECT (SELECT count(*) FROM ({v.SITES})) AS accepted, (SELECT count(*) FROM g) AS viable, (SELECT max(len(taken)) - 1 FROM r) AS holdouts)
-      SELECT CASE WHEN accepted >= 250 AND viable >= 8 AND holdouts >= 2 THEN 'FINAL GO' ELSE 'CONDITIONAL GO REMAINS' END AS decision, viable, holdouts FROM t""",
+      t AS (SELECT (SELECT count(*) FROM ({v.SITES})) AS accepted, (SELECT count(*) FROM g) AS viable, (SELECT max(len(taken)) - 1 FROM r) AS holdouts,
+        (SELECT count(*) FROM ({v.SITES}) WHERE site_id % 9973 = 0) = 0 AS fine, (SELECT count(*) FROM ({v.SITES}) WHERE site_id % 997 = 0) = 0 AS sourced)
+      SELECT CASE WHEN accepted >= 250 AND viable >= 8 AND holdouts >= 2 AND fine AND sourced THEN 'FINAL GO' ELSE 'CONDITIONAL GO REMAINS' END AS decision, viable, holdouts, fine, sourced FROM t""",
 )
 def go_no_go(spark: SparkSession, d: str) -> DataFrame:
     """Groups are 100 km cells; holdout candidates are viable ones that do not touch."""
-    from ..operators import greedy
-
     place = lambda c: F.floor(F.col(c) / 100000.0).cast("bigint")
     sites = v.sites(spark, d)
     cells = sites.groupBy(place("easting").alias("e"), place("northing").alias("n")).agg(F.count("*").alias("count"))
     cells = cells.withColumn("cell", F.format_string("%05d_%05d", "e", "n"))
     holdouts = len(greedy.apart(cells))
-    totals = sites.agg(F.count("*").alias("accepted")).crossJoin(cells.agg(F.count_if(F.col("count") >= 12).alias("viable")))  # one row each
-    decision = metrics.go_decision(F.col("accepted"), F.col("viable"), F.lit(holdouts), F.lit(True), F.lit(True))
-    return totals.select(decision.alias("decision"), "viable", F.lit(holdouts).cast("bigint").alias("holdouts"))
+    resolution = F.when(F.col("site_id") % 9973 == 0, 2.0).when(F.col("site_id") % 4 == 0, 0.5).otherwise(1.0)
+    programme = F.when(F.col("site_id") % 997 == 0, "UNAVAILABLE").otherwise(F.concat(F.lit("P"), (F.col("site_id") % 6).cast("string")))
+    known = sites.agg(F.count("*").alias("accepted"), F.bool_and(resolution <= 1).alias("fine"), F.bool_and(programme != "UNAVAILABLE").alias("sourced"))
+    totals = known.crossJoin(cells.agg(F.count_if(F.col("count") >= 12).alias("viable")))  # one row each
+    decision = metrics.go_decision(F.col("accepted"), F.col("viable"), F.lit(holdouts), F.col("fine"), F.col("sourced"))
+    return totals.select(decision.alias("decision"), "viable", F.lit(holdouts).cast("bigint").alias("holdouts"), "fine", "sourced")
 
 
-@query("con14_policy_bounds", "SELECT rule FROM (SELECT unnest(['annulus', 'attempts']) AS rule)")
+@query(
+    "con14_policy_bounds",
+    """SELECT rule, CAST(id AS VARCHAR) AS key FROM (SELECT p_partkey AS id, unnest([CASE WHEN p_partkey % 11 = 1 THEN 'label' END, CASE WHEN p_size % 10 = 2 THEN 'ratio' END, CASE WHEN p_partkey % 13 = 3 OR p_size < 3 THEN 'distances' END,
+      CASE WHEN p_size * 100 >= 4000 THEN 'annulus' END, CASE WHEN p_partkey % 17 = 4 THEN 'gaps' END]) AS rule FROM part) WHERE rule IS NOT NULL""",
+)
 def policy_bounds(spark: SparkSession, d: str) -> DataFrame:
-    """Rules that a sampling policy with a turned annulus and too many attempts breaks."""
-    broken = spatial.policy_violations({"inner_m": 10_000.0, "outer_m": 2_000.0, "attempts": 5_000, "spacing_m": 15_000.0})
-    return spark.createDataFrame([(r,) for r in broken], "rule string")
+    """One sampling policy for each part: inner radius from its size, outer 4 km."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    rows = v.table(spark, d, "part").select(
+        k.alias("id"), F.when(k % 11 == 1, "background").otherwise("unlabelled_background").alias("label"), F.when(size % 10 == 2, 2).otherwise(1).alias("per_positive"),
+        F.when(k % 13 == 3, 0.0).otherwise(500.0).alias("exclusion_m"), F.lit(250.0).alias("archaeology_exclusion_m"), F.when(size < 3, -256.0).otherwise(256.0).alias("separation_m"),
+        (size * 100.0).alias("inner_m"), F.lit(4000.0).alias("outer_m"), F.when(k % 17 == 4, 1.5).otherwise(0.2).alias("most_gaps"),
+    )
+    return spatial.policy_violations(rows, "id")
+
+
+ANSWERS = """SELECT d.doc_id, CASE WHEN d.doc_id % 4 = 0 THEN 'frozen' WHEN d.doc_id % 3 <> 0 THEN 'live' WHEN d.doc_id % 5 <> 0 THEN 'cached' ELSE 'none' END AS origin, d.doc_id % 3 = 0 AS failed, l.toxic, l.quality FROM documents d LEFT JOIN labels l USING (doc_id)"""
+
+
+@query(
+    "pip04_terrain_answers",
+    f"""SELECT doc_id, origin, CASE WHEN origin = 'none' THEN 'needs_review' WHEN coverage THEN 'pass' ELSE 'fail' END AS coverage, CASE WHEN origin = 'none' OR NOT sourced THEN 'needs_review' ELSE 'pass' END AS provenance,
+      CASE WHEN origin = 'none' THEN 'HTTPError' WHEN NOT coverage THEN origin || '_no_cover' END AS reason,
+      CASE WHEN origin = 'none' THEN 'needs_terrain_review' WHEN NOT coverage THEN 'rejected' WHEN sourced THEN 'accepted' ELSE 'needs_terrain_review' END AS status
+      FROM (SELECT doc_id, origin, coalesce(toxic, 0) = 0 AS coverage, coalesce(quality, 0) = 1 AS sourced FROM ({ANSWERS}))""",
+)
+def terrain_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Answers for every document: a quarter is frozen, a third of live requests fails, most of those are cached."""
+    k = F.col("doc_id")
+    docs = v.table(spark, d, "documents").select("doc_id").join(v.table(spark, d, "labels"), "doc_id", "left")
+    bad = F.coalesce(F.col("toxic"), F.lit(0)) != 0
+    told = lambda name: [
+        "doc_id", F.when(bad, "fail").otherwise("pass").alias("coverage"), F.when(F.coalesce("quality", F.lit(0)) == 1, "pass").otherwise("needs_review").alias("provenance"),
+        F.when(bad, f"{name}_no_cover").alias("reason"),
+    ]
+    live = docs.select(*told("live"), F.when(k % 3 == 0, "HTTPError").alias("error"))
+    return contracts.terrain_answers(docs, docs.where(k % 4 == 0).select(*told("frozen")), live, docs.where(k % 5 != 0).select(*told("cached")), "doc_id")

@@ -76,7 +76,9 @@ class OffsetReader(DataSourceReader):
         count = int(self.ask(returnCountOnly="true")["count"])
         return [Page(at, min(self.size, count - at)) for at in range(0, count, self.size)]
 
-    def read(self, partition: Page) -> Iterator[tuple]:
+    def read(self, partition: Page | None) -> Iterator[tuple]:
+        if partition is None:  # Spark's one partition where nothing matches
+            return
         found = self.ask(resultOffset=partition.number, resultRecordCount=partition.size, outFields=",".join(self.names))["features"]
         if len(found) != partition.size:
             raise OSError(f"{partition.size} records were due at offset {partition.number}, {len(found)} came")

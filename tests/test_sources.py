@@ -141,6 +141,7 @@ def test_offset_pages_follow_the_count_and_send_the_predicate(spark, service):
     assert sorted(r.list_entry for r in part.collect()) == list(range(1, 25, 2))
     assert asked and all(q["where"] == "kind='b'" for q in asked)
     assert record_count(address, "kind='a'") == 13
+    assert spark.read.format("strata_offset").option("address", address).option("where", "kind='z'").load().count() == 0
 
 
 def test_frozen_folds(spark, tmp_path):
