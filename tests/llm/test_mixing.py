@@ -1,6 +1,7 @@
 import itertools
 import math
 import random
+from collections import Counter, namedtuple
 from fractions import Fraction
 
 import pytest
@@ -81,6 +82,41 @@ def test_many_small_sources_are_mixed_as_one(spark, monkeypatch):
     assert len({(r["slot"], r["source"]) for r in renamed}) == len({r["slot"] for r in renamed})
 
 
+Placed = namedtuple("Placed", "doc_id source block slot place")
+
+
+def test_members_of_a_group_keep_their_own_weights(spark):
+    sizes = {f"m{i}": 5 + 7 * (i % 5) for i in range(12)} | {None: 40}
+    weights = {s: float(n % 4 + 1) for s, n in sizes.items()}
+    members = spark.createDataFrame([(-1, s, n, weights[s]) for s, n in sizes.items()] + [(-3, "alone", 9, 1.0)], "_s int, source string, n long, w double")
+    plan = sorted((r._start, r.source, r._ib) for r in mixing.group_schedule(members, 4).collect() if r.source != "alone")
+    got, i = [], 0
+    for slot, (start, source, k) in enumerate(plan):
+        for j in range(min(4, sizes[source] - 4 * k)):
+            got.append(Placed(i, source, k, slot, start + j))
+            i += 1
+    assert [r.place for r in got] == list(range(sum(sizes.values())))
+    check([(r.doc_id, r.source) for r in got], got, 4, weights)
+
+
+@pytest.mark.parametrize("weighted", [False, True])
+def test_sources_beyond_the_driver_s(spark, monkeypatch, weighted):
+    """Every source advances by its own weight, and none without a weight comes before the last that has one."""
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 3)
+    monkeypatch.setattr(mixing, "GROUP_SOURCES", 5)
+    names = [None, *(f"s{i}" for i in range(39))]
+    rows = [(i, names[i % 40], "t") for i in range(1600)] + [(2000 + i, "large", "t") for i in range(300)]
+    weights = {s: 0.0 if k % 10 == 9 else 3.0 if k % 2 else 1.0 for k, s in enumerate(names)} | {"large": 40.0} if weighted else None
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string"), weights, block=2).collect()
+    assert Counter((r.doc_id, r.source) for r in got) == Counter((i, s) for i, s, _ in rows) and len({r.place for r in got}) == len(rows)
+    if weighted:
+        order = [r.source for r in sorted(got, key=lambda r: r.place)]
+        assert max(i for i, s in enumerate(order) if weights[s] > 0) < min(i for i, s in enumerate(order) if weights[s] == 0)
+        early = Counter(order[:400])
+        share = 400 / sum(weights.values())
+        assert all(abs(early[s] - w * share) <= 8 for s, w in weights.items())
+
+
 def test_repeats_unweighted_sources_and_empty_tables(spark):
     df = spark.createDataFrame([(1, "a")] * 5 + [(2, "z"), (None, "a")], "doc_id long, source string")
     got = mixing.mix(df, {"a": 1.0}, block=2).collect()
