@@ -4,14 +4,15 @@ or fetch. Each item ends as one row with its action and reasons; no fault of an
 ``items`` has ``item`` (unique, not NULL), ``expected`` (digest of the raw content, or NULL) and whatever a request
 needs; ``cache`` has ``item, raw, processed`` (binary, NULL if not there). Two functions do the work of a field:
 
-- ``kernel`` keeps the columns it gets and adds, from ``raw``, ``raw_fault`` (string, NULL if sound), ``faults``
+- ``kernel`` keeps the columns it gets and adds, from ``raw`` alone, ``raw_fault`` (string, NULL if sound), ``faults``
   (array of strings), ``patch_sha256`` and ``made`` (binary). A NULL ``raw`` gives NULLs.
 - ``request`` keeps the columns it gets and adds ``reason`` (NULL if there is an answer) and ``raw``.
 
 A run's steps are tables below its folder. A finished step is read again, a half-written one is written again, so
 a run that was killed ends with the rows of one that was not, and asks for no finished round twice. Requests go in
 rounds over what is still open; a round reads the one before it and nothing else. Content is written only where it
-is new or goes to quarantine: a run over a sound cache writes rows alone.
+is new or goes to quarantine, and what a request needs only for items that are still to be asked for: a run over a
+sound cache writes rows alone.
 """
 
 from __future__ import annotations
@@ -68,7 +69,7 @@ def inspected(items: DataFrame, cache: DataFrame, kernel: Step) -> DataFrame:
     named = F.when(F.col("_bad").isNotNull(), "raw_checksum_mismatch").otherwise(F.coalesce("raw_fault", F.col("state")))
     lost = F.col("state") == "raw_invalid"
     return seen.select(
-        *items.columns, "state", "raw_sha256", "patch_sha256",
+        "item", *[F.when(F.col("state").startswith("raw"), F.col(c)).alias(c) for c in items.columns if c != "item"], "state", "raw_sha256", "patch_sha256",
         F.when(F.col("state") == "representation_invalid", F.col("faults")).when(F.col("state") == "valid", F.array().cast("array<string>")).otherwise(F.array(named)).alias("state_reasons"),
         F.length("raw").cast("bigint").alias("raw_bytes"), F.length("made").cast("bigint").alias("processed_bytes"), F.sha2("made", 256).alias("processed_sha256"),
         F.when(lost, F.coalesce("_bad", "raw")).alias("bad_raw"), F.when(lost | (F.col("state") == "processed_invalid"), F.col("processed")).alias("bad_processed"),
@@ -89,7 +90,8 @@ def rounds(open_items: DataFrame, request: Step, folder: str, most: int = MOST_A
                 break
             pause(min(8, 2 ** (k - 2)))
         ask = left.withColumn("attempt", F.lit(k))
-        tables.append(written(spark, f"{folder}/attempt-{k}", lambda ask=ask: request(ask)))
+        needed = {c: F.when(again, F.col(c)) for c in open_items.columns if c != "item"}
+        tables.append(written(spark, f"{folder}/attempt-{k}", lambda ask=ask, needed=needed: request(ask).withColumns(needed)))
     log = reduce(DataFrame.unionByName, tables)
     spent = F.create_map(*[F.lit(x) for pair in RETRIED.items() for x in pair])
     return log.where(F.col("reason").isNull() | ~again | (F.col("attempt") == most)).withColumn("reason", F.coalesce(spent[F.col("reason")], F.col("reason")))
