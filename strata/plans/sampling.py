@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keys
 from ..operators import greedy, sampling
-from ..operators.celljoin import near_pairs, squares_overlap
-from ..operators.graph import connected_components
+from ..operators.graph import square_components
 from . import views as v
 from .keys_text import cell_sql, hash_sql
 from .registry import query
@@ -157,9 +156,7 @@ def rejection(spark: SparkSession, d: str) -> DataFrame:
  r(node, reach) AS (SELECT a, a FROM e UNION SELECT r.node, e.b FROM r JOIN e ON r.reach = e.a) SELECT node AS site_id, min(reach) AS component FROM r GROUP BY node""")
 def overlap_components(spark: SparkSession, d: str) -> DataFrame:
     p = v.sites(spark, d).select("site_id", F.col("easting").alias("x"), F.col("northing").alias("y"))
-    over = squares_overlap(5000)
-    pairs = near_pairs(p, p, 5000, lambda a, b: (F.col(f"{a}.site_id") < F.col(f"{b}.site_id")) & over(a, b))
-    return connected_components(pairs.select(F.col("a.site_id").alias("a"), F.col("b.site_id").alias("b"))).withColumnRenamed("node", "site_id")
+    return square_components(p, "site_id", 5000).withColumnRenamed("node", "site_id")
 
 
 @query("mth04_annulus_draws", f"""SELECT site_id, round_even(easting + r * cos(a), 0) AS x, round_even(northing + r * sin(a), 0) AS y FROM (SELECT site_id, easting, northing, 2 * pi() * {v.sql_unit("'draw-v1:' || CAST(site_id AS VARCHAR) || ':1'")} AS a, sqrt(4000000.0 + {v.sql_unit("'draw-v1:' || CAST(site_id AS VARCHAR) || ':1'", 17)} * 96000000.0) AS r FROM ({v.SITES}))""")
