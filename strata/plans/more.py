@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keys
 from ..operators import contracts, metrics, models, spatial
-from ..operators.celljoin import closer_than, near_pairs
+from ..operators.celljoin import box_counts, class_counts, closer_than, in_disc, near_pairs, tiled_pairs
 from ..operators.coverage import COMPOSITE, NATIONAL, assess_coverage, matching_provenance
 from ..operators.quantiles import exact_quantiles
 from . import views as v
@@ -89,17 +89,14 @@ def predictions(spark: SparkSession, d: str) -> DataFrame:
 
 @query("jon04_envelope_counts", f"SELECT a.site_id, count(*) AS n FROM ({v.SITES}) a JOIN ({v.SITES}) b ON abs(a.easting - b.easting) <= 9000 AND abs(a.northing - b.northing) <= 6000 GROUP BY a.site_id")
 def envelope_counts(spark: SparkSession, d: str) -> DataFrame:
-    p = _points(spark, d)
-    inside = lambda a, b: (F.abs(F.col(f"{a}.x") - F.col(f"{b}.x")) <= 9000) & (F.abs(F.col(f"{a}.y") - F.col(f"{b}.y")) <= 6000)
-    return near_pairs(p, p, 9001, inside).groupBy(F.col("a.site_id").alias("site_id")).agg(F.count("*").alias("n"))
+    return box_counts(_points(spark, d), "site_id", 9000, 6000)
 
 
 @query("jon08_partition_distances", f"SELECT a.block_id % 3 AS first, b.block_id % 3 AS second, count(*) AS n FROM ({v.SITES}) a JOIN ({v.SITES}) b ON a.site_id < b.site_id AND a.block_id % 3 <> b.block_id % 3 AND power(a.easting - b.easting, 2) + power(a.northing - b.northing, 2) < 12000.0 * 12000.0 GROUP BY 1, 2")
 def partition_distances(spark: SparkSession, d: str) -> DataFrame:
-    p = _points(spark, d)
-    close = closer_than(12000)
-    pairs = near_pairs(p, p, 12000, lambda a, b: (F.col(f"{a}.site_id") < F.col(f"{b}.site_id")) & (F.col(f"{a}.block_id") % 3 != F.col(f"{b}.block_id") % 3) & close(a, b))
-    return pairs.groupBy((F.col("a.block_id") % 3).alias("first"), (F.col("b.block_id") % 3).alias("second")).agg(F.count("*").alias("n"))
+    p = _points(spark, d).select("site_id", "x", "y", (F.col("block_id") % 3).cast("long").alias("block"))
+    counts = tiled_pairs(p.where("block is not null"), "site_id", 12000, in_disc(12000), class_counts(lambda t: t.column("block").to_numpy()), "first long, second long, n long")
+    return counts.where("first <> second").groupBy(*[F.col(c).cast("int").alias(c) for c in ("first", "second")]).agg(F.sum("n").alias("n"))
 
 
 @query("jon10_unreviewed", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) AND source NOT IN ('src1', 'src2')")
