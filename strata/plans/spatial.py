@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import keys
 from ..operators import spatial as s
-from ..operators.celljoin import closer_than, near_pairs, squares_overlap
+from ..operators.celljoin import class_counts, closer_than, id_pairs, in_disc, in_square, near_pairs, tiled_pairs
 from . import views as v
 from .registry import query
 
@@ -105,10 +109,13 @@ def window_grid(spark: SparkSession, d: str) -> DataFrame:
   FROM (SELECT window_id, domain, "row" AS r, "col" AS c FROM ({v.WINDOWS})) a JOIN (SELECT window_id, domain, "row" AS r, "col" AS c FROM ({v.WINDOWS})) b ON a.domain = b.domain AND a.window_id < b.window_id AND abs(a.r - b.r) < 128 AND abs(a.c - b.c) < 128""")
 def window_iou(spark: SparkSession, d: str) -> DataFrame:
     w = v.windows(spark, d).select("window_id", "domain", F.col("row").alias("x"), F.col("col").alias("y"))
-    overlap = squares_overlap(128)
-    pairs = near_pairs(w, w, 128, lambda a, b: (F.col(f"{a}.domain") == F.col(f"{b}.domain")) & (F.col(f"{a}.window_id") < F.col(f"{b}.window_id")) & overlap(a, b))
-    iou = s.window_iou(F.col("a.x"), F.col("a.y"), F.col("b.x"), F.col("b.y"))
-    return pairs.select(F.col("a.window_id").alias("a"), F.col("b.window_id").alias("b"), F.round(iou, 9).alias("iou"))
+
+    def pairs(part: pa.Table) -> Callable[[np.ndarray, np.ndarray], pa.RecordBatch]:
+        ids, x, y = part.column("window_id").combine_chunks(), part.column("x").to_numpy(), part.column("y").to_numpy()
+        return lambda i, j: pa.RecordBatch.from_arrays([ids.take(pa.array(i)), ids.take(pa.array(j)), pa.array(np.abs(x[i] - x[j])), pa.array(np.abs(y[i] - y[j]))], ["a", "b", "dr", "dc"])
+
+    met = tiled_pairs(w, "window_id", 128, in_square(128), pairs, "a string, b string, dr double, dc double", "domain", 64)
+    return met.select("a", "b", F.round(s.window_iou(F.col("dr"), F.col("dc"), F.lit(0.0), F.lit(0.0)), 9).alias("iou"))
 
 
 @query("spa15_candidate_cells", f"""WITH o AS (SELECT DISTINCT CAST(floor(easting / 5000.0) AS BIGINT) AS e, CAST(floor(northing / 5000.0) AS BIGINT) AS n FROM ({v.SITES})),
@@ -133,27 +140,22 @@ def semi_anti(spark: SparkSession, d: str) -> DataFrame:
 
 @query("jon06_near_pair_counts", f"""SELECT a.block_id, count(*) AS pairs FROM ({v.SITES}) a JOIN ({v.SITES}) b ON a.site_id < b.site_id AND a.block_id = b.block_id AND (a.easting - b.easting) * (a.easting - b.easting) + (a.northing - b.northing) * (a.northing - b.northing) < 20000.0 * 20000.0 GROUP BY a.block_id""")
 def near_counts(spark: SparkSession, d: str) -> DataFrame:
-    p = _points(spark, d)
-    close = closer_than(20000)
-    pairs = near_pairs(p, p, 20000, lambda a, b: (F.col(f"{a}.site_id") < F.col(f"{b}.site_id")) & (F.col(f"{a}.block_id") == F.col(f"{b}.block_id")) & close(a, b))
-    return pairs.groupBy(F.col("a.block_id").alias("block_id")).agg(F.count("*").alias("pairs"))
+    p = _points(spark, d).where("block_id is not null")
+    counts = tiled_pairs(p, "site_id", 20000, in_disc(20000), class_counts(lambda t: t.column("block_id").to_numpy()), "first int, second int, n long", "block_id")
+    return counts.groupBy(F.col("first").alias("block_id")).agg(F.sum("n").alias("pairs"))
 
 
 @query("jon07_cross_partition_overlaps", f"""SELECT a.site_id AS first, b.site_id AS second FROM ({v.SITES}) a JOIN ({v.SITES}) b ON a.site_id < b.site_id AND a.block_id % 3 <> b.block_id % 3 AND abs(a.easting - b.easting) < 2000 AND abs(a.northing - b.northing) < 2000""")
 def cross_overlaps(spark: SparkSession, d: str) -> DataFrame:
-    p = _points(spark, d)
-    over = squares_overlap(2000)
-    pairs = near_pairs(p, p, 2000, lambda a, b: (F.col(f"{a}.site_id") < F.col(f"{b}.site_id")) & (F.col(f"{a}.block_id") % 3 != F.col(f"{b}.block_id") % 3) & over(a, b))
-    return pairs.select(F.col("a.site_id").alias("first"), F.col("b.site_id").alias("second"))
+    p = _points(spark, d).select("site_id", "x", "y", (F.col("block_id") % 3).alias("block")).where("block is not null")
+    return tiled_pairs(p, "site_id", 2000, in_square(2000), id_pairs("site_id", lambda t: t.column("block").to_numpy()), "first long, second long")
 
 
 @query("jon09_cross_group_patches", f"""SELECT a.site_id AS first, b.site_id AS second FROM ({BOUNDS}) a JOIN ({BOUNDS}) b ON a.site_id < b.site_id AND a.site_id % 5 <> b.site_id % 5 AND a."left" < b."right" + 3000 AND b."left" < a."right" + 3000 AND a.bottom < b.top + 3000 AND b.bottom < a.top + 3000""")
 def cross_patches(spark: SparkSession, d: str) -> DataFrame:
     b = s.patch_bounds(F.col("easting"), F.col("northing"), 128)
     p = v.sites(spark, d).select("site_id", b["left"].alias("x"), b["bottom"].alias("y"))
-    over = squares_overlap(3128)
-    pairs = near_pairs(p, p, 3128, lambda a, c: (F.col(f"{a}.site_id") < F.col(f"{c}.site_id")) & (F.col(f"{a}.site_id") % 5 != F.col(f"{c}.site_id") % 5) & over(a, c))
-    return pairs.select(F.col("a.site_id").alias("first"), F.col("b.site_id").alias("second"))
+    return tiled_pairs(p, "site_id", 3128, in_square(3128), id_pairs("site_id", lambda t: t.column("site_id").to_numpy() % 5), "first long, second long")
 
 
 @query("jon11_content_overlap", "SELECT count(*) AS shared FROM (SELECT sha256(text) FROM documents INTERSECT SELECT sha256(text) FROM benchmark)")
@@ -184,10 +186,10 @@ def left_default(spark: SparkSession, d: str) -> DataFrame:
 @query("jon14_role_pairs", f"""SELECT least(a.r, b.r) || '+' || greatest(a.r, b.r) AS roles, count(*) AS n FROM (SELECT *, CASE WHEN block_id % 2 = 0 THEN 'background' ELSE 'positive' END AS r FROM ({v.SITES})) a
   JOIN (SELECT *, CASE WHEN block_id % 2 = 0 THEN 'background' ELSE 'positive' END AS r FROM ({v.SITES})) b ON a.site_id < b.site_id AND abs(a.easting - b.easting) < 4000 AND abs(a.northing - b.northing) < 4000 GROUP BY 1""")
 def role_pairs(spark: SparkSession, d: str) -> DataFrame:
-    p = _points(spark, d).withColumn("r", F.when(F.col("block_id") % 2 == 0, "background").otherwise("positive"))
-    over = squares_overlap(4000)
-    pairs = near_pairs(p, p, 4000, lambda a, b: (F.col(f"{a}.site_id") < F.col(f"{b}.site_id")) & over(a, b))
-    return pairs.groupBy(F.concat_ws("+", F.array_sort(F.array("a.r", "b.r"))).alias("roles")).agg(F.count("*").alias("n"))
+    p = _points(spark, d).withColumn("r", F.when(F.col("block_id") % 2 == 0, 0).otherwise(1).cast("long"))
+    counts = tiled_pairs(p.select("site_id", "x", "y", "r"), "site_id", 4000, in_square(4000), class_counts(lambda t: t.column("r").to_numpy()), "first long, second long, n long")
+    role = [F.when(F.col(c) == 0, "background").otherwise("positive") for c in ("first", "second")]
+    return counts.groupBy(F.concat_ws("+", F.array_sort(F.array(*role))).alias("roles")).agg(F.sum("n").alias("n"))
 
 
 @query("fil05_rejection_reasons", f"""WITH p AS (SELECT * FROM ({v.SITES}) WHERE block_id < 4), c AS (SELECT * FROM ({v.SITES}) WHERE block_id >= 4), b AS (SELECT * FROM ({v.SITES}) WHERE block_id = 4)
