@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import provenance_id
-from .spatial import point_in_ring, sample_points
+from .celljoin import busy_parts
+from .shared import materialize
+from .spatial import edges, point_in_ring, sample_points
 
 # Names of programmes and outcomes.
 NATIONAL, STAMPED, COMPOSITE = "National LIDAR Programme", "Time-stamped EA survey", "EA Composite source survey"
@@ -46,30 +48,92 @@ def assess_coverage(points: DataFrame, features: DataFrame, on: Column) -> DataF
     return sites.join(found, "site_id", "left").select("site_id", outcome.alias("o"), F.when(F.col("covered") == F.col("points"), programme).alias("programme")).select("site_id", "o.*", "programme")
 
 
-#: Cell sizes of the cover in metres, each four times the one before: a feature goes to the smallest cells that its
-#: box fits into, so it takes four of them at most, however large it is.
-CELLS = tuple(1000.0 * 4**k for k in range(10))
+#: Cell sizes of the cover in metres, each four times the one before, and rings that a cell may keep to the end.
+CELLS, KEPT = tuple(1000.0 * 4**k for k in range(10)), 32
+_MARGIN = 0.001  # metres around a cell, far above what rounding moves an edge
 
 
-def _cells(low: Column, high: Column, size: Column) -> Column:
-    return F.sequence(F.floor(low / size), F.floor(high / size))
+def _meets(ring: Column, size: float) -> Column:
+    """0 if the cell ``(cx, cy)`` lies outside of the ring, 2 if inside, 1 if an edge may cross it."""
+    x0, y0 = F.col("cx") * size - _MARGIN, F.col("cy") * size - _MARGIN
+    x1, y1 = x0 + size + 2 * _MARGIN, y0 + size + 2 * _MARGIN
 
+    def near(e: Column) -> Column:
+        px, py, qx, qy = e["p"]["x"], e["p"]["y"], e["c"]["x"], e["c"]["y"]
+        box = (F.least(px, qx) <= x1) & (F.greatest(px, qx) >= x0) & (F.least(py, qy) <= y1) & (F.greatest(py, qy) >= y0)
 
-def envelope_pairs(patches: DataFrame, features: DataFrame) -> DataFrame:
-    """Pairs of rows whose boxes ``(x0, y0, x1, y1)`` meet, columns of features with the prefix ``f_``. An
-    equi-join on cells of the feature's own size; a pair is taken in the one cell that holds the lower left
-    corner of what both share, so it comes once without a further shuffle."""
-    extent = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
-    size = F.coalesce(*[F.when(extent <= c, F.lit(c)) for c in CELLS[:-1]], F.lit(CELLS[-1]))
-    f = features.withColumn("size", size)
-    sizes = f.select("size").distinct()  # as many rows as CELLS at most
-    f = f.select(*[F.col(c).alias(f"f_{c}") for c in f.columns])
-    f = f.withColumn("f_cx", F.explode(_cells(F.col("f_x0"), F.col("f_x1"), F.col("f_size")))).withColumn("f_cy", F.explode(_cells(F.col("f_y0"), F.col("f_y1"), F.col("f_size"))))
-    p = patches.crossJoin(F.broadcast(sizes)).withColumn("cx", F.explode(_cells(F.col("x0"), F.col("x1"), F.col("size")))).withColumn("cy", F.explode(_cells(F.col("y0"), F.col("y1"), F.col("size"))))
-    met = p.join(f, (F.col("size") == F.col("f_size")) & (F.col("cx") == F.col("f_cx")) & (F.col("cy") == F.col("f_cy")))
-    box = (F.col("x0") <= F.col("f_x1")) & (F.col("f_x0") <= F.col("x1")) & (F.col("y0") <= F.col("f_y1")) & (F.col("f_y0") <= F.col("y1"))
-    first = (F.floor(F.greatest("x0", "f_x0") / F.col("size")) == F.col("cx")) & (F.floor(F.greatest("y0", "f_y0") / F.col("size")) == F.col("cy"))
-    return met.where(box & first).drop("cx", "cy", "f_cx", "f_cy", "size", "f_size")
+        def left(x: Column, y: Column) -> Column:
+            return (qx - px) * (y - py) - (qy - py) * (x - px)
+
+        corners = [left(x, y) for x in (x0, x1) for y in (y0, y1)]
+        slack = (F.abs(qx - px) + F.abs(qy - py)) * _MARGIN
+        return box & (F.least(*corners) <= slack) & (F.greatest(*corners) >= -slack)
+
+    middle = point_in_ring(F.col("cx") * size + size / 2, F.col("cy") * size + size / 2, ring)
+    return F.when(F.exists(edges(ring), near), 1).when(middle, 2).otherwise(0)
+
+
+def signature_cover(patches: DataFrame, rings: DataFrame) -> DataFrame:
+    """``(patch_id, mask, low, high)``: which of a patch's ``points`` lie in a ring, as bits, and two of the signatures
+    ``s`` of the ``rings(ring, s)`` that hold one: equal if there is just one, different if there are more.
+
+    From large cells to small: a ring that holds a whole cell says all there is to say of it, so a cell keeps two of such
+    signatures at most. Rings that cross the cell go on to its parts, but not if the cell has two signatures already or
+    theirs. Cells crossed by few rings, and the smallest, keep them for the points to be tested. So the work grows with
+    rings and patches, not with the pairs that meet."""
+    axis = lambda c: F.transform("ring", lambda p: p[c])
+    ends = [F.array_min(axis("x")).alias("x0"), F.array_min(axis("y")).alias("y0"), F.array_max(axis("x")).alias("x1"), F.array_max(axis("y")).alias("y1")]
+    parts = busy_parts(patches.sparkSession)
+    todo = materialize(rings.distinct().repartition(parts).select("ring", "s", *ends).where("x0 is not null"), "cover-rings")
+    widest = todo.agg(F.max(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")))).first()[0] or 0.0
+    levels = [c for k, c in enumerate(CELLS) if not k or CELLS[k - 1] < widest][::-1]
+    above = None
+    out = None
+    for level in levels:
+        k = 1 if above is None else int(above / level)
+
+        def parts_of(c: str) -> Column:
+            low, high = (F.floor(F.col(f"{c}{e}") / F.lit(level)) for e in (0, 1))
+            if above is not None:
+                low, high = F.greatest(low, F.col(f"c{c}") * k), F.least(high, F.col(f"c{c}") * k + k - 1)
+            return F.explode(F.when(low <= high, F.sequence(low, high)))
+
+        at = todo.select("ring", "s", "x0", "y0", "x1", "y1", *([] if above is None else [F.col("cy")]), parts_of("x").alias("_cx"))
+        at = at.withColumn("_cy", parts_of("y")).drop("cy").withColumnsRenamed({"_cx": "cx", "_cy": "cy"})
+        at = materialize(at.repartition(parts).withColumn("meets", _meets(F.col("ring"), level)).where("meets > 0"), "cover-cells")
+        whole = at.where("meets = 2").groupBy("cx", "cy", "s").agg(F.count("*").alias("n"))
+        if above is not None:  # what larger cells know holds for their parts
+            spread = F.sequence(F.lit(0), F.lit(k - 1))
+            whole = whole.select("cx", "cy", "s").unionByName(
+                known.withColumn("cx", F.explode(F.transform(spread, lambda i: F.col("cx") * k + i))).withColumn("cy", F.explode(F.transform(spread, lambda i: F.col("cy") * k + i))).select("cx", "cy", F.explode(F.array("low", "high")).alias("s"))
+            )
+        held = whole.groupBy("cx", "cy").agg(F.min("s").alias("low"), F.max("s").alias("high"))
+        crossing = at.where("meets = 1").drop("meets").join(held, ["cx", "cy"], "left").where("low is null or (low = high and low <> s)")
+        last = level == levels[-1]
+        counts = crossing.groupBy("cx", "cy").agg(F.count("*").alias("n"))
+        cells = materialize(held.join(counts, ["cx", "cy"], "full").select("cx", "cy", "low", "high", (F.lit(not last) & (F.coalesce("n", F.lit(0)) > KEPT)).alias("open"), F.coalesce("n", F.lit(0)).alias("n")), "cover-known")
+        crossing = materialize(crossing.drop("low", "high").join(cells.select("cx", "cy", "open"), ["cx", "cy"]), "cover-crossing")
+        out_level = _settled(patches, cells.where("not open").drop("open"), crossing.where("not open").select("cx", "cy", "ring", "s"), level)
+        out = out_level if out is None else out.unionByName(out_level)
+        todo = crossing.where("open").drop("open")
+        known, above = cells.where("open and low is not null").select("cx", "cy", "low", "high"), level
+        if last or todo.isEmpty():
+            break
+    return out.groupBy("patch_id").agg(F.bit_or("mask").alias("mask"), F.min("low").alias("low"), F.max("high").alias("high"))
+
+
+def _settled(patches: DataFrame, cells: DataFrame, crossing: DataFrame, size: float) -> DataFrame:
+    """``(patch_id, mask, low, high)`` of the points of patches in ``cells``, from what these know and the rings that cross them."""
+    spot = F.array_distinct(F.transform("points", lambda p: F.struct(F.floor(p["x"] / size).alias("cx"), F.floor(p["y"] / size).alias("cy"))))
+    at = patches.select("patch_id", "points", F.explode(spot).alias("c")).select("patch_id", "points", "c.*")
+
+    def mask(test) -> Column:
+        here = lambda p: (F.floor(p["x"] / size) == F.col("cx")) & (F.floor(p["y"] / size) == F.col("cy"))
+        return F.aggregate(F.transform("points", lambda p: here(p) & test(p)), F.lit(0), lambda s, held: s * 2 + held.cast("int"))
+
+    sure = at.join(cells.where("low is not null").drop("n"), ["cx", "cy"]).select("patch_id", mask(lambda p: F.lit(True)).alias("mask"), "low", "high")
+    maybe = at.join(crossing, ["cx", "cy"]).select("patch_id", mask(lambda p: point_in_ring(p["x"], p["y"], F.col("ring"))).alias("mask"), F.col("s").alias("low"), F.col("s").alias("high"))
+    return sure.unionByName(maybe.where("mask > 0"))
 
 
 def matching_provenance(patches: DataFrame, features: DataFrame, dataset: str, size: float = 128) -> DataFrame:
@@ -82,19 +146,11 @@ def matching_provenance(patches: DataFrame, features: DataFrame, dataset: str, s
     resolution is a metre or finer and the provenance id is the expected one. ``signatures`` is 0, 1 or 2 (more
     than one)."""
     points = sample_points(F.col("x").cast("double"), F.col("y").cast("double"), size)
-    boxed = patches.select("patch_id", "expected", points.alias("points"), *[(F.col(c) + d * size / 2).alias(n) for c, d, n in (("x", -1, "x0"), ("y", -1, "y0"), ("x", 1, "x1"), ("y", 1, "y1"))])
-
-    def axis(c: str) -> Column:
-        return F.transform(F.flatten("rings"), lambda p: p[c])
-
-    ends = [F.array_min(axis("x")).alias("x0"), F.array_min(axis("y")).alias("y0"), F.array_max(axis("x")).alias("x1"), F.array_max(axis("y")).alias("y1")]
+    dotted = materialize(patches.repartition(busy_parts(patches.sparkSession)).select("patch_id", points.alias("points")), "cover-patches")
     fields = ("polygon_id", "year", "resolution", "start", "end", "file")
     whole = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in fields]
-    met = envelope_pairs(boxed.select("patch_id", "points", "x0", "y0", "x1", "y1"), features.select("rings", *whole, *ends).where("x0 is not null"))
-    inside = F.transform("points", lambda p: F.exists("f_rings", lambda ring: point_in_ring(p["x"], p["y"], ring)))
-    mask = F.aggregate(inside, F.lit(0), lambda s, held: s * 2 + held.cast("int"))
-    signature = F.struct(*[F.col(f"f_{c}").alias(c) for c in fields])
-    found = met.select("patch_id", mask.alias("mask"), signature.alias("s")).where("mask > 0").groupBy("patch_id").agg(F.bit_or("mask").alias("mask"), F.min("s").alias("low"), F.max("s").alias("high"))
+    rings = features.select(F.explode("rings").alias("ring"), F.struct(*whole).alias("s"))
+    found = signature_cover(dotted, rings)
     joined = patches.select("patch_id", "expected").join(found, "patch_id", "left")
     covered, one = F.coalesce(F.col("mask") == 511, F.lit(False)), F.col("low") == F.col("high")
     known = covered & F.coalesce(one, F.lit(False))

@@ -62,14 +62,14 @@ def cells_touch(e1: Column, n1: Column, e2: Column, n2: Column) -> Column:
     return F.greatest(F.abs(e1 - e2), F.abs(n1 - n2)) <= 1
 
 
-def _edges(ring: Column) -> Column:
+def edges(ring: Column) -> Column:
     """Edges of a ring of ``(x, y)``, from the last vertex to the first and on."""
     shifted = F.concat(F.slice(ring, F.size(ring), 1), F.slice(ring, 1, F.size(ring) - 1))
     return F.arrays_zip(shifted.alias("p"), ring.alias("c"))
 
 
 def signed_ring_area(ring: Column) -> Column:
-    return F.aggregate(_edges(ring), F.lit(0.0), lambda s, e: s + e["p"]["x"] * e["c"]["y"] - e["c"]["x"] * e["p"]["y"]) / 2
+    return F.aggregate(edges(ring), F.lit(0.0), lambda s, e: s + e["p"]["x"] * e["c"]["y"] - e["c"]["x"] * e["p"]["y"]) / 2
 
 
 def point_in_ring(x: Column, y: Column, ring: Column) -> Column:
@@ -79,7 +79,7 @@ def point_in_ring(x: Column, y: Column, ring: Column) -> Column:
         x1, y1, x2, y2 = e["p"]["x"], e["p"]["y"], e["c"]["x"], e["c"]["y"]
         return F.when((y1 > y) != (y2 > y), (x < (x2 - x1) * (y - y1) / (y2 - y1) + x1).cast("int")).otherwise(0)
 
-    return F.aggregate(_edges(ring), F.lit(0), lambda s, e: s + crosses(e)) % 2 == 1
+    return F.aggregate(edges(ring), F.lit(0), lambda s, e: s + crosses(e)) % 2 == 1
 
 
 def ring_centroid(ring: Column) -> tuple[Column, Column]:
