@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import provenance_id
 from .celljoin import busy_parts
+from .numbering import numbered
 from .shared import materialize
 from .spatial import edges, point_in_ring, sample_points
 
@@ -16,17 +17,20 @@ NATIONAL, STAMPED, COMPOSITE = "National LIDAR Programme", "Time-stamped EA surv
 
 def assess_coverage(points: DataFrame, features: DataFrame, on: Column) -> DataFrame:
     """``(site_id, coverage, provenance, reason, programme)``. ``points(site_id, i, x, y)`` are a patch's
-    nine sample points; ``features`` have ``feature_id, ring, polygon_id, year, resolution, start, end,
+    nine sample points (``i`` from 0); ``features`` have ``feature_id, ring, polygon_id, year, resolution, start, end,
     source, programme_kind``; ``on`` names which features may matter to a point (an equi-condition on a cell).
     Covered: every point lies in a feature. Provenance is sound if all relevant features agree in five
     fields and none is missing."""
     fields = ("polygon_id", "year", "resolution", "start", "end")
-    inside = points.join(features, on).where(point_in_ring(F.col("x"), F.col("y"), F.col("ring")))
-    signature = F.concat_ws("|", *[F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields])
-    found = inside.groupBy("site_id").agg(
-        F.count_distinct("i").alias("covered"), F.min(signature).alias("low"), F.max(signature).alias("high"), F.min(F.struct("feature_id", *fields, "source", "programme_kind")).alias("f")
-    )
-    sites = points.groupBy("site_id").agg(F.count_distinct("i").alias("points"))
+    signature = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in fields])
+    known = numbered(features.withColumn("_sign", signature), [], ["feature_id", *fields, "source", "programme_kind"]).withColumnRenamed("rank", "_f")
+    known = materialize(known.join(known.groupBy("_sign").agg(F.min("_f").alias("_s")), "_sign"), "coverage-features")
+    bit = F.expr("shiftleft(1L, cast(i as int))")
+    inside = F.coalesce(point_in_ring(F.col("x"), F.col("y"), F.col("ring")), F.lit(False))
+    # places of features and of signatures stand for them, so that sums of numbers are all that a site holds
+    met = points.join(known.drop("_sign", *fields, "source", "programme_kind", "feature_id"), on, "left").select("site_id", bit.alias("bit"), *[F.when(inside, c).alias(n) for c, n in ((bit, "held"), (F.col("_s"), "_s"), (F.col("_f"), "_f"))])
+    found = met.groupBy("site_id").agg(F.bit_or("bit").alias("points"), F.bit_or("held").alias("covered"), F.min("_s").alias("low"), F.max("_s").alias("high"), F.min("_f").alias("_f"))
+    found = found.join(known.select("_f", F.struct("feature_id", *fields, "source", "programme_kind").alias("f")), "_f", "left")
     f = F.col("f")
     programme = (
         F.when((f["programme_kind"] == "national") | F.startswith(F.lower(F.coalesce(f["source"], F.lit(""))), F.lit("np ")), NATIONAL)
@@ -41,11 +45,11 @@ def assess_coverage(points: DataFrame, features: DataFrame, on: Column) -> DataF
         return F.struct(F.lit(coverage).alias("coverage"), F.lit(provenance).alias("provenance"), F.lit(reason).cast("string").alias("reason"))
 
     outcome = (
-        F.when(F.col("covered").isNull(), result("fail", "not_reviewed", "terrain_no_1m_coverage")).when(F.col("covered") < F.col("points"), result("fail", "not_reviewed", "terrain_patch_incomplete"))
+        F.when(F.col("covered").isNull(), result("fail", "not_reviewed", "terrain_no_1m_coverage")).when(F.col("covered") != F.col("points"), result("fail", "not_reviewed", "terrain_patch_incomplete"))
         .when(F.col("low") != F.col("high"), result("pass", "needs_review", "terrain_provenance_confounded")).when(~fine, result("fail", "fail", "terrain_no_1m_coverage"))
         .when(missing, result("pass", "needs_review", "terrain_provenance_missing")).otherwise(result("pass", "pass", None))
     )
-    return sites.join(found, "site_id", "left").select("site_id", outcome.alias("o"), F.when(F.col("covered") == F.col("points"), programme).alias("programme")).select("site_id", "o.*", "programme")
+    return found.select("site_id", outcome.alias("o"), F.when(F.col("covered") == F.col("points"), programme).alias("programme")).select("site_id", "o.*", "programme")
 
 
 #: Cell sizes of the cover in metres, each four times the one before, and rings that a cell may keep to the end.

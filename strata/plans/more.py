@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keys
 from ..operators import contracts, metrics, models, spatial
-from ..operators.celljoin import box_counts, class_counts, closer_than, in_disc, near_pairs, tiled_pairs
+from ..operators.celljoin import box_counts, busy_parts, class_counts, closer_than, in_disc, near_pairs, tiled_pairs
 from ..operators.coverage import COMPOSITE, NATIONAL, assess_coverage, matching_provenance
 from ..operators.quantiles import exact_quantiles
 from . import views as v
@@ -29,7 +29,7 @@ def independence(spark: SparkSession, d: str) -> DataFrame:
 
 @query("spa12_coverage_assessment")
 def coverage(spark: SparkSession, d: str) -> DataFrame:
-    s = v.sites(spark, d)
+    s = v.sites(spark, d).repartition(busy_parts(spark))  # few bytes, much work
     pts = s.select("site_id", F.posexplode(spatial.sample_points(F.col("easting").cast("double"), F.col("northing").cast("double")))).select("site_id", F.col("pos").alias("i"), "col.x", "col.y")
     cell = lambda c: F.floor(F.col(c) / 20000.0)
     pts = pts.withColumn("cx", cell("x")).withColumn("cy", cell("y"))
