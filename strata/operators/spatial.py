@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -84,41 +85,56 @@ def point_in_ring(x: Column, y: Column, ring: Column) -> Column:
 
 def ring_centroid(ring: Column) -> tuple[Column, Column]:
     """Centroid of a closed ring; NULL if its area is zero."""
-    edges = F.arrays_zip(F.slice(ring, 1, F.size(ring) - 1).alias("a"), F.slice(ring, 2, F.size(ring) - 1).alias("b"))
+    centre = _centre(ring)
+    return centre["x"], centre["y"]
 
-    def total(f) -> Column:
-        return F.aggregate(edges, F.lit(0.0), lambda s, e: s + f(e["a"], e["b"]))
 
-    def cross(a: Column, b: Column) -> Column:
-        return a["x"] * b["y"] - b["x"] * a["y"]
+def _centre(ring: Column) -> Column:
+    pairs = F.arrays_zip(F.slice(ring, 1, F.size(ring) - 1).alias("a"), F.slice(ring, 2, F.size(ring) - 1).alias("b"))
 
-    area = total(cross)
-    x = total(lambda a, b: (a["x"] + b["x"]) * cross(a, b))
-    y = total(lambda a, b: (a["y"] + b["y"]) * cross(a, b))
-    return F.try_divide(x, area * 3), F.try_divide(y, area * 3)
+    def sums(area: Column, x: Column, y: Column) -> Column:
+        return F.struct(area.alias("area"), x.alias("x"), y.alias("y"))
+
+    def add(s: Column, e: Column) -> Column:
+        a, b = e["a"], e["b"]
+        cross = a["x"] * b["y"] - b["x"] * a["y"]
+        return sums(s["area"] + cross, s["x"] + (a["x"] + b["x"]) * cross, s["y"] + (a["y"] + b["y"]) * cross)
+
+    total = F.aggregate(pairs, sums(F.lit(0.0), F.lit(0.0), F.lit(0.0)), add)
+    return once(total, lambda t: F.struct(F.try_divide(t["x"], t["area"] * 3).alias("x"), F.try_divide(t["y"], t["area"] * 3).alias("y")))
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is named."""
+    return F.transform(F.array(value), use)[0]
 
 
 def geometry_review(rings: Column, x: Column, y: Column, area_ha: Column) -> Column:
     """``struct(status, reason, outer_rings)`` of a site's rings: missing, compound, off centre, too large."""
-    outer = F.filter(rings, lambda r: signed_ring_area(r) < 0)
-    widest = F.array_max(F.transform(rings, lambda r: F.struct(F.abs(signed_ring_area(r)).alias("a"), r.alias("r"))))["r"]
-    count = F.when(F.size(outer) == 0, 1).otherwise(F.size(outer))
-    ring = F.when(F.size(outer) == 0, widest).otherwise(outer[0])
-    xs, ys = F.transform(ring, lambda p: p["x"]), F.transform(ring, lambda p: p["y"])
-    dx, dy = F.array_max(xs) - F.array_min(xs), F.array_max(ys) - F.array_min(ys)
-    cx, cy = ring_centroid(ring)
-    offset = F.greatest(F.lit(15.0), F.greatest(dx, dy) * 0.35)
 
     def result(status: str, reason: str | None, n: Column) -> Column:
         return F.struct(F.lit(status).alias("status"), F.lit(reason).cast("string").alias("reason"), n.cast("int").alias("outer_rings"))
 
-    return (
-        F.when(F.coalesce(F.size(rings), F.lit(0)) <= 0, result("needs_review", "geometry_missing", F.lit(0)))
-        .when(count != 1, result("fail", "geometry_compound", count))
-        .when(~point_in_ring(x, y, ring) | (distance(x, y, cx, cy) > offset), result("fail", "geometry_off_centre", F.lit(1)))
-        .when(area_ha.isNull() | (area_ha > 0.5) | (dx > 200) | (dy > 200), result("needs_review", "geometry_too_large", F.lit(1)))
-        .otherwise(result("pass", None, F.lit(1)))
-    )
+    def chosen(all_: Column) -> Column:
+        outer = F.filter(all_, lambda r: r["a"] < 0)
+        widest = F.array_max(F.transform(all_, lambda r: F.struct(F.abs(r["a"]).alias("a"), r["r"].alias("r"))))["r"]
+        return once(outer, lambda o: F.struct(F.greatest(F.size(o), F.lit(1)).alias("n"), F.when(F.size(o) == 0, widest).otherwise(o[0]["r"]).alias("r")))
+
+    def measured(c: Column) -> Column:
+        xs, ys = F.transform(c["r"], lambda p: p["x"]), F.transform(c["r"], lambda p: p["y"])
+        return F.struct((F.array_max(xs) - F.array_min(xs)).alias("dx"), (F.array_max(ys) - F.array_min(ys)).alias("dy"), _centre(c["r"]).alias("centre"))
+
+    def judged(c: Column, m: Column) -> Column:
+        offset = F.greatest(F.lit(15.0), F.greatest(m["dx"], m["dy"]) * 0.35)
+        return (
+            F.when(~point_in_ring(x, y, c["r"]) | (distance(x, y, m["centre"]["x"], m["centre"]["y"]) > offset), result("fail", "geometry_off_centre", F.lit(1)))
+            .when(area_ha.isNull() | (area_ha > 0.5) | (m["dx"] > 200) | (m["dy"] > 200), result("needs_review", "geometry_too_large", F.lit(1)))
+            .otherwise(result("pass", None, F.lit(1)))
+        )
+
+    areas = F.transform(rings, lambda r: F.struct(signed_ring_area(r).alias("a"), r.alias("r")))
+    review = once(areas, lambda all_: once(chosen(all_), lambda c: F.when(c["n"] != 1, result("fail", "geometry_compound", c["n"])).otherwise(once(measured(c), lambda m: judged(c, m)))))
+    return F.when(F.coalesce(F.size(rings), F.lit(0)) <= 0, result("needs_review", "geometry_missing", F.lit(0))).otherwise(review)
 
 
 def sample_points(e: Column, n: Column, size: float = 128) -> Column:

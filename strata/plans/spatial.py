@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keys
 from ..operators import spatial as s
-from ..operators.celljoin import class_counts, closer_than, id_pairs, in_disc, in_square, near_pairs, tiled_pairs
+from ..operators.celljoin import busy_parts, class_counts, closer_than, id_pairs, in_disc, in_square, near_pairs, tiled_pairs
 from . import views as v
 from .registry import query
 
@@ -88,7 +88,7 @@ def rings(spark: SparkSession, d: str) -> DataFrame:
 
 @query("spa10_geometry_review")
 def geometry_review(spark: SparkSession, d: str) -> DataFrame:
-    r = _rings(spark, d)
+    r = _rings(spark, d).repartition(busy_parts(spark))  # few bytes, much work
     rings_ = F.when(F.col("site_id") % 7 == 0, F.array().cast("array<array<struct<x:double,y:double>>>")).when(F.col("site_id") % 5 == 0, F.array("ring", "ring")).otherwise(F.array("ring"))
     area = F.when(F.col("site_id") % 3 == 0, F.lit(None).cast("double")).otherwise((F.col("site_id") % 10) / 12.0)
     x, y = F.col("easting") + (F.col("site_id") % 40 + 10) * 0.5, F.col("northing") + (F.col("site_id") % 40 + 10) * 1.0
