@@ -288,9 +288,36 @@ def annulus_attempts(seed: str, inner: float, outer: float, box: tuple[float, fl
     return draw
 
 
-def _first_free(draw: Draw, positive: int, at: tuple[float, float], first: int, most: int, points: np.ndarray, spacing: float) -> tuple[int, float, float] | None:
-    """The first attempt from ``first`` on that passes and lies ``spacing`` or more from all ``points``."""
-    for upto in ATTEMPTS:
+def _full(at: tuple[float, float], reach: float, points: np.ndarray, spacing: float) -> bool:
+    """Whether the ``spacing`` around ``points`` leaves no place within ``reach`` of ``at``, by squares that lie whole in
+    one such circle, those that don't in smaller ones; False if that stays open."""
+    steps = np.arange(8) - 3.5
+    half = reach / 8
+    x, y = (at[0] + 2 * half * np.repeat(steps, 8), at[1] + 2 * half * np.tile(steps, 8))
+    for _ in range(4):
+        far = half * math.sqrt(2)
+        if spacing > far:
+            open_ = ((x[:, None] - points[:, 0]) ** 2 + (y[:, None] - points[:, 1]) ** 2 >= (spacing - far) ** 2 * (1 - 1e-9)).all(axis=1)
+        else:
+            open_ = np.ones(len(x), bool)
+        open_ &= np.hypot(x - at[0], y - at[1]) <= (reach + far) * (1 + 1e-9)
+        x, y = x[open_], y[open_]
+        if not len(x):
+            return True
+        if len(x) > 96:
+            return False
+        half /= 4
+        steps = 2 * half * (np.arange(4) - 1.5)
+        x, y = (x[:, None] + np.repeat(steps, 4)).ravel(), (y[:, None] + np.tile(steps, 4)).ravel()
+    return False
+
+
+def _first_free(draw: Draw, positive: int, at: tuple[float, float], first: int, most: int, points: np.ndarray, spacing: float, reach: float) -> tuple[int, float, float] | None:
+    """The first attempt from ``first`` on that passes and lies ``spacing`` or more from all ``points``. Attempts lie
+    within ``reach``; where no room is left, the later ones need not be drawn."""
+    for block, upto in enumerate(ATTEMPTS):
+        if block == 1 and len(points) and _full(at, reach, points, spacing):
+            return None
         numbers = np.arange(first, min(upto, most) + 1)
         if len(numbers):
             x, y, ok = draw(positive, *at, numbers)
@@ -325,7 +352,7 @@ def rejection_sample(positives: DataFrame, draw: Draw, reach: float, spacing: fl
             out = []
             for r in batch.to_pylist():
                 points = np.array([(p["px"], p["py"]) for p in r.pop("near") or ()]).reshape(-1, 2)
-                if found := _first_free(draw, r["positive"], (r["x"], r["y"]), 1, attempts, points, spacing):
+                if found := _first_free(draw, r["positive"], (r["x"], r["y"]), 1, attempts, points, spacing, reach):
                     out.append(r | {"attempt": found[0]})
             yield pa.RecordBatch.from_pylist(out, pa.schema([("region", pa.int64()), ("positive", pa.int64()), ("x", pa.float64()), ("y", pa.float64()), ("rank", pa.int64()), ("attempt", pa.int64())]))
 
@@ -346,7 +373,7 @@ def rejection_sample(positives: DataFrame, draw: Draw, reach: float, spacing: fl
                 continue
             i, j = cell(r.x, r.y)
             points = np.array([p for m in (i - 1, i, i + 1) for k in (j - 1, j, j + 1) for p in grid.get((m, k), ())]).reshape(-1, 2)
-            if found := _first_free(draw, int(r.positive), (r.x, r.y), int(r.attempt), attempts, points, spacing):
+            if found := _first_free(draw, int(r.positive), (r.x, r.y), int(r.attempt), attempts, points, spacing, reach):
                 a, x, y = found
                 if any((x - u) ** 2 + (y - w) ** 2 < near * near for u, w in waiting):
                     waiting.append((r.x, r.y))
