@@ -54,8 +54,9 @@ BLOCK_BYTES = BLOCK_BITS // 8
 WORD_BITS = 512
 KEPT_BLOCKS = 256
 SEGMENT = 1 << 16
-CACHE_WORDS = 450_000  # of each of two generations, and of the cores they are made of
-MARKS = string.punctuation
+CACHE_WORDS = 1_000_000
+KEPT_BYTES = 64  # longer parts of texts are not kept for the next ones
+BULK = 500
 ENCODE_BYTES = 1 << 24  # of text encoded at once
 SHARD_SCHEMA = "shard long, n_tokens long, payload binary"
 
@@ -256,159 +257,196 @@ def unpack(payload: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix]
     return owners, np.frombuffer(tables[2], "<u8").astype(np.int64), WaveletMatrix(n, bits, zeros, planes)
 
 
-class Tails(dict):
-    """Ids of runs of marks, encoded when first asked for."""
+def _bytes(*ranges: tuple[int, int]) -> np.ndarray:
+    """Whether each byte value is in one of the ranges, ends included."""
+    return np.array([any(a <= b <= z for a, z in ranges) for b in range(256)])
 
-    def __init__(self, encode):
-        super().__init__()
-        self.encode = encode
 
-    def __missing__(self, tail: str) -> bytes:
-        self[tail] = ids = self.encode(tail)
-        return ids
+PRINTED = _bytes((0x21, 0x7E))
+MARK = np.isin(np.arange(256), list(string.punctuation.encode()))
+WORDY = PRINTED & ~MARK  # ASCII letters and digits
+LETTER_LEADS = _bytes((0xC3, 0xCA), (0xD0, 0xD1))  # two bytes, letters but for the signs of the next line
+SIGNS = np.array([0xC397, 0xC3B7])
+INKED = PRINTED | (_bytes((0xC3, 0xFF)) & ~_bytes((0xE1, 0xE3), (0xEF, 0xEF)))  # begins what is no white space
+BLANKS = np.array([0xE19A80, 0xE1A08E, *range(0xE28080, 0xE28090), *range(0xE280A8, 0xE280B0), 0xE2819F, 0xE38080, 0xEFBBBF])  # three bytes
+
+
+def _before(data: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    return data.take(at - k, mode="wrap")
+
+
+def _after_solid(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The places that follow a character other than white space (where in doubt, not)."""
+    last = _before(data, at, 1)
+    ok = PRINTED[last]
+    wide = np.flatnonzero(last >= 0x80)
+    if len(wide):
+        two = _before(data, at[wide], 2).astype(np.int64) << 8 | last[wide]
+        ok[wide] = ~np.isin(two, [0xC285, 0xC2A0]) & ~np.isin(_before(data, at[wide], 3).astype(np.int64) << 16 | two, BLANKS)
+    return at[ok]
+
+
+def _after_word(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The places that follow a letter or digit (where in doubt, not)."""
+    last = _before(data, at, 1)
+    ok = WORDY[last]
+    wide = np.flatnonzero(last >= 0x80)
+    if len(wide):
+        lead = _before(data, at[wide], 2)
+        ok[wide] = LETTER_LEADS[lead] & ~np.isin(lead.astype(np.int64) << 8 | last[wide], SIGNS)
+    return at[ok]
+
+
+def cut_flags(data: np.ndarray) -> np.ndarray:
+    """Flags the places of UTF-8 ``data`` at which a byte-level splitter always ends a piece, whatever
+    stands around them: before a space or line end that follows no white space, after such a line end
+    if no white space follows, and before an ASCII mark that follows a letter or digit. The splitter
+    looks ahead at white space alone and never back, so parts between such places encode on their own."""
+    flags = np.zeros(len(data) + 1, bool)
+    flags[_after_solid(data, np.flatnonzero(data == 0x20))] = True
+    line = _after_solid(data, np.flatnonzero(data == 0x0A))
+    flags[line] = True
+    flags[line[INKED[data.take(line + 1, mode="clip")]] + 1] = True
+    flags[_after_word(data, np.flatnonzero(MARK[data]))] = True
+    return flags[: len(data)]
 
 
 class WordCache:
-    """Encodes texts word by word. In a byte-level BPE whose splitter never joins a space to what is
-    before it, the pieces of a text cut before each single space encode on their own; words repeat,
-    so most are looked up. Texts for which a cut would not be safe, and those with the string of an added
-    token, go to the tokenizer whole."""
+    """Encodes texts part by part, cut where the tokenizer's splitter always cuts (``cut_flags``). Parts
+    repeat, so most are looked up; new ones go to the tokenizer many at once. Texts with the string of
+    an added token go to it whole."""
 
     def __init__(self, path: str, kind: str = "<u2"):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]  # found in a text as a whole
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.added = [t.content for t in added.values()]  # found in a text as a whole
         self.kind = kind
-        self.newline = self.ids("\n")
-        if len(self.newline) != 1:
+        if len(self.ids("\n")) != 1:
             raise ValueError("the tokenizer has no id of its own for a line end")
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.cores: tuple[dict[str, bytes | None], dict[str, bytes | None]] = ({}, {})  # after a space, and without one
-        self.tails = Tails(self.whole)
+        vocab = self.tokenizer.get_vocab()
+        self.width = np.zeros(max(vocab.values()) + 1, np.int64)  # bytes of text of each id, a character each in the vocabulary
+        for token, i in vocab.items():
+            self.width[i] = len(token)
+        for i, t in added.items():
+            self.width[i] = len(t.content.encode())
+        self.known: dict[str, int] = {}  # the k-th part in it has slot k
+        self.store = np.empty(0, kind)  # ids of slot k: n[k] from at[k] on
+        self.at = np.empty(0, np.int64)
+        self.n = np.empty(0, np.int64)
+        self.uses = np.empty(0, np.float32)  # calls that met the part, old ones count less
 
     def ids(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
-    def whole(self, text: str) -> bytes:
-        return np.array(self.ids(text), self.kind).tobytes()
-
-    def bulk(self, pieces: list[str], lead: str) -> list[bytes]:
-        """Ids of ``lead + piece`` for pieces without line ends: many in one call, told apart by the id
-        of a line end."""
-        size = np.dtype(self.kind).itemsize
-        out: list[bytes] = []
-        for i in range(0, len(pieces), 500):
-            part = pieces[i : i + 500]
-            ids = np.array(self.ids(lead + ("\n" + lead).join(part)), self.kind)
-            ends = [*np.flatnonzero(ids == self.newline[0]).tolist(), len(ids)]
-            if len(ends) != len(part):  # a piece held the mark after all
-                out += [self.whole(lead + p) for p in part]
-                continue
-            raw = ids.tobytes()
-            a = 0
-            for e in ends:
-                out.append(raw[a * size : e * size])
-                a = e + 1
+    def bulk(self, parts: list[str], sizes: np.ndarray, between: str) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+        """Ids, and for each part where they start in all of them and their number: many parts in one
+        call, told apart by the bytes that ids stand for."""
+        found, at, n = [], [], []
+        base = 0
+        for i in range(0, len(parts), BULK):
+            some, size = parts[i : i + BULK], sizes[i : i + BULK]
+            text = between.join(some)
+            ids = np.array(self.ids(text), self.kind)
+            ends = np.concatenate([[0], np.cumsum(self.width[ids])])
+            stop = np.cumsum(size + len(between)) - len(between)
+            first, last = np.searchsorted(ends, stop - size), np.searchsorted(ends, stop)
+            if last[-1] != len(ids) or (ends[first] != stop - size).any() or (ends[last] != stop).any() or any(t in text for t in self.added):
+                each = self.each(some)  # no cut after all
+                ids, last = np.concatenate(each), np.cumsum([len(x) for x in each])
+                first = np.append(0, last[:-1])
+            found.append(ids)
+            at.append(first + base)
+            n.append(last - first)
+            base += len(ids)
+        return found, at, n
+
+    def each(self, parts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+
+    def learn(self, parts: list[str], sizes: np.ndarray) -> tuple[list[str], np.ndarray]:
+        """Gives new parts slots: returns them in the order of their slots, and the slot of each."""
+        solid = np.array([not p[-1].isspace() for p in parts], bool)
+        spaced = solid & np.array([p[0] == " " for p in parts], bool)
+        bare = solid & ~np.array([p[0].isspace() for p in parts], bool)
+        store, at, n, order = [self.store], [self.at], [self.n], []
+        base = len(self.store)
+        for which, between in ((spaced, ""), (bare, "\n")):
+            mine = np.flatnonzero(which)
+            order.append(mine)
+            ids, first, count = self.bulk([parts[i] for i in mine.tolist()], sizes[mine], between)
+            store += ids
+            at += [f + base for f in first]
+            n += count
+            base += sum(map(len, ids))
+        rest = np.flatnonzero(~spaced & ~bare)
+        order.append(rest)
+        each = self.each([parts[i] for i in rest.tolist()])
+        count = np.array([len(x) for x in each], np.int64)
+        self.store = np.concatenate([*store, *each])
+        self.at = np.concatenate([*at, base + np.cumsum(count) - count])
+        self.n = np.concatenate([*n, count])
+        order = np.concatenate(order)
+        slots = np.empty(len(parts), np.int64)
+        slots[order] = len(self.n) - len(parts) + np.arange(len(parts))
+        return [parts[i] for i in order.tolist()], slots
+
+    def trim(self) -> None:
+        """Keeps the half of the parts that calls met most and last."""
+        half = CACHE_WORDS // 2
+        keep = np.sort(np.argpartition(self.uses, len(self.uses) - half)[len(self.uses) - half :])
+        names = list(self.known)
+        self.known = {names[s]: k for k, s in enumerate(keep.tolist())}
+        self.store = self.store[self.places(self.at[keep], self.n[keep])]
+        self.n, self.uses = self.n[keep], self.uses[keep]
+        self.at = np.cumsum(self.n) - self.n
+
+    @staticmethod
+    def places(at: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The ``n`` places from each of ``at`` on, one after the other."""
+        out = np.repeat(at - (np.cumsum(n) - n), n)
+        out += np.arange(len(out))
         return out
 
-    def learn(self, words: list[str]) -> None:
-        """Ids of ``" " + word``. The splitter ends a run of letters or digits at a mark, and takes a line
-        end before a letter alone, so a word falls into cores, trailing marks and line ends, which
-        repeat still more; a word that does not is encoded whole."""
-        old, new, tails = self.old, self.new, self.tails
-        new.update((w, old[w]) for w in words if w in old)
-        rest = [w for w in words if w not in old] if old else words
-        lined = [w.split("\n") for w in rest if "\n" in w]
-        plain = [w for w in rest if "\n" not in w]
-        cores = [w.rstrip(MARKS) for w in plain]
-        spaced = self.complete(0, " ", [*cores, *(p[0].rstrip(MARKS) for p in lined)])
-        bare = self.complete(1, "", [x.rstrip(MARKS) for p in lined for x in p[1:]])
-        single = []
-        for w, core in zip(plain, cores):
-            ids = spaced[core]
-            if ids is None:
-                single.append(w)
-            else:
-                new[w] = ids if len(core) == len(w) else ids + tails[w[len(core) :]]
-        line = np.array(self.newline, self.kind).tobytes()
-        for parts in lined:
-            found = []
-            for k, p in enumerate(parts):
-                core = p.rstrip(MARKS)
-                ids = (bare if k else spaced)[core]
-                if ids is None:
-                    single.append("\n".join(parts))
-                    break
-                found.append(ids if len(core) == len(p) else ids + tails[p[len(core) :]])
-            else:
-                new["\n".join(parts)] = line.join(found)
-        for w, ids in zip(single, self.tokenizer.encode_batch_fast([" " + w for w in single], add_special_tokens=False)):
-            new[w] = np.array(ids.ids, self.kind).tobytes()
-        if sum(map(len, self.cores)) > CACHE_WORDS:
-            self.cores = ({}, {})
-        if len(tails) > 10_000:
-            tails.clear()
-
-    def complete(self, kind: int, lead: str, cores: list[str]) -> dict[str, bytes | None]:
-        """The cache of cores of a kind, with ``cores`` in it; None for what is not safe to cut after."""
-        known = self.cores[kind]
-        missing = list(set(cores).difference(known))
-        safe = [c for c in missing if c and c[-1].isalnum() and not c[0].isspace()]
-        known.update(zip(missing, itertools.repeat(None)))
-        known.update(zip(safe, self.bulk(safe, lead)))
-        return known
-
-
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, one after the other, and their number for each text. Arrow cuts the texts
-        and numbers their distinct words, so that Python sees each of those once."""
-        parts = pc.split_pattern(texts, " ")
-        starts = parts.offsets.to_numpy()[:-1] - parts.offsets[0].as_py()
-        coded = parts.flatten().dictionary_encode()
-        if isinstance(coded, pa.ChunkedArray):
-            coded = coded.combine_chunks()
-        words = coded.dictionary.to_pylist()
-        index = coded.indices.to_numpy().astype(np.int64)
-        first = index[starts]
-        # A cut before a space is not safe after white space. Such texts go to the tokenizer whole.
-        trimmed = pc.utf8_rtrim_whitespace(coded.dictionary)
-        bad = pc.or_(pc.not_equal(trimmed, coded.dictionary), pc.equal(coded.dictionary, "")).to_numpy(zero_copy_only=False)
-        bad_at = bad[index]
-        bad_at[starts] = [bool(words[i]) and bad[i] for i in first]
-        odd = np.zeros(len(texts), bool)
-        odd[np.searchsorted(starts, np.flatnonzero(bad_at), side="right") - 1] = True
+        """Ids of all texts, one after the other, and their number for each text. Arrow numbers the
+        distinct parts, so that Python sees each of those once."""
+        texts = texts.cast(pa.large_string())
+        _, offsets, raw = texts.buffers()
+        bounds = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+        data = (np.empty(0, np.uint8) if raw is None else np.frombuffer(raw, np.uint8))[bounds[0] : bounds[-1]]
+        bounds = bounds - bounds[0]
+        if not len(data):
+            return np.empty(0, self.kind), np.zeros(len(texts), np.int64)
+        flags = cut_flags(data)
         for content in self.added:
-            odd |= pc.match_substring(texts, content).to_numpy(zero_copy_only=False)
-        whole = np.flatnonzero(odd)
-        missing = [w for w in words if w not in self.new]
-        if missing:
-            self.learn(missing)
-        pieces = list(map(self.new.__getitem__, words))
-        if len(self.new) > CACHE_WORDS:
-            self.old, self.new = self.new, {}
-        heads: dict[str, int] = {}
-        for i, w in zip(range(len(starts)), (words[k] for k in first)):
-            if w not in heads:
-                heads[w] = len(pieces)
-                pieces.append(self.whole(w))
-            index[starts[i]] = heads[w]
-        if len(whole):
-            none = len(pieces)
-            pieces.append(b"")
-            ends = np.append(starts[1:], len(index))
-            for i, ids in zip(whole, self.tokenizer.encode_batch_fast([texts[int(i)].as_py() for i in whole], add_special_tokens=False)):
-                index[starts[i] : ends[i]] = none
-                index[starts[i]] = len(pieces)
-                pieces.append(np.array(ids.ids, self.kind).tobytes())
-        size = np.dtype(self.kind).itemsize
-        length = np.fromiter(map(len, pieces), np.int64, len(pieces)) // size
-        at = np.cumsum(length) - length
-        n = length[index]
-        before = np.cumsum(n) - n
-        total = int(n.sum())
-        ids = np.frombuffer(b"".join(pieces), self.kind)[np.repeat(at[index] - before, n) + np.arange(total)]
-        return ids, np.add.reduceat(n, starts)
+            for i in np.flatnonzero(pc.match_substring(texts, content).to_numpy(zero_copy_only=False)).tolist():
+                flags[bounds[i] : bounds[i + 1]] = False
+        flags[bounds[bounds < len(data)]] = True
+        cuts = np.append(np.flatnonzero(flags), len(data))
+        coded = pa.LargeStringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts), pa.py_buffer(data)).dictionary_encode()
+        parts = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        index = coded.indices.to_numpy()
+        sizes = pc.binary_length(coded.dictionary).to_numpy()
+        slot = np.fromiter(map(self.known.get, parts, itertools.repeat(-1)), np.int64, len(parts))
+        missing = np.flatnonzero(slot < 0)
+        passing = sizes[missing] > KEPT_BYTES
+        short, long = missing[~passing], missing[passing]
+        names, slot[short] = self.learn([parts[i] for i in short.tolist()], sizes[short])
+        kept, kept_ids = len(self.n), len(self.store)
+        self.known.update(zip(names, range(kept - len(names), kept)))
+        if len(long):
+            slot[long] = self.learn([parts[i] for i in long.tolist()], sizes[long])[1]
+        n = self.n[slot][index]
+        ids = self.store[self.places(self.at[slot][index], n)]
+        if len(long):
+            self.store, self.at, self.n = self.store[:kept_ids].copy(), self.at[:kept].copy(), self.n[:kept].copy()
+        self.uses = np.append(self.uses * np.float32(0.8), np.zeros(len(names), np.float32))
+        self.uses[slot[slot < kept]] += 1
+        if len(self.known) > CACHE_WORDS:
+            self.trim()
+        ends = np.concatenate([[0], np.cumsum(n)])
+        return ids, np.diff(ends[np.searchsorted(cuts, bounds)])
 
 
 def encoder(path: str, kind: str) -> WordCache:

@@ -37,6 +37,54 @@ def test_cached_words_on_odd_white_space(texts):
     assert [g.tolist() for g in np.split(ids, np.cumsum(n)[:-1])] == plain(texts)
 
 
+def test_the_tokenizer_sees_each_part_once():
+    import pyarrow as pa
+
+    asked = []
+
+    class Counting:
+        def __init__(self, real):
+            self.real = real
+
+        def __getattr__(self, name):
+            return getattr(self.real, name)
+
+        def encode_batch_fast(self, texts, **options):
+            asked.append(sum(map(len, texts)))
+            return self.real.encode_batch_fast(texts, **options)
+
+    cache = tokens.WordCache(TOKENIZER)
+    cache.tokenizer = Counting(cache.tokenizer)
+    words = [f"w{chr(97 + i)}orɛ́d"[:5] for i in range(26)]
+    texts = [f"{'  '.join(words[i:])}, {words[i]}?\n{words[-i]}: x" for i in range(26)]
+    for limit in (1000, 0):  # at first the distinct parts, not the texts; then nothing
+        asked.clear()
+        ids, n = cache.encode(pa.array(texts))
+        assert [g.tolist() for g in np.split(ids, np.cumsum(n)[:-1])] == plain(texts)
+        assert sum(asked) <= limit < sum(map(len, texts))
+
+
+def test_kept_parts_stay_bounded(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(tokens, "CACHE_WORDS", 40)
+    cache = tokens.WordCache(TOKENIZER)
+    often = [f"often{i}" for i in range(10)]
+    for k in range(20):
+        texts = [" ".join([*often, *(f"rare{k}x{i}" for i in range(9)), "z" * 100 + str(k)])]
+        ids, n = cache.encode(pa.array(texts))
+        assert ids.tolist() == plain(texts)[0]
+        assert len(cache.known) == len(cache.n) == len(cache.at) == len(cache.uses) <= 40 and len(cache.store) < 1000
+        assert all(" " + w in cache.known for w in often[1:])
+        assert not any("zzz" in w for w in cache.known)
+
+
+def test_cuts_are_places_where_the_splitter_cuts():
+    text = "ab, c  d\nE\n\nf\u00a0 g\u3000 h\u00d7. \u00e9. 1,2 it's".encode()
+    where = np.flatnonzero(tokens.cut_flags(np.frombuffer(text, np.uint8))).tolist()
+    assert [text[a:b].decode() for a, b in zip([0, *where], [*where, len(text)])] == ["ab", ",", " c", "  d", "\n", "E", "\n\nf\u00a0 g\u3000 h\u00d7.", " \u00e9", ".", " 1", ",2", " it", "'s"]
+
+
 @pytest.mark.parametrize("n, bits", [(0, 16), (1, 16), (777, 3), (5000, 16), (70000, 17), (65536, 5), (200000, 6)])
 def test_wavelet_matrix(n, bits, monkeypatch):
     monkeypatch.setattr(tokens, "SEGMENT", 512)
