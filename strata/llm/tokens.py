@@ -54,10 +54,10 @@ BLOCK_BYTES = BLOCK_BITS // 8
 WORD_BITS = 512
 KEPT_BLOCKS = 256
 SEGMENT = 1 << 16
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 400_000  # two workers of an executor hold so many each
 KEPT_BYTES = 64  # longer parts of texts are not kept for the next ones
 BULK = 500
-ENCODE_BYTES = 1 << 24  # of text encoded at once
+ENCODE_BYTES = 1 << 22  # of text encoded at once
 SHARD_SCHEMA = "shard long, n_tokens long, payload binary"
 
 
@@ -118,18 +118,21 @@ class WaveletMatrix:
     def __init__(self, n: int, bits: int, zeros: list[int], planes: list[Plane]):
         self.n, self.bits, self.zeros, self.planes = n, bits, zeros, planes
 
-    @classmethod
-    def build(cls, ids: np.ndarray, bits: int) -> WaveletMatrix:
-        zeros, planes = [], []
-        a = ids
+    @staticmethod
+    def levels(ids: np.ndarray, bits: int) -> Iterator[tuple[int, Plane]]:
+        """Zeros of each plane and the plane, highest bit first. Holds two orders of the ids beside ``ids``."""
+        a, spare = ids, None
+        mask = np.empty(len(ids), np.bool_)
         for k in range(bits - 1, -1, -1):
-            mask = ((a >> a.dtype.type(k)) & a.dtype.type(1)).astype(np.bool_)
-            planes.append(Plane.of(np.packbits(mask)))
-            zeros.append(len(a) - int(np.count_nonzero(mask)))
+            for i in range(0, len(a), SEGMENT):  # pieces that stay in the processor's cache
+                part = a[i : i + SEGMENT]
+                np.not_equal(part & part.dtype.type(1 << k), 0, out=mask[i : i + SEGMENT])
+            zeros = len(a) - int(np.count_nonzero(mask))
+            yield zeros, Plane.of(np.packbits(mask))
             if k:
-                after = np.empty_like(a)
-                low, high = 0, zeros[-1]
-                for i in range(0, len(a), SEGMENT):  # pieces that stay in the processor's cache
+                after = np.empty_like(ids) if spare is None else spare
+                low, high = 0, zeros
+                for i in range(0, len(a), SEGMENT):
                     one = mask[i : i + SEGMENT]
                     part = a[i : i + SEGMENT]
                     z, o = np.flatnonzero(~one), np.flatnonzero(one)
@@ -137,8 +140,12 @@ class WaveletMatrix:
                     part.take(o, out=after[high : high + len(o)], mode="clip")
                     low += len(z)
                     high += len(o)
-                a = after
-        return cls(len(ids), bits, zeros, planes)
+                a, spare = after, None if a is ids else a
+
+    @classmethod
+    def build(cls, ids: np.ndarray, bits: int) -> WaveletMatrix:
+        levels = list(cls.levels(ids, bits))
+        return cls(len(ids), bits, [z for z, _ in levels], [p for _, p in levels])
 
     def decode(self) -> np.ndarray:
         """All ids, from the lowest plane up."""
@@ -211,11 +218,14 @@ class WaveletMatrix:
 
 
 def pack(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray, bits: int) -> bytes:
-    wm = WaveletMatrix.build(ids, bits)
     z = zstandard.ZstdCompressor(level=1)
+    zeros, before, blocks = [], [], []
+    for count, p in WaveletMatrix.levels(ids, bits):  # a plane goes once it is compressed
+        zeros.append(count)
+        before.append(p.before.astype("<u8").tobytes())
+        blocks += [z.compress(b"".join((within.astype("<u2").tobytes(), data.tobytes()))) for within, data in map(p.load, range(len(p.before) - 1))]
     frames = [z.compress(f) for f in (np.array([0 if d is None else d for d in doc_ids], "<i8").tobytes(), np.array([d is None for d in doc_ids], np.uint8).tobytes(), np.asarray(lengths, "<u8").tobytes())]
-    blocks = [z.compress(b"".join((within.astype("<u2").tobytes(), data.tobytes()))) for p in wm.planes for within, data in map(p.load, range(len(p.before) - 1))]
-    head = b"".join([b"WVMX", struct.pack("<BBHQQ", VERSION, bits, 0, len(doc_ids), len(ids)), struct.pack(f"<{bits}Q", *wm.zeros), *(p.before.astype("<u8").tobytes() for p in wm.planes)])
+    head = b"".join([b"WVMX", struct.pack("<BBHQQ", VERSION, bits, 0, len(doc_ids), len(ids)), struct.pack(f"<{bits}Q", *zeros), *before])
     tables = b"".join(x for f in frames for x in (struct.pack("<Q", len(f)), f))
     first = len(head) + 8 * (len(blocks) + 1) + len(tables)
     places = np.cumsum([first, *map(len, blocks)]).astype("<u8")
@@ -339,20 +349,23 @@ class WordCache:
     def ids(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
-    def bulk(self, parts: list[str], sizes: np.ndarray, between: str) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+    def bulk(self, parts: list[str], sizes: np.ndarray, between: str | None) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
         """Ids, and for each part where they start in all of them and their number: many parts in one
-        call, told apart by the bytes that ids stand for."""
+        call, as one text with ``between`` between them and told apart by the bytes that ids stand for."""
         found, at, n = [], [], []
         base = 0
         for i in range(0, len(parts), BULK):
             some, size = parts[i : i + BULK], sizes[i : i + BULK]
-            text = between.join(some)
-            ids = np.array(self.ids(text), self.kind)
-            ends = np.concatenate([[0], np.cumsum(self.width[ids])])
-            stop = np.cumsum(size + len(between)) - len(between)
-            first, last = np.searchsorted(ends, stop - size), np.searchsorted(ends, stop)
-            if last[-1] != len(ids) or (ends[first] != stop - size).any() or (ends[last] != stop).any() or any(t in text for t in self.added):
-                each = self.each(some)  # no cut after all
+            cut = between is not None
+            if cut:
+                text = between.join(some)
+                ids = np.array(self.ids(text), self.kind)
+                ends = np.concatenate([[0], np.cumsum(self.width[ids])])
+                stop = np.cumsum(size + len(between)) - len(between)
+                first, last = np.searchsorted(ends, stop - size), np.searchsorted(ends, stop)
+                cut = last[-1] == len(ids) and (ends[first] == stop - size).all() and (ends[last] == stop).all() and not any(t in text for t in self.added)
+            if not cut:
+                each = self.each(some)
                 ids, last = np.concatenate(each), np.cumsum([len(x) for x in each])
                 first = np.append(0, last[:-1])
             found.append(ids)
@@ -371,7 +384,7 @@ class WordCache:
         bare = solid & ~np.array([p[0].isspace() for p in parts], bool)
         store, at, n, order = [self.store], [self.at], [self.n], []
         base = len(self.store)
-        for which, between in ((spaced, ""), (bare, "\n")):
+        for which, between in ((spaced, ""), (bare, "\n"), (~spaced & ~bare, None)):
             mine = np.flatnonzero(which)
             order.append(mine)
             ids, first, count = self.bulk([parts[i] for i in mine.tolist()], sizes[mine], between)
@@ -379,13 +392,7 @@ class WordCache:
             at += [f + base for f in first]
             n += count
             base += sum(map(len, ids))
-        rest = np.flatnonzero(~spaced & ~bare)
-        order.append(rest)
-        each = self.each([parts[i] for i in rest.tolist()])
-        count = np.array([len(x) for x in each], np.int64)
-        self.store = np.concatenate([*store, *each])
-        self.at = np.concatenate([*at, base + np.cumsum(count) - count])
-        self.n = np.concatenate([*n, count])
+        self.store, self.at, self.n = np.concatenate(store), np.concatenate(at), np.concatenate(n)
         order = np.concatenate(order)
         slots = np.empty(len(parts), np.int64)
         slots[order] = len(self.n) - len(parts) + np.arange(len(parts))
@@ -454,6 +461,56 @@ def encoder(path: str, kind: str) -> WordCache:
     return worker_cache(("words", path, kind), lambda: WordCache(path, kind))
 
 
+def shard_rows(batches: Iterator[pa.RecordBatch], tokenizer: str, bits: int, shard_tokens: int) -> Iterator[pa.RecordBatch]:
+    """Shard files, as rows, of a task's ``(doc_id, text, part)``. Holds a shard's ids, one piece of
+    ``ENCODE_BYTES`` or one longer text, and the parts of texts that the worker keeps."""
+    kind = "<u2" if bits <= 16 else "<u4"
+    encode = encoder(tokenizer, kind).encode
+    held: list[np.ndarray] = []
+    owners: list[int | None] = []
+    lengths: list[np.ndarray] = []
+    count = number = 0
+    base = None
+
+    def shard() -> pa.RecordBatch:
+        ids = np.concatenate(held)
+        held.clear()
+        payload = pack(owners, np.concatenate(lengths), ids, bits)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([base + number], pa.int64()), pa.array([count], pa.int64()), pa.array([payload], pa.binary())], names=["shard", "n_tokens", "payload"]
+        )
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if base is None:
+            base = batch.column(2)[0].as_py() << 32
+        sizes = pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False)
+        groups = np.cumsum(sizes) // ENCODE_BYTES
+        for a, b in zip(cuts := [0, *(np.flatnonzero(np.diff(groups)) + 1).tolist()], [*cuts[1:], batch.num_rows]):
+            ids, n = encode(batch.column(1).slice(a, b - a))
+            ends = np.cumsum(n)
+            ids = np.insert(ids, ends, END_ID)
+            ends = ends + np.arange(1, len(n) + 1)
+            names = batch.column(0).slice(a, b - a).to_pylist()
+            i, done = 0, 0
+            while i < len(n):
+                j = int(np.searchsorted(ends, done + shard_tokens - count, side="right"))
+                if j <= i and not count:
+                    j = i + 1  # a document longer than a shard has one of its own
+                if j > i:
+                    held.append(ids[done : ends[j - 1]])
+                    owners += names[i:j]
+                    lengths.append(n[i:j] + 1)
+                    count += int(ends[j - 1] - done)
+                    i, done = j, int(ends[j - 1])
+                if i < len(n):
+                    yield shard()
+                    held, owners, lengths, count, number = [], [], [], 0, number + 1
+    if count:
+        yield shard()
+
+
 def write_shards(docs: DataFrame, path: str, tokenizer: str, bits: int = 16, shard_tokens: int = SHARD_TOKENS, id_col: str = "doc_id", text_col: str = "text", order_col: str | None = None) -> None:
     """Encodes ``docs`` and writes the shard files under ``path``, by ``order_col`` if there is one, else by id."""
     order = [] if order_col is None else [F.col(order_col).alias("o")]
@@ -462,49 +519,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, bits: int = 16, sha
     ordered = rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("part", F.spark_partition_id()).select("doc_id", "text", "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = "<u2" if bits <= 16 else "<u4"
-        encode = encoder(tokenizer, kind).encode
-        held: list[np.ndarray] = []
-        owners: list[int | None] = []
-        lengths: list[np.ndarray] = []
-        count = number = 0
-        base = None
-
-        def shard() -> pa.RecordBatch:
-            payload = pack(owners, np.concatenate(lengths), np.concatenate(held), bits)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([base + number], pa.int64()), pa.array([count], pa.int64()), pa.array([payload], pa.binary())], names=["shard", "n_tokens", "payload"]
-            )
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            if base is None:
-                base = batch.column(2)[0].as_py() << 32
-            sizes = pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False)
-            groups = np.cumsum(sizes) // ENCODE_BYTES
-            for a, b in zip(cuts := [0, *(np.flatnonzero(np.diff(groups)) + 1).tolist()], [*cuts[1:], batch.num_rows]):
-                ids, n = encode(batch.column(1).slice(a, b - a))
-                ends = np.cumsum(n)
-                ids = np.insert(ids, ends, END_ID)
-                ends = ends + np.arange(1, len(n) + 1)
-                names = batch.column(0).slice(a, b - a).to_pylist()
-                i, done = 0, 0
-                while i < len(n):
-                    j = int(np.searchsorted(ends, done + shard_tokens - count, side="right"))
-                    if j <= i and not count:
-                        j = i + 1  # a document longer than a shard has one of its own
-                    if j > i:
-                        held.append(ids[done : ends[j - 1]])
-                        owners += names[i:j]
-                        lengths.append(n[i:j] + 1)
-                        count += int(ends[j - 1] - done)
-                        i, done = j, int(ends[j - 1])
-                    if i < len(n):
-                        yield shard()
-                        held, owners, lengths, count, number = [], [], [], 0, number + 1
-        if count:
-            yield shard()
+        return shard_rows(batches, tokenizer, bits, shard_tokens)
 
     ordered.mapInArrow(run, SHARD_SCHEMA).write.option("maxRecordsPerFile", 1).parquet(path)
 

@@ -1,3 +1,4 @@
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -79,6 +80,36 @@ def test_kept_parts_stay_bounded(monkeypatch):
         assert not any("zzz" in w for w in cache.known)
 
 
+def test_a_worker_holds_one_shard_and_bounded_parts():
+    import pyarrow as pa
+
+    words = np.char.add("w", np.random.default_rng(3).integers(0, 1 << 40, 450_000).astype(str))  # next to none of them twice
+    texts = [" ".join(words[i : i + 300]) for i in range(0, len(words), 300)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts), pa.array([0] * len(texts), pa.int32())], names=["doc_id", "text", "part"])
+    tokens.release_caches()
+    tracemalloc.start()
+    try:
+        got = [b.num_rows for b in tokens.shard_rows(iter([batch]), TOKENIZER, 16, tokens.SHARD_TOKENS)]
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+        tokens.release_caches()
+    assert got == [1] and batch.nbytes > 6e6
+    assert most < 130e6
+
+
+def test_packing_holds_a_plane_at_a_time():
+    ids = np.random.default_rng(5).integers(0, 1 << 16, 1 << 22).astype(np.uint16)
+    tracemalloc.start()
+    try:
+        payload = tokens.pack([1], np.array([len(ids)]), ids, 16)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert (tokens.unpack(payload)[2].decode() == ids).all()
+    assert most < 4.2 * ids.nbytes  # of ids that don't compress
+
+
 def test_cuts_are_places_where_the_splitter_cuts():
     text = "ab, c  d\nE\n\nf\u00a0 g\u3000 h\u00d7. \u00e9. 1,2 it's".encode()
     where = np.flatnonzero(tokens.cut_flags(np.frombuffer(text, np.uint8))).tolist()
